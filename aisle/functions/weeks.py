@@ -69,8 +69,8 @@ def yearweek_shift(yw: Column | str, weeks: int | Column) -> Column:
 
 
 def half_week(d: Column | str) -> Column:
-    """``FHW`` Sunday to Tuesday and Saturday, ``SHW`` Wednesday to Friday."""
-    return F.when(F.dayofweek(col(d)).isin(4, 5, 6), F.lit("SHW")).otherwise(F.lit("FHW"))
+    """``first_half`` Monday to Wednesday, ``last_half`` Thursday to Sunday."""
+    return F.when(F.weekday(col(d)) <= 2, F.lit("first_half")).otherwise(F.lit("last_half"))
 
 
 def quarter_number(d: Column | str) -> Column:
@@ -156,12 +156,7 @@ def week_calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
     )
 
 
-def period_table(spark: SparkSession, run_date: date) -> DataFrame:
-    """Eight reporting periods as of a run date, one row each.
-
-    The previous month-to-date ends on the same day of month, clamped to the
-    month's last day by ``add_months``.
-    """
+def _periods(run_date: date) -> list[Column]:
     day = F.lit(run_date)
     yesterday = F.date_sub(day, 1)
     month_start = F.trunc(yesterday, "month")
@@ -175,7 +170,63 @@ def period_table(spark: SparkSession, run_date: date) -> DataFrame:
         ("month_to_date", month_start, yesterday),
         ("previous_month_to_date", F.add_months(month_start, -1), F.add_months(yesterday, -1)),
     ]
-    rows = F.array(*[
-        F.struct(F.lit(n).alias("period"), s.alias("start_date"), e.alias("end_date")) for n, s, e in spans
-    ])
-    return spark.range(1).select(F.inline(rows))
+    return [F.struct(F.lit(n).alias("period"), s.alias("start_date"), e.alias("end_date")) for n, s, e in spans]
+
+
+def period_table(spark: SparkSession, run_date: date) -> DataFrame:
+    """Eight reporting periods as of a run date, one row each.
+
+    The previous month-to-date ends on the same day of month, clamped to the
+    month's last day by ``add_months``.
+    """
+    return spark.range(1).select(F.inline(F.array(*_periods(run_date))))
+
+
+def periods_of(d: Column | str, run_date: date) -> Column:
+    """Array of the reporting periods a date falls into; explode it to book a fact on all of them."""
+    d = col(d)
+    return F.filter(F.array(*_periods(run_date)), lambda p: d.between(p["start_date"], p["end_date"]))
+
+
+def mapped_holiday(d: Column | str, names: dict[str, str]) -> Column:
+    """Holiday name by month and day, else ``Non-Holiday``."""
+    code = F.date_format(col(d), "MMdd")
+    out = F.lit("Non-Holiday")
+    for month_day, name in names.items():
+        out = F.when(code == month_day, F.lit(name)).otherwise(out)
+    return out
+
+
+def start_end_flags(start: str, end: str, week: str) -> list[Column]:
+    """Position flags of a promotion seen from one ISO week (its Monday), and duration buckets."""
+    flag = lambda test: F.coalesce(test, F.lit(False)).cast("int")
+    out = [flag(F.trunc(start, "week") == F.trunc(end, "week")).alias("start_end_same_week")]
+    for side, name in ((start, "start"), (end, "end")):
+        here = F.trunc(side, "week") == F.col(week)
+        quarter_week = iso_yearweek(side) % 100 % 13
+        out += [
+            flag(here).alias(f"{name}_current_week"),
+            flag(here & (week_of_month(side) == 1)).alias(f"{name}_first_week_of_month"),
+            flag(here & (week_of_month(side) > 3)).alias(f"{name}_last_week_of_month"),
+            flag(here & (quarter_week == 1)).alias(f"{name}_first_week_of_quarter"),
+            flag(here & (quarter_week == 0)).alias(f"{name}_last_week_of_quarter"),
+        ]
+    days = F.datediff(end, start) + 1
+    return [
+        *out, flag(days < 8).alias("duration_1_week"), flag(days.between(8, 14)).alias("duration_2_weeks"),
+        flag(days < 31).alias("duration_under_1_month"), flag(days > 30).alias("duration_over_1_month"),
+    ]
+
+
+def distance_flags(week: str, start: str, end: str) -> list[Column]:
+    """Is the start or end of a promotion one or two weeks ahead or behind a date."""
+    out = []
+    for side, name in ((start, "start"), (end, "end")):
+        days = F.datediff(week, side)
+        out += [
+            days.between(-7, -1).cast("int").alias(f"{name}_next_week"),
+            days.between(-14, -8).cast("int").alias(f"{name}_next_2_weeks"),
+            days.between(1, 7).cast("int").alias(f"{name}_last_week"),
+            days.between(8, 14).cast("int").alias(f"{name}_last_2_weeks"),
+        ]
+    return out

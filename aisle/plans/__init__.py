@@ -3,8 +3,10 @@
 from aisle.plans import (  # noqa: F401
     aggregates,
     cleaning,
+    dates,
     windows,
     joins,
+    text,
 )
 from aisle.plans.registry import all_queries, all_sql
 

@@ -187,31 +187,36 @@ def diversity(t):
 
 
 @query("win12_calendar_neighbors", """
-SELECT week, yearweek, holiday_days, coalesce(lag(holiday_days) OVER (ORDER BY week), 0) AS holiday_last_week,
-       coalesce(lead(holiday_days) OVER (ORDER BY week), 0) AS holiday_next_week
-FROM (SELECT week, yearweek, CAST(6 - working_days AS INTEGER) AS holiday_days FROM v_weeks) c
+WITH c AS (SELECT week, CAST(6 - working_days AS INTEGER) AS holiday_days FROM v_weeks),
+n AS (SELECT week, holiday_days, coalesce(lag(holiday_days) OVER (ORDER BY week), 0) AS holiday_last_week,
+             coalesce(lead(holiday_days) OVER (ORDER BY week), 0) AS holiday_next_week FROM c)
+SELECT w.brand, w.region, w.yearweek, w.qty, n.holiday_days, n.holiday_last_week, n.holiday_next_week
+FROM v_weekly w JOIN n ON w.week = n.week
 """)
 def calendar_neighbors(t):
     spec = Window.orderBy("week")
     holidays = (F.lit(6) - F.col("working_days")).alias("holiday_days")
-    return weeks.week_calendar(t.spark, START, END).select("week", "yearweek", holidays).select(
+    calendar = weeks.week_calendar(t.spark, START, END).select("week", holidays).select(
         "*", F.coalesce(F.lag("holiday_days").over(spec), F.lit(0)).alias("holiday_last_week"),
         F.coalesce(F.lead("holiday_days").over(spec), F.lit(0)).alias("holiday_next_week"))
+    return t.weekly.select(*KEYS, "week", "yearweek", "qty").join(calendar, "week").drop("week")
 
 
 @query("win13_week_order", """
-SELECT week, CAST(row_number() OVER (PARTITION BY year(week), month(week) ORDER BY week) AS INTEGER) AS order_in_month,
-       CAST(row_number() OVER (PARTITION BY year(week), quarter(week) ORDER BY week) AS INTEGER) AS order_in_quarter,
-       count(*) OVER (PARTITION BY year(week), month(week)) AS weeks_in_month
-FROM v_weeks
+SELECT w.brand, w.region, w.week, w.qty, c.order_in_month, c.order_in_quarter, c.weeks_in_month
+FROM v_weekly w JOIN (
+  SELECT week, CAST(row_number() OVER (PARTITION BY year(week), month(week) ORDER BY week) AS INTEGER) AS order_in_month,
+         CAST(row_number() OVER (PARTITION BY year(week), quarter(week) ORDER BY week) AS INTEGER) AS order_in_quarter,
+         count(*) OVER (PARTITION BY year(week), month(week)) AS weeks_in_month FROM v_weeks) c ON w.week = c.week
 """)
 def week_order(t):
     month = Window.partitionBy(F.trunc("week", "month"))
     quarter = Window.partitionBy(F.trunc("week", "quarter"))
-    return weeks.week_calendar(t.spark, START, END).select(
+    calendar = weeks.week_calendar(t.spark, START, END).select(
         "week", F.row_number().over(month.orderBy("week")).alias("order_in_month"),
         F.row_number().over(quarter.orderBy("week")).alias("order_in_quarter"),
-        F.count("*").over(month).alias("weeks_in_month"))
+        F.count("week").over(month).alias("weeks_in_month"))
+    return t.weekly.select(*KEYS, "week", "qty").join(calendar, "week")
 
 
 @query("win14_high_low", """
@@ -239,11 +244,13 @@ def abc_class(t):
 
 
 @query("win16_time_index", """
-SELECT yearweek, CAST(dense_rank() OVER (ORDER BY yearweek) AS INTEGER) AS time_index FROM v_weeks
+SELECT brand, region, yearweek, qty, CAST(dense_rank() OVER (ORDER BY yearweek) AS INTEGER) AS time_index FROM v_weekly
 """)
 def time_index(t):
-    return weeks.week_calendar(t.spark, START, END).select(
-        "yearweek", F.dense_rank().over(Window.orderBy("yearweek")).alias("time_index"))
+    # The index is ranked on the distinct weeks, of which there are as many as the calendar has.
+    known = t.weekly.select("yearweek").distinct()
+    index = known.select("yearweek", F.dense_rank().over(Window.orderBy("yearweek")).alias("time_index"))
+    return t.weekly.select(*KEYS, "yearweek", "qty").join(index, "yearweek")
 
 
 _FILL_SQL = """
