@@ -4,8 +4,10 @@ from aisle.plans import (  # noqa: F401
     aggregates,
     cleaning,
     dates,
+    evaluation,
     windows,
     joins,
+    quality,
     text,
 )
 from aisle.plans.registry import all_queries, all_sql

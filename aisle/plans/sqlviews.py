@@ -65,6 +65,22 @@ SELECT CAST(CAST(ts AS DATE) - INTERVAL 286 MONTH AS DATE) AS date,
        count(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS buyers,
        round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS web_gmv
 FROM events GROUP BY 1, 2
+""",
+    "v_forecasts": """
+SELECT * FROM (SELECT brand, region, week_no, yearweek, qty AS actual,
+       round(max(qty) OVER (w RANGE BETWEEN 52 PRECEDING AND 52 PRECEDING) * 1.05::DOUBLE, 2) AS fc_year,
+       max(qty) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS fc_week,
+       round(avg(qty) OVER (w RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING), 2) AS fc_mean
+FROM v_weekly WINDOW w AS (PARTITION BY brand, region ORDER BY week_no)) f
+WHERE fc_year IS NOT NULL AND fc_week IS NOT NULL AND fc_mean IS NOT NULL
+""",
+    "v_product_weekly": """
+SELECT product, CAST(date_diff('day', DATE '1970-01-05', date) // 7 AS INTEGER) AS week_no, sum(qty) AS qty
+FROM v_lines GROUP BY 1, 2
+""",
+    "v_scores": """
+SELECT d.doc_id, d.source, d.lang, round(1000.0::DOUBLE / (1000.0::DOUBLE + d.n_chars), 3) AS score, l.quality, l.toxic
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """,
     "v_days": """
 SELECT CAST(d AS DATE) AS date

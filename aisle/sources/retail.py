@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from aisle.functions import weeks
 from aisle.sources.readers import read_parquet
@@ -179,3 +179,26 @@ class Tables:
                 F.round(F.sum(F.when(kind == "purchase", F.col("value")).otherwise(0.0)), 4).alias("web_gmv"),
             )
         )
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """Weekly actuals with three simple forecasts, where all of them exist."""
+        spec = Window.partitionBy("brand", "region").orderBy("week_no")
+        return self.weekly.select(
+            "brand", "region", "week_no", "yearweek", F.col("qty").alias("actual"),
+            F.round(F.max("qty").over(spec.rangeBetween(-52, -52)) * 1.05, 2).alias("fc_year"),
+            F.max("qty").over(spec.rangeBetween(-1, -1)).alias("fc_week"),
+            F.round(F.avg("qty").over(spec.rangeBetween(-4, -1)), 2).alias("fc_mean"),
+        ).where("fc_year is not null and fc_week is not null and fc_mean is not null")
+
+    @cached_property
+    def product_weekly(self) -> DataFrame:
+        """Primary demand by product and ISO week."""
+        return self.primary_lines.groupBy("product", weeks.week_index("date").alias("week_no")).agg(
+            F.sum("qty").alias("qty"))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Labelled documents with a score that falls with their length."""
+        score = F.round(F.lit(1000.0) / (F.lit(1000.0) + F.col("n_chars")), 3)
+        return self.documents.select("doc_id", "source", "lang", score.alias("score")).join(self.labels, "doc_id")
