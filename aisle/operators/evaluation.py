@@ -43,9 +43,12 @@ def method_table(df: DataFrame, keys: Sequence[str], actual: str, methods: Seque
 
 
 def best_method(table: DataFrame, keys: Sequence[str], methods: Sequence[str]) -> DataFrame:
-    """Method with the highest positive accuracy per key, the first listed among equals; else BLANK."""
+    """Method with the highest positive accuracy per key, else BLANK.
+
+    Accuracies equal to nine digits count as equal; the first listed method wins.
+    """
     place = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
-    candidate = F.struct(F.col("fa").alias("fa"), (-place).alias("place"), F.col("method").alias("method"))
+    candidate = F.struct(F.round("fa", 9).alias("fa"), (-place).alias("place"), F.col("method").alias("method"))
     best = table.groupBy(*keys).agg(F.max(F.when(F.col("fa") > 0, candidate)).alias("best"))
     return best.select(
         *keys, F.coalesce("best.method", F.lit("BLANK")).alias("method"), F.coalesce("best.fa", F.lit(0.0)).alias("fa"))

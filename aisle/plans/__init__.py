@@ -9,6 +9,7 @@ from aisle.plans import (  # noqa: F401
     joins,
     quality,
     text,
+    timeseries,
 )
 from aisle.plans.registry import all_queries, all_sql
 

@@ -48,8 +48,8 @@ _CONTRACT = [
 ]
 _RAW = """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 30000 THEN NULL
             ELSE CAST(o_orderkey AS VARCHAR) END AS order_no,
-       strftime(o_orderdate, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN '%Y-%m-%d' ELSE '%Y%m%d' END)
-       AS order_date,
+       CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d')
+            ELSE strftime(o_orderdate, '%Y%m%d') END AS order_date,
        CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 470000 THEN NULL
             WHEN o_orderpriority = '2-HIGH' AND o_totalprice > 470000 THEN 'n/a'
             ELSE printf('%.2f', o_totalprice) END AS price

@@ -81,6 +81,17 @@ FROM v_lines GROUP BY 1, 2
     "v_scores": """
 SELECT d.doc_id, d.source, d.lang, round(1000.0::DOUBLE / (1000.0::DOUBLE + d.n_chars), 3) AS score, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""",
+    "v_plan": """
+SELECT brand, region, w.week, w.week_no, w.yearweek, qty, working_days,
+       CASE WHEN working_days <> 0 THEN qty / working_days ELSE 0 END AS daily,
+       CAST(promo_qty > qty * 0.35::DOUBLE AS INTEGER) AS green, w.week + 3 AS anchor
+FROM v_weekly w JOIN v_full_weeks c ON w.week = c.week
+""",
+    "v_full_weeks": """
+SELECT CAST(date_trunc('week', d) AS DATE) AS week, CAST(count(*) FILTER (WHERE dayofweek(d) <> 0
+       AND strftime(d, '%m%d') NOT IN ('0101', '0430', '0501', '0902')) AS INTEGER) AS working_days
+FROM unnest(generate_series(TIMESTAMP '1994-12-26', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) g(d) GROUP BY 1
 """,
     "v_days": """
 SELECT CAST(d AS DATE) AS date
