@@ -7,6 +7,8 @@ from aisle.plans import (  # noqa: F401
     evaluation,
     windows,
     joins,
+    kpi,
+    promotion,
     quality,
     text,
     timeseries,

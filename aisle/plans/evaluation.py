@@ -235,14 +235,14 @@ def uplift_description(t):
 
 @query("evl16_group_accuracy", f"""
 WITH l AS ({_LONG}),
-k AS (SELECT brand, region, method, 1 - sum(abs(p - actual)) / sum(actual) AS fa, sum(actual) AS sales FROM l GROUP BY 1, 2, 3),
+k AS (SELECT brand, region, method, round(1 - sum(abs(p - actual)) / sum(actual), 9) AS fa, sum(actual) AS sales FROM l GROUP BY 1, 2, 3),
 b AS (SELECT region, brand, max(greatest(fa, 0)) AS fa, max(sales) AS sales FROM k GROUP BY 1, 2),
-t AS (SELECT region, method, 1 - sum(abs(p - actual)) / sum(actual) AS fa FROM l GROUP BY 1, 2)
-SELECT x.region, x.method, round(x.fa, 9) AS fa, y.median_fa, y.weighted_fa
+t AS (SELECT region, method, round(1 - sum(abs(p - actual)) / sum(actual), 9) AS fa FROM l GROUP BY 1, 2)
+SELECT x.region, x.method, x.fa, y.median_fa, y.weighted_fa
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY fa DESC) AS rn FROM t) q WHERE rn = 1) x
-JOIN (SELECT region, round(quantile_cont(fa, 0.5), 9) AS median_fa, round(sum(fa * sales) / sum(sales), 9) AS weighted_fa
+JOIN (SELECT region, round(quantile_cont(fa, 0.5), 10) AS median_fa, round(sum(fa * sales) / sum(sales), 9) AS weighted_fa
       FROM b GROUP BY 1) y ON x.region = y.region
 """)
 def group_accuracy(t):
     out = ops.group_accuracy(t.forecasts, "region", "brand", "actual", METHODS)
-    return _rounded(out, "fa", "median_fa", "weighted_fa")
+    return out.withColumns({"median_fa": F.round("median_fa", 10), "weighted_fa": F.round("weighted_fa", 9)})

@@ -87,6 +87,41 @@ SELECT brand, region, w.week, w.week_no, w.yearweek, qty, working_days,
        CASE WHEN working_days <> 0 THEN qty / working_days ELSE 0 END AS daily,
        CAST(promo_qty > qty * 0.35::DOUBLE AS INTEGER) AS green, w.week + 3 AS anchor
 FROM v_weekly w JOIN v_full_weeks c ON w.week = c.week
+""",
+    "v_pri_promo": """
+SELECT s.region AS category, p.brand AS dp, p.category AS material, CAST(date_trunc('week', x.date) AS DATE) AS week,
+       sum(x.qty) AS pri_sales
+FROM v_lines x JOIN v_products p ON x.product = p.product JOIN v_sites s ON x.site = s.site
+WHERE x.discount >= 0.08 GROUP BY 1, 2, 3, 4
+""",
+    "v_sec_promo": """
+SELECT s.region AS category, p.brand AS dp, p.category AS material, CAST(date_trunc('week', x.date) AS DATE) AS week,
+       sum(x.qty) AS sec_sales
+FROM v_sales x JOIN v_products p ON x.product = p.product JOIN v_sites s ON x.site = s.site
+WHERE x.discount >= 0.08 GROUP BY 1, 2, 3, 4
+""",
+    "v_banded": """
+SELECT b.category, b.dp, b.material, b.week, coalesce(b.pri_sales, 0) AS pri_sales, coalesce(b.sec_sales, 0) AS sec_sales,
+       coalesce(w.qty, 0) AS pri_sales_dp, l.baseline,
+       CAST(date_diff('day', DATE '1970-01-05', b.week) // 7 AS INTEGER) AS week_no
+FROM (SELECT * FROM v_pri_promo FULL JOIN v_sec_promo USING (category, dp, material, week)) b
+LEFT JOIN v_weekly w ON b.category = w.region AND b.dp = w.brand AND b.week = w.week
+JOIN (SELECT region, brand, quantile_cont(qty, 0.5) AS baseline FROM v_weekly GROUP BY 1, 2) l
+ON b.category = l.region AND b.dp = l.brand
+""",
+    "v_deals": """
+SELECT scheme, x.product, p.brand, CAST(strftime(start_date, '%Y%m%d') AS INTEGER) AS start_date,
+       CAST(strftime(end_date, '%Y%m%d') AS INTEGER) AS orig_end_date,
+       CASE WHEN status = 'P' THEN CAST(strftime(end_date - 3, '%Y%m%d') AS INTEGER) ELSE 0 END AS stop_date,
+       CASE WHEN status = 'O' THEN 'CANCELLED' ELSE 'OPEN' END AS deal_status,
+       CASE WHEN mechanic = '1-URGENT' AND discount >= 0.08 THEN 'PERCENTAGE' WHEN mechanic = '1-URGENT' THEN 'VALUE'
+            WHEN discount >= 0.08 THEN 'U GIFT' ELSE 'NON-U GIFT' END AS mechanic_type,
+       CASE p.category WHEN 'PROMO' THEN 'VND' WHEN 'SMALL' THEN 'SU' WHEN 'LARGE' THEN 'CS' ELSE 'PC' END AS min_buy_uom,
+       CASE p.category WHEN 'ECONOMY' THEN 'SU' WHEN 'MEDIUM' THEN 'CS' ELSE 'PC' END AS gift_uom,
+       CAST(pack_size AS DOUBLE) AS min_buy, discount * 100 AS pct_discount, price * discount AS val_discount,
+       discount * 100 AS gift_qty, price AS price_pc, price * 6 AS price_su, price * 24 AS price_cs,
+       price / 2 AS gift_price_pc, price * 3 AS gift_price_su, price * 12 AS gift_price_cs
+FROM v_promotions x JOIN v_products p ON x.product = p.product
 """,
     "v_full_weeks": """
 SELECT CAST(date_trunc('week', d) AS DATE) AS week, CAST(count(*) FILTER (WHERE dayofweek(d) <> 0

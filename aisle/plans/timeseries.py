@@ -331,7 +331,7 @@ b AS (SELECT brand, region, arg_max(method, (fa, -o)) AS method, max(fa) AS fa F
         SELECT brand, region, 'cum' AS method, 1 AS o, cum AS fa FROM a UNION ALL
         SELECT brand, region, 'phased', 2, phased FROM a UNION ALL SELECT brand, region, 'trend', 3, trend FROM a UNION ALL
         SELECT brand, region, 'median_method', 4, median_method FROM a) u WHERE fa > 0 GROUP BY 1, 2)
-SELECT n.brand, n.region, n.week_no, coalesce(b.method, 'BLANK') AS method, round(coalesce(b.fa, 0), 8) AS fa,
+SELECT n.brand, n.region, n.week_no, coalesce(b.method, 'BLANK') AS method, coalesce(b.fa, 0) AS fa,
        round(median_method, 6) AS median_method,
        round(CASE b.method WHEN 'cum' THEN cum WHEN 'phased' THEN phased WHEN 'trend' THEN trend ELSE median_method END, 6)
        AS proposed
@@ -350,7 +350,7 @@ def best_method(t):
     for m in _METHODS:
         proposed = F.when(F.col("method") == m, F.col(m)).otherwise(proposed)
     return frame.join(best, KEYS, "left").select(
-        *KEYS, "week_no", "method", F.round("fa", 8).alias("fa"), F.round("median_method", 6).alias("median_method"),
+        *KEYS, "week_no", "method", "fa", F.round("median_method", 6).alias("median_method"),
         F.round(proposed, 6).alias("proposed"))
 
 

@@ -214,3 +214,52 @@ class Tables:
             (F.col("promo_qty") > F.col("qty") * 0.35).cast("int").alias("green"),
             F.date_add("week", 3).alias("anchor"),
         )
+
+    def _promoted(self, lines: DataFrame, name: str) -> DataFrame:
+        return (
+            lines.where(F.col("discount") >= 0.08)
+            .join(self.products.select("product", "brand", F.col("category").alias("material")), "product")
+            .join(self.sites.select("site", "region"), "site")
+            .groupBy(
+                F.col("region").alias("category"), F.col("brand").alias("dp"), "material",
+                weeks.week_start("date").alias("week"))
+            .agg(F.sum("qty").alias(name))
+        )
+
+    @cached_property
+    def banded(self) -> DataFrame:
+        """Promoted material by week: primary and secondary sales, product sales and product baseline."""
+        keys = ["category", "dp", "material", "week"]
+        product = self.weekly.select(
+            F.col("region").alias("category"), F.col("brand").alias("dp"), "week", F.col("qty").alias("pri_sales_dp"))
+        level = product.groupBy("category", "dp").agg(F.percentile("pri_sales_dp", 0.5).alias("baseline"))
+        both = self._promoted(self.primary_lines, "pri_sales").join(
+            self._promoted(self.sales, "sec_sales"), keys, "full")
+        return (
+            both.join(product, ["category", "dp", "week"], "left").join(level, ["category", "dp"])
+            .na.fill(0.0, ["pri_sales", "sec_sales", "pri_sales_dp"])
+            .withColumn("week_no", weeks.week_index("week"))
+        )
+
+    @cached_property
+    def deals(self) -> DataFrame:
+        """Price promotion deals with mechanic, minimum buy, discounts, gifts and unit prices."""
+        urgent, high = F.col("mechanic") == "1-URGENT", F.col("discount") >= 0.08
+        as_int = lambda d: F.date_format(d, "yyyyMMdd").cast("int")
+        price = F.col("price")
+        return self.promotions.join(self.products, "product").select(
+            "scheme", "product", "brand", as_int("start_date").alias("start_date"),
+            as_int("end_date").alias("orig_end_date"),
+            F.when(F.col("status") == "P", as_int(F.date_sub("end_date", 3))).otherwise(0).alias("stop_date"),
+            F.when(F.col("status") == "O", "CANCELLED").otherwise("OPEN").alias("deal_status"),
+            F.when(urgent & high, "PERCENTAGE").when(urgent, "VALUE").when(high, "U GIFT").otherwise("NON-U GIFT").alias(
+                "mechanic_type"),
+            F.when(F.col("category") == "PROMO", "VND").when(F.col("category") == "SMALL", "SU")
+            .when(F.col("category") == "LARGE", "CS").otherwise("PC").alias("min_buy_uom"),
+            F.when(F.col("category") == "ECONOMY", "SU").when(F.col("category") == "MEDIUM", "CS").otherwise("PC").alias(
+                "gift_uom"),
+            F.col("pack_size").cast("double").alias("min_buy"), (F.col("discount") * 100).alias("pct_discount"),
+            (price * F.col("discount")).alias("val_discount"), (F.col("discount") * 100).alias("gift_qty"),
+            price.alias("price_pc"), (price * 6).alias("price_su"), (price * 24).alias("price_cs"),
+            (price / 2).alias("gift_price_pc"), (price * 3).alias("gift_price_su"), (price * 12).alias("gift_price_cs"),
+        )
