@@ -10,6 +10,7 @@ from aisle.plans import (  # noqa: F401
     kpi,
     promotion,
     quality,
+    storage,
     text,
     timeseries,
 )

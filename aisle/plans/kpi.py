@@ -173,7 +173,7 @@ WITH b AS (SELECT outlet, invoice, date, sum(gsv) AS v FROM v_sales WHERE date <
 SELECT outlet, round(sum(CASE WHEN date > DATE '2000-03-24' THEN v ELSE 0 END), 4) AS gsv_l1w,
        round(sum(CASE WHEN date > DATE '1999-09-30' THEN v ELSE 0 END), 4) AS gsv_l6m,
        count(*) FILTER (WHERE date > DATE '2000-03-24') AS bills_l1w, count(*) FILTER (WHERE date > DATE '1999-09-30') AS bills_l6m,
-       round(avg(v) FILTER (WHERE date > DATE '1999-09-30'), 4) AS order_value_l6m,
+       round(avg(v) FILTER (WHERE date > DATE '1999-09-30'), 6) AS order_value_l6m,
        CAST(CASE WHEN date_diff('day', max(date), DATE '2000-03-31') <= 365 THEN date_diff('day', max(date), DATE '2000-03-31') END
             AS INTEGER) AS recency,
        CAST(date_diff('day', min(date), DATE '2000-03-31') AS INTEGER) AS lifetime,
@@ -181,7 +181,8 @@ SELECT outlet, round(sum(CASE WHEN date > DATE '2000-03-24' THEN v ELSE 0 END),
 FROM b GROUP BY 1
 """)
 def rfm_features(t):
-    return _r(ops.rfm_features(t.sales, ["outlet"], "date", RUN), 4, "gsv_l1w", "gsv_l6m", "order_value_l6m")
+    out = ops.rfm_features(t.sales, ["outlet"], "date", RUN)
+    return _r(_r(out, 4, "gsv_l1w", "gsv_l6m"), 6, "order_value_l6m")
 
 
 _FLAGS = ", ".join(
@@ -226,13 +227,13 @@ def period_report(t):
 
 @query("kpi11_daily_performance", """
 SELECT o.date, o.site, s.region, gmv, nmv, gross_orders, gross_items, visitors, views, buyers,
-       gross_orders / nullif(visitors, 0) AS conversion, round(gmv / nullif(buyers, 0), 4) AS gmv_per_buyer
+       gross_orders / nullif(visitors, 0) AS conversion, round(gmv / nullif(buyers, 0), 6) AS gmv_per_buyer
 FROM (SELECT date, site, round(sum(gsv), 4) AS gmv, round(sum(CASE WHEN status <> 'P' THEN gsv ELSE 0 END), 4) AS nmv,
              count(DISTINCT invoice) AS gross_orders, sum(qty) AS gross_items FROM v_sales GROUP BY 1, 2) o
 LEFT JOIN v_traffic t ON o.date = t.date AND o.site = t.site LEFT JOIN v_sites s ON o.site = s.site
 """)
 def daily_performance(t):
-    return _r(ops.daily_performance(t.sales, t.traffic, t.sites), 4, "gmv", "nmv", "gmv_per_buyer")
+    return _r(_r(ops.daily_performance(t.sales, t.traffic, t.sites), 4, "gmv", "nmv"), 6, "gmv_per_buyer")
 
 
 _STOCK = """
@@ -274,7 +275,8 @@ def _orders(t):
         F.col("qty").alias("proposed"), confirmed.alias("confirmed"), "qty")
 
 
-_RATE = """CAST(round(CAST(1 - abs(sum(confirmed) - sum(proposed)) / nullif(sum(proposed), 0) AS DECIMAL(18, 12)), 2) AS DOUBLE)"""
+_RATE = """CAST(round(CAST(CAST(1 - abs(sum(confirmed) - sum(proposed)) / nullif(sum(proposed), 0) AS VARCHAR) AS DECIMAL(38, 20)), 2)
+  AS DOUBLE)"""
 
 
 @query("kpi13_compliance_rate", f"""
@@ -333,7 +335,7 @@ _BUCKETS = [date(1999, 7, 1), date(1999, 10, 1), date(2000, 1, 1)]
 
 
 @query("kpi15_customer_value", """
-SELECT o_custkey, round(sum(o_totalprice) FILTER (WHERE b), 2) AS total, round(avg(o_totalprice) FILTER (WHERE b), 4) AS mean,
+SELECT o_custkey, round(sum(o_totalprice) FILTER (WHERE b), 2) AS total, round(avg(o_totalprice) FILTER (WHERE b), 6) AS mean,
        max(o_totalprice) FILTER (WHERE b) AS highest, count(*) FILTER (WHERE b) AS orders,
        CAST(date_diff('day', min(d) FILTER (WHERE b), max(d) FILTER (WHERE b)) AS INTEGER) AS span, """ + ", ".join(
     f"""round(sum(CASE WHEN d >= DATE '{b}' AND d < DATE '{b}' + INTERVAL 3 MONTH THEN o_totalprice ELSE 0 END), 2) AS bucket_{i}"""
@@ -346,7 +348,7 @@ def customer_value(t):
     orders = t.orders.where(F.col("o_orderdate") < F.lit("2000-07-01").cast("timestamp")).withColumn(
         "d", F.to_date("o_orderdate"))
     out = ops.customer_value(orders, "o_custkey", "d", "o_totalprice", "o_orderkey", date(2000, 4, 1), _BUCKETS)
-    return _r(_r(out, 2, "total", "target", "bucket_1", "bucket_2", "bucket_3"), 4, "mean")
+    return _r(_r(out, 2, "total", "target", "bucket_1", "bucket_2", "bucket_3"), 6, "mean")
 
 
 @query("kpi16_distinct_share", """

@@ -136,7 +136,7 @@ def reconcile(t):
 
 _COVERAGE = """
 WITH g AS (SELECT k.brand, k.region, w.week_no,
-                  CAST(round(CAST(x.return_qty / nullif(x.qty, 0) AS DECIMAL(18, 12)), 2) AS DOUBLE) AS rate
+                  CAST(round(CAST(CAST(x.return_qty / nullif(x.qty, 0) AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS rate
            FROM (SELECT DISTINCT brand, region FROM v_weekly) k
            JOIN (SELECT week_no FROM v_weeks WHERE week_no BETWEEN 1303 AND 1643) w ON TRUE
            LEFT JOIN v_weekly x ON x.brand = k.brand AND x.region = k.region AND x.week_no = w.week_no),

@@ -10,9 +10,10 @@ def write_parquet(df: DataFrame, path: str, files: int | None = None) -> None:
     (df if files is None else df.repartition(files)).write.mode("overwrite").parquet(path)
 
 
-def save_table(df: DataFrame, name: str, *partitions: str) -> None:
-    """Overwrite a managed table, schema included."""
-    df.write.mode("overwrite").option("overwriteSchema", "true").partitionBy(*partitions).saveAsTable(name)
+def save_table(df: DataFrame, name: str, *partitions: str, path: str | None = None) -> None:
+    """Overwrite a table, schema included; ``path`` makes it an external one."""
+    writer = df.write.mode("overwrite").option("overwriteSchema", "true").partitionBy(*partitions)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
 
 
 def write_partitions(df: DataFrame, path: str, *columns: str) -> None:
