@@ -8,6 +8,7 @@ from aisle.plans import (  # noqa: F401
     windows,
     joins,
     kpi,
+    learning,
     promotion,
     quality,
     storage,
