@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Columns of a one-row frame next to every row, as a scalar subquery instead of a join."""
+    packed = row.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, "_row.*")
+
+
 def safe_div(num: Column | str, den: Column | str, default: float | None = 0.0) -> Column:
     """``num / den``; ``default`` where the denominator is zero or null."""
     num, den = col(num), col(den)

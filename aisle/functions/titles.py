@@ -139,15 +139,14 @@ def store_parts(name: Column | str) -> list[Column]:
     return [F.substring(col(name), 5, 3).alias("province"), F.substring(col(name), 9, 3).alias("district")]
 
 
-def near_ratio(a: Column, b: Column) -> Column:
-    """Similarity 0–100 of two strings at most two edits apart, else null.
+def near_ratio(a: Column, b: Column, edits: Column) -> Column:
+    """Similarity 0–100 of two strings from their edit distance of 0 to 2.
 
     It is ``100 * (len(a) + len(b) - d) / (len(a) + len(b))``, rounded, where d
     counts insertions and deletions only. Up to two edits d follows from the
     edit distance; at equal length two edits are one insertion plus one
     deletion exactly when a one-letter deletion makes the strings meet.
     """
-    edits = F.levenshtein(a, b, 2)
     gap = F.abs(F.length(a) - F.length(b))
     cut = lambda s: F.transform(
         F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1))
@@ -156,7 +155,7 @@ def near_ratio(a: Column, b: Column) -> Column:
     distance = (
         F.when(edits == 0, 0).when((edits == 1) & (gap == 1), 1).when(edits == 1, 2)
         .when((edits == 2) & (gap == 2), 2).when((edits == 2) & (gap == 1), 3)
-        .when((edits == 2) & shifted, 2).when(edits == 2, 4)
+        .when(shifted, 2).otherwise(4)
     )
     whole = F.length(a) + F.length(b)
     return F.round(100 * (whole - distance) / whole, 0).cast("int")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aisle.functions.exprs import beside
+
 
 def describe_by(df: DataFrame, keys: Sequence[str], counted: str, measure: str) -> DataFrame:
     """Distinct periods, first and last period, and total, mean, extremes of a measure per key."""
@@ -53,11 +55,11 @@ def number_stats(df: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
 def contribution(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Share of each key in the grand total of every measure.
 
-    Totals are summed from the grouped rows and joined as one row.
+    Totals are summed from the grouped rows.
     """
     grouped = df.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
     total = grouped.agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    return grouped.join(F.broadcast(total)).select(
+    return beside(grouped, total).select(
         *keys, *measures, *[F.try_divide(F.col(m), F.col(f"_{m}")).alias(f"{m}_share") for m in measures]
     )
 

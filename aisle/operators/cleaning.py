@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aisle.functions.exprs import col, safe_div
+from aisle.functions.exprs import beside, col, safe_div
 
 
 def product_hierarchy(df: DataFrame, material: str, levels: Mapping[str, str]) -> DataFrame:
@@ -92,6 +92,5 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def in_period(df: DataFrame, date: str, period: DataFrame) -> DataFrame:
     """Rows between ``start_date`` and ``end_date`` of a one-row period table."""
-    return df.join(
-        F.broadcast(period), F.col(date).between(F.col("start_date"), F.col("end_date"))
-    ).drop("start_date", "end_date")
+    inside = beside(df, period).where(F.col(date).between(F.col("start_date"), F.col("end_date")))
+    return inside.drop("start_date", "end_date")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aisle.functions.exprs import ratio
+from aisle.functions.exprs import beside, ratio
 from aisle.operators.ordering import exact_percentiles, running_totals
 
 
@@ -62,7 +62,7 @@ def bias_report(df: DataFrame, segment: Column, actual: str, prediction: str) ->
         F.avg(prediction).alias("mean_predicted"), F.sum(F.least(gap, F.lit(0.0))).alias("negative_bias"),
         F.sum(F.greatest(gap, F.lit(0.0))).alias("positive_bias"))
     total = grouped.agg(F.sum("volume").alias("_total"))
-    return grouped.join(F.broadcast(total)).select(
+    return beside(grouped, total).select(
         *grouped.columns, ratio("volume", "_total").alias("contribution"))
 
 
@@ -113,7 +113,7 @@ def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.col(label).cast("bigint")).alias("_pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("_neg"))
     curve = running_totals(counted, [F.col(score).desc()], {"tp": "_pos", "fp": "_neg"}, number="_row")
     total = counted.agg(F.sum("_pos").alias("_all_pos"), F.sum("_neg").alias("_all_neg"))
-    return curve.join(F.broadcast(total)).select(
+    return beside(curve, total).select(
         score, "tp", "fp", "_pos", "_neg",
         ratio("tp", "_all_pos").alias("tpr"), ratio("fp", "_all_neg").alias("fpr"),
         ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), F.col("_all_pos"), F.col("_all_neg"))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.functions import weeks, windows as win
-from aisle.functions.exprs import ratio, tier
+from aisle.functions.exprs import beside, ratio, tier
 from aisle.operators.joins import apply_migration, grid
 from aisle.operators.ranking import ordered_columns
 
@@ -83,7 +83,7 @@ def compare_with_peers(site: DataFrame, peers: DataFrame, keys: Sequence[str]) -
     joined = site.join(peers, list(keys))
     columns = [c for pair in COMPONENTS.values() for c in pair]
     spans = joined.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"_{c}") for c in columns])
-    scaled = joined.join(F.broadcast(spans)).select(*joined.columns, *[
+    scaled = beside(joined, spans).select(*joined.columns, *[
         ratio(F.col(c).cast("double") - F.col(f"_{c}.low"), F.col(f"_{c}.high") - F.col(f"_{c}.low")).alias(f"{c}_scaled")
         for c in columns])
     gaps = scaled.select("*", *[
@@ -246,4 +246,4 @@ def distinct_share(df: DataFrame, key: str, item: str) -> DataFrame:
     """Distinct items per key and their share of the sum over keys."""
     counted = df.groupBy(key).agg(F.count_distinct(item).alias("items"))
     total = counted.agg(F.sum("items").alias("_total"))
-    return counted.join(F.broadcast(total)).select(key, "items", ratio("items", "_total").alias("share"))
+    return beside(counted, total).select(key, "items", ratio("items", "_total").alias("share"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aisle.functions.exprs import beside
 from aisle.session import checkpointed
 
 
@@ -61,7 +62,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: di
     counted = counts_by_value(df.where(F.col(value).isNotNull()), keys, value)
     ranked = running_totals(counted, [F.col(value)], {"_upto": "_n"}, keys)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, list(keys)) if keys else ranked.join(F.broadcast(sizes))
+    placed = ranked.join(sizes, list(keys)) if keys else beside(ranked, sizes)
     aggregates = []
     for name, p in points.items():
         at = (F.col("_size") - 1) * F.lit(float(p))
@@ -80,7 +81,7 @@ def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "p
     counted = counts_by_value(df, keys, value)
     ranked = running_totals(counted, [F.col(value).desc()], {"_upto": "_n"}, keys)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, list(keys)) if keys else ranked.join(F.broadcast(sizes))
+    placed = ranked.join(sizes, list(keys)) if keys else beside(ranked, sizes)
     rank = F.col("_upto") - F.col("_n")
     ranks = placed.select(
         *keys, value, F.when(F.col("_size") > 1, rank / (F.col("_size") - 1)).otherwise(0.0).alias(name)
@@ -94,7 +95,7 @@ def abc_classes(df: DataFrame, key: str, value: str, edges: tuple[float, float]
     total = df.agg(F.sum(value).alias("_total"))
     share = F.col("_upto") / F.col("_total")
     label = F.when(share <= edges[0], "A").when(share <= edges[1], "B").otherwise("C")
-    return ranked.join(F.broadcast(total)).select(
+    return beside(ranked, total).select(
         key, value, share.alias("cumulative_share"), label.alias("abc_class")
     )
 
@@ -109,4 +110,4 @@ def equal_frequency_bins(df: DataFrame, order: Sequence[Column], bins: int, name
     at = F.col("row_no") - 1
     bucket = F.when(at < edge, F.floor(at / (small + 1))).otherwise(
         rest + F.floor(F.try_divide(at - edge, small)))
-    return numbered.join(F.broadcast(size)).select(*df.columns, (bucket + 1).cast("int").alias(name))
+    return beside(numbered, size).select(*df.columns, (bucket + 1).cast("int").alias(name))

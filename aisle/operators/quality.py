@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aisle.functions.exprs import ratio
+from aisle.functions.exprs import beside, ratio
 from aisle.operators.ordering import exact_percentiles
 
 
@@ -95,7 +95,7 @@ def _flagged_series(df: DataFrame, keys: Sequence[str], week_no: str) -> DataFra
     stats = df.groupBy(*keys).agg(F.count(week_no).alias("weeks"), F.max(week_no).alias("last"))
     latest = stats.agg(F.max("last").alias("_latest"))
     weeks = F.col("weeks")
-    return stats.join(F.broadcast(latest)).select(
+    return beside(stats, latest).select(
         *keys, (weeks <= 26).alias("short"), weeks.between(26, 52).alias("warn"),
         (F.col("last") <= F.col("_latest") - 26).alias("stale"))
 

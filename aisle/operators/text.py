@@ -10,54 +10,72 @@ from aisle.functions import titles
 from aisle.session import checkpointed
 
 
-def _piece(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
-    """Start and size of one of the ``edits + 1`` pieces of a text of this length."""
-    first = F.floor(length * number / (edits + 1)).cast("int")
-    after = F.floor(length * (number + 1) / (edits + 1)).cast("int")
+def _piece(length: Column, number: Column, pieces: Column) -> tuple[Column, Column]:
+    """Start and size of one of the equal pieces of a text of this length."""
+    first = F.floor(length * number / pieces).cast("int")
+    after = F.floor(length * (number + 1) / pieces).cast("int")
     return first + 1, after - first
 
 
-def _moves(edits: int) -> Column:
-    """Places where an unchanged piece of a text at most ``edits`` edits away can stand.
+def _moves(most: int) -> Column:
+    """Places where an unchanged piece of a text some edits away can stand, for 0 to ``most`` edits.
 
     With ``gap`` the difference of the lengths, piece i can have moved by m only
     if i edits before it and ``edits - i`` edits after it can explain both m and
     the gap.
     """
     out = []
-    for gap in range(-edits, edits + 1):
-        for number in range(edits + 1):
-            low, high = max(-number, gap - (edits - number)), min(number, gap + (edits - number))
-            out += [
-                F.struct(F.lit(gap).alias("gap"), F.lit(number).alias("piece"), F.lit(move).alias("move"))
-                for move in range(low, high + 1)
-            ]
+    for edits in range(most + 1):
+        for gap in range(-edits, edits + 1):
+            for number in range(edits + 1):
+                low, high = max(-number, gap - (edits - number)), min(number, gap + (edits - number))
+                out += [
+                    F.struct(F.lit(edits).alias("edits"), F.lit(gap).alias("gap"), F.lit(number).alias("piece"),
+                             F.lit(move).alias("move"))
+                    for move in range(low, high + 1)
+                ]
     return F.array(*out)
 
 
-def near_matches(left: DataFrame, right: DataFrame, a: str, b: str, edits: int = 2) -> DataFrame:
-    """Rows of ``left`` with every distinct entry of ``right`` at most ``edits`` edits away.
+def _useful_edits(length: Column, most: int, accept: int | None) -> Column:
+    """Edits that can still leave a similarity above ``accept``; insertions cost least."""
+    out = F.lit(0)
+    for edits in range(1, most + 1):
+        fits = F.lit(True) if accept is None else F.round(200 * length / (2 * length + edits)) > accept
+        out = F.when(fits & (length > edits), edits).otherwise(out)
+    return out
 
-    If two texts are that close, one of the ``edits + 1`` pieces of the entry
-    stands unchanged in the other text near its old place. So an equi-join on
-    (length, piece number, piece) finds every candidate, and the edit distance
-    then decides. A pair that agrees on several pieces appears several times.
+
+def near_matches(
+    left: DataFrame, right: DataFrame, a: str, b: str, edits: int = 2, accept: int | None = None
+) -> DataFrame:
+    """Rows of ``left`` with every distinct entry of ``right`` at most ``edits`` edits away, and their distance.
+
+    With ``accept`` only matches of a higher similarity are wanted, so short
+    entries need fewer edits. If two texts are e edits apart, one of e + 1
+    pieces of the entry stands unchanged in the other text near its old place.
+    An equi-join on (length, piece number, piece) therefore finds every
+    candidate, and the edit distance decides. A pair that agrees on several
+    pieces appears several times.
     """
-    entries = right.select(b).distinct().where(F.length(b) > edits).select(
-        b, F.length(b).alias("_len"), F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("_piece"))
-    keyed = entries.select(
-        b, "_len", "_piece", F.substr(F.col(b), *_piece(F.col("_len"), F.col("_piece"), edits)).alias("_text"))
-    # One row per entry length and move: at most 19 times the longest entry.
-    spots = entries.select("_len").distinct().select("_len", F.explode(_moves(edits)).alias("_m"))
-    start, size = _piece(F.col("_len"), F.col("_m.piece"), edits)
+    entries = right.select(b).distinct().where(F.length(b) > 0).select(b, F.length(b).alias("_len")).withColumn(
+        "_edits", _useful_edits(F.col("_len"), edits, accept))
+    pieces = entries.select(b, "_len", "_edits", F.explode(F.sequence(F.lit(0), F.col("_edits"))).alias("_piece"))
+    keyed = pieces.select(
+        b, "_len", "_piece",
+        F.substr(F.col(b), *_piece(F.col("_len"), F.col("_piece"), F.col("_edits") + 1)).alias("_text"))
+    # One row per entry length and move: at most 27 times the longest entry.
+    spots = entries.select("_len", "_edits").distinct().select(
+        "_len", "_edits", F.explode(_moves(edits)).alias("_m")).where("_m.edits = _edits")
+    start, size = _piece(F.col("_len"), F.col("_m.piece"), F.col("_edits") + 1)
     spots = spots.select(
         (F.col("_len") + F.col("_m.gap")).alias("_size_a"), "_len", F.col("_m.piece").alias("_piece"),
         (start + F.col("_m.move")).alias("_at"), size.alias("_size")
     ).where((F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("_size_a")))
     probed = left.join(F.broadcast(spots), F.length(a) == F.col("_size_a")).select(
         *left.columns, "_len", "_piece", F.substr(F.col(a), F.col("_at"), F.col("_size")).alias("_text"))
-    return probed.join(keyed, ["_len", "_piece", "_text"]).select(*left.columns, b).where(
-        F.levenshtein(F.col(a), F.col(b), edits) >= 0)
+    return probed.join(keyed, ["_len", "_piece", "_text"]).select(
+        *left.columns, b, F.levenshtein(F.col(a), F.col(b), edits).alias("edits")).where("edits >= 0")
 
 
 def title_ngrams(df: DataFrame, key: str, text: str, sizes: Sequence[int]) -> DataFrame:
@@ -75,8 +93,8 @@ def fuzzy_brands(
 ) -> DataFrame:
     """Brands whose best similarity to a word run of the title is the title's highest and above ``accept``."""
     grams = title_ngrams(df, key, text, sizes)
-    matches = near_matches(grams, brands, "ngram", brand).select(
-        key, brand, titles.near_ratio(F.col("ngram"), F.col(brand)).alias("ratio")
+    matches = near_matches(grams, brands, "ngram", brand, accept=accept).select(
+        key, brand, titles.near_ratio(F.col("ngram"), F.col(brand), F.col("edits")).alias("ratio")
     ).where(F.col("ratio") > accept)
     scored = matches.groupBy(key, brand).agg(F.max("ratio").alias("ratio"))
     # A title has at most as many rows here as the dictionary has brands.
@@ -104,7 +122,7 @@ def main_brand(
     open_titles = df.select(key, text).join(counted.where("_families > 1"), key, "left_semi")
     grams = title_ngrams(open_titles, key, text, (1, 2))
     per_title = near_matches(grams, parts, "ngram", "_word").groupBy(key, "_word").agg(
-        F.max(titles.near_ratio(F.col("ngram"), F.col("_word"))).alias("ratio"))
+        F.max(titles.near_ratio(F.col("ngram"), F.col("_word"), F.col("edits"))).alias("ratio"))
     by_words = (
         parts.join(per_title, [key, "_word"], "left").groupBy(key, family)
         .agg((F.sum(F.coalesce("ratio", F.lit(0))) / F.max("_words")).alias("score"))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.functions import weeks, windows as win
-from aisle.functions.exprs import cap, ratio, safe_div
+from aisle.functions.exprs import beside, cap, ratio, safe_div
 from aisle.session import checkpointed
 
 
@@ -210,7 +210,7 @@ def future_frame(df: DataFrame, keys: Sequence[str], week: str, end: date) -> Da
     """Every key with each week after the last history week up to ``end``."""
     last = df.agg(F.max(week).alias("_last"))
     return (
-        df.select(*keys).distinct().join(F.broadcast(last))
+        beside(df.select(*keys).distinct(), last)
         .select(*keys, F.explode(F.sequence(F.date_add("_last", 7), F.lit(end), F.expr("interval 7 days"))).alias(week))
     )
 
@@ -383,7 +383,7 @@ def rolling_origin(df: DataFrame, order: str, start: int, horizon: int) -> DataF
     first = F.greatest(F.col("_at") - (horizon - 1), F.lit(0))
     last = F.least(F.col("_at"), (F.col("_size") - horizon - 1).cast("int"))
     folds = (
-        indexed.join(F.broadcast(size)).where(first <= last)
+        beside(indexed, size).where(first <= last)
         .select(order, "_at", F.explode(F.sequence(first, last)).alias("fold"))
         .select(order, "fold", (F.col("_at") - F.col("fold") + 1).alias("horizon"))
     )

@@ -311,7 +311,7 @@ def scale(t):
     total = t.weekly.agg(F.min("qty").alias("_low"), F.max("qty").alias("_high"))
     key = Window.partitionBy(*KEYS)
     low, high = F.min("qty").over(key), F.max("qty").over(key)
-    return t.weekly.select(*KEYS, "yearweek", "qty").join(F.broadcast(total)).select(
+    return exprs.beside(t.weekly.select(*KEYS, "yearweek", "qty"), total).select(
         *KEYS, "yearweek", exprs.ratio(F.col("qty") - F.col("_low"), F.col("_high") - F.col("_low")).alias("min_max"),
         exprs.ratio(F.col("qty") - low, high - low).alias("min_max_key"),
         F.round(exprs.ratio(F.col("qty") - F.avg("qty").over(key), F.stddev_pop("qty").over(key)), 8).alias("standard_key"))
@@ -367,7 +367,7 @@ def impute(t):
     mode = joined.where("quality is not null").groupBy("quality").agg(F.count("quality").alias("n")).orderBy(
         F.desc("n"), "quality").limit(1).select(F.col("quality").alias("_mode"))
     mean = joined.agg(F.avg("n_chars").alias("_mean"))
-    return joined.join(F.broadcast(mode)).join(F.broadcast(mean)).select(
+    return exprs.beside(exprs.beside(joined, mode), mean).select(
         "doc_id", F.coalesce("quality", "_mode").alias("quality"),
         F.round(F.coalesce("n_chars", "_mean"), 6).alias("n_chars"))
 

@@ -30,7 +30,7 @@ def _case(text, pairs):
 SELECT doc_id, md5(lower(nfc_normalize(lower(text)))) AS title_hash FROM documents
 """)
 def standardize(t):
-    return t.documents.select("doc_id", F.md5(titles.standardize("text")).alias("title_hash"))
+    return t.texts.select("doc_id", F.md5(titles.standardize("text")).alias("title_hash"))
 
 
 @query("str02_clean_title", r"""
@@ -40,7 +40,7 @@ SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(
 FROM documents
 """)
 def clean_title(t):
-    return t.documents.select("doc_id", F.md5(titles.clean_title("text")).alias("title_hash"))
+    return t.texts.select("doc_id", F.md5(titles.clean_title("text")).alias("title_hash"))
 
 
 @query("str03_keep_combo", r"""
@@ -63,7 +63,7 @@ def keep_combo(t):
 SELECT doc_id, {_case('lower(text)', BRANDS)} AS brand FROM documents
 """)
 def keyword_brand(t):
-    return t.documents.select("doc_id", titles.first_keyword(F.lower("text"), BRANDS).alias("brand"))
+    return t.texts.select("doc_id", titles.first_keyword(F.lower("text"), BRANDS).alias("brand"))
 
 
 @query("str05_keyword_category", f"""
@@ -116,7 +116,7 @@ def _dictionary(t):
 
 @query("str06_fuzzy_brand", f"WITH {_FOUND} SELECT doc_id, brand, ratio FROM found")
 def fuzzy_brand(t):
-    return ops.fuzzy_brands(t.documents, "doc_id", "text", _dictionary(t), "brand")
+    return ops.fuzzy_brands(t.texts, "doc_id", "text", _dictionary(t), "brand")
 
 
 @query("str07_brand_family", f"""
@@ -139,8 +139,8 @@ FROM counted LEFT JOIN top USING (doc_id) GROUP BY 1
 """)
 def brand_family(t):
     dictionary = _dictionary(t)
-    found = ops.fuzzy_brands(t.documents, "doc_id", "text", dictionary, "brand")
-    return ops.main_brand(t.documents, "doc_id", "text", found, "brand", dictionary, "family")
+    found = ops.fuzzy_brands(t.texts, "doc_id", "text", dictionary, "brand")
+    return ops.main_brand(t.texts, "doc_id", "text", found, "brand", dictionary, "family")
 
 
 @query("str08_best_entry")
@@ -164,7 +164,7 @@ SELECT doc_id, {_full_sql('lower(text)')} AS full_exclude, {_partial_sql('lower(
 """)
 def exclusions(t):
     lowered = F.lower("text")
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", titles.full_exclusion(lowered, EXCLUDED).alias("full_exclude"),
         titles.partial_exclusion(lowered, EXCLUDED).alias("partial_exclude"))
 
@@ -181,7 +181,7 @@ FROM documents
 def pack_type(t):
     lowered = F.lower("text")
     formats = sum((lowered.contains(f).cast("int") for f in _FORMATS), F.lit(0))
-    return t.documents.select("doc_id", titles.pack_type("text", formats).alias("pack_type"))
+    return t.texts.select("doc_id", titles.pack_type("text", formats).alias("pack_type"))
 
 
 _PROMO_TEXT = """
@@ -239,7 +239,7 @@ SELECT source, lang, CAST(sum(len(regexp_extract_all(text, 'ing'))) AS BIGINT) A
 FROM documents GROUP BY 1, 2
 """)
 def token_counts(t):
-    return ops.token_counts(t.documents, ["source", "lang"], "text", ["ing", "tion"], "token_")
+    return ops.token_counts(t.texts, ["source", "lang"], "text", ["ing", "tion"], "token_")
 
 
 @query("str14_url_key", """
@@ -276,4 +276,4 @@ SELECT doc_id, word, count(*) AS n FROM (
 WHERE word NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY 1, 2
 """)
 def bag_of_words(t):
-    return ops.bag_of_words(t.documents, "doc_id", "text", STOP_WORDS)
+    return ops.bag_of_words(t.texts, "doc_id", "text", STOP_WORDS)

@@ -51,3 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a frame whose scan has fewer tasks than the session has cores.
+
+    Only a small input (few row groups) is moved this way; a large one already
+    fills the cluster and stays as it is. ``keys`` must be unique or nearly so.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

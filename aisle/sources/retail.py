@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from aisle.functions import weeks
+from aisle.session import spread
 from aisle.sources.readers import read_parquet
 
 
@@ -33,6 +34,11 @@ class Tables:
         self.__dict__[name] = frame
         return frame
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents for work on their text, spread over the cores."""
+        return spread(self.documents, "doc_id")
+
     @cached_property
     def sites(self) -> DataFrame:
         """Distributor sites with their region."""
