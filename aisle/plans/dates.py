@@ -321,7 +321,8 @@ def scale(t):
 SELECT CASE WHEN rate IS NULL THEN 'null' WHEN rate = 0 THEN '0' WHEN rate = 1 THEN '1'
             WHEN rate < 0 OR rate > 1 THEN 'outside'
             ELSE concat('<=', printf('%.1f', ceil(round(rate * 10, 6)) / 10)) END AS bin, count(*) AS weeks
-FROM (SELECT round(1 - abs(return_qty - promo_qty) / nullif(promo_qty, 0), 2) AS rate FROM v_weekly) x GROUP BY 1
+FROM (SELECT CAST(round(CAST(CAST(1 - abs(return_qty - promo_qty) / nullif(promo_qty, 0) AS VARCHAR) AS DECIMAL(38, 20)), 2)
+             AS DOUBLE) AS rate FROM v_weekly) x GROUP BY 1
 """)
 def fixed_bins(t):
     rate = F.round(1 - exprs.ratio(F.abs(F.col("return_qty") - F.col("promo_qty")), "promo_qty"), 2)

@@ -83,16 +83,16 @@ _GIFT = "gift_qty * CASE gift_uom WHEN 'SU' THEN gift_price_su WHEN 'CS' THEN gi
 
 
 @query("prm05_benefit", f"""
-SELECT scheme, round(CASE WHEN mechanic_type = 'PERCENTAGE' THEN pct_discount * min_buy
+SELECT scheme, CASE WHEN mechanic_type = 'PERCENTAGE' THEN pct_discount * min_buy
             * CASE min_buy_uom WHEN 'VND' THEN 1.0::DOUBLE WHEN 'SU' THEN price_su WHEN 'CS' THEN price_cs ELSE price_pc END / 100
-            WHEN mechanic_type = 'VALUE' THEN val_discount ELSE {_GIFT} END, 6) AS benefit,
-       round(CASE WHEN mechanic_type = 'PERCENTAGE' THEN pct_discount / min_buy * CASE WHEN min_buy_uom = 'VND' THEN 1000 ELSE 1 END
+            WHEN mechanic_type = 'VALUE' THEN val_discount ELSE {_GIFT} END AS benefit,
+       CASE WHEN mechanic_type = 'PERCENTAGE' THEN pct_discount / min_buy * CASE WHEN min_buy_uom = 'VND' THEN 1000 ELSE 1 END
             WHEN mechanic_type = 'VALUE' THEN val_discount / min_buy
-            ELSE {_GIFT} / min_buy * CASE WHEN min_buy_uom = 'VND' THEN 1000 ELSE 1 END END, 6) AS benefit_per_min_buy
+            ELSE {_GIFT} / min_buy * CASE WHEN min_buy_uom = 'VND' THEN 1000 ELSE 1 END END AS benefit_per_min_buy
 FROM v_deals
 """)
 def benefit(t):
-    return _r(t.deals.select("scheme", *ops.benefit()), 6, "benefit", "benefit_per_min_buy")
+    return t.deals.select("scheme", *ops.benefit())
 
 
 @query("prm06_effective_deals", """
@@ -428,12 +428,12 @@ def transform_uplift(t):
 WITH m AS (SELECT p.brand, p.category, mechanic, discount, min(start_date) AS start_date, max(end_date) AS end_date,
                   avg(p.price) AS price FROM v_promotions x JOIN v_products p ON x.product = p.product GROUP BY 1, 2, 3, 4)
 SELECT brand, category, start_date, end_date, min(mechanic) AS mechanic,
-       arg_min(discount, row(mechanic, discount)) AS discount, round(avg(price), 6) AS price
+       arg_min(discount, row(mechanic, discount)) AS discount, round(avg(price), 8) AS price
 FROM m GROUP BY 1, 2, 3, 4
 """)
 def collapse_lines(t):
     lines = t.promotions.join(t.products, "product")
-    return _r(ops.collapse_lines(lines, ["brand", "category"], ["mechanic", "discount"], "price"), 6, "price")
+    return _r(ops.collapse_lines(lines, ["brand", "category"], ["mechanic", "discount"], "price"), 8, "price")
 
 
 @query("prm22_total_forecast", f"""
@@ -457,12 +457,12 @@ def total_forecast(t):
 WITH {_OVERLAP},
 k AS (SELECT category, dp, week, sum(preload_volume + postload_volume) AS u, count(*) AS n FROM ov
       WHERE contribution BETWEEN -2 AND 2 GROUP BY 1, 2, 3)
-SELECT w.region AS category, w.brand AS dp, w.week, w.qty AS sales, round(coalesce(k.u, 0), 6) AS uplift_banded,
-       coalesce(k.n, 0) AS banded_count, round(w.qty - coalesce(k.u, 0), 6) AS sales_without_banded
+SELECT w.region AS category, w.brand AS dp, w.week, w.qty AS sales, round(coalesce(k.u, 0), 8) AS uplift_banded,
+       coalesce(k.n, 0) AS banded_count, round(w.qty - coalesce(k.u, 0), 8) AS sales_without_banded
 FROM v_weekly w LEFT JOIN k ON w.region = k.category AND w.brand = k.dp AND w.week = k.week
 """)
 def without_banded(t):
     sales = t.weekly.select(
         F.col("region").alias("category"), F.col("brand").alias("dp"), "week", F.col("qty").alias("sales"))
     out = ops.without_banded(sales, _resolved(t), ["category", "dp", "week"])
-    return _r(out, 6, "uplift_banded", "sales_without_banded")
+    return _r(out, 8, "uplift_banded", "sales_without_banded")
