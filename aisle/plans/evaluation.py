@@ -176,7 +176,7 @@ def best_threshold(t):
 
 
 @query("evl11_regression_scores", """
-SELECT region, round(1 - sum((actual - fc_mean) * (actual - fc_mean)) / (var_pop(actual) * count(*)), 8) AS r2,
+SELECT region, round(1 - sum((actual - fc_mean) * (actual - fc_mean)) / nullif(var_pop(actual) * count(*), 0), 8) AS r2,
        round(avg((actual - fc_mean) * (actual - fc_mean)), 6) AS mse, round(avg(abs(actual - fc_mean)), 6) AS mae
 FROM v_forecasts GROUP BY 1
 """)
@@ -239,7 +239,8 @@ k AS (SELECT brand, region, method, round(1 - sum(abs(p - actual)) / sum(actual)
 b AS (SELECT region, brand, max(greatest(fa, 0)) AS fa, max(sales) AS sales FROM k GROUP BY 1, 2),
 t AS (SELECT region, method, round(1 - sum(abs(p - actual)) / sum(actual), 9) AS fa FROM l GROUP BY 1, 2)
 SELECT x.region, x.method, x.fa, y.median_fa, y.weighted_fa
-FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY fa DESC) AS rn FROM t) q WHERE rn = 1) x
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY fa DESC,
+      CASE method WHEN 'fc_year' THEN 1 WHEN 'fc_week' THEN 2 ELSE 3 END) AS rn FROM t) q WHERE rn = 1) x
 JOIN (SELECT region, round(quantile_cont(fa, 0.5), 10) AS median_fa, round(sum(fa * sales) / sum(sales), 9) AS weighted_fa
       FROM b GROUP BY 1) y ON x.region = y.region
 """)
