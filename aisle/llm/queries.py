@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import packing, sharding
+from aisle.llm import bpe, packing, sharding
 from aisle.llm.registry import query, table
 
 
@@ -17,3 +17,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_rendezvous_shards")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), path, pattern), path, pattern)
