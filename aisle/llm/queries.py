@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, packing, sharding
+from aisle.llm import bpe, lines, packing, sharding
 from aisle.llm.registry import query, table
 
 
@@ -23,3 +23,29 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.encode(table(spark, folder, "documents"), path, pattern), path, pattern)
+
+
+_BLANKS = r"[\x20\x09-\x0D]"
+_ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op8_line_dedup", f"""
+WITH line AS (
+  SELECT doc_id, pos, line,
+         regexp_replace({_ASCII_LOWER.format("line")}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+),
+repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM line WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keeper IS NULL OR keeper = doc_id), ''))
+         AS kept_sha256
+FROM line LEFT JOIN repeated USING (key) GROUP BY doc_id
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
