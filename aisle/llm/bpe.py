@@ -109,78 +109,98 @@ def stitched(long: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
     ).select("doc_id", "row", F.col("segment").alias("part"), "body")
 
 
-def _gather(schema: pa.Schema):
+#: What a text's ids become in the task that has them all: result columns and the function that makes them.
+_AS_IDS = ([StructField("ids", BinaryType())], lambda _, ids: (ids,))
+_AS_DIGESTS = (
+    [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
+     StructField("decoded_sha256", StringType())],
+    lambda found, ids: _digest(found, np.frombuffer(ids, "<u4").tolist()),
+)
+
+
+def _digest(found: tiktoken.Encoding, ids: list[int]) -> tuple[int, str, str]:
+    text = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return len(ids), text, hashlib.sha256(found.decode_bytes(ids)).hexdigest()
+
+
+def _results(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _whole(schema: pa.Schema, path: str, pattern: str, finish):
+    """Encode (.., body) and end each row with what ``finish`` makes of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = encoding(path, pattern)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                ids = (np.array(found.encode_ordinary(t.as_py()), "<u4").tobytes() for t in some.columns[-1])
+                rows = zip(*[c.to_pylist() for c in some.columns[:-1]], ids, strict=True)
+                yield _results([(*r[:-1], *finish(found, r[-1])) for r in rows], schema)
+
+    return run
+
+
+def _gather(schema: pa.Schema, path: str, pattern: str, finish):
     """Join the ids of consecutive parts (doc_id, row, part, ids) of the same row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = encoding(path, pattern)
         row, doc, held = None, None, []
         for batch in batches:
-            for found in batch.to_pylist():
-                if found["row"] != row and held:
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "ids": b"".join(held)}], schema=schema)
+            for part in batch.to_pylist():
+                if part["row"] != row and held:
+                    yield _results([(doc, *finish(found, b"".join(held)))], schema)
                     held = []
-                row, doc = found["row"], found["doc_id"]
-                held.append(found["ids"])
+                row, doc = part["row"], part["doc_id"]
+                held.append(part["ids"])
         if held:
-            yield pa.RecordBatch.from_pylist([{"doc_id": doc, "ids": b"".join(held)}], schema=schema)
+            yield _results([(doc, *finish(found, b"".join(held)))], schema)
 
     return run
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
-           chunk: int = 32_768, overlap: int = 2_048) -> DataFrame:
-    """Ids of every whole text: doc_id and ids (binary, little-endian unsigned 32-bit).
-
-    Texts of up to ``chunk + overlap`` characters are one chunk and stay in their
-    task. Longer ones are cut by ``stitched`` and their parts encoded side by
-    side; only the ids of such texts are gathered again, per text. Null and empty
-    texts have no ids. Rows that repeat, or whose key is null, give a row each.
-    """
+def _encoded(df: DataFrame, path: str, pattern: str, key: str, text: str, chunk: int, overlap: int, form) -> DataFrame:
     if not 2 * _UNSURE < overlap < chunk:
         raise ValueError("the overlap must be longer than what is unsure and shorter than a chunk")
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"),
                      F.coalesce(F.col(text), F.lit("")).alias("body"))
     is_long = F.length("body") > chunk + overlap
-
-    def run(schema: pa.Schema):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = encoding(path, pattern).encode_ordinary
-            for batch in batches:
-                for low in range(0, batch.num_rows, 256):
-                    some = batch.slice(low, 256)
-                    ids = [np.array(find(t), "<u4").tobytes() for t in some.column("body").to_pylist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [*some.columns[:-1], pa.array(ids, pa.binary())], schema=schema)
-
-        return each
-
-    found = StructType([rows.schema["doc_id"], StructField("ids", BinaryType())])
+    fields, finish = form
+    result = StructType([rows.schema["doc_id"], *fields])
     parted = StructType([rows.schema["doc_id"], StructField("row", LongType()), StructField("part", LongType()),
                          StructField("ids", BinaryType())])
-    short = rows.where(~is_long).select("doc_id", "body").mapInArrow(run(to_arrow_schema(found)), found)
+    short = rows.where(~is_long).select("doc_id", "body").mapInArrow(
+        _whole(to_arrow_schema(result), path, pattern, finish), result)
     parts = stitched(rows.where(is_long), pattern, chunk, overlap)
-    pieces = parts.repartition(F.xxhash64("row", "part")).mapInArrow(run(to_arrow_schema(parted)), parted)
+    pieces = parts.repartition(F.xxhash64("row", "part")).mapInArrow(
+        _whole(to_arrow_schema(parted), path, pattern, _AS_IDS[1]), parted)
     long = pieces.repartition("row").sortWithinPartitions("row", "part").mapInArrow(
-        _gather(to_arrow_schema(found)), found)
+        _gather(to_arrow_schema(result), path, pattern, finish), result)
     return short.unionByName(long)
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Decode and digest ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    schema = StructType([encoded.schema["doc_id"], StructField("n_tokens", LongType()),
-                         StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
-    arrow = to_arrow_schema(schema)
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
+           chunk: int = 32_768, overlap: int = 2_048) -> DataFrame:
+    """Ids of every whole text: doc_id and ids (binary, little-endian unsigned 32-bit).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding(path, pattern).decode_bytes
-        for batch in batches:
-            found = [np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(map(len, found), pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in found], pa.string()),
-                pa.array([hashlib.sha256(decode(x)).hexdigest() for x in found], pa.string())], schema=arrow)
+    Texts of up to ``chunk + overlap`` characters are one chunk and stay in their
+    task. Longer ones are cut by ``stitched`` and their parts encoded side by
+    side; only the ids of such texts are gathered again, per text. Null and empty
+    texts have no ids. Rows that repeat, or whose key is null, give a row each.
+    """
+    return _encoded(df, path, pattern, key, text, chunk, overlap, _AS_IDS)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+
+def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
+            chunk: int = 32_768, overlap: int = 2_048) -> DataFrame:
+    """Encode every whole text and decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    As ``encode``; the digests are made in the task that has all ids of a text.
+    """
+    return _encoded(df, path, pattern, key, text, chunk, overlap, _AS_DIGESTS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -22,7 +22,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(table(spark, folder, "documents"), path, pattern), path, pattern)
+    return bpe.digests(table(spark, folder, "documents"), path, pattern)
 
 
 _BLANKS = r"[\x20\x09-\x0D]"
