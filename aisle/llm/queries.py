@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, lines, packing, sharding
+from aisle.llm import bpe, lines, packing, sharding, token_counts
 from aisle.llm.registry import query, table
 
 
@@ -49,3 +49,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
