@@ -148,26 +148,29 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     In any set of scores, unlabelled rows hold at least the prior's share of the
     positives' share. So the prior is at most the ratio of the two shares above
     any cut; the least ratio over all cuts that leave the share ``least`` of the
-    positives, each widened by one standard error, is the estimate.
+    positives is the estimate.
     """
     cuts = np.sort(positive)
     p = 1 - np.arange(len(cuts)) / len(cuts)
     u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
     enough = p >= least
-    error = np.sqrt(u * (1 - u) / len(unlabelled) + (u / p) ** 2 * p * (1 - p) / len(positive))
-    return float(np.clip((u + error)[enough] / p[enough], 0.02, 0.98).min())
+    return float(np.clip(u[enough] / p[enough], 0.02, 0.98).min())
 
 
 def fit_prior_and_risk(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> tuple[Model | None, float]:
     """Model and estimated prior; no model if either side has fewer than ten rows.
 
-    The prior comes from a first model that has seen one half of the rows, by its
-    scores of the other half; the final model is fitted on all rows with it.
+    The prior is the mean of two estimates, each from a first model of one half
+    of the rows by its scores of the other half; the final model is fitted on all
+    rows with it.
     """
     if min(len(positive), len(unlabelled)) < 10:
         return None, 0.5
-    first = fit_risk(positive[::2], unlabelled[::2], 0.5, steps=200, seed=seed)
-    prior = estimate_prior(first.raw(positive[1::2]), first.raw(unlabelled[1::2]))
+    estimates = []
+    for half in (0, 1):
+        first = fit_risk(positive[half::2], unlabelled[half::2], 0.5, steps=120, seed=seed)
+        estimates.append(estimate_prior(first.raw(positive[1 - half :: 2]), first.raw(unlabelled[1 - half :: 2])))
+    prior = float(np.mean(estimates))
     return fit_risk(positive, unlabelled, prior, seed=seed), prior
 
 
