@@ -8,6 +8,7 @@ there, once for all words that share the prefix.
 
 from __future__ import annotations
 
+import copy
 import math
 from functools import lru_cache
 
@@ -54,10 +55,32 @@ class Pieces:
         self.longest = max(map(len, [*self.inside, *self.initial]))
         self._inside, self._initial = _Table(self.inside), _Table(self.initial)
 
-    def step(self, hashes: np.ndarray, from_start: bool) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """Pieces among spans: their places, scores, and whether they open the word."""
-        found = [(*self._inside.find(hashes), False)]
-        return [*found, (*self._initial.find(hashes), True)] if from_start else found
+    def step(self, hashes: np.ndarray, from_start: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """Pieces among spans: their places, numbers and scores, and whether they open the word."""
+        where, which = self._inside.find(hashes)
+        found = [(where, which, self._inside.scores[which], False)]
+        if from_start:
+            where, which = self._initial.find(hashes)
+            found.append((where, which + len(self.inside), self._initial.scores[which], True))
+        return found
+
+    def __len__(self) -> int:
+        """Pieces that ``step`` numbers, and the mark as the last."""
+        return len(self.inside) + len(self.initial) + 1
+
+    def learned(self, expected: np.ndarray, trust: float = 1_000.0) -> Pieces:
+        """These pieces with weights from expected counts, to which the old weights add ``trust`` counts."""
+        n = len(self.inside)
+        old = np.concatenate([self._inside.scores, self._initial.scores, [self.mark]])
+        weights = expected + trust * np.exp(old)
+        rest = trust * math.exp(self.end)
+        scores = np.log(weights / (weights.sum() + rest))
+        new = copy.copy(self)
+        new._inside, new._initial = self._inside.rescored(scores[:n]), self._initial.rescored(scores[n:-1])
+        new.mark, new.end = float(scores[-1]), math.log(rest / (weights.sum() + rest))
+        new.inside = dict(zip([self._inside.names[i] for i in range(n)], scores[:n].tolist(), strict=True))
+        new.initial = dict(zip(self._initial.names, scores[n:-1].tolist(), strict=True))
+        return new
 
 
 class _Table:
@@ -67,6 +90,7 @@ class _Table:
         spans = Spans(list(scores))
         keys = spans.hashes(spans.starts, spans.ends - 1)
         order = np.argsort(keys)
+        self.names = [spans.bytes[spans.starts[i] : spans.ends[i] - 1].tobytes() for i in order]
         self.keys, self.scores = keys[order], np.fromiter(scores.values(), float, len(scores))[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -76,7 +100,12 @@ class _Table:
         at = np.searchsorted(self.keys, hashes[maybe])
         at[at == len(self.keys)] = 0
         hit = self.keys[at] == hashes[maybe]
-        return maybe[hit], self.scores[at[hit]]
+        return maybe[hit], at[hit]
+
+    def rescored(self, scores: np.ndarray) -> _Table:
+        new = copy.copy(self)
+        new.scores = scores
+        return new
 
 
 @lru_cache(maxsize=1)
@@ -108,11 +137,14 @@ def _scalar(pieces: Pieces, word: bytes, marginal: bool) -> tuple[float, int]:
 
 
 def forward(pieces: Pieces, spans: Spans, starts: np.ndarray, ends: np.ndarray,
-            marginal: bool) -> tuple[np.ndarray, np.ndarray]:
+            marginal: bool, expected: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log score and number of tokens of each word (tokens only for the best segmentation).
 
     ``marginal`` adds up the probabilities of all segmentations; otherwise the
     best one counts, and of equally good ones the one with the fewest tokens.
+    With ``marginal``, the expected number of uses of each piece over all words
+    is added to ``expected`` (words of more than 48 bytes add nothing): mass
+    flows from the words' nodes back along the arcs, once per shared prefix.
     """
     sizes = ends - starts
     scores, tokens = np.zeros(len(starts)), np.zeros(len(starts), np.int32)
@@ -124,6 +156,8 @@ def forward(pieces: Pieces, spans: Spans, starts: np.ndarray, ends: np.ndarray,
     alive = [len(order)]  # words that reach each level; longest first, so they are the first ones
     level_score, level_count = [np.array([pieces.mark])], [np.array([1], np.int32)]
     node_of = [np.zeros(len(order), np.int32)]  # node of each word at each level
+    arcs: list[list[tuple]] = [[]]  # into the nodes of each level
+    ending: list[np.ndarray] = [np.zeros(1)]
     for depth in range(1, int(sizes[0]) + 1 if len(sizes) else 1):
         n = int(np.searchsorted(-sizes, -depth, side="right"))
         alive.append(n)
@@ -133,14 +167,17 @@ def forward(pieces: Pieces, spans: Spans, starts: np.ndarray, ends: np.ndarray,
         value = np.full(len(first), -np.inf)
         count = np.zeros(len(first), np.int32)
         at = begin[first]
+        arcs.append([])
         for back in range(1, min(depth, pieces.longest) + 1):
             parent = node_of[depth - back][first]
-            for hit, own, opens in pieces.step(spans.hashes(at + (depth - back), at + depth), back == depth):
+            for hit, which, own, opens in pieces.step(spans.hashes(at + (depth - back), at + depth), back == depth):
                 before = 0.0 if opens else level_score[depth - back][parent[hit]]
                 held = 0 if opens else level_count[depth - back][parent[hit]]
                 new = before + own
                 if marginal:
                     value[hit] = np.logaddexp(value[hit], new)
+                    if expected is not None:
+                        arcs[depth].append((back, hit, None if opens else parent[hit], which, new))
                 else:
                     better = (new > value[hit]) | (new == value[hit]) & (held + 1 < count[hit])
                     value[hit[better]] = new[better]
@@ -151,4 +188,13 @@ def forward(pieces: Pieces, spans: Spans, starts: np.ndarray, ends: np.ndarray,
         done = np.flatnonzero(sizes[:n] == depth)
         scores[order[done]] = value[node[done]]
         tokens[order[done]] = count[node[done]]
+        ending.append(np.bincount(node[done], minlength=len(first)).astype(float))
+    if expected is not None:
+        for depth in range(len(level_score) - 1, 0, -1):
+            for back, hit, parent, which, value in arcs[depth]:
+                flow = ending[depth][hit] * np.exp(value - level_score[depth][hit])
+                expected += np.bincount(which, flow, minlength=len(expected))
+                if parent is not None:
+                    ending[depth - back] += np.bincount(parent, flow, minlength=len(ending[depth - back]))
+        expected[-1] += ending[0][0]
     return scores, tokens

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, lines, packing, quality, sharding, token_counts
+from aisle.llm import bpe, lines, lm_score, packing, quality, sharding, token_counts
 from aisle.llm.registry import query, table
 
 
@@ -62,3 +62,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
     return scored.select("doc_id", quality.in_fold(F.col("doc_id"), 5).alias("held_out"), "score", "predicted")
+
+
+@query("op4_lattice_score")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
