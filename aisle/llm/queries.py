@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, lines, lm_score, packing, quality, sharding, token_counts
+from aisle.llm import bpe, lines, lm_score, packing, quality, sharding, token_counts, vectors
 from aisle.llm.registry import query, table
 
 
@@ -67,3 +67,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_lattice_score")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_embedding_neardup", """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, embedding::DOUBLE[64] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE array_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
