@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, lines, lm_score, packing, quality, sharding, token_counts, vectors
+from aisle.llm import bpe, jaccard, lines, lm_score, packing, quality, sharding, token_counts, vectors
 from aisle.llm.registry import query, table
 
 
@@ -87,3 +87,40 @@ FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 """)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def jaccard_sql(documents: str, words: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of a table, for DuckDB (with recursion)."""
+    return f"""
+  word AS (
+    SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '{_BLANKS}+'),
+                               lambda x: x <> '') AS w FROM {documents}
+  ),
+  shingle AS (
+    SELECT DISTINCT doc_id, s FROM (
+      SELECT doc_id, unnest(CASE WHEN len(w) >= {words}
+        THEN list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i : i + {words} - 1], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM word)
+  ),
+  size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+  link AS (
+    SELECT a, b FROM (
+      SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+      FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id)
+    JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+    WHERE 100 * common >= {percent} * (p.n + q.n - common)
+  ),
+  reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM {documents}
+    UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+  ),
+  class AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
+
+@query("op7_jaccard_join", f"""
+WITH RECURSIVE {jaccard_sql("documents", 4, 85)}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM class LEFT JOIN size USING (doc_id)
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, folder, "documents"), words=4, percent=85)
