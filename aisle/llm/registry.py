@@ -27,6 +27,10 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     importlib.import_module("aisle.llm.queries")
+    pipeline = importlib.import_module("corpus_pipeline")
+    _QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL is not None:
+        _SQL["pipeline"] = pipeline.ORACLE_SQL
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
