@@ -146,45 +146,56 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, pairs.schema)
 
 
-_UNION = StructType([StructField("group", LongType()), StructField("block", LongType()),
-                     StructField("union", BinaryType())])
-_OPEN = StructType([StructField("q", LongType()), StructField("group", LongType()), StructField("block", LongType())])
+_STORE = StructType([
+    StructField("group", LongType()), StructField("block", LongType()), StructField("union", BinaryType()),
+    StructField("ids", ArrayType(LongType())), StructField("sets", ArrayType(BinaryType()))])
+_LINK = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-def _unions(members: DataFrame) -> DataFrame:
-    """Union of the tokens of each block of each group (group, block, tokens)."""
-    schema = to_arrow_schema(_UNION)
+def _store(members: DataFrame) -> DataFrame:
+    """Blocks of groups with the union of their tokens and their sets (members: group, block, id, tokens)."""
+    schema = to_arrow_schema(_STORE)
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
+        sets = table.column("tokens").to_pylist()
+        union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]))
         return pa.Table.from_pylist([{
             "group": table.column("group")[0].as_py(), "block": table.column("block")[0].as_py(),
-            "union": np.unique(np.concatenate(parts)).tobytes()}], schema=schema)
+            "union": union.tobytes(), "ids": table.column("id").to_pylist(), "sets": sets}], schema=schema)
 
-    return members.groupBy("group", "block").applyInArrow(run, _UNION)
+    return members.groupBy("group", "block").applyInArrow(run, _STORE)
 
 
-def _qualifying(pairs: DataFrame, percent: int) -> DataFrame:
-    """Queries and group blocks (q, group, block, x, union) where the union holds enough of the query's tokens."""
-    schema = to_arrow_schema(_OPEN)
+def _opened(asked: DataFrame, percent: int) -> DataFrame:
+    """A link (a, b) of each query (q, x) to a block (union, ids, sets) in which some set is similar.
+
+    A block is opened if its union holds enough of the query's tokens: whatever
+    set y of the block, |x & y| <= |x & union| and |x | y| >= |x|. One link is
+    enough, since a group's sets are connected already.
+    """
+    schema = to_arrow_schema(_LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for x, u in zip(batch.column(3), batch.column(4), strict=True):
-                x, u = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(u.as_py(), np.uint64)
-                at = np.searchsorted(u, x)
-                at[at == len(u)] = 0
-                # Whatever set of the group: |x & y| <= |x & union| and |x | y| >= |x|.
-                hit.append(100 * int((u[at] == x).sum()) >= percent * len(x))
+            links = []
+            for q, x, union, ids, sets in zip(*batch.columns, strict=True):
+                x, union = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(union.as_py(), np.uint64)
+                at = np.searchsorted(union, x)
+                at[at == len(union)] = 0
+                if 100 * int((union[at] == x).sum()) < percent * len(x):
+                    continue
+                hit = next((i for i, y in zip(ids, sets, strict=True)
+                            if similar(x, np.frombuffer(y.as_py(), np.uint64), percent)), None)
+                if hit is not None:
+                    links.append((q.as_py(), hit.as_py()))
             yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:3]], schema=schema)
+                [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], schema=schema)
 
-    return pairs.select("q", "group", "block", "x", "union").mapInArrow(run, _OPEN)
+    return asked.select("q", "x", "union", "ids", "sets").mapInArrow(run, _LINK)
 
 
 def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
-                      block: int = 64) -> DataFrame:
+                      block: int = 8, rounds: int = 4) -> DataFrame:
     """Classes of documents whose sets of word n-grams are similar: doc_id, n_shingles, component_id.
 
     A text's words (A-Z in lower case) are what lies between blanks. Its set has
@@ -200,15 +211,17 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str
        order, among the smallest of a set; ``windows_needed`` says how many leave
        a chance under 10**-12 to miss a linked pair (all runs of a short set are
        there, which leaves none). Only columns with two sets or more remain.
-    3. Partition: in each column the class with the lowest id leads;
-       classes that are really similar to a leader form a group with it.
+    3. Partition: in each column one class leads, and classes that are really
+       similar to a leader form a group with it. This goes on for ``rounds``
+       rounds with other leaders, in the columns that still hold several groups;
+       only classes that are not in the leader's group are compared.
     4. Each group stores the union of its tokens, in blocks of ``block`` sets. A
-       class meets the blocks of other groups that share a column with it; the
-       block's union bounds the overlap with any of its sets.
-    5. Only blocks that qualify are opened: the class is compared with their sets
-       of fitting size that share a column with it.
+       class meets the blocks of other groups that share a column with it and
+       hold a set of fitting size; the union bounds its overlap with any of them.
+    5. Only blocks that qualify are opened, and the class is compared with their
+       sets until one is similar.
     Links found in 3 and 5 make the components. A hot column costs one row per
-    class in step 3 and one per class and group in step 4.
+    class in each round of step 3, and one per class and other group in step 4.
     """
     spark = df.sparkSession
 
@@ -233,10 +246,9 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str
         docs.join(touched.select("id", "digest", "other", F.col("holder").alias("doc_id")), "doc_id"), words
     ).groupBy("id").agg(F.first("tokens").alias("tokens")), "tokens")
 
-    led = matrix.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    first = checkpointed(_verified(led, tokens, percent))
-    second = _across_groups(matrix, tokens, first, percent, block)
-    roots = checkpointed(components(first.unionByName(second)))
+    links, cells = _grouped(matrix, tokens, percent, rounds, written)
+    second = _across_groups(cells, tokens, percent, block)
+    roots = checkpointed(components(links.unionByName(second)))
     labelled = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         *same, "lowest", F.coalesce("component", "id").alias("root"))
     names = labelled.groupBy("root").agg(F.min("lowest").alias("component_id"))
@@ -248,33 +260,51 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _across_groups(matrix: DataFrame, tokens: DataFrame, first: DataFrame, percent: int, block: int) -> DataFrame:
+def _fits(small: str, large: str, percent: int):
+    """Whether sets of two sizes can be similar."""
+    return F.col(large) * 100 >= F.col(small) * percent
+
+
+def _grouped(matrix: DataFrame, tokens: DataFrame, percent: int, rounds: int, written) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to leaders, and the cells (column, id, n, group) of columns that hold several groups."""
+    led = matrix.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    links = checkpointed(_verified(led, tokens, percent))
+    cells = matrix.select("column", "id", "n")
+    for number in range(1, rounds + 1):
+        groups = checkpointed(components(links)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+        cells = cells.select("column", "id", "n").join(groups, "id", "left").withColumn(
+            "group", F.coalesce("group", "id"))
+        crossing = cells.groupBy("column").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(
+            "low < high").select("column")
+        cells = written(cells.join(crossing, "column", "left_semi"), f"cells{number}")
+        if number == rounds:
+            break
+        # Four orders a round: a class that is in many columns meets several leaders.
+        rank = F.xxhash64("id", F.pmod(F.col("column"), F.lit(4)), F.lit(number))
+        leaders = cells.groupBy("column").agg(F.min_by(F.struct("id", "n", "group"), F.struct(rank, "id")).alias("top"))
+        led = cells.join(leaders, "column").where(
+            (F.col("group") != F.col("top.group"))
+            & (100 * F.least("n", "top.n") >= percent * F.greatest("n", "top.n"))
+        ).select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
+        links = checkpointed(links.unionByName(_verified(led, tokens, percent)))
+    return links, cells
+
+
+def _across_groups(cells: DataFrame, tokens: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between classes of different groups, through the groups' unions."""
-    groups = components(first).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    grouped = checkpointed(matrix.select("column", "id", "n").join(groups, "id", "left").withColumn(
-        "group", F.coalesce("group", "id")))
-    crossing = grouped.groupBy("column").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(
-        "low < high").select("column")
-    members = grouped.select("id", "group").distinct()
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = checkpointed(members.join(blocks, "group").select(
+    members = cells.select("id", "group").distinct()
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    members = checkpointed(members.join(sizes, "group").select(
         "id", "group", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
-    cells = checkpointed(
-        grouped.join(crossing, "column", "left_semi").join(members.select("id", "block"), "id"))
-    fits = lambda small, large: F.col(large) * 100 >= F.col(small) * percent
-
     query = cells.select("column", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("group").alias("own"))
-    extent = cells.groupBy("column", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    # The larger of two sets asks; with equal sizes either may.
+    extent = cells.join(members.select("id", "block"), "id").groupBy("column", "group", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"))
+    # The larger of two sets asks; with equal sizes either does.
     meets = query.join(extent, "column").where(
-        (F.col("own") != F.col("group")) & fits("qn", "most") & (F.col("least") <= F.col("qn"))
+        (F.col("own") != F.col("group")) & _fits("qn", "most", percent) & (F.col("least") <= F.col("qn"))
     ).select("q", "group", "block").distinct()
+    meets = checkpointed(meets)
     needed = members.join(meets.select("group", "block").distinct(), ["group", "block"], "left_semi")
-    bounded = meets.join(_unions(needed.join(tokens, "id")), ["group", "block"]).join(
+    asked = meets.join(_store(needed.join(tokens, "id")), ["group", "block"]).join(
         tokens.select(F.col("id").alias("q"), F.col("tokens").alias("x")), "q")
-    opened = checkpointed(_qualifying(bounded, percent))
-    partner = cells.select("column", F.col("id").alias("b"), F.col("n").alias("bn"), "group", "block")
-    pairs = opened.join(query.select("column", "q", "qn"), "q").join(partner, ["column", "group", "block"]).where(
-        fits("qn", "bn") & (F.col("bn") <= F.col("qn"))
-    ).select(F.least("q", "b").alias("a"), F.greatest("q", "b").alias("b")).distinct()
-    return checkpointed(_verified(pairs, tokens, percent))
+    return checkpointed(_opened(asked, percent))

@@ -64,11 +64,11 @@ def copies(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("words,percent,block", [(4, 85, 64), (5, 80, 2)])
-def test_against_all_pairs(spark, words, percent, block):
+@pytest.mark.parametrize("words,percent,block,rounds", [(4, 85, 8, 4), (5, 80, 2, 1)])
+def test_against_all_pairs(spark, words, percent, block, rounds):
     rows = copies(words)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert found(jaccard.similar_documents(frame, words, percent, block=block)) == brute(rows, words, percent)
+    assert found(jaccard.similar_documents(frame, words, percent, block=block, rounds=rounds)) == brute(rows, words, percent)
 
 
 def test_a_leader_that_is_not_similar_hides_no_link(spark):
@@ -77,7 +77,7 @@ def test_a_leader_that_is_not_similar_hides_no_link(spark):
     rows = [(1, " ".join([*base, *(f"x{i}" for i in range(18))])), (2, " ".join([*base, "y1 y2 y3"])),
             (3, " ".join([*base, "z1 z2 z3"]))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    out = found(jaccard.similar_documents(frame, 4, 85))
+    out = found(jaccard.similar_documents(frame, 4, 85, rounds=1))
     assert out == brute(rows, 4, 85) and [r[2] for r in out] == ["1", "2", "2"]
 
 
