@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, jaccard, lines, lm_score, packing, quality, sharding, token_counts, vectors
+from aisle.llm import bpe, jaccard, lines, lm_score, media, packing, quality, sharding, token_counts, vectors
 from aisle.llm.registry import query, table
 
 
@@ -124,3 +124,10 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM class LEFT JOIN s
 """)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"), words=4, percent=85)
+
+
+@query("op5_chroma_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings made of all vectors; those whose id is divisible by 50 are the queries."""
+    prints = media.fingerprints(media.recordings(table(spark, folder, "embeddings")))
+    return media.align(table(spark, folder, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS id"), prints)
