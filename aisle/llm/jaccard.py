@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,12 +242,16 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str
     shared = entries.groupBy("column").agg(F.count("*").alias("sets"), F.min("id").alias("leader")).where("sets > 1")
     matrix = written(entries.join(shared, "column").select("column", "id", "n", "leader"), "matrix")
     touched = classes.join(matrix.select("id").distinct(), "id", "left_semi")
-    tokens = written(_tokens(
-        docs.join(touched.select("id", "digest", "other", F.col("holder").alias("doc_id")), "doc_id"), words
-    ).groupBy("id").agg(F.first("tokens").alias("tokens")), "tokens")
-
+    # Bucketed by class, so that looking up a few pairs does not move all sets again.
+    name = f"token_sets_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = _tokens(
+        docs.join(touched.select("id", "digest", "other", F.col("holder").alias("doc_id")), "doc_id"), words)
+    found.repartition(buckets, "id").dropDuplicates(["id"]).write.bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
+    tokens = spark.table(name)
     links, cells = _grouped(matrix, tokens, percent, rounds, written)
     second = _across_groups(cells, tokens, percent, block)
+    spark.sql(f"DROP TABLE {name}")
     roots = checkpointed(components(links.unionByName(second)))
     labelled = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         *same, "lowest", F.coalesce("component", "id").alias("root"))
