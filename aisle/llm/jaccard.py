@@ -153,15 +153,18 @@ _LINK = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
 def _store(members: DataFrame) -> DataFrame:
-    """Blocks of groups with the union of their tokens and their sets (members: group, block, id, tokens)."""
+    """Blocks of groups with the union of their tokens and their sets (members: group, block, id, tokens).
+
+    A block of a single set is its own union and does not hold it twice.
+    """
     schema = to_arrow_schema(_STORE)
 
     def run(table: pa.Table) -> pa.Table:
         sets = table.column("tokens").to_pylist()
-        union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]))
+        union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets])) if len(sets) > 1 else None
         return pa.Table.from_pylist([{
             "group": table.column("group")[0].as_py(), "block": table.column("block")[0].as_py(),
-            "union": union.tobytes(), "ids": table.column("id").to_pylist(), "sets": sets}], schema=schema)
+            "union": None if union is None else union.tobytes(), "ids": table.column("id").to_pylist(), "sets": sets}], schema=schema)
 
     return members.groupBy("group", "block").applyInArrow(run, _STORE)
 
@@ -179,7 +182,8 @@ def _opened(asked: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             links = []
             for q, x, union, ids, sets in zip(*batch.columns, strict=True):
-                x, union = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(union.as_py(), np.uint64)
+                x = np.frombuffer(x.as_py(), np.uint64)
+                union = np.frombuffer(union.as_py() or sets[0].as_py(), np.uint64)
                 at = np.searchsorted(union, x)
                 at[at == len(union)] = 0
                 if 100 * int((union[at] == x).sum()) < percent * len(x):
@@ -195,7 +199,7 @@ def _opened(asked: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
-                      block: int = 8, rounds: int = 4) -> DataFrame:
+                      block: int = 3, rounds: int = 4) -> DataFrame:
     """Classes of documents whose sets of word n-grams are similar: doc_id, n_shingles, component_id.
 
     A text's words (A-Z in lower case) are what lies between blanks. Its set has
