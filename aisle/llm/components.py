@@ -32,11 +32,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = checkpointed(
             small.unionByName(least.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
         # Each node with one link, to a node that has none upward: every component is a star.
-        state = new.groupBy("a").agg(F.count("*").alias("n"))
-        open_ones = state.where("n > 1").select("a").unionByName(
-            new.join(state.select(F.col("a").alias("b")), "b", "left_semi").select("a"))
+        ends = new.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            new.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ones = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
+            "up > 1 OR (up = 1 AND down = 1)")
         edges = new
-        if open_ones.isEmpty():
+        if not open_ones.count():
             break
     else:
         raise RuntimeError("links did not settle")

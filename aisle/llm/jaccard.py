@@ -279,7 +279,7 @@ def _grouped(matrix: DataFrame, tokens: DataFrame, percent: int, rounds: int, wr
     links = checkpointed(_verified(led, tokens, percent))
     cells = matrix.select("column", "id", "n")
     for number in range(1, rounds + 1):
-        groups = checkpointed(components(links)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+        groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
         cells = cells.select("column", "id", "n").join(groups, "id", "left").withColumn(
             "group", F.coalesce("group", "id"))
         crossing = cells.groupBy("column").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(
