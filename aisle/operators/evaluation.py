@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from aisle.functions.exprs import beside, ratio
 from aisle.operators.ordering import exact_percentiles, running_totals
+from aisle.session import checkpointed
 
 
 def _error(actual: str, prediction: str) -> Column:
@@ -109,8 +110,8 @@ def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Rows collapse to one per score before the running totals.
     """
-    counted = df.groupBy(score).agg(
-        F.sum(F.col(label).cast("bigint")).alias("_pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("_neg"))
+    counted = checkpointed(df.groupBy(score).agg(
+        F.sum(F.col(label).cast("bigint")).alias("_pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("_neg")))
     curve = running_totals(counted, [F.col(score).desc()], {"tp": "_pos", "fp": "_neg"}, number="_row")
     total = counted.agg(F.sum("_pos").alias("_all_pos"), F.sum("_neg").alias("_all_neg"))
     return beside(curve, total).select(

@@ -19,7 +19,8 @@ def running_totals(
     partition spans many tasks. Each slice is numbered on its own and shifted
     by the totals of the slices before it; there are only as many totals as
     slices. ``order`` must be a total order. The slices are checkpointed since
-    a recomputed range partitioning could cut at other points.
+    a recomputed range partitioning could cut at other points. Null keys of
+    ``partition`` are a partition; null values add nothing to a sum.
 
     ``sums`` maps a new column to the column it accumulates.
     """
@@ -39,14 +40,23 @@ def running_totals(
     )
     numbered = cut.withColumn("_no", F.row_number().over(inside).cast("bigint"))
     for name, source in sums.items():
-        numbered = numbered.withColumn(f"_run_{name}", F.sum(source).over(inside))
-    joined = numbered.join(shifts, [*partition, "_slice"])
+        numbered = numbered.withColumn(f"_run_{name}", F.coalesce(F.sum(source).over(inside), F.lit(0)))
+    joined = _join_keys(numbered, shifts, [*partition, "_slice"])
     return joined.select(
         *df.columns, (F.col("_no") + F.col("_rows")).alias(number),
         *[(F.col(f"_run_{name}") + F.col(f"_{name}")).alias(name) for name in sums],
     )
 
 
+def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null."""
+    named = other.withColumnsRenamed({c: f"_other_{c}" for c in keys})
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).eqNullSafe(F.col(f"_other_{c}"))
+    return df.join(named, same).drop(*[f"_other_{c}" for c in keys])
+
+
 def counts_by_value(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values with row counts (and weight sums); repeated values collapse before the shuffle."""
     extra = [F.sum(weight).alias("_weight")] if weight else []
@@ -58,11 +68,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: di
 
     Distinct values are numbered by their running count; the values at the two
     neighbouring positions of each percentile are then picked by an aggregate.
+    Null values do not count; a key without other values has null percentiles.
+    A null key is a key.
     """
-    counted = counts_by_value(df.where(F.col(value).isNotNull()), keys, value)
-    ranked = running_totals(counted, [F.col(value)], {"_upto": "_n"}, keys)
+    counted = checkpointed(counts_by_value(df, keys, value)).withColumn(
+        "_n", F.when(F.col(value).isNull(), 0).otherwise(F.col("_n")))
+    ranked = running_totals(counted, [F.col(value).asc_nulls_last()], {"_upto": "_n"}, keys)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, list(keys)) if keys else beside(ranked, sizes)
+    placed = _join_keys(ranked, sizes, keys) if keys else beside(ranked, sizes)
     aggregates = []
     for name, p in points.items():
         at = (F.col("_size") - 1) * F.lit(float(p))
@@ -77,22 +90,23 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: di
 
 
 def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "percent_rank") -> DataFrame:
-    """``percent_rank`` of the value, highest first, inside each key."""
-    counted = counts_by_value(df, keys, value)
-    ranked = running_totals(counted, [F.col(value).desc()], {"_upto": "_n"}, keys)
+    """``percent_rank`` of the value, highest first, inside each key; null values come last, a null key is a key."""
+    counted = checkpointed(counts_by_value(df, keys, value))
+    ranked = running_totals(counted, [F.col(value).desc_nulls_last()], {"_upto": "_n"}, keys)
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, list(keys)) if keys else beside(ranked, sizes)
+    placed = _join_keys(ranked, sizes, keys) if keys else beside(ranked, sizes)
     rank = F.col("_upto") - F.col("_n")
     ranks = placed.select(
         *keys, value, F.when(F.col("_size") > 1, rank / (F.col("_size") - 1)).otherwise(0.0).alias(name)
     )
-    return df.join(ranks, [*keys, value])
+    return _join_keys(df, ranks, [*keys, value])
 
 
 def abc_classes(df: DataFrame, key: str, value: str, edges: tuple[float, float] = (0.8, 0.95)) -> DataFrame:
     """Pareto class by cumulative share of the value, largest first, ties by key."""
-    ranked = running_totals(df.select(key, value), [F.col(value).desc(), F.col(key)], {"_upto": value})
-    total = df.agg(F.sum(value).alias("_total"))
+    rows = checkpointed(df.select(key, value))
+    ranked = running_totals(rows, [F.col(value).desc(), F.col(key)], {"_upto": value})
+    total = rows.agg(F.sum(value).alias("_total"))
     share = F.col("_upto") / F.col("_total")
     label = F.when(share <= edges[0], "A").when(share <= edges[1], "B").otherwise("C")
     return beside(ranked, total).select(
@@ -102,8 +116,9 @@ def abc_classes(df: DataFrame, key: str, value: str, edges: tuple[float, float]
 
 def equal_frequency_bins(df: DataFrame, order: Sequence[Column], bins: int, name: str = "bin") -> DataFrame:
     """Bins of equal size along a total order, the first bins taking the remainder."""
-    numbered = running_totals(df, order, {})
-    size = df.agg(F.count("*").alias("_size"))
+    rows = checkpointed(df)
+    numbered = running_totals(rows, order, {})
+    size = rows.agg(F.count("*").alias("_size"))
     small = F.floor(F.col("_size") / bins)
     rest = F.col("_size") % bins
     edge = rest * (small + 1)

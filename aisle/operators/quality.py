@@ -25,6 +25,7 @@ def summary(df: DataFrame, columns: Sequence[str], percentiles: dict[str, float]
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
+    # Every column has a row in both, also one without values.
     return stats.join(exact_percentiles(long, ["column"], "value", percentiles), "column")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aisle.operators import ordering, windows
+from aisle.operators import ordering, quality, windows
 
 ROWS = 3000
 
@@ -78,3 +78,22 @@ def test_cap_per_label_is_repeatable(frame):
     first = {r.id for r in windows.cap_per_label(frame, ["key"], 20, ["id"]).collect()}
     again = {r.id for r in windows.cap_per_label(frame.repartition(7), ["key"], 20, ["id"]).collect()}
     assert first == again and len(first) == 18 * 20
+
+
+def test_null_keys_and_values_keep_their_rows(spark):
+    frame = spark.createDataFrame(
+        [(1, None, 3.0), (2, None, 1.0), (3, None, None), (4, "a", None), (5, "b", 2.0)], "id bigint, key string, value double")
+    middle = {r.key: r.mid for r in ordering.exact_percentiles(frame, ["key"], "value", {"mid": 0.5}).collect()}
+    assert middle == {None: 2.0, "a": None, "b": 2.0}
+    ranks = {r.id: r.percent_rank for r in ordering.percent_ranks(frame, ["key"], "value").collect()}
+    assert ranks == {1: 0.0, 2: 0.5, 3: 1.0, 4: 0.0, 5: 0.0}
+    runs = ordering.running_totals(frame, [F.col("id")], {"total": "value"}, ["key"])
+    assert {r.id: (r.row_no, r.total) for r in runs.collect()} == {
+        1: (1, 3.0), 2: (2, 4.0), 3: (3, 4.0), 4: (1, 0.0), 5: (1, 2.0)}
+
+
+def test_summary_lists_a_column_without_values(spark):
+    frame = spark.createDataFrame([(1.0, None), (3.0, None)], "x double, y double")
+    out = {r.column: r for r in quality.summary(frame, ["x", "y"], {"mid": 0.5}).collect()}
+    assert (out["x"]["count"], out["x"].mid) == (2, 2.0)
+    assert (out["y"]["count"], out["y"].mid) == (0, None)
