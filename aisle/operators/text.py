@@ -88,15 +88,25 @@ def title_ngrams(df: DataFrame, key: str, text: str, sizes: Sequence[int]) -> Da
     )
 
 
+def run_sizes(entries: DataFrame, entry: str) -> range:
+    """Lengths of word runs that can match an entry: up to the words of the longest entry, two at least."""
+    most = entries.agg(F.max(F.size(F.split(entry, " ")))).first()[0] or 0
+    return range(1, max(2, most) + 1)
+
+
 def fuzzy_brands(
-    df: DataFrame, key: str, text: str, brands: DataFrame, brand: str, sizes: Sequence[int] = (1, 2), accept: int = 85
+    df: DataFrame, key: str, text: str, brands: DataFrame, brand: str, accept: int = 85
 ) -> DataFrame:
-    """Brands whose best similarity to a word run of the title is the title's highest and above ``accept``."""
-    grams = title_ngrams(df, key, text, sizes)
-    matches = near_matches(grams, brands, "ngram", brand, accept=accept).select(
-        key, brand, titles.near_ratio(F.col("ngram"), F.col(brand), F.col("edits")).alias("ratio")
-    ).where(F.col("ratio") > accept)
-    scored = matches.groupBy(key, brand).agg(F.max("ratio").alias("ratio"))
+    """Brands whose best similarity to a word run of the title is the title's highest and above ``accept``.
+
+    Runs have as many words as the longest brand at most. Each distinct run is
+    matched once; its matches then go back to the titles that have it.
+    """
+    grams = title_ngrams(df, key, text, run_sizes(brands, brand))
+    matches = near_matches(grams.select("ngram").distinct(), brands, "ngram", brand, accept=accept).select(
+        "ngram", brand, titles.near_ratio(F.col("ngram"), F.col(brand), F.col("edits")).alias("ratio")
+    ).where(F.col("ratio") > accept).distinct()
+    scored = grams.join(matches, "ngram").groupBy(key, brand).agg(F.max("ratio").alias("ratio"))
     # A title has at most as many rows here as the dictionary has brands.
     best = F.max("ratio").over(Window.partitionBy(key))
     return scored.withColumn("_best", best).where("ratio = _best").select(key, brand, "ratio")
@@ -106,7 +116,7 @@ def main_brand(
     df: DataFrame, key: str, text: str, found: DataFrame, brand: str, families: DataFrame, family: str,
     accept: float = 90.0,
 ) -> DataFrame:
-    """Final family of each title from the brands found in it.
+    """Final family of each title from the brands found in it; ``not-detected`` where there is none.
 
     One family is final at once. Of several, a family whose phrase stands in the
     title scores 100; any other scores the mean over its words of the best
@@ -120,7 +130,7 @@ def main_brand(
     parts = several.select(
         key, family, F.size(F.split(family, " ")).alias("_words"), F.explode(F.split(family, " ")).alias("_word"))
     open_titles = df.select(key, text).join(counted.where("_families > 1"), key, "left_semi")
-    grams = title_ngrams(open_titles, key, text, (1, 2))
+    grams = title_ngrams(open_titles, key, text, run_sizes(families, family))
     per_title = near_matches(grams, parts, "ngram", "_word").groupBy(key, "_word").agg(
         F.max(titles.near_ratio(F.col("ngram"), F.col("_word"), F.col("edits"))).alias("ratio"))
     by_words = (
@@ -134,7 +144,7 @@ def main_brand(
     best = F.max("score").over(Window.partitionBy(key))
     chosen = scored.withColumn("_best", best).where("score = _best").select(key, family).unionByName(single)
     return (
-        counted.select(key).join(chosen, key, "left").groupBy(key)
+        df.select(key).distinct().join(chosen, key, "left").groupBy(key)
         .agg(F.array_join(F.sort_array(F.collect_set(family)), "|").alias("brand_final"))
         .withColumn("brand_final", F.when(F.col("brand_final") == "", "not-detected").otherwise(F.col("brand_final")))
     )

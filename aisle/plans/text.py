@@ -135,7 +135,7 @@ top AS (SELECT doc_id, family FROM (SELECT *, max(score) OVER (PARTITION BY doc_
         WHERE score = best
         UNION ALL SELECT doc_id, family FROM named JOIN counted USING (doc_id) WHERE n = 1)
 SELECT doc_id, coalesce(string_agg(family, '|' ORDER BY family), 'not-detected') AS brand_final
-FROM counted LEFT JOIN top USING (doc_id) GROUP BY 1
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN top USING (doc_id) GROUP BY 1
 """)
 def brand_family(t):
     dictionary = _dictionary(t)

@@ -100,4 +100,14 @@ def test_fuzzy_brands_and_family(spark):
     assert {(r.id, r.brand, r.ratio) for r in found.collect()} == {
         (1, "clear", 100), (1, "clear men", 100), (4, "clear", 100), (4, "clear men", 100), (4, "dove", 100)}
     final = text.main_brand(frame, "id", "t", found, "brand", brands, "family").collect()
-    assert {r.id: r.brand_final for r in final} == {1: "clear|clear men", 4: "clear|clear men|dove"}
+    assert {r.id: r.brand_final for r in final} == {
+        1: "clear|clear men", 2: "not-detected", 3: "not-detected", 4: "clear|clear men|dove"}
+
+
+def test_entries_of_three_words(spark):
+    frame = spark.createDataFrame([(1, "buy baby dove dermaseries soap now"), (2, None)], "id bigint, t string")
+    brands = spark.createDataFrame([("baby dove dermaseries", "dove"), ("dove", "dove")], "brand string, family string")
+    found = text.fuzzy_brands(frame, "id", "t", brands, "brand")
+    assert {(r.brand, r.ratio) for r in found.collect()} == {("baby dove dermaseries", 100), ("dove", 100)}
+    final = text.main_brand(frame, "id", "t", found, "brand", brands, "family")
+    assert {r.id: r.brand_final for r in final.collect()} == {1: "dove", 2: "not-detected"}
