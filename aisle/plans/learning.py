@@ -9,7 +9,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -135,7 +135,7 @@ def text_filter(t):
     pipeline = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="all_words", pattern=r"[^\p{L}\p{N}]+"),
         StopWordsRemover(inputCol="all_words", outputCol="words"),
-        CountVectorizer(inputCol="words", outputCol="features"), NaiveBayes(modelType="multinomial")])
+        HashingTF(inputCol="words", outputCol="features"), NaiveBayes(modelType="multinomial")])
     model = ops.fitted(pipeline, frame.where("part = 'train'"))
     loaded = ops.save_and_reload(model, scratch_path(t.spark, "text-filter"))
     return loaded.transform(frame.where("part = 'test'")).select("doc_id", F.col("label").cast("int"), F.col("prediction").cast("int"))
