@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -139,6 +141,12 @@ def calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
     )
 
 
+def working_days(week: Column | str) -> Column:
+    """Working days (Monday to Saturday without holidays) of the week that starts at ``week``, in any year."""
+    days = [F.date_format(F.date_add(col(week), i), "MMdd") for i in range(6)]
+    return reduce(add, [(~d.isin(*HOLIDAYS)).cast("int") for d in days])
+
+
 def week_calendar(spark: SparkSession, start: date, end: date) -> DataFrame:
     """One row per ISO week: index, yearweek, working days (Monday to Saturday without holidays)."""
     d = F.col("date")

@@ -41,19 +41,18 @@ def left_other_names(t):
 @query("jn03_enrich_features", """
 SELECT w.brand, w.region, w.week, w.qty, c.working_days, b.products, r.sites, d.day_qty
 FROM v_weekly w
-LEFT JOIN v_weeks c ON w.week = c.week
+LEFT JOIN v_full_weeks c ON w.week = c.week
 LEFT JOIN (SELECT brand, count(*) AS products FROM v_products GROUP BY 1) b ON w.brand = b.brand
 LEFT JOIN (SELECT region, count(*) AS sites FROM v_sites GROUP BY 1) r ON w.region = r.region
 LEFT JOIN (SELECT brand, date, qty AS day_qty FROM v_daily) d ON w.brand = d.brand AND w.week = d.date
 """)
 def enrich_features(t):
-    calendar = weeks.week_calendar(t.spark, START, END).select("week", "working_days")
     products = t.products.groupBy("brand").agg(F.count("*").alias("products"))
     sites = t.sites.groupBy("region").agg(F.count("*").alias("sites"))
     day = t.daily.select("brand", F.col("date").alias("week"), F.col("qty").alias("day_qty"))
     frame = t.weekly.select("brand", "region", "week", "qty")
     return (
-        frame.join(calendar, "week", "left").join(products, "brand", "left")
+        frame.withColumn("working_days", weeks.working_days("week")).join(products, "brand", "left")
         .join(sites, "region", "left").join(day, ["brand", "week"], "left")
     )
 

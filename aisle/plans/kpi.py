@@ -322,9 +322,8 @@ def compliance_features(t):
     profile = quality.coverage_profile(dense, ["site"], "week", "rate")
     totals = rates.groupBy("site").agg(F.sum("proposed").alias("volume"))
     classes = ordering.abc_classes(totals, "site", "volume").select("site", F.col("abc_class").alias("class"))
-    calendar = weeks.week_calendar(t.spark, date(1994, 12, 26), date(2001, 12, 31)).select("week", "working_days")
     frame = (
-        dense.na.fill({"rate": 0.0}).join(t.sites.select("site", "region"), "site").join(calendar, "week", "left")
+        dense.na.fill({"rate": 0.0}).join(t.sites.select("site", "region"), "site").withColumn("working_days", weeks.working_days("week"))
         .join(classes, "site").join(profile.select("site", (F.col("null_share") <= 0.6).alias("good")), "site")
     )
     out = wops.lag_rolling_rows(frame, ["site"], "week", "rate", [(2, 4), (4, 4)], ["mean"])

@@ -396,9 +396,8 @@ k{i} AS (SELECT * FROM k{i - 1} WHERE ms <> {first} UNION ALL SELECT * FROM m{i}
 
 @query("ts17_secondary_to_primary", _sec_to_pri_sql())
 def secondary_to_primary(t):
-    calendar = weeks.week_calendar(t.spark, date(1994, 12, 26), date(2001, 12, 31)).select("week", "working_days")
     primary = t.weekly.select(*KEYS, "week", F.col("qty").alias("_pri"))
-    frame = t.weekly_secondary.join(calendar, "week").join(primary, [*KEYS, "week"], "left").select(
+    frame = t.weekly_secondary.withColumn("working_days", weeks.working_days("week")).join(primary, [*KEYS, "week"], "left").select(
         *KEYS, F.col("region").alias("category"), "week", F.trunc(F.date_add("week", 3), "month").alias("month_start"),
         "working_days", F.col("qty").alias("forecast"),
         F.when(F.col("week") <= F.lit(date(2001, 4, 23)), F.col("_pri")).alias("primary"))
@@ -443,7 +442,8 @@ def week_quarter_phase(t):
 SELECT w.brand, w.region, w.yearweek, CAST(date_trunc('month', w.week + 3) AS DATE) AS month_start, w.qty FROM v_weekly w
 """)
 def week_master(t):
-    days = weeks.day_frame(t.spark, date(1994, 12, 26), date(2002, 1, 6))
+    days = t.weekly.select("week").distinct().select(
+        F.explode(F.sequence("week", F.date_add("week", 6))).alias("date"))
     return t.weekly.join(ts.week_master(days), "week").select(*KEYS, "yearweek", "month_start", "qty")
 
 

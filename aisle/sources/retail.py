@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -213,9 +212,9 @@ class Tables:
     @cached_property
     def plan(self) -> DataFrame:
         """Weekly series with working days, daily average, promotion flag and Thursday anchor."""
-        calendar = weeks.week_calendar(self.spark, date(1994, 12, 26), date(2001, 12, 31))
+        series = self.weekly.withColumn("working_days", weeks.working_days("week"))
         daily = F.when(F.col("working_days") != 0, F.col("qty") / F.col("working_days")).otherwise(0.0)
-        return self.weekly.join(calendar.select("week", "working_days"), "week").select(
+        return series.select(
             "brand", "region", "week", "week_no", "yearweek", "qty", "working_days", daily.alias("daily"),
             (F.col("promo_qty") > F.col("qty") * 0.35).cast("int").alias("green"),
             F.date_add("week", 3).alias("anchor"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aisle.functions import weeks, windows as win
 from aisle.operators import promotion, quality, timeseries as ts, windows as ops
+from aisle.sources.retail import Tables
 
 
 def test_three_week_systems(spark):
@@ -168,3 +169,14 @@ def test_row_accuracy_guard(spark, actual, expected):
 
     frame = spark.createDataFrame([(actual, 3.0)], "a double, p double")
     assert frame.select(row_accuracy("a", "p")).first()[0] == pytest.approx(expected)
+
+
+def test_plan_keeps_weeks_of_any_year(spark, folder):
+    tables = Tables(spark, folder)
+    weekly = tables.weekly
+    expected = weekly.count()
+    tables.__dict__["weekly"] = weekly.withColumn("week", F.date_add("week", 7 * 522))
+    assert tables.plan.count() == expected
+    days = spark.sql("SELECT DATE '2012-04-30' AS week UNION ALL SELECT DATE '1990-01-08'")
+    # April 30, May 1 are holidays; Sundays do not count.
+    assert {r.n for r in days.select(weeks.working_days("week").alias("n")).collect()} == {4, 6}
