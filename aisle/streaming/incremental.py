@@ -12,7 +12,8 @@ from aisle.operators.joins import dedupe
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """Rows whose key is not stored yet, one per key (first by ``order``)."""
-    return dedupe(incoming, keys, order).join(stored.select(*keys), list(keys), "left_anti")
+    unseen = incoming.join(stored.select(*keys), list(keys), "left_anti").select(*incoming.columns)
+    return dedupe(unseen, keys, order)
 
 
 def append_new(incoming: DataFrame, path: str, keys: Sequence[str], order: Sequence) -> None:
@@ -20,7 +21,9 @@ def append_new(incoming: DataFrame, path: str, keys: Sequence[str], order: Seque
     spark = incoming.sparkSession
     try:
         stored = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         dedupe(incoming, keys, order).write.parquet(path)
         return
     new_rows(incoming, stored, keys, order).write.mode("append").parquet(path)
