@@ -253,7 +253,9 @@ def spectral_clusters(t):
     shipped = t.primary_lines.groupBy("site", "product", F.trunc("date", "month").alias("month")).agg(F.count("qty").alias("n"))
     product = shipped.groupBy("site", "product").agg(F.sum("n").alias("w"))
     left = product.join(t.products.select("product", "brand"), "product").groupBy("site", "brand").agg(F.sum("w").alias("w"))
-    edges = left.select(F.col("site").alias("src"), (F.hash("brand").cast("bigint") + F.lit(1 << 40)).alias("dst"), F.col("w").cast("double").alias("weight"))
+    # Sites are positive, brands negative nodes.
+    node = F.xxhash64("brand").bitwiseOR(F.lit(-(1 << 63)))
+    edges = left.select(F.col("site").alias("src"), node.alias("dst"), F.col("w").cast("double").alias("weight"))
     return ops.spectral_cluster(edges, 2).join(t.supplier.select(F.col("s_suppkey").alias("id")), "id", "left_semi").select(
         F.col("id").alias("site"), "cluster")
 
