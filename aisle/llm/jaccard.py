@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -147,59 +148,100 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 _STORE = StructType([
-    StructField("group", LongType()), StructField("block", LongType()), StructField("union", BinaryType()),
-    StructField("ids", ArrayType(LongType())), StructField("sets", ArrayType(BinaryType()))])
+    StructField("block", LongType()), StructField("ids", ArrayType(LongType())), StructField("groups", ArrayType(LongType())),
+    StructField("sizes", ArrayType(LongType())), StructField("union", BinaryType()), StructField("places", BinaryType())])
 _LINK = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
 def _store(members: DataFrame) -> DataFrame:
-    """Blocks of groups with the union of their tokens and their sets (members: group, block, id, tokens).
-
-    A block of a single set is its own union and does not hold it twice.
-    """
+    """Blocks with the union of their tokens, and each set as places in the union (members: block, id, group, tokens)."""
     schema = to_arrow_schema(_STORE)
 
     def run(table: pa.Table) -> pa.Table:
-        sets = table.column("tokens").to_pylist()
-        union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets])) if len(sets) > 1 else None
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        union, places = np.unique(np.concatenate(sets), return_inverse=True)
         return pa.Table.from_pylist([{
-            "group": table.column("group")[0].as_py(), "block": table.column("block")[0].as_py(),
-            "union": None if union is None else union.tobytes(), "ids": table.column("id").to_pylist(), "sets": sets}], schema=schema)
+            "block": table.column("block")[0].as_py(), "ids": table.column("id").to_pylist(),
+            "groups": table.column("group").to_pylist(), "sizes": [len(x) for x in sets], "union": union.tobytes(),
+            "places": places.astype(np.uint32).tobytes()}], schema=schema)
 
-    return members.groupBy("group", "block").applyInArrow(run, _STORE)
+    return members.groupBy("block").applyInArrow(run, _STORE)
 
 
-def _opened(asked: DataFrame, percent: int) -> DataFrame:
-    """A link (a, b) of each query (q, x) to a block (union, ids, sets) in which some set is similar.
+class Block:
+    """A stored block: ids and groups of its sets, their sizes, the token union, each set's places in the union."""
+
+    def __init__(self, ids: list[int], groups: list[int], sizes: list[int], union: bytes, places: bytes):
+        self.ids, self.groups, self.sizes = ids, np.array(groups, np.int64), np.array(sizes, np.int64)
+        self.union, self.places = np.frombuffer(union, np.uint64), np.frombuffer(places, np.uint32)
+        self.owner = np.repeat(np.arange(len(ids)), self.sizes)
+
+    def opened(self, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that hold enough of the ``common`` places of the union, and their rows over these."""
+        column = np.full(len(self.union), -1, np.int64)
+        column[common] = np.arange(len(common))
+        at = column[self.places]
+        held = np.bincount(self.owner[at >= 0], minlength=len(self.ids))
+        few = np.flatnonzero(100 * held >= percent * self.sizes)
+        row = np.full(len(self.ids), -1, np.int64)
+        row[few] = np.arange(len(few))
+        inside = (at >= 0) & (row[self.owner] >= 0)
+        matrix = np.zeros((len(few), len(common)), np.float32)
+        matrix[row[self.owner[inside]], at[inside]] = 1
+        return few, matrix
+
+
+def links_between(a: Block, b: Block, percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of two blocks (or of one with itself) that join different groups; no link that others imply.
 
-    A block is opened if its union holds enough of the query's tokens: whatever
-    set y of the block, |x & y| <= |x & union| and |x | y| >= |x|. One link is
-    enough, since a group's sets are connected already.
+    Whatever set y of the other block, |x & y| <= |x & union| and |x | y| >= |x|:
+    only sets whose overlap with the other union is large enough are opened.
     """
+    _, in_a, in_b = np.intersect1d(a.union, b.union, assume_unique=True, return_indices=True)
+    few_a, rows_a = a.opened(in_a, percent)
+    few_b, rows_b = b.opened(in_b, percent)
+    if not len(few_a) or not len(few_b):
+        return []
+    shared = (rows_a @ rows_b.T).astype(np.int64)
+    total = a.sizes[few_a][:, None] + b.sizes[few_b][None, :] - shared
+    hits = (100 * shared >= percent * total) & (a.groups[few_a][:, None] != b.groups[few_b][None, :])
+    root: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while root.get(g, g) != g:
+            root[g] = root.get(root[g], root[g])
+            g = root[g]
+        return g
+
+    links = []
+    for i, j in zip(*(few[x].tolist() for few, x in zip((few_a, few_b), np.nonzero(hits), strict=True)), strict=True):
+        one, two = find(int(a.groups[i])), find(int(b.groups[j]))
+        if one != two:
+            root[one] = two
+            links.append((a.ids[i], b.ids[j]))
+    return links
+
+
+def _opened(asked: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of pairs of blocks."""
     schema = to_arrow_schema(_LINK)
+    fields = _STORE.names[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for q, x, union, ids, sets in zip(*batch.columns, strict=True):
-                x = np.frombuffer(x.as_py(), np.uint64)
-                union = np.frombuffer(union.as_py() or sets[0].as_py(), np.uint64)
-                at = np.searchsorted(union, x)
-                at[at == len(union)] = 0
-                if 100 * int((union[at] == x).sum()) < percent * len(x):
-                    continue
-                hit = next((i for i, y in zip(ids, sets, strict=True)
-                            if similar(x, np.frombuffer(y.as_py(), np.uint64), percent)), None)
-                if hit is not None:
-                    links.append((q.as_py(), hit.as_py()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], schema=schema)
-
-    return asked.select("q", "x", "union", "ids", "sets").mapInArrow(run, _LINK)
+            for i in range(batch.num_rows):
+                one, two = (Block(*(x.as_py() for x in [c[i] for c in batch.columns[at : at + len(fields)]]))
+                            for at in (0, len(fields)))
+                links = links_between(one, two, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())],
+                    schema=schema)
+
+    return asked.select(*fields, *[f"{c}2" for c in fields]).mapInArrow(run, _LINK)
 
 
 def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
-                      block: int = 3, rounds: int = 4) -> DataFrame:
+                      block: int = 128, rounds: int = 1, room: int = 1 << 16) -> DataFrame:
     """Classes of documents whose sets of word n-grams are similar: doc_id, n_shingles, component_id.
 
     A text's words (A-Z in lower case) are what lies between blanks. Its set has
@@ -219,13 +261,17 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str
        similar to a leader form a group with it. This goes on for ``rounds``
        rounds with other leaders, in the columns that still hold several groups;
        only classes that are not in the leader's group are compared.
-    4. Each group stores the union of its tokens, in blocks of ``block`` sets. A
-       class meets the blocks of other groups that share a column with it and
-       hold a set of fitting size; the union bounds its overlap with any of them.
-    5. Only blocks that qualify are opened, and the class is compared with their
-       sets until one is similar.
+    4. What still shares a column with another group is dealt to blocks: a large
+       group has its own, the rest goes by its hottest column and its size. A
+       block has about ``block`` sets and ``room`` tokens, or one longer set. It
+       stores the union of its tokens and each set as places in the union.
+       Blocks meet if they share a column, sizes that fit, and several groups.
+    5. The union of one block bounds the overlap of each set of the other with
+       any of its sets; only sets that qualify are opened and compared, with one
+       product of two 0/1 matrices.
     Links found in 3 and 5 make the components. A hot column costs one row per
-    class in each round of step 3, and one per class and other group in step 4.
+    class in each round of step 3. Step 4 pairs blocks, not classes: c classes
+    of different groups in one column make (c / block)**2 / 2 rows at best.
     """
     spark = df.sparkSession
 
@@ -254,7 +300,7 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, key: str
     found.repartition(buckets, "id").dropDuplicates(["id"]).write.bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
     tokens = spark.table(name)
     links, cells = _grouped(matrix, tokens, percent, rounds, written)
-    second = _across_groups(cells, tokens, percent, block)
+    second = _across_groups(cells, tokens, percent, block, room, written)
     spark.sql(f"DROP TABLE {name}")
     roots = checkpointed(components(links.unionByName(second)))
     labelled = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
@@ -274,7 +320,7 @@ def _fits(small: str, large: str, percent: int):
 
 
 def _grouped(matrix: DataFrame, tokens: DataFrame, percent: int, rounds: int, written) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) to leaders, and the cells (column, id, n, group) of columns that hold several groups."""
+    """Links (a, b) to leaders, and the cells (column, id, n, group, sets) of columns that hold several groups."""
     led = matrix.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     links = checkpointed(_verified(led, tokens, percent))
     cells = matrix.select("column", "id", "n")
@@ -282,9 +328,9 @@ def _grouped(matrix: DataFrame, tokens: DataFrame, percent: int, rounds: int, wr
         groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
         cells = cells.select("column", "id", "n").join(groups, "id", "left").withColumn(
             "group", F.coalesce("group", "id"))
-        crossing = cells.groupBy("column").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(
-            "low < high").select("column")
-        cells = written(cells.join(crossing, "column", "left_semi"), f"cells{number}")
+        crossing = cells.groupBy("column").agg(
+            F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("sets")).where("low < high")
+        cells = written(cells.join(crossing.select("column", "sets"), "column"), f"cells{number}")
         if number == rounds:
             break
         # Four orders a round: a class that is in many columns meets several leaders.
@@ -298,21 +344,27 @@ def _grouped(matrix: DataFrame, tokens: DataFrame, percent: int, rounds: int, wr
     return links, cells
 
 
-def _across_groups(cells: DataFrame, tokens: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between classes of different groups, through the groups' unions."""
-    members = cells.select("id", "group").distinct()
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = checkpointed(members.join(sizes, "group").select(
-        "id", "group", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
-    query = cells.select("column", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("group").alias("own"))
-    extent = cells.join(members.select("id", "block"), "id").groupBy("column", "group", "block").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"))
-    # The larger of two sets asks; with equal sizes either does.
-    meets = query.join(extent, "column").where(
-        (F.col("own") != F.col("group")) & _fits("qn", "most", percent) & (F.col("least") <= F.col("qn"))
-    ).select("q", "group", "block").distinct()
-    meets = checkpointed(meets)
-    needed = members.join(meets.select("group", "block").distinct(), ["group", "block"], "left_semi")
-    asked = meets.join(_store(needed.join(tokens, "id")), ["group", "block"]).join(
-        tokens.select(F.col("id").alias("q"), F.col("tokens").alias("x")), "q")
+def _across_groups(cells: DataFrame, tokens: DataFrame, percent: int, block: int, room: int, written) -> DataFrame:
+    """Links (a, b) between classes of different groups, through the unions of blocks."""
+    classes = cells.groupBy("id").agg(
+        F.first("n").alias("n"), F.first("group").alias("group"),
+        F.max_by("column", F.struct("sets", "column")).alias("column"))
+    counts = classes.groupBy("group").agg(F.count("*").alias("members"))
+    step = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    homes = checkpointed(classes.join(counts, "group").select(
+        "id", "n", "group", F.when(F.col("members") >= block, F.xxhash64(F.lit(0), "group")).otherwise(
+            F.xxhash64(F.lit(1), "column", step)).alias("home")))
+    sizes = homes.groupBy("home").agg(
+        F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / room)).alias("blocks"))
+    members = checkpointed(homes.join(sizes, "home").select(
+        "id", "group", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")))
+    held = checkpointed(cells.select("column", "id", "n").join(members, "id").groupBy("column", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("group").alias("low"), F.max("group").alias("high")))
+    others = held.select("column", *[F.col(c).alias(f"{c}2") for c in held.columns[1:]])
+    meets = checkpointed(held.join(others, "column").where(
+        (F.col("block") <= F.col("block2")) & _fits("least", "most2", percent) & _fits("least2", "most", percent)
+        & (F.least("low", "low2") < F.greatest("high", "high2"))).select("block", "block2").distinct())
+    needed = meets.select("block").union(meets.select("block2")).distinct()
+    store = written(_store(members.join(needed, "block", "left_semi").join(tokens, "id")), "blocks")
+    asked = meets.join(store, "block").join(store.toDF(*[f"{c}2" for c in store.columns]), "block2")
     return checkpointed(_opened(asked, percent))

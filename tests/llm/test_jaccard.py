@@ -64,7 +64,7 @@ def copies(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("words,percent,block,rounds", [(4, 85, 8, 4), (5, 80, 2, 1)])
+@pytest.mark.parametrize("words,percent,block,rounds", [(4, 85, 8, 4), (5, 80, 2, 1), (4, 85, 128, 1)])
 def test_against_all_pairs(spark, words, percent, block, rounds):
     rows = copies(words)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
