@@ -101,7 +101,7 @@ def _sets(docs: DataFrame, words: int, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(2))
-            for low, high in slices([len(t) for t in texts], 2_000_000):
+            for low, high in slices([len(t) for t in texts], 500_000):
                 sets = token_sets(texts[low:high], words)
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
@@ -120,7 +120,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(3))
-            for low, high in slices([len(t) for t in texts], 2_000_000):
+            for low, high in slices([len(t) for t in texts], 500_000):
                 keys = zip(*[batch.column(i)[low:high].to_pylist() for i in range(3)], strict=True)
                 found = [(k[0], s.tobytes()) for k, s in zip(keys, token_sets(texts[low:high], words), strict=True)
                          if _digest(s) == k[1:]]

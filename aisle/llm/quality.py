@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, positives: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(2))
-            for low, high in slices([len(t) for t in texts], 2_000_000):
+            for low, high in slices([len(t) for t in texts], 500_000):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[low:high].cast(pa.int64()), batch.column(1)[low:high].cast(pa.int64()),
                      pa.array(list(features(texts[low:high])), pa.list_(pa.float32()))], schema=arrow)
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
         for batch in batches:
             texts = texts_of(batch.column(1))
             out = [model.scores(features(texts[low:high])) if model else np.full(high - low, 0.5)
-                   for low, high in slices([len(t) for t in texts], 2_000_000)]
+                   for low, high in slices([len(t) for t in texts], 500_000)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64()), *batch.columns[2:]],
                 schema=arrow)
