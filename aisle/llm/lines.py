@@ -128,10 +128,11 @@ _SUSPECT = StructType([StructField("doc_id", LongType()), StructField("key", Str
 
 
 def dropped_keys(docs: DataFrame, least: int, documents: int, most_bits: int = 1 << 28) -> DataFrame:
-    """Keys that a document loses: doc_id, keys (array). ``docs`` has doc_id and text.
+    """Keys that a document loses: doc_id, keys, keepers (arrays). ``docs`` has doc_id and text.
 
     Only keys that the filter suspects to repeat are shuffled. They are counted
-    exactly, by their text; the largest doc_id that holds a key keeps it. The
+    exactly, by their text; the largest doc_id that holds a key keeps it and is
+    among the document's ``keepers``. The
     filter is at most 2**28 bits (32 MB). Beyond some 10**8 lines it fills up:
     then more keys are suspected and shuffled, and the result is the same.
     """
@@ -153,11 +154,27 @@ def dropped_keys(docs: DataFrame, least: int, documents: int, most_bits: int = 1
     counted = held.groupBy("key").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keeper"))
     repeated = counted.where(F.col("documents") >= documents)
     lost = held.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    return lost.groupBy("doc_id").agg(
+        F.collect_list("key").alias("keys"), F.collect_set("keeper").alias("keepers"))
+
+
+def _words_digest(text):
+    """Digest of the words of a text between blanks, with A-Z lower-cased."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.md5(F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), "[ \\t\\n\\x0b\\f\\r]+", " ")))
+
+
+def larger_copies(docs: DataFrame) -> DataFrame:
+    """Texts that a larger doc_id holds too: doc_id, copies (array of words, the digest, and last, the largest id)."""
+    held = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        "doc_id", _words_digest(F.col("text")).alias("words")).distinct()
+    last = held.groupBy("words").agg(F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return held.join(last, "words").where("doc_id < last").groupBy("doc_id").agg(
+        F.collect_list(F.struct("words", "last")).alias("copies"))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 40, documents: int = 5,
-                keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None, stubs: bool = True) -> DataFrame:
     """Drop repeated lines: the columns in ``keep``, doc_id, text (what stays), n_lines, n_dropped.
 
     A line is dropped if its key (blanks stripped at both ends, A-Z lower-cased)
@@ -166,12 +183,24 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     its copies. Rows with the same doc_id are one document and lose the same
     lines; rows with a null doc_id are one document, the smallest. A null text
     is one empty line and stays null.
+
+    Without ``stubs``, two kinds of rows that lost lines go as a whole: what has
+    no word left, and a copy (same words) of the largest document with its text,
+    if that one keeps a line which the copy lost. Copies that lost the same lines
+    as that document stay, as equal texts.
     """
     keep = [c for c in keep or [] if c not in (key, text)]
     own = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *own)
-    lost = dropped_keys(docs.select("doc_id", "text"), least, documents).withColumnRenamed("doc_id", "_of")
+    lost = dropped_keys(docs.select("doc_id", "text"), least, documents)
+    if not stubs:
+        lost = lost.join(larger_copies(docs), "doc_id", "left")
+    lost = lost.withColumnRenamed("doc_id", "_of")
     joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    if not stubs:
+        own_words = _words_digest(F.col("text"))
+        stub = F.exists("copies", lambda c: F.array_contains("keepers", c["last"]) & (c["words"] == own_words))
+        joined = joined.where(F.col("copies").isNull() | F.col("text").isNull() | ~stub)
     fields = [joined.schema[f"_keep{i}"] for i in range(len(keep))]
     schema = StructType([
         StructField("doc_id", LongType()), StructField("text", StringType()), StructField("n_lines", LongType()),
@@ -198,5 +227,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
                  pa.array(drops, pa.int64()), *batch.columns[3:]], schema=arrow)
 
     out = joined.select("doc_id", "text", "keys", *[f.name for f in fields]).mapInArrow(rewrite, schema)
+    if not stubs:
+        out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]"))
     return out.select("doc_id", "text", "n_lines", "n_dropped",
                       *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])

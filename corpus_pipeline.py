@@ -24,8 +24,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
-    kept = lines.dedup_lines(docs, keep=["lang", "source", "n_chars"])
+    """Repeated lines go; n_chars follows the text.
+
+    Five copies or more repeat their own lines, and only the largest id keeps
+    them. The other copies go here, as the next stage could not tell what is left
+    of them; so do documents of which no word is left.
+    """
+    kept = lines.dedup_lines(docs, keep=["lang", "source", "n_chars"], stubs=False)
     return kept.withColumn(
         "n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     ).select(*_COLUMNS)
@@ -35,11 +40,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class of similar documents stays, the one with the smallest id.
 
     Shingles of five words, a similarity of 0.8 or more. Documents without words
-    or without an id are in no class and stay. Rows that repeat an id are in the
-    class of that id together, and all stay if it is the smallest.
+    are one class. Rows without an id are in no class and stay. Rows that repeat
+    an id are in the class of that id together, and all stay if it is the smallest.
     """
     found = jaccard.similar_documents(docs, words=5, percent=80)
-    others = found.where("component_id <> doc_id").select("doc_id").distinct()
+    wordless = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max("n_shingles").alias("most"), F.max(F.col("component_id") != F.col("doc_id")).alias("other"))
+    first = wordless.where("most = 0").agg(F.min("doc_id")).first()[0]
+    gone = F.col("other") | (F.col("most") == 0) & (F.col("doc_id") > F.lit(first)) if first is not None else F.col("other")
+    others = wordless.where(gone).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*_COLUMNS)
 
 

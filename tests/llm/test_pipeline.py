@@ -70,3 +70,31 @@ def test_whole_run(spark, folder):
     assert out and check_sequences(out, 4096)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert {r.doc_id for r in out} <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_copies_and_wordless_texts_leave_one_document(spark, base, some, tmp_path, monkeypatch):
+    # The classifier treats equal texts alike; without it, none of the planted ones is rejected.
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    docs = some
+    alone = sorted((r for r in docs.collect() if len(r.text) > 400), key=lambda r: r.doc_id)[:3]
+    planted, groups = [], {}
+    for number, (row, copies) in enumerate(zip(alone, (2, 5, 50), strict=True)):
+        # Own words in long lines, below a title too short for the line rule.
+        words = [f"{w}{number}q" if n % 9 == 0 else w for n, w in enumerate(row.text.split())]
+        body = [" ".join(words[i : i + 20]) for i in range(0, len(words), 20)]
+        text = "\n".join([" ".join(words[:2]), *body])
+        ids = range(100_000 * (number + 1), 100_000 * (number + 1) + copies)
+        groups[number] = set(ids)
+        planted += [(i, text.encode().upper().decode() if i % 10 == 9 else text, row.lang, row.source, len(text)) for i in ids]
+    extra = spark.createDataFrame(planted, docs.select(*corpus_pipeline._COLUMNS).schema)
+    docs.select(*corpus_pipeline._COLUMNS).unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert [len(out & ids) for ids in groups.values()] == [1, 1, 1]
+
+    full = docs.select(*corpus_pipeline._COLUMNS)
+    blank = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in ((-3, ""), (-2, None), (-1, " \n"), (None, ""))], full.schema)
+    left = corpus_pipeline.drop_near_duplicates(spark, full.where("doc_id < 20").unionByName(blank), base)
+    assert [r.doc_id for r in left.where("doc_id < 0 OR doc_id IS NULL").orderBy("doc_id").collect()] == [None, -3]
+    shared = "A line of the same forty code points or more in all of these."
+    six = spark.createDataFrame([(i, shared, "en", "x", 61) for i in range(5)] + [(9, f"{shared}\nOwn words", "en", "x", 71)], full.schema)
+    assert [r.doc_id for r in corpus_pipeline.drop_lines(spark, six, base).collect()] == [9]
