@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, jaccard, lines, lm_score, media, packing, quality, sharding, token_counts, vectors
+from aisle.llm import bpe, filter_audit, jaccard, lines, lm_score, media, packing, quality, sharding, token_counts, vectors
 from aisle.llm.registry import query, table
 
 
@@ -131,3 +133,53 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Recordings made of all vectors; those whose id is divisible by 50 are the queries."""
     prints = media.fingerprints(media.recordings(table(spark, folder, "embeddings")))
     return media.align(table(spark, folder, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS id"), prints)
+
+
+@query("op12_filter_audit", f"""
+WITH word AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANKS}+'), lambda x: x <> '') AS w FROM documents
+),
+fact AS (
+  SELECT doc_id, part,
+         [len(w) < 200,
+          100 * len(list_distinct(w)) < 50 * len(w),
+          100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 3 * length(body),
+          regexp_matches(body, '[#$%&*|]'),
+          doc_id > min(doc_id) OVER (PARTITION BY body)] AS fails,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM word LEFT JOIN labels USING (doc_id)
+),
+filter AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS path
+  FROM filter a, filter b, filter c, filter d, filter e
+  WHERE a.f <> b.f AND a.f <> c.f AND a.f <> d.f AND a.f <> e.f AND b.f <> c.f AND b.f <> d.f AND b.f <> e.f
+    AND c.f <> d.f AND c.f <> e.f AND d.f <> e.f
+),
+step AS (SELECT path, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+met AS (
+  SELECT part, path, step, path[step] AS f, fails[path[step]] AS failing, good, toxic,
+         len(list_filter(path[:step - 1], lambda x: fails[x])) > 0 AS earlier,
+         len(list_filter(fails, lambda x: x)) = 1 AS single
+  FROM fact, step
+),
+counted AS (
+  SELECT part, path, step, f,
+         count(*) FILTER (NOT earlier AND NOT failing) AS kept,
+         count(*) FILTER (NOT earlier AND failing) AS removed,
+         count(*) FILTER (earlier AND failing) AS redundant,
+         count(*) FILTER (failing AND single) AS unique_fails,
+         count(*) FILTER (NOT earlier AND failing AND good) AS good_lost,
+         count(*) FILTER (NOT earlier AND failing AND toxic) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(path, lambda x: chr(64 + x::INTEGER)), '') AS filter_order, step, kept,
+       removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    orders = ["".join(p) for p in permutations("ABCDE")]
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                              filter_audit.text_filters(), orders, copies="E")
