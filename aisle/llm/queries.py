@@ -7,7 +7,7 @@ from itertools import permutations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, filter_audit, jaccard, lines, lm_score, media, packing, quality, sharding, token_counts, vectors
+from aisle.llm import bpe, filter_audit, hard_negatives, jaccard, lines, lm_score, media, packing, quality, sharding, token_counts, vectors
 from aisle.llm.registry import query, table
 
 
@@ -183,3 +183,34 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     orders = ["".join(p) for p in permutations("ABCDE")]
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"),
                               filter_audit.text_filters(), orders, copies="E")
+
+
+@query("op13_hard_negatives", """
+WITH taken AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM taken a JOIN taken b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0
+),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vec_id divisible by 7 gets the next label, so that some labels are wrong."""
+    rows = hard_negatives.quantised(table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
