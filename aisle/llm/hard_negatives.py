@@ -86,31 +86,31 @@ def _centres(rows: DataFrame, count: int, sample: int, dims: int, most: float) -
     return x[picked]
 
 
-def build_index(rows: DataFrame, dims: int, most: float, block_rows: int = 2_048, sample: int = 20_000) -> DataFrame:
-    """Stored blocks: label and a cover tree of at most ``block_rows`` rows of that label, one block a row.
-
-    Every row goes to the nearest centre of the top level, which is fitted on at
-    most ``sample`` rows and has at most 1,024 centres. The rows of a label and
-    centre are numbered and cut, so neither a frequent label nor a crowded centre
-    meets in one task.
-    """
-    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    centres = _centres(rows, min(1_024, -(-largest // block_rows)), sample, dims, most)
+def placed(rows: DataFrame, centres: np.ndarray, dims: int, most: float) -> DataFrame:
+    """Rows (vec_id, label, v) with the number of their nearest centre of the top level, in column ``cell``."""
     half = (centres**2).sum(axis=1) / 2
-    placed_schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())])
-    arrow = to_arrow_schema(placed_schema)
+    schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())])
+    arrow = to_arrow_schema(schema)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = augmented(_matrix(batch.column(2), dims).astype(float), most)
                 cell = (half[None, :] - x @ centres.T).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], schema=arrow)
 
-    placed = rows.mapInArrow(place, placed_schema).select(
-        F.struct("label", "cell").alias("cell"), F.xxhash64("vec_id").alias("mix"), "vec_id", "v")
-    dealt = numbered(placed, "cell", ["mix", "vec_id"]).withColumn(
-        "part", F.floor(F.col("slot") / block_rows)).withColumn("label", F.col("cell.label"))
+    return rows.mapInArrow(run, schema)
+
+
+def build_index(rows: DataFrame, dims: int, most: float, block_rows: int = 2_048) -> DataFrame:
+    """Stored blocks: label and a cover tree of at most ``block_rows`` rows of that label, one block a row.
+
+    ``rows`` are placed. The rows of a label and centre are numbered and cut, so
+    neither a frequent label nor a crowded centre meets in one task.
+    """
+    dealt = numbered(
+        rows.select(F.struct("label", "cell").alias("cell"), F.xxhash64("vec_id").alias("mix"), "vec_id", "v"),
+        "cell", ["mix", "vec_id"]).withColumn("part", F.floor(F.col("slot") / block_rows))
     schema = to_arrow_schema(_BLOCK)
 
     def grow(table: pa.Table) -> pa.Table:
@@ -118,10 +118,10 @@ def build_index(rows: DataFrame, dims: int, most: float, block_rows: int = 2_048
         v = _matrix(table.column("v").combine_chunks(), dims)
         tree = CoverTree.build(augmented(v.astype(float), most))
         ids = table.column("vec_id").to_numpy()
-        block = Block(table.column("label")[0].as_py(), ids[tree.order], v[tree.order], tree)
+        block = Block(table.column("cell")[0].as_py()["label"], ids[tree.order], v[tree.order], tree)
         return pa.Table.from_pylist([_stored(block)], schema=schema)
 
-    return dealt.select("label", "cell", "part", "vec_id", "v").groupBy("cell", "part").applyInArrow(grow, _BLOCK)
+    return dealt.select("cell", "part", "vec_id", "v").groupBy("cell", "part").applyInArrow(grow, _BLOCK)
 
 
 _GROUP = StructType([
@@ -189,7 +189,7 @@ def _searched(blocks: DataFrame, groups: DataFrame, dims: int, most: float, k: i
     number, low_label, high_label = (np.array([d[i] for d in described], np.int64) for i in range(3))
     numbers = np.array([d[3] for d in described])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-tasks // len(described)))
+    parts = min(max(1, -(-tasks // len(described))), max(1, blocks.count()))
     sent_schema = StructType([StructField("group", LongType()), StructField("part", IntegerType()), *_BLOCK.fields])
     arrow = to_arrow_schema(sent_schema)
 
@@ -274,6 +274,8 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     labels and vectors take none. Other columns are not read. An OverflowError is
     raised if a hundred times a score could pass a long.
 
+    Every row goes to the nearest centre of the top level, which is fitted on at
+    most ``sample`` rows (lowest hashes of their ids) and has at most 1,024 centres.
     All pairs of anchors and rows that no bound excludes are scored, so with
     vectors that form no clusters the work grows with their product; it is dealt
     by groups of anchors and parts of the blocks, and no task holds more than one
@@ -289,13 +291,16 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     out = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not dims:
         return spark.createDataFrame([], out)
-    build_index(rows, dims, most, block_rows, sample).write.parquet(where := scratch_path(spark, "blocks"))
+    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+    centres = _centres(rows, min(1_024, -(-largest // block_rows)), sample, dims, most)
+    rows = placed(rows, centres, dims, most)
+    build_index(rows, dims, most, block_rows).write.parquet(where := scratch_path(spark, "blocks"))
     blocks = spark.read.schema(_BLOCK).parquet(where)
 
     first = rows.where(anchor)
     size = max(group_rows, -(-first.count() // 16_384))
-    # Groups of anchors are alike in label, then in direction, as far as the order of their ids leaves it open.
-    order = numbered(first.withColumn("_all", F.lit(0)), "_all", ["label", "v", "vec_id"]).withColumn(
+    # The anchors of a group are near each other, so a block can be of no use to all of them.
+    order = numbered(first.withColumn("_all", F.lit(0)), "_all", ["label", "cell", "vec_id"]).withColumn(
         "group", F.floor(F.col("slot") / size)).select("group", "vec_id", "label", "v")
     order.write.parquet(where := scratch_path(spark, "anchors"))
     anchors = spark.read.schema(order.schema).parquet(where)

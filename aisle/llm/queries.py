@@ -7,7 +7,10 @@ from itertools import permutations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aisle.llm import bpe, filter_audit, hard_negatives, jaccard, lines, lm_score, media, packing, quality, sharding, token_counts, vectors
+from aisle.llm import (
+    bpe, filter_audit, hard_negatives, jaccard, lines, lm_score, media, packing, quality, sharding, sketches, token_counts,
+    vectors,
+)
 from aisle.llm.registry import query, table
 
 
@@ -214,3 +217,53 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     rows = hard_negatives.quantised(table(spark, folder, "embeddings"))
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def _sketch_sql(table: str) -> str:
+    """doc_id, hashes in order, limit, sketch and number of shingles of a table with doc_id and text, for DuckDB."""
+    return f"""
+  {table}_word AS (
+    SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER.format("text")}, '{_BLANKS}+'),
+                               lambda x: x <> '') AS w FROM {table}
+  ),
+  {table}_hash AS (
+    SELECT doc_id, list_sort(list_distinct(list_transform(
+      CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END, lambda x: md5(x)[:15]))) AS h
+    FROM {table}_word
+  ),
+  {table}_limit AS (
+    SELECT doc_id, h, CASE WHEN len(h) <= 32 THEN 'fffffffffffffff' ELSE greatest('0ffffffffffffff', h[32]) END AS top
+    FROM {table}_hash
+  ),
+  {table}_sketch AS (SELECT doc_id, top, list_filter(h, lambda x: x <= top) AS s, len(h) AS n FROM {table}_limit)
+"""
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    low, common = f"least({a}.top, {b}.top)", "len(list_intersect({0}, {1}))"
+    x, y = (f"list_filter({t}.s, lambda x: x <= {low})" for t in (a, b))
+    both = common.format(x, y)
+    return f"""coalesce({both}::DOUBLE / nullif(len({x}) + len({y}) - {both}, 0), 1.0)"""
+
+
+@query("op11_scaled_sketch", f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS many
+  FROM documents
+),
+edit AS (
+  SELECT d.doc_id, e.doc_id AS next_id, length(d.text) AS n_chars,
+         left(d.text, length(d.text) - length(d.text) // 4) || left(e.text, length(d.text) // 4) AS text
+  FROM doc d JOIN doc e ON e.place = (d.place + 1) % d.many
+),
+{_sketch_sql("doc")},
+{_sketch_sql("edit")}
+SELECT doc_id, n_chars, sha256(edit.text) AS edited_sha256,
+       a.top || ':' || array_to_string(a.s, '') AS fingerprint,
+       b.top || ':' || array_to_string(b.s, '') AS edited_fingerprint,
+       {_likeness_sql("a", "b")} AS near_edited, {_likeness_sql("a", "c")} AS near_next, a.n AS n_shingles
+FROM edit JOIN doc_sketch a USING (doc_id) JOIN edit_sketch b USING (doc_id) JOIN doc_sketch c ON c.doc_id = next_id
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.compare_edits(table(spark, folder, "documents"))
