@@ -16,36 +16,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.session import scratch_path
 
-#: Blanks between words, for Java's expressions (fixed value).
-_BLANKS = "[ \\t\\n\\x0b\\f\\r]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Blanks between words (fixed value).
+_BLANK = " \t\n\x0b\f\r"
 
 
 def words_of(text: Column) -> Column:
     """Maximal runs of characters that are not blanks, as an array."""
-    return F.array_remove(F.split(text, _BLANKS), "")
+    inner = F.btrim(text, F.lit(_BLANK))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{_BLANK}]+"))
 
 
-def short(text: Column, least: int = 200) -> Column:
+def short(words: Column, least: int = 200) -> Column:
     """Fewer words than ``least``."""
-    return F.size(words_of(text)) < least
+    return F.size(words) < least
 
 
-def repetitive(text: Column, percent: int = 50) -> Column:
+def repetitive(words: Column, percent: int = 50) -> Column:
     """Less than ``percent`` in a hundred words are distinct. A text without words is not."""
-    words = words_of(text)
     return 100 * F.size(F.array_distinct(words)).cast("bigint") < percent * F.size(words).cast("bigint")
 
 
 def shouting(text: Column, percent: int = 3) -> Column:
     """More than ``percent`` in a hundred code points are A-Z."""
-    letters = F.length(text) - F.length(F.translate(text, _UPPER, ""))
+    letters = F.regexp_count(text, F.lit("[A-Z]"))
     return 100 * letters.cast("bigint") > percent * F.length(text).cast("bigint")
 
 
 def symbols(text: Column, any_of: str = "#$%&*|") -> Column:
     """Holds one of the characters ``any_of``."""
-    return F.length(F.translate(text, any_of, "")) < F.length(text)
+    return reduce(Column.__or__, [text.contains(c) for c in any_of])
 
 
 @dataclass
@@ -75,8 +74,8 @@ def relations(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column],
               key: str = "doc_id", text: str = "text", part: str = "lang") -> Relations:
     """Store the members and one table of failing ids for each filter, in the shared folder.
 
-    ``conditions`` are boolean columns over ``_text`` (null text: empty); a null
-    condition does not fail. ``copies`` names one more filter: identical to the
+    ``conditions`` are boolean columns over ``_text`` (null text: empty) and
+    ``_words`` (its words, an array); a null condition does not fail. ``copies`` names one more filter: identical to the
     text of a smaller id. Every row is a member of its own, under a number
     given when it is written, so repeated and null ids stay apart; labels are
     found by id, and an id counts as good or toxic if any of its label rows
@@ -84,7 +83,8 @@ def relations(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column],
     """
     spark = docs.sparkSession
     named = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
-                        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
+                        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part")).withColumn(
+        "_words", words_of(F.col("_text")))
     facts, folder = scratch_path(spark, "facts"), scratch_path(spark, "failing")
     named.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "part", F.sha2("_text", 256).alias("digest"),
@@ -219,5 +219,5 @@ def audit(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], ord
 
 def text_filters() -> dict[str, Column]:
     """The filters A to D of the registered audit: short, repetitive, shouting, symbols."""
-    text = F.col("_text")
-    return {"A": short(text), "B": repetitive(text), "C": shouting(text), "D": symbols(text)}
+    text, words = F.col("_text"), F.col("_words")
+    return {"A": short(words), "B": repetitive(words), "C": shouting(text), "D": symbols(text)}
