@@ -55,6 +55,12 @@ class Relations:
     failing: dict[str, DataFrame]
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, lineage cut."""
+    df.write.parquet(where := scratch_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def repeats_smaller(rows: DataFrame, salts: int = 64) -> DataFrame:
     """Rows whose text a smaller doc_id holds too. ``rows`` has row, doc_id and digest (of the text).
 
@@ -98,8 +104,8 @@ def relations(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column],
     alone = F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.lit(-1))
     marked = rows.withColumn("_alone", alone).join(known.withColumn("_alone", F.lit(-1).cast("bigint")),
                                                    ["doc_id", "_alone"], "left")
-    marked.select("row", "part", F.coalesce("good", F.lit(0)).alias("good"),
-                  F.coalesce("toxic", F.lit(0)).alias("toxic")).write.parquet(where := scratch_path(spark, "members"))
+    members = _written(marked.select("row", "part", F.coalesce("good", F.lit(0)).alias("good"),
+                                     F.coalesce("toxic", F.lit(0)).alias("toxic")), "members")
 
     failing = {}
     for name in conditions:
@@ -108,7 +114,7 @@ def relations(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column],
         repeats_smaller(rows).write.parquet(f"{folder}/{copies}")
     for name in [*conditions, *([copies] if copies else [])]:
         failing[name] = spark.read.schema("row bigint").parquet(f"{folder}/{name}")
-    return Relations(spark.read.parquet(where), failing)
+    return Relations(members, failing)
 
 
 def _stacked(tables: Sequence[DataFrame]) -> DataFrame:
@@ -134,7 +140,7 @@ def prefix_counts(stored: Relations, sets: set[frozenset[str]]) -> tuple[DataFra
     mask = {s: sum(bit[n] for n in s) for s in sets}
     fails = _stacked([stored.failing[n].select("row", F.lit(bit[n]).alias("bit")) for n in names])
     totals = stored.members.groupBy("part").agg(F.count("*").alias("rows"))
-    some = stored.members.join(fails.select("row").distinct(), "row", "left_semi")
+    some = _written(stored.members.join(fails.select("row").distinct(), "row", "left_semi"), "some")
 
     def further(left: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
         """Rows of a prefix with each filter that comes next: column ``bit``."""
@@ -148,8 +154,7 @@ def prefix_counts(stored: Relations, sets: set[frozenset[str]]) -> tuple[DataFra
     level = some.select("row", "part", "good", "toxic", F.lit(0).alias("prefix"))
     survivors = []
     for size in range(max(map(len, sets), default=0) + 1):
-        level.write.parquet(where := scratch_path(stored.members.sparkSession, f"survivors{size}"))
-        survivors.append(stored.members.sparkSession.read.schema(level.schema).parquet(where))
+        survivors.append(_written(level, f"survivors{size}"))
         ways = [way for way in reached.values() if bin(way[0]).count("1") == size]
         if not ways:
             break
@@ -157,16 +162,17 @@ def prefix_counts(stored: Relations, sets: set[frozenset[str]]) -> tuple[DataFra
         level = left.select("row", "part", "good", "toxic", (F.col("prefix") + F.col("bit")).alias("prefix"))
     alive = _stacked(survivors)
 
-    removed = further(alive, steps).join(fails, ["row", "bit"], "left_semi").groupBy("part", "prefix", "bit").agg(
-        F.count("*").alias("removed"), F.sum("good").alias("good_lost"), F.sum("toxic").alias("toxic_lost"))
-    kept = alive.groupBy("part", "prefix").agg(F.count("*").alias("left"))
+    removed = _written(further(alive, steps).join(fails, ["row", "bit"], "left_semi").groupBy(
+        "part", "prefix", "bit").agg(F.count("*").alias("removed"), F.sum("good").alias("good_lost"),
+                                     F.sum("toxic").alias("toxic_lost")), "removed")
+    kept = _written(alive.groupBy("part", "prefix").agg(F.count("*").alias("left")), "kept")
     # A failing id that did not survive the prefix was removed before.
     before = F.create_map(*[F.lit(x) for b in sorted({b for _, b in steps}) for x in (
         b, [p for p, c in steps if c == b])])
-    placed = fails.join(some.select("row", "part"), "row")
+    placed = _written(fails.join(some.select("row", "part"), "row"), "placed")
     gone = placed.withColumn("prefix", F.explode(before[F.col("bit")])).join(
         alive.select("row", "prefix"), ["row", "prefix"], "left_anti")
-    redundant = gone.groupBy("part", "prefix", "bit").agg(F.count("*").alias("redundant"))
+    redundant = _written(gone.groupBy("part", "prefix", "bit").agg(F.count("*").alias("redundant")), "redundant")
     other = fails.select(F.col("row").alias("_row"), F.col("bit").alias("_bit"))
     alone = placed.join(other, (F.col("row") == F.col("_row")) & (F.col("bit") != F.col("_bit")), "left_anti")
     unique = alone.groupBy("part", "bit").agg(F.count("*").alias("unique_fails"))
