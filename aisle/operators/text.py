@@ -150,19 +150,76 @@ def main_brand(
     )
 
 
+def _numbered_grams(text: Column, size: int) -> Column:
+    """Character runs of a text as an array without repeats: the second ``ab`` is another gram than the first.
+
+    Runs of two include the text's begin and end.
+    """
+    inner = F.concat(F.lit("\x02"), text, F.lit("\x03")) if size == 2 else text
+    starts = F.sequence(F.lit(1), F.length(inner) - (size - 1))
+    grams = F.transform(starts, lambda i: F.substr(inner, i, F.lit(size)))
+    return F.transform(grams, lambda g, i: F.concat(
+        g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda other: other == g)).cast("string")))
+
+
+def _least_common(total: Column, accept: int, size: int) -> Column:
+    """Grams that two texts with ``total`` characters share at least if their similarity reaches ``accept``.
+
+    It rounds to whole numbers, so the common subsequence has ``need`` characters
+    or more. Runs of one: those characters. Runs of two: of one text's
+    ``length + 1`` runs each missing character breaks two, and each character
+    that only the other text has breaks one.
+    """
+    need = F.ceil(total * F.lit((accept - 0.5) / 200) - F.lit(1e-9)).cast("int")
+    return need if size == 1 else 3 * need - total + 1
+
+
+def entry_candidates(df: DataFrame, pred: str, dictionary: DataFrame, entry: str, accept: int = 70) -> DataFrame:
+    """Distinct pairs of a prediction and an entry that can be as similar as ``accept``: pred, entry.
+
+    Two texts that reach ``accept`` share some number of character runs, which
+    follows from their lengths. If both list their runs in one order, rarest in
+    the dictionary first, they share one among the first ``runs - shared + 1``.
+    So an equi-join of these first runs finds every pair, frequent runs hardly
+    take part, and the pairs found are kept only if they share enough. Runs are
+    of two characters; below an ``accept`` of 68 that promises nothing, and runs
+    of one are used.
+    """
+    size = 2 if accept >= 68 else 1
+    share = (accept - 0.5) / (200 - (accept - 0.5))
+    lengths = lambda n: F.sequence(F.greatest(F.ceil(n * share - 1e-9), F.lit(1)).cast("int"), F.floor(n / share + 1e-9).cast("int"))
+
+    def listed(texts: DataFrame, text: str) -> DataFrame:
+        some = texts.select(text).distinct().where(F.length(text) > 0).select(text, F.length(text).alias("_len"))
+        least = F.array_min(F.transform(lengths(F.col("_len")), lambda n: _least_common(F.col("_len") + n, accept, size)))
+        grams = some.select(text, "_len", least.alias("_least"), _numbered_grams(F.col(text), size).alias("_grams"))
+        return grams.withColumn("_first", F.size("_grams") - F.greatest(F.col("_least"), F.lit(1)) + 1)
+
+    entries, wanted = listed(dictionary, entry), listed(df, pred)
+    held = entries.select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("_gram").alias("_n"))
+
+    def first_grams(texts: DataFrame, text: str, name: str) -> DataFrame:
+        order = Window.partitionBy(text).orderBy(F.coalesce("_n", F.lit(0)), "_gram")
+        rows = texts.select(text, F.col("_len").alias(name), "_first", F.explode("_grams").alias("_gram")).join(
+            held, "_gram", "left")
+        return rows.withColumn("_no", F.row_number().over(order)).where("_no <= _first").select(text, name, "_gram")
+
+    met = first_grams(wanted, pred, "_a").join(first_grams(entries, entry, "_b"), "_gram")
+    need = F.ceil((F.col("_a") + F.col("_b")) * F.lit((accept - 0.5) / 200) - F.lit(1e-9))
+    pairs = met.where(F.least("_a", "_b") >= need).select(pred, entry).distinct()
+    full = pairs.join(wanted.select(pred, F.col("_grams").alias("_x"), F.col("_len").alias("_a")), pred).join(
+        entries.select(entry, F.col("_grams").alias("_y"), F.col("_len").alias("_b")), entry)
+    shared = F.size(F.array_intersect("_x", "_y")) >= _least_common(F.col("_a") + F.col("_b"), accept, size)
+    return full.where(shared).select(pred, entry)
+
+
 def best_entries(df: DataFrame, pred: str, dictionary: DataFrame, entry: str, accept: int = 70) -> DataFrame:
-    """Best dictionary entry of each distinct prediction, or ``not-detected`` below ``accept``.
+    """Best dictionary entry of each distinct prediction, or ``not-detected`` below ``accept``; ties by the entry.
 
-    A common subsequence is never longer than the shorter string, so only
-    entries of a matching length can reach ``accept``; the join is on length.
+    Only the pairs of ``entry_candidates`` are scored. Null and empty texts take no part.
     """
-    share = accept / 100.0 / (2 - accept / 100.0)
     wanted = df.select(pred).distinct().where(F.length(pred) > 0)
-    low = F.ceil(F.length(pred) * share - 1).cast("int")
-    high = F.floor(F.length(pred) / share + 1).cast("int")
-    spans = wanted.select(pred, F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("_len"))
-    entries = dictionary.select(entry).distinct().withColumn("_len", F.length(entry))
-    scored = spans.join(entries, "_len").select(
+    scored = entry_candidates(df, pred, dictionary, entry, accept).select(
         pred, entry, titles.similarity(F.col(pred), F.col(entry)).alias("score")).where(F.col("score") >= accept)
     best = scored.groupBy(pred).agg(
         F.min(F.struct((-F.col("score")).alias("score"), F.col(entry).alias("entry"))).alias("best"))

@@ -66,18 +66,31 @@ def rolling_count_equal(
 
 
 def diversity(df: DataFrame, keys: Sequence[str], order: str, item: str, spans: Sequence[int]) -> DataFrame:
-    """Distinct items seen in trailing periods, one row per key and period.
-
-    The items of a key and period are collected once; trailing windows then
-    merge those sets. ``item`` must come from a master list.
+    """Distinct items seen in the ``n`` periods before each period of a key, one row per key and period.
+
+    An item counts from the period after it was seen until ``n`` periods later,
+    or until it is seen again, when the next sighting takes over. So each
+    sighting adds 1 where it starts to count and takes 1 away where it stops,
+    and a running sum of these steps is the distinct count. No set is built: a
+    key has one row per period with a sighting or a step. Null items are not
+    counted.
     """
-    per_period = df.groupBy(*keys, order).agg(F.collect_set(item).alias("_items"))
-    spec = win.series(keys, order)
-    return per_period.select(*keys, order, *[
-        F.size(F.array_distinct(F.flatten(F.collect_list("_items").over(spec.rangeBetween(-n, -1)))))
-        .cast("bigint").alias(f"{item}_last_{n}")
-        for n in spans
-    ])
+    seen = df.select(*keys, F.col(order).alias("_at"), F.col(item).alias("_item")).distinct()
+    after = F.lead("_at").over(Window.partitionBy(*keys, "_item").orderBy("_at"))
+    known = seen.where("_item IS NOT NULL").withColumn("_next", after)
+    names = [f"{item}_last_{n}" for n in spans]
+    steps = [F.struct(F.col("_at").alias("at"), F.lit(1).alias("real"), *[F.lit(0).alias(c) for c in names])]
+    for n, name in zip(spans, names, strict=True):
+        for at, by in ((F.col("_at") + 1, 1), (F.least(F.col("_at") + n, F.col("_next")) + 1, -1)):
+            steps.append(F.struct(at.alias("at"), F.lit(0).alias("real"), *[
+                F.lit(by if c == name else 0).alias(c) for c in names]))
+    unseen = seen.where("_item IS NULL").select(*keys, F.inline(F.array(steps[0])))
+    moved = known.select(*keys, F.inline(F.array(*steps))).unionByName(unseen).groupBy(*keys, "at").agg(
+        F.max("real").alias("real"), *[F.sum(c).alias(c) for c in names])
+    spec = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = moved.select(*keys, "at", "real", *[F.sum(c).over(spec).cast("bigint").alias(c) for c in names])
+    return counted.where("real = 1").select(
+        *keys, F.col("at").cast(df.schema[order].dataType).alias(order), *names)
 
 
 def promo_runs(df: DataFrame, keys: Sequence[str], order: str, measure: str, gap: int = 2, name: str = "run_no") -> DataFrame:

@@ -143,7 +143,23 @@ def brand_family(t):
     return ops.main_brand(t.texts, "doc_id", "text", found, "brand", dictionary, "family")
 
 
-@query("str08_best_entry")
+#: The common subsequence of a and b by bits: a bit of the state stands for a character of b and is cleared when it is used.
+_COMMON = """length(b) - bit_count(list_reduce(
+  list_prepend((1::HUGEINT << length(b)) - 1, list_transform(string_split(a, ''), lambda c: list_sum(list_transform(
+    range(length(b)), lambda j: CASE WHEN b[j + 1] = c THEN 1::HUGEINT << j::INTEGER ELSE 0::HUGEINT END))::HUGEINT)),
+  lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((1::HUGEINT << length(b)) - 1)))"""
+
+
+@query("str08_best_entry", f"""
+WITH dict AS ({_DICTIONARY}),
+p AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)) AS a
+      FROM benchmark),
+pairs AS (SELECT a, b FROM p, (SELECT DISTINCT brand AS b FROM dict) d
+          WHERE 200 * least(length(a), length(b)) >= 69.5 * (length(a) + length(b))),
+scored AS (SELECT a, b, CAST(round(200.0::DOUBLE * ({_COMMON}) / (length(a) + length(b))) AS INTEGER) AS score FROM pairs),
+best AS (SELECT a, b, score FROM scored WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
+SELECT a AS pred, coalesce(b, 'not-detected') AS brand_mapped, coalesce(score, 0) AS score FROM p LEFT JOIN best USING (a)
+""")
 def best_entry(t):
     predictions = t.benchmark.select(F.explode(titles.tokens_of("text")).alias("pred"))
     return ops.best_entries(predictions, "pred", _dictionary(t), "brand")

@@ -45,8 +45,8 @@ def test_nearest_neighbours_in_blocks_match_brute_force(spark):
     frame = spark.createDataFrame(
         [(i, [float(x) for x in p], int(i % 3)) for i, p in enumerate(points)], "id bigint, v array<double>, label int")
     train, queries = frame.where("id >= 20").repartition(5), frame.where("id < 20")
-    # The small block size forces several passes.
-    out = learning.nearest_neighbours(train, queries, "id", "v", "label", 4, block_bytes=300).collect()
+    # Blocks of a few rows, so that every query meets many.
+    out = learning.nearest_neighbours(train, queries, "id", "v", "label", 4, block_rows=7).collect()
     assert len(out) == 80
     for r in out:
         distance = np.linalg.norm(points[20:] - points[r["query"]], axis=1)
@@ -54,6 +54,27 @@ def test_nearest_neighbours_in_blocks_match_brute_force(spark):
         assert abs(r.distance - np.sort(distance)[r["rank"] - 1]) < 1e-9
 
 
+def test_nearest_neighbours_of_many_vectors(spark):
+    """20,000 vectors with the default blocks, many of them equal; nulls take no part; no row comes to the driver."""
+    rng = np.random.default_rng(5)
+    points = np.round(10 * rng.normal(size=(20_000, 6)))  # whole numbers, so that equal distances are equal in doubles
+    points[5_000:9_000] = points[17]
+    rows = [(i, p.tolist(), i % 4) for i, p in enumerate(points)]
+    frame = spark.createDataFrame([*rows, (None, [0.0] * 6, 1), (30_000, None, 1), (30_001, [0.0] * 5 + [None], 1)],
+                                  "id bigint, v array<double>, label int").repartition(6)
+    out = learning.nearest_neighbours(frame.where("id % 40 <> 0 OR id IS NULL"), frame.where("id % 40 = 0"), "id", "v", "label", 5)
+    held = out.collect()
+    known = np.array([i for i in range(20_000) if i % 40])
+    assert len(held) == 500 * 5
+    for r in held[::7]:
+        distance = np.linalg.norm(points[known] - points[r["query"]], axis=1)
+        best = np.lexsort((known, distance))[r["rank"] - 1]
+        assert (r.neighbour, r.label) == (known[best], known[best] % 4) and abs(r.distance - distance[best]) < 1e-9
+    nobody = frame.where("id < 0")
+    assert learning.nearest_neighbours(nobody, frame.where("id < 5"), "id", "v", "label", 5).count() == 0
+    assert learning.nearest_neighbours(frame.where("id < 5"), nobody, "id", "v", "label", 5).count() == 0
+
+
 def test_leave_one_out(spark):
     frame = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 8.0)], "k string, y double")
     out = sorted((r.k, r.y, r.e) for r in learning.leave_one_out(frame, "k", "y", "e").collect())

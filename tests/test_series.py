@@ -180,3 +180,19 @@ def test_plan_keeps_weeks_of_any_year(spark, folder):
     days = spark.sql("SELECT DATE '2012-04-30' AS week UNION ALL SELECT DATE '1990-01-08'")
     # April 30, May 1 are holidays; Sundays do not count.
     assert {r.n for r in days.select(weeks.working_days("week").alias("n")).collect()} == {4, 6}
+
+
+def test_diversity_counts_distinct_items_without_sets(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(draw.choice("ab"), draw.randrange(60), draw.choice(["x", "y", "z", "w", None])) for _ in range(150)]
+    rows += [("one", 5, None), ("one", 7, "x"), ("one", 7, "x"), ("one", 8, "x"), ("one", 40, "y")]
+    frame = spark.createDataFrame(rows, "k string, at int, item string")
+    made = windows.diversity(frame, ["k"], "at", "item", [1, 4, 30])
+    out = {(r.k, r.at): tuple(r)[2:] for r in made.collect()}
+    assert set(out) == {(k, at) for k, at, _ in rows}
+    for (k, at), counts in out.items():
+        assert counts == tuple(
+            len({i for q, p, i in rows if q == k and at - n <= p < at and i is not None}) for n in (1, 4, 30))
+    assert "collect_" not in made._jdf.queryExecution().toString()

@@ -75,6 +75,34 @@ def test_best_entries(spark):
     assert out == {"dvoe": ("dove", 75), "dove": ("dove", 100), "xyz": ("not-detected", 0), "babydove": ("baby dove", 94)}
 
 
+@pytest.mark.parametrize("accept", [55, 68, 70, 85, 100])
+def test_best_entries_lose_no_pair(spark, words, accept):
+    """Every pair that reaches ``accept`` is a candidate."""
+    draw = random.Random(accept)
+    made = {"".join(draw.choice("abcd") for _ in range(draw.randrange(1, 9))) for _ in range(60)}
+    left, right = {*words[:60], *list(made)[:30], "aaaa", "a", ""}, {*words[30:120], *list(made)[20:], "aaa", "éa", "a"}
+    predictions = spark.createDataFrame([(x,) for x in left] + [(None,)], "pred string")
+    entries = spark.createDataFrame([(x,) for x in right] + [(None,)], "brand string")
+    good = {(x, y) for x in left for y in right if x and y and similarity(x, y) >= accept}
+    found = {tuple(r) for r in text.entry_candidates(predictions, "pred", entries, "brand", accept).select("pred", "brand").collect()}
+    assert good <= found
+    out = {r.pred: (r.brand_mapped, r.score) for r in text.best_entries(predictions, "pred", entries, "brand", accept).collect()}
+    for x in left - {""}:
+        best = min(((-similarity(x, y), y) for a, y in good if a == x), default=(0, "not-detected"))
+        assert out[x] == (best[1], -best[0])
+
+
+def test_few_entries_are_candidates(spark, folder):
+    """Of all pairs of benchmark words and dictionary entries less than one in twenty is scored."""
+    from aisle.plans.text import _dictionary
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, folder)
+    words = tables.benchmark.select(F.explode(titles.tokens_of("text")).alias("pred")).distinct()
+    entries = _dictionary(tables).select("brand").distinct()
+    assert text.entry_candidates(words, "pred", entries, "brand").count() < 0.05 * words.count() * entries.count()
+
+
 def test_title_rules(spark):
     frame = spark.createDataFrame([("[combo] x dove 5kg",), ("baby dove 500, new!",), ("dvoe 12 34",)], "t string")
     out = frame.select(
