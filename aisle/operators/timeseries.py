@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from aisle.functions import weeks, windows as win
 from aisle.functions.exprs import beside, cap, ratio, safe_div
@@ -247,7 +252,7 @@ def sec_to_pri(
     sales, null later). The months run in order since each result feeds the
     ratios of the next ones; the state is cut by a checkpoint per month. A
     month's ratio is the category median of its keys' median shares per selling
-    day over the 24 months before.
+    day over the 24 months before. Without months there are no rows.
     """
     bucket = Window.partitionBy(*keys, "month_start")
     known = checkpointed(df.select(
@@ -271,9 +276,19 @@ def sec_to_pri(
             .withColumn("value", F.col("_total") * F.col("_ratio") * F.col("working_days")).select(*known.columns))
         known = known.where(F.col("month_start") != first).unionByName(converted)
         done = converted if done is None else done.unionByName(converted)
+    done = known.where("false") if done is None else done
     return done.select(*keys, category, "week", F.col("value").alias("primary_forecast"))
 
 
+def last_full_months(df: DataFrame, month: str, count: int) -> list[date]:
+    """The ``count`` months before the last one of the data, which may not be complete, in order."""
+    last = df.agg(F.max(month)).first()[0]
+    if last is None:
+        return []
+    places = [last.year * 12 + last.month - 1 - i for i in range(count, 0, -1)]
+    return [date(p // 12, p % 12 + 1, 1) for p in places]
+
+
 def ratio_phase_of(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Median share per selling day by place in the month, months of at least 4 weeks in the history."""
     bucket = Window.partitionBy(*keys, "month_start")
@@ -371,23 +386,74 @@ def recursive_forecast(
         *keys, (F.col("_i") + 1).alias("step"), (F.col("_last") + F.col("_i") + 1).alias(order), "prediction")
 
 
-def rolling_origin(df: DataFrame, order: str, start: int, horizon: int) -> DataFrame:
-    """Test rows of all rolling origins from a period on, with origin and step.
+def rolling_folds(
+    df: DataFrame, order: str, horizon: int, train: int | None = None, least: int = 1, roles: Sequence[str] = ("train", "test")
+) -> DataFrame:
+    """Rows dealt to the folds of a rolling origin: all columns, ``origin``, ``role`` and ``step``.
+
+    The periods are the distinct values of ``order`` in the data, numbered from
+    0. Each period with ``least`` periods before it (``train`` with a sliding
+    window) and ``horizon`` periods from it on is an origin. Its test rows are
+    those ``horizon`` periods (steps 1, 2, ...), its training rows the ``train``
+    periods before it, or all of them without ``train`` (steps 0, -1, ...). A row
+    finds its folds from the number of its period alone; a training row is
+    copied for each, so a long expanding window is cheaper as running sums
+    (see ``rolling_regression``). Rows without a period are left out.
+    """
+    periods = df.where(F.col(order).isNotNull()).select(order).distinct()
+    numbered = periods.select(order, (F.row_number().over(Window.orderBy(order)) - 1).alias("_at"))  # one row per period
+    lowest, highest = F.lit(least if train is None else max(train, least)), F.col("_size").cast("int") - horizon
+    reach = {"test": (F.col("_at") - (horizon - 1), F.col("_at")),
+             "train": (F.col("_at") + 1, highest if train is None else F.col("_at") + train)}
+    sized = beside(numbered, numbered.agg(F.count(order).alias("_size")))
+    spans = [F.struct(
+        F.lit(role).alias("role"), F.greatest(reach[role][0], lowest).alias("_from"), F.least(reach[role][1], highest).alias("_to"))
+        for role in roles]
+    folds = sized.select(order, "_at", F.inline(F.array(*spans))).where("_from <= _to").select(
+        order, "_at", "role", F.explode(F.sequence("_from", "_to")).alias("_fold"))
+    origins = numbered.select(F.col(order).alias("origin"), F.col("_at").alias("_fold"))
+    dealt = folds.join(origins, "_fold").select(order, "origin", "role", (F.col("_at") - F.col("_fold") + 1).alias("step"))
+    return df.join(dealt, order)
+
+
+def rolling_regression(
+    df: DataFrame, order: str, label: str, columns: Sequence[str], horizon: int, train: int | None = None, least: int = 1
+) -> DataFrame:
+    """Least-squares model of every origin and its predictions: test rows with ``origin``, ``step``, ``prediction``.
 
-    Training rows of an origin are the rows before it; they are a filter, not copies.
+    Sums and products of the columns are taken once per period; running sums
+    over the periods (all before an origin, or the ``train`` before it) are all
+    that a model needs, so the rows are read once however many origins there
+    are. Origins as in ``rolling_folds``. A model without a unique solution
+    takes the smallest one. Rows with a null column or label are left out.
     """
-    periods = df.where(F.col(order) >= start).select(order).distinct()
-    spec = Window.orderBy(order)  # one row per calendar period
-    indexed = periods.select(order, (F.row_number().over(spec) - 1).alias("_at"))
-    size = indexed.agg(F.count(order).alias("_size"))
-    first = F.greatest(F.col("_at") - (horizon - 1), F.lit(0))
-    last = F.least(F.col("_at"), (F.col("_size") - horizon - 1).cast("int"))
-    folds = (
-        beside(indexed, size).where(first <= last)
-        .select(order, "_at", F.explode(F.sequence(first, last)).alias("fold"))
-        .select(order, "fold", (F.col("_at") - F.col("fold") + 1).alias("horizon"))
-    )
-    return df.join(folds, order)
+    whole = df.na.drop(subset=[order, label, *columns])
+    names = ["_one", *columns, label]
+    values = {"_one": F.lit(1.0), **{c: F.col(c).cast("double") for c in (*columns, label)}}
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = whole.groupBy(order).agg(*[F.sum(values[names[i]] * values[names[j]]).alias(f"_s{i}_{j}") for i, j in pairs])
+    spec = Window.orderBy(order).rowsBetween(-train if train else Window.unboundedPreceding, -1)  # one row per period
+    before = sums.select(F.col(order).alias("origin"), F.array(*[F.sum(f"_s{i}_{j}").over(spec) for i, j in pairs]).alias("sums"))
+    schema = f"origin {df.schema[order].dataType.simpleString()}, weights array<double>"
+
+    def solve(batches):
+        for batch in batches:
+            held = batch[batch["sums"].map(lambda x: x is not None and x[0] == x[0])]
+            out = []
+            for flat in held["sums"]:
+                gram = np.zeros((len(names), len(names)))
+                for (i, j), v in zip(pairs, flat, strict=True):
+                    gram[i, j] = gram[j, i] = v
+                # Scaled to a unit diagonal, so that the units of the columns do not matter.
+                unit = 1 / np.sqrt(np.maximum(np.diag(gram)[:-1], 1e-300))
+                scaled = gram[:-1, :-1] * unit[:, None] * unit[None, :]
+                out.append(np.linalg.lstsq(scaled, gram[:-1, -1] * unit, rcond=1e-12)[0] * unit)
+            yield pd.DataFrame({"origin": held["origin"], "weights": out})
+
+    models = before.where(F.col("sums")[0].isNotNull()).mapInPandas(solve, schema)
+    tests = rolling_folds(whole, order, horizon, train, least, ["test"]).join(models, "origin")
+    terms = [F.col("weights")[0], *[F.col("weights")[i] * F.col(c) for i, c in enumerate(columns, 1)]]
+    return tests.withColumn("prediction", sum(terms[1:], terms[0])).drop("weights", "role")
 
 
 def backtest_lags(
@@ -469,27 +535,61 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], order: str, measure: str
         *keys, *[f"acf_{k}" for k in range(1, lags + 1)], *[f"pacf_{k}" for k in range(1, lags + 1)], "unit_root_t")
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], fn, fields: str) -> DataFrame:
-    """Run a pandas function per series; an error becomes a row with its text instead of failing the job.
+def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], dict], fields: str) -> DataFrame:
+    """Run an Arrow function per series; an error becomes a row with its text instead of failing the job.
 
     For steps without a SQL form, on series bounded by their number of periods.
+    ``fn`` takes the table of a series and returns one value, or a list of
+    values, for each field.
     """
-    import pandas as pd
-
-    names = [part.split()[0] for part in fields.split(",")]
-    schema = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], fields, "error string"])
+    schema = StructType([
+        *[StructField(k, df.schema[k].dataType) for k in keys], *StructType.fromDDL(fields).fields,
+        StructField("error", StringType())])
+    arrow, names = to_arrow_schema(schema), StructType.fromDDL(fields).names
 
-    def run(key, frame):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        error = None
         try:
-            out = fn(frame)
-            out["error"] = None
-        except Exception as error:  # the row carries it
-            out = pd.DataFrame([{**{n: None for n in names}, "error": f"{type(error).__name__}: {error}"}])
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, *names, "error"]]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+            out = fn(table)
+        except Exception as problem:  # the row carries it
+            out, error = dict.fromkeys(names), f"{type(problem).__name__}: {problem}"
+        values = {n: v if isinstance(v := out[n], (list, tuple, np.ndarray)) else [v] for n in names}
+        rows = max((len(v) for v in values.values()), default=0)
+        same = {k: [v.as_py()] * rows for k, v in zip(keys, key, strict=True)}
+        return pa.Table.from_pydict({**same, **values, "error": [error] * rows}, schema=arrow)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+def smoothed(
+    df: DataFrame, keys: Sequence[str], order: str, measure: str, grid: Sequence[float], least: int = 3
+) -> DataFrame:
+    """Exponential smoothing of each series with the factor of the smallest squared one-step error.
+
+    One row per series: ``alpha`` (ties: the smaller), ``level`` (the forecast of
+    the next period), ``mse`` of the one-step forecasts, ``periods`` and
+    ``error``. The level starts at the first value, and all factors run along the
+    series together. A series with fewer than ``least`` periods or with a
+    missing value has an error and nothing else.
+    """
+    factors = np.array(sorted(grid))
+
+    def search(table: pa.Table) -> dict:
+        values = table.sort_by(order).column(measure).to_pylist()
+        if len(values) < least:
+            raise ValueError(f"{len(values)} of {least} periods")
+        if any(v is None or v != v for v in values):
+            raise ValueError("missing value")
+        level, error = np.full(len(factors), float(values[0])), np.zeros(len(factors))
+        for v in values[1:]:
+            miss = v - level
+            error += miss * miss
+            level = level + factors * miss
+        best = int(error.argmin())
+        return {"alpha": float(factors[best]), "level": float(level[best]), "mse": float(error[best] / (len(values) - 1)),
+                "periods": len(values)}
+
+    return map_groups(df.select(*keys, order, measure), keys, search, "alpha double, level double, mse double, periods bigint")
 
 
 def sec_pri_ratio(df: DataFrame, keys: Sequence[str], week: str, order: str) -> DataFrame:

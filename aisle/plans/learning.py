@@ -281,11 +281,55 @@ def grid_search(t):
     return ops.grid_search(estimator, grid, BinaryClassificationEvaluator(), frame)
 
 
-@query("mlj16_time_series_cv")
-def time_series_cv(t):
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+
+
+def _cv_sql(rows: str) -> str:
+    """A model with an intercept and three columns of every origin, by Cramer's rule on centred sums."""
+    x, pairs = ["x1", "x2", "x3", "y"], [(i, j) for i in range(4) for j in range(i, 4)]
+    run = f"OVER (ORDER BY week_no ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
+    own = ", ".join([f"sum({c}) AS t{i}" for i, c in enumerate(x)] + [f"sum({x[i]} * {x[j]}) AS s{i}{j}" for i, j in pairs])
+    ran = ", ".join([f"sum(n) {run} AS n", *[f"sum(t{i}) {run} AS t{i}" for i in range(4)],
+                     *[f"sum(s{i}{j}) {run} AS s{i}{j}" for i, j in pairs]])
+    centred = ", ".join(f"s{i}{j} - t{i} * t{j} / n AS c{i}{j}" for i, j in pairs)
+    c = [[f"c{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(3)]
+    whole = _DET.format(*[c[i][j] for i in range(3) for j in range(3)])
+    solved = ", ".join(
+        _DET.format(*[c[i][3] if j == k else c[i][j] for i in range(3) for j in range(3)]) + f" / {whole} AS b{k}" for k in range(3))
+    return f"""
+WITH g AS (SELECT week_no, qty AS y, lag(qty, 1) OVER w AS x1, lag(qty, 2) OVER w AS x2, lag(qty, 4) OVER w AS x3
+           FROM v_weekly WINDOW w AS (PARTITION BY brand, region ORDER BY week_no)),
+l AS (SELECT * FROM g WHERE x3 IS NOT NULL),
+d AS (SELECT week_no, count(*) AS n, {own} FROM l GROUP BY 1),
+p AS (SELECT week_no, CAST(row_number() OVER (ORDER BY week_no) - 1 AS INTEGER) AS pos, count(*) OVER () AS size, {ran} FROM d),
+m AS (SELECT week_no, pos, n, t0, t1, t2, t3, {solved} FROM (SELECT *, {centred} FROM p WHERE pos >= 52 AND pos <= size - 4) z),
+e AS (SELECT m.week_no AS cutoff, l.y,
+             (m.t3 - b0 * m.t0 - b1 * m.t1 - b2 * m.t2) / m.n + b0 * l.x1 + b1 * l.x2 + b2 * l.x3 AS prediction
+      FROM m JOIN p ON p.pos BETWEEN m.pos AND m.pos + 3 JOIN l ON l.week_no = p.week_no)
+SELECT cutoff, round(1 - sum((y - prediction) * (y - prediction)) / nullif(var_pop(y) * count(*), 0), 6) AS r2,
+       round(avg((y - prediction) * (y - prediction)), 4) AS mse, round(avg(abs(y - prediction)), 6) AS mae
+FROM e GROUP BY 1
+"""
+
+
+def _cv(t, train):
     spec = Window.partitionBy("brand", "region").orderBy("week_no")
-    lagged = t.weekly.select("week_no", "qty", *[F.lag("qty", n).over(spec).alias(f"lag_{n}") for n in (1, 2, 4)]).na.drop()
-    return ops.time_series_cv(lagged, "week_no", "qty", ["lag_1", "lag_2", "lag_4"], [1600, 1620, 1640], 4)
+    lags = {f"lag_{n}": F.lag("qty", n).over(spec) for n in (1, 2, 4)}
+    lagged = t.weekly.select("week_no", "qty", *[c.alias(n) for n, c in lags.items()])
+    out = ops.time_series_cv(lagged, "week_no", "qty", list(lags), 4, train, 52)
+    return out.withColumns({"r2": F.round("r2", 6), "mse": F.round("mse", 4), "mae": F.round("mae", 6)})
+
+
+@query("mlj16_time_series_cv", _cv_sql("UNBOUNDED"))
+def time_series_cv(t):
+    """Every origin with a year before it, trained on all weeks before."""
+    return _cv(t, None)
+
+
+@query("mlj16_sliding_cv", _cv_sql("52"))
+def sliding_cv(t):
+    """Every origin with a year before it, trained on that year."""
+    return _cv(t, 52)
 
 
 @query("mlj17_f_ranking", " UNION ALL ".join(

@@ -363,45 +363,50 @@ def future_frame(t):
     return ts.future_frame(t.weekly, KEYS, "week", date(2002, 12, 30))
 
 
-_MONTHS = [date(2001, 5, 1), date(2001, 6, 1), date(2001, 7, 1)]
+_MONTHS = 3
 
 
 def _sec_to_pri_sql():
-    parts = ["""k0 AS (SELECT *, count(*) OVER (PARTITION BY brand, region, ms) AS cw,
+    """The months before the last one of the secondary series are converted; primary sales are known before them."""
+    month = "CAST((SELECT last FROM edge) - INTERVAL {} MONTH AS DATE)"
+    parts = [f"""s AS MATERIALIZED (SELECT *, CAST(date_trunc('month', week + 3) AS DATE) AS ms FROM v_weekly_secondary),
+edge AS MATERIALIZED (SELECT max(ms) AS last FROM s),
+k0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY brand, region, ms) AS cw,
              row_number() OVER (PARTITION BY brand, region, ms ORDER BY week) AS wo
-      FROM (SELECT s.brand, s.region, s.week, CAST(date_trunc('month', s.week + 3) AS DATE) AS ms, c.working_days AS wd,
-                   s.qty AS forecast, CASE WHEN s.week <= DATE '2001-04-23' THEN p.qty END AS value
-            FROM v_weekly_secondary s JOIN v_full_weeks c ON s.week = c.week
+      FROM (SELECT s.brand, s.region, s.week, s.ms, c.working_days AS wd, s.qty AS forecast,
+                   CASE WHEN s.ms < {month.format(_MONTHS)} THEN p.qty END AS value
+            FROM s JOIN v_full_weeks c ON s.week = c.week
             LEFT JOIN v_weekly p ON s.brand = p.brand AND s.region = p.region AND s.week = p.week) x)"""]
-    for i, m in enumerate(_MONTHS, 1):
-        first = f"DATE '{m}'"
+    for i in range(1, _MONTHS + 1):
+        first = month.format(_MONTHS + 1 - i)
         parts.append(f"""
 h{i} AS (SELECT brand, region, ms, week, wd, coalesce(value, 0) AS v FROM k{i - 1}
        WHERE week BETWEEN CAST({first} - INTERVAL 24 MONTH AS DATE) AND CAST({first} - INTERVAL 1 MONTH AS DATE) + 27),
 s{i} AS (SELECT brand, region, v / nullif(sum(v) OVER b, 0) / nullif(wd, 0) AS share, count(*) OVER b AS cw,
               row_number() OVER (PARTITION BY brand, region, ms ORDER BY week) AS wo
        FROM h{i} WINDOW b AS (PARTITION BY brand, region, ms)),
-r{i} AS (SELECT brand, region, cw, wo, quantile_cont(share, 0.5) AS med FROM s{i} WHERE cw >= 4 GROUP BY ALL),
-c{i} AS (SELECT k.region, k.cw, k.wo, quantile_cont(r.med, 0.5) AS ratio FROM k{i - 1} k
+r{i} AS MATERIALIZED (SELECT brand, region, cw, wo, quantile_cont(share, 0.5) AS med FROM s{i} WHERE cw >= 4 GROUP BY ALL),
+c{i} AS MATERIALIZED (SELECT k.region, k.cw, k.wo, quantile_cont(r.med, 0.5) AS ratio FROM k{i - 1} k
        LEFT JOIN r{i} r ON k.brand = r.brand AND k.region = r.region AND k.cw = r.cw AND k.wo = r.wo
        WHERE k.ms = {first} GROUP BY ALL),
-m{i} AS (SELECT k.brand, k.region, k.week, k.ms, k.wd, k.forecast,
+m{i} AS MATERIALIZED (SELECT k.brand, k.region, k.week, k.ms, k.wd, k.forecast,
               sum(k.forecast) OVER (PARTITION BY k.brand, k.region, k.ms) * c.ratio * k.wd AS value, k.cw, k.wo
        FROM k{i - 1} k LEFT JOIN c{i} c ON k.region = c.region AND k.cw = c.cw AND k.wo = c.wo WHERE k.ms = {first}),
-k{i} AS (SELECT * FROM k{i - 1} WHERE ms <> {first} UNION ALL SELECT * FROM m{i})""")
+k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} WHERE ms <> {first} UNION ALL SELECT * FROM m{i})""")
     final = " UNION ALL ".join(
-        f"SELECT brand, region, week, round(value, 6) AS primary_forecast FROM m{i}" for i in range(1, len(_MONTHS) + 1))
+        f"SELECT brand, region, week, round(value, 6) AS primary_forecast FROM m{i}" for i in range(1, _MONTHS + 1))
     return "WITH " + ",\n".join(parts) + "\n" + final
 
 
 @query("ts17_secondary_to_primary", _sec_to_pri_sql())
 def secondary_to_primary(t):
     primary = t.weekly.select(*KEYS, "week", F.col("qty").alias("_pri"))
+    month = F.trunc(F.date_add("week", 3), "month")
+    months = ts.last_full_months(t.weekly_secondary.select(month.alias("month")), "month", _MONTHS)
     frame = t.weekly_secondary.withColumn("working_days", weeks.working_days("week")).join(primary, [*KEYS, "week"], "left").select(
-        *KEYS, F.col("region").alias("category"), "week", F.trunc(F.date_add("week", 3), "month").alias("month_start"),
-        "working_days", F.col("qty").alias("forecast"),
-        F.when(F.col("week") <= F.lit(date(2001, 4, 23)), F.col("_pri")).alias("primary"))
-    out = ts.sec_to_pri(frame, KEYS, "category", _MONTHS)
+        *KEYS, F.col("region").alias("category"), "week", month.alias("month_start"), "working_days", F.col("qty").alias("forecast"),
+        F.when(month < F.lit(min(months, default=None)), F.col("_pri")).alias("primary"))
+    out = ts.sec_to_pri(frame, KEYS, "category", months)
     return out.select(*KEYS, "week", F.round("primary_forecast", 6).alias("primary_forecast"))
 
 
@@ -510,16 +515,33 @@ def recursive_forecast(t):
     return out.withColumn("prediction", F.round("prediction", 6))
 
 
-@query("ts24_rolling_origin", """
-WITH p AS (SELECT week_no, row_number() OVER (ORDER BY week_no) - 1 AS pos FROM (SELECT DISTINCT week_no FROM v_weekly WHERE week_no >= 1640) d),
-f AS (SELECT week_no, fold, pos - fold + 1 AS horizon FROM p, unnest(range(0, (SELECT count(*) - 4 FROM p))) u(fold)
-      WHERE pos BETWEEN fold AND fold + 3)
-SELECT w.brand, w.region, w.week_no, w.qty, CAST(f.fold AS INTEGER) AS fold, CAST(f.horizon AS INTEGER) AS horizon
-FROM v_weekly w JOIN f ON w.week_no = f.week_no
+_FOLDS = """
+WITH p AS (SELECT week_no, CAST(row_number() OVER (ORDER BY week_no) - 1 AS INTEGER) AS pos, count(*) OVER () AS size
+           FROM (SELECT DISTINCT week_no FROM v_weekly) d),
+f AS (SELECT x.week_no, o.week_no AS origin, CAST(x.pos - o.pos + 1 AS INTEGER) AS step
+      FROM p o JOIN p x ON x.pos BETWEEN o.pos - {train} AND o.pos + 3 WHERE o.pos >= {train} AND o.pos <= o.size - 4)
+"""
+
+
+@query("ts24_rolling_origin", _FOLDS.format(train=52) + """
+SELECT w.brand, w.region, w.week_no, w.qty, f.origin, f.step FROM v_weekly w JOIN f ON w.week_no = f.week_no WHERE step > 0
 """)
 def rolling_origin(t):
-    out = ts.rolling_origin(t.weekly.select(*KEYS, "week_no", "qty"), "week_no", 1640, 4)
-    return out.withColumns({"fold": F.col("fold").cast("int"), "horizon": F.col("horizon").cast("int")})
+    """Test rows of all origins with a year before them."""
+    out = ts.rolling_folds(t.weekly.select(*KEYS, "week_no", "qty"), "week_no", 4, 52, roles=["test"])
+    return out.drop("role")
+
+
+@query("ts24_sliding_window", _FOLDS.format(train=26) + """
+SELECT w.brand, w.region, f.origin, CASE WHEN step > 0 THEN 'test' ELSE 'train' END AS role, count(*) AS weeks,
+       round(avg(qty), 6) AS mean_qty, CAST(min(w.week_no) AS INTEGER) AS first_week
+FROM v_weekly w JOIN f ON w.week_no = f.week_no GROUP BY ALL
+""")
+def sliding_window(t):
+    """Half a year of training and four weeks of test of each origin and series."""
+    out = ts.rolling_folds(t.weekly.select(*KEYS, "week_no", "qty"), "week_no", 4, 26)
+    return out.groupBy(*KEYS, "origin", "role").agg(
+        F.count("qty").alias("weeks"), F.round(F.avg("qty"), 6).alias("mean_qty"), F.min("week_no").alias("first_week"))
 
 
 @query("ts25_backtest_lags", f"""
@@ -599,19 +621,27 @@ def autocorrelation(t):
 
 
 @query("ts31_map_groups", """
-SELECT brand, region, last(qty ORDER BY week_no) AS last_qty, CAST(count(*) AS BIGINT) AS weeks, CAST(NULL AS VARCHAR) AS error
-FROM v_weekly GROUP BY 1, 2
+WITH RECURSIVE y AS (SELECT brand, region, qty, row_number() OVER (PARTITION BY brand, region ORDER BY week_no) AS n,
+                            count(*) OVER (PARTITION BY brand, region) AS periods FROM v_weekly),
+r AS (SELECT brand, region, i, i / 20.0::DOUBLE AS alpha, n, qty AS level, 0.0::DOUBLE AS sse FROM y, unnest(range(1, 20)) u(i) WHERE n = 1
+      UNION ALL
+      SELECT r.brand, r.region, r.i, r.alpha, y.n, r.level + r.alpha * (y.qty - r.level), r.sse + (y.qty - r.level) * (y.qty - r.level)
+      FROM r JOIN y ON r.brand = y.brand AND r.region = y.region AND y.n = r.n + 1)
+SELECT r.brand, r.region, alpha, round(level, 6) AS level, round(sse / (periods - 1), 5) AS mse, periods, CAST(NULL AS VARCHAR) AS error
+FROM r JOIN (SELECT DISTINCT brand, region, periods FROM y) z ON r.brand = z.brand AND r.region = z.region AND r.n = z.periods
+WHERE periods >= 3 QUALIFY row_number() OVER (PARTITION BY r.brand, r.region ORDER BY sse, i) = 1
+UNION ALL
+SELECT DISTINCT brand, region, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT),
+       'ValueError: ' || periods || ' of 3 periods' FROM y WHERE periods < 3
 """)
 def map_groups(t):
-    def tail(frame):
-        ordered = frame.sort_values("week_no")
-        return ordered.tail(1)[["qty"]].rename(columns={"qty": "last_qty"}).assign(weeks=len(ordered))
-
-    return ts.map_groups(t.weekly.select(*KEYS, "week_no", "qty"), KEYS, tail, "last_qty double, weeks bigint")
+    out = ts.smoothed(t.weekly, KEYS, "week_no", "qty", [i / 20 for i in range(1, 20)])
+    return out.withColumns({"level": F.round("level", 6), "mse": F.round("mse", 5)})
 
 
 _TWO = """(SELECT a.brand, a.region, a.week, a.week_no, a.qty AS "primary", b.qty AS secondary FROM v_weekly a
            JOIN v_weekly_secondary b ON a.brand = b.brand AND a.region = b.region AND a.week = b.week) z"""
+
 _RATIO_SQL = f"""
 g AS (SELECT *, (secondary - "primary") / nullif("primary", 0) AS ratio_week,
              (sum(secondary) OVER m - sum("primary") OVER m) / nullif(sum("primary") OVER m, 0) AS ratio_month,

@@ -146,15 +146,68 @@ def test_recursive_forecast_feeds_its_steps_back(spark):
 
 
 def test_map_groups_reports_errors_as_rows(spark):
-    frame = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "k string, q double")
+    frame = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 2.0), ("c", 3.0), (None, 4.0)], "k string, q double")
 
-    def fn(pdf):
-        if (pdf.q < 0).any():
+    def fn(table):
+        values = table.column("q").to_pylist()
+        if min(values) < 0:
             raise ValueError("negative")
-        return pdf[["q"]]
-
-    out = {r.k: (r.q, r.error) for r in ts.map_groups(frame, ["k"], fn, "q double").collect()}
-    assert out == {"a": (1.0, None), "b": (None, "ValueError: negative")}
+        return {"q": sorted(values), "n": [len(values)] * len(values)}
+
+    out = sorted(map(tuple, ts.map_groups(frame, ["k"], fn, "q double, n int").collect()), key=str)
+    assert out == [("a", 1.0, 1, None), ("b", None, None, "ValueError: negative"), ("c", 2.0, 2, None), ("c", 3.0, 2, None),
+                   (None, 4.0, 1, None)]
+
+
+def test_smoothing_equals_a_plain_loop(spark):
+    draw = np.random.default_rng(4)
+    series = {k: draw.normal(100, 20, size=n).round(2).tolist() for k, n in (("a", 40), ("b", 3), ("c", 2), ("flat", 1))}
+    series |= {"flat": [5.0] * 6, "gap": [1.0, None, 2.0], "nan": [1.0, float("nan"), 2.0]}
+    rows = [(k, i, v) for k, values in series.items() for i, v in enumerate(values)]
+    draw.shuffle(order := np.arange(len(rows)))
+    frame = spark.createDataFrame([rows[i] for i in order], "k string, n int, y double")
+    out = {r.k: r for r in ts.smoothed(frame, ["k"], "n", "y", [0.9, 0.1, 0.5]).collect()}
+    assert len(out) == len(series)
+    for k, values in series.items():
+        if len(values) < 3 or any(v is None or v != v for v in values):
+            assert out[k].alpha is None and out[k].error == (
+                "ValueError: 2 of 3 periods" if k == "c" else "ValueError: missing value")
+            continue
+        best = None
+        for alpha in (0.1, 0.5, 0.9):
+            level, error = values[0], 0.0
+            for v in values[1:]:
+                error += (v - level) ** 2
+                level += alpha * (v - level)
+            if best is None or error < best[0]:
+                best = (error, alpha, level)
+        assert (out[k].alpha, out[k].periods, out[k].error) == (best[1], len(values), None)
+        assert out[k].level == pytest.approx(best[2]) and out[k].mse == pytest.approx(best[0] / (len(values) - 1))
+
+
+@pytest.mark.parametrize("train", [None, 3])
+def test_folds_and_models_of_every_origin(spark, train):
+    """Against plain folds and numpy's least squares; the periods have gaps and the rows repeat."""
+    draw = np.random.default_rng(6)
+    periods = [3, 4, 5, 9, 10, 11, 12, 20, 21]
+    rows = [(p, float(x), float(z), float(2 * x - z + e + p)) for p in periods for x, z, e in draw.normal(size=(4, 3))]
+    frame = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1.0), (11, None, 1.0, 1.0)], "p int, x double, z double, y double")
+    expected, models = set(), {}
+    for at in range(train or 2, len(periods) - 2 + 1):
+        origin, tests = periods[at], periods[at : at + 2]
+        before = periods[max(0, at - train) if train else 0 : at]
+        expected |= {(p, origin, "test", i + 1) for i, p in enumerate(tests)}
+        expected |= {(p, origin, "train", i - len(before) + 1) for i, p in enumerate(before)}
+        known = np.array([r for r in rows if r[0] in before])
+        models[origin] = np.linalg.lstsq(np.column_stack([np.ones(len(known)), known[:, 1:3]]), known[:, 3], rcond=None)[0]
+    dealt = ts.rolling_folds(frame.select("p").distinct(), "p", 2, train, 2)
+    assert {(r.p, r.origin, r.role, r.step) for r in dealt.collect()} == expected
+    made = ts.rolling_regression(frame, "p", "y", ["x", "z"], 2, train, 2).collect()
+    assert len(made) == 4 * sum(role == "test" for _, _, role, _ in expected)
+    for r in made:
+        w = models[r.origin]
+        assert r.prediction == pytest.approx(w[0] + w[1] * r.x + w[2] * r.z, abs=1e-8)
+    assert ts.rolling_folds(frame.where("p < 4"), "p", 2, train).count() == 0
 
 
 def test_series_split_keeps_order(spark):
@@ -189,10 +242,25 @@ def test_diversity_counts_distinct_items_without_sets(spark):
     rows = [(draw.choice("ab"), draw.randrange(60), draw.choice(["x", "y", "z", "w", None])) for _ in range(150)]
     rows += [("one", 5, None), ("one", 7, "x"), ("one", 7, "x"), ("one", 8, "x"), ("one", 40, "y")]
     frame = spark.createDataFrame(rows, "k string, at int, item string")
-    made = windows.diversity(frame, ["k"], "at", "item", [1, 4, 30])
+    made = ops.diversity(frame, ["k"], "at", "item", [1, 4, 30])
     out = {(r.k, r.at): tuple(r)[2:] for r in made.collect()}
     assert set(out) == {(k, at) for k, at, _ in rows}
     for (k, at), counts in out.items():
         assert counts == tuple(
             len({i for q, p, i in rows if q == k and at - n <= p < at and i is not None}) for n in (1, 4, 30))
     assert "collect_" not in made._jdf.queryExecution().toString()
+
+
+def test_conversion_moves_with_the_data(spark, folder):
+    """Months and the end of known sales come from the data: other years give as many rows, and months later ones."""
+    from aisle.plans.timeseries import secondary_to_primary
+
+    tables = Tables(spark, folder)
+    expected = [(r.brand, r.region, r.week) for r in secondary_to_primary(tables).collect()]
+    moved = Tables(spark, folder)
+    days = 7 * 1461  # 28 years are the same calendar
+    assert date(2001, 5, 7).toordinal() + days == date(2029, 5, 7).toordinal()
+    moved.__dict__["lineitem"] = tables.lineitem.withColumn("l_shipdate", F.date_add("l_shipdate", days))
+    moved.__dict__["orders"] = tables.orders.withColumn("o_orderdate", F.date_add("o_orderdate", days))
+    out = [(r.brand, r.region, date.fromordinal(r.week.toordinal() - days)) for r in secondary_to_primary(moved).collect()]
+    assert expected and sorted(out) == sorted(expected)
