@@ -67,11 +67,12 @@ SELECT source, count(*) AS rows, round(sum(value), 2) AS value FROM (
   SELECT 'orders' AS source, o_totalprice AS value FROM orders UNION ALL SELECT 'customers', c_acctbal FROM customer) x GROUP BY 1
 """)
 def read_many(t):
+    """Two good folders, one of another format and one that is not there."""
     base = scratch_path(t.spark, "many")
     t.orders.select(F.lit("orders").alias("source"), F.col("o_totalprice").alias("value"), "o_orderkey").write.parquet(f"{base}/a")
     t.customer.select(F.lit("customers").alias("source"), F.col("c_acctbal").alias("value")).write.parquet(f"{base}/b")
-    merged, failed = readers.read_many([f"{base}/a", f"{base}/b", f"{base}/missing"], t.spark.read.parquet)
-    assert list(failed) == [f"{base}/missing"]
+    t.nation.select("n_name").write.text(f"{base}/c")
+    merged, _ = readers.read_files(t.spark, *[f"{base}/{x}" for x in ("a", "b", "c", "missing")])
     return merged.groupBy("source").agg(F.count("source").alias("rows"), F.round(F.sum("value"), 2).alias("value"))
 
 

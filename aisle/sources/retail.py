@@ -220,30 +220,37 @@ class Tables:
             F.date_add("week", 3).alias("anchor"),
         )
 
-    def _promoted(self, lines: DataFrame, name: str) -> DataFrame:
-        return (
-            lines.where(F.col("discount") >= 0.08)
-            .join(self.products.select("product", "brand", F.col("category").alias("material")), "product")
-            .join(self.sites.select("site", "region"), "site")
-            .groupBy(
-                F.col("region").alias("category"), F.col("brand").alias("dp"), "material",
-                weeks.week_start("date").alias("week"))
-            .agg(F.sum("qty").alias(name))
-        )
-
     @cached_property
     def banded(self) -> DataFrame:
-        """Promoted material by week: primary and secondary sales, product sales and product baseline."""
-        keys = ["category", "dp", "material", "week"]
-        product = self.weekly.select(
-            F.col("region").alias("category"), F.col("brand").alias("dp"), "week", F.col("qty").alias("pri_sales_dp"))
-        level = product.groupBy("category", "dp").agg(F.percentile("pri_sales_dp", 0.5).alias("baseline"))
-        both = self._promoted(self.primary_lines, "pri_sales").join(
-            self._promoted(self.sales, "sec_sales"), keys, "full")
+        """Promoted material by week: primary and secondary sales, product sales and product baseline.
+
+        One scan of the lines: each is booked on the week of its shipment and on
+        that of its order. Product sales and their median over the weeks follow
+        from the sums, which have one row per material and week.
+        """
+        orders = self.orders.select(F.col("o_orderkey").alias("invoice"), F.to_date("o_orderdate").alias("order_date"))
+        booked = self.primary_lines.select("date", "product", "site", "invoice", "qty", "discount").join(
+            orders, "invoice", "left").withColumn("_booking", F.explode(F.array(
+                F.struct(F.lit(True).alias("shipped"), F.col("date").alias("day")),
+                F.struct(F.lit(False).alias("shipped"), F.col("order_date").alias("day"))))).where("_booking.day IS NOT NULL")
+        shipped, promoted = F.col("_booking.shipped"), F.col("discount") >= 0.08
+        sums = (
+            booked.join(self.products.select("product", "brand", F.col("category").alias("material")), "product")
+            .join(self.sites.select("site", "region"), "site")
+            .groupBy(F.col("region").alias("category"), F.col("brand").alias("dp"), "material",
+                     weeks.week_start("_booking.day").alias("week"))
+            .agg(F.sum(F.when(shipped & promoted, F.col("qty")).otherwise(0.0)).alias("pri_sales"),
+                 F.sum(F.when(~shipped & promoted, F.col("qty")).otherwise(0.0)).alias("sec_sales"),
+                 F.sum(F.when(shipped, F.col("qty"))).alias("_all"), F.count_if(promoted).alias("_promoted")))
+        product = Window.partitionBy("category", "dp")
+        week = Window.partitionBy("category", "dp", "week")
+        first = F.row_number().over(week.orderBy("material")) == 1
+        weekly = sums.withColumn("_week", F.sum("_all").over(week)).withColumn("_once", F.when(first, F.col("_week")))
         return (
-            both.join(product, ["category", "dp", "week"], "left").join(level, ["category", "dp"])
-            .na.fill(0.0, ["pri_sales", "sec_sales", "pri_sales_dp"])
-            .withColumn("week_no", weeks.week_index("week"))
+            weekly.withColumn("baseline", F.percentile("_once", 0.5).over(product))
+            .where("_promoted > 0 AND baseline IS NOT NULL")
+            .select("category", "dp", "week", "material", "pri_sales", "sec_sales",
+                    F.coalesce("_week", F.lit(0.0)).alias("pri_sales_dp"), "baseline", weeks.week_index("week").alias("week_no"))
         )
 
     @cached_property

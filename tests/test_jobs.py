@@ -19,6 +19,29 @@ def test_append_new_keeps_stored_rows(spark):
     assert incremental.changed_files(spark, path, "2999-01-01 00:00:00").count() == 0
 
 
+def test_damaged_files_cost_themselves_alone(spark, tmp_path):
+    """A file with a good footer and a bad body, one without a footer, one missing, an empty one, other columns."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, rows in (("a", 5_000), ("b", 4_000), ("bad", 6_000), ("none", 0)):
+        table = pa.table({"id": pa.array(range(rows), pa.int64()), "text": pa.array([f"{name} {i}" for i in range(rows)], pa.string())})
+        pq.write_table(table, tmp_path / f"{name}.parquet", row_group_size=1_000, use_dictionary=False)
+    pq.write_table(pa.table({"id": [7], "more": [1.5]}), tmp_path / "c.parquet")
+    broken = bytearray((tmp_path / "bad.parquet").read_bytes())
+    middle = len(broken) // 2
+    broken[middle : middle + 4_000] = b"\xff" * 4_000
+    (tmp_path / "bad.parquet").write_bytes(broken)
+    (tmp_path / "text.parquet").write_text("not a table")
+    rows, report = readers.read_files(spark, str(tmp_path), str(tmp_path / "nowhere"))
+    out = {r.path.rsplit("/", 1)[-1]: (r.rows, r.status) for r in report.collect()}
+    assert out == {
+        "a.parquet": (5_000, "read"), "b.parquet": (4_000, "read"), "c.parquet": (1, "read"), "bad.parquet": (6_000, "damaged"),
+        "text.parquet": (None, "nothing read"), "none.parquet": (None, "nothing read"), "nowhere": (None, "missing")}
+    assert rows.count() == 9_001 and set(rows.columns) == {"id", "text", "more"}
+    assert rows.where("text LIKE 'bad%'").count() == 0 and rows.agg({"more": "sum"}).first()[0] == 1.5
+
+
 def test_read_many_isolates_failures(spark):
     base = tempfile.mkdtemp(prefix="aisle-test-")
     spark.range(2).write.parquet(f"{base}/a")
