@@ -88,7 +88,7 @@ def read_files(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     counted = frame.select(path).groupBy("path").agg(F.count("*").alias("rows"))
     # The hash of all columns makes the reader decode them.
     decoded = frame.select(path, F.xxhash64(*frame.columns).alias("_hash")).groupBy("path").agg(
-        F.count("*").alias("rows_read"), F.max("_hash").alias("_hash")).drop("_hash")
+        F.count("*").alias("rows_read"), F.max("_hash").alias("_hash")).where("_hash IS NOT NULL")
     status = (F.when(F.col("rows").isNull(), "nothing read").when(F.coalesce("rows_read", F.lit(0)) < F.col("rows"), "damaged")
               .otherwise("read"))
     found = files.join(counted, "path", "left").join(decoded, "path", "left").withColumn("status", status)
