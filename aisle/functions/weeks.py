@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 from operator import add
@@ -196,6 +197,51 @@ def periods_of(d: Column | str, run_date: date) -> Column:
     return F.filter(F.array(*_periods(run_date)), lambda p: d.between(p["start_date"], p["end_date"]))
 
 
+def nth_weekday(year: Column, month: int, weekday: int, nth: int) -> Column:
+    """Date of the n-th weekday (1 = Monday) of a month; counted from the month's end if ``nth`` is negative."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    if nth > 0:
+        return F.date_add(first, ((weekday - 1 - F.weekday(first) + 7) % 7 + 7 * (nth - 1)).cast("int"))
+    last = F.last_day(first)
+    return F.date_sub(last, ((F.weekday(last) - (weekday - 1) + 7) % 7 + 7 * (-nth - 1)).cast("int"))
+
+
+def easter_sunday(year: Column) -> Column:
+    """Western Easter: the Sunday after the church's full moon on or after 21 March."""
+    century = F.floor(year / 100)
+    golden = year % 19
+    # Age of the moon, with the leap days and moon days that whole centuries drop.
+    moon = (century - F.floor(century / 4) - F.floor((8 * century + 13) / 25) + 19 * golden + 15) % 30
+    late = F.when((moon == 29) | ((moon == 28) & (golden > 10)), 1).otherwise(0)
+    full = F.date_add(F.make_date(year.cast("int"), F.lit(3), F.lit(21)), (moon - late).cast("int"))
+    return F.date_add(full, (7 - (F.weekday(full) + 1) % 7).cast("int"))
+
+
+def holiday_dimension(
+    years: DataFrame, fixed: Sequence[tuple[str, str, str]], movable: Sequence[tuple[str, str, Column]],
+    intervals: DataFrame | None = None,
+) -> DataFrame:
+    """One row per holiday and day: date, country, name, movable.
+
+    ``years`` has a column ``year``. ``fixed``: country, name, month and day
+    (``MMdd``); 29 February is left out of other years. ``movable``: country,
+    name and the date as a column of ``year``. ``intervals`` (country, name,
+    start_date, end_date) lists holidays that no rule gives, such as those of a
+    lunar calendar; all their days count.
+    """
+    year = F.col("year")
+    on = lambda code: F.try_to_date(F.concat(year.cast("string"), F.lit(code)), "yyyyMMdd")
+    cell = lambda d, country, name, moves: F.struct(
+        d.alias("date"), F.lit(country).alias("country"), F.lit(name).alias("name"), F.lit(moves).alias("movable"))
+    cells = [*[cell(on(code), c, n, False) for c, n, code in fixed], *[cell(d, c, n, True) for c, n, d in movable]]
+    out = years.select("year").distinct().select(F.inline(F.array(*cells))).where("date IS NOT NULL")
+    if intervals is not None:
+        days = intervals.where("start_date <= end_date").select(
+            F.explode(F.sequence("start_date", "end_date")).alias("date"), "country", "name", F.lit(True).alias("movable"))
+        out = out.unionByName(days).distinct()
+    return out
+
+
 def mapped_holiday(d: Column | str, names: dict[str, str]) -> Column:
     """Holiday name by month and day, else ``Non-Holiday``."""
     code = F.date_format(col(d), "MMdd")

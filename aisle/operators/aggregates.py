@@ -26,19 +26,35 @@ def presence_then_count(
     return per_item.groupBy(*keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in flags])
 
 
+def distinct_values(df: DataFrame, column: str, most: int = 200) -> list:
+    """The values of a column in order, null last, to become columns of a wide table.
+
+    A small aggregate of its own. More than ``most`` values are an error that
+    says how many there are, so none is lost.
+    """
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{df.select(column).distinct().count()} values of {column}, more than {most}")
+    return sorted([v for v in found if v is not None]) + [None] * (None in found)
+
+
 def pivot_sum(
-    df: DataFrame, keys: Sequence[str], column: str, values: Sequence, measure: Column, prefix: str = ""
+    df: DataFrame, keys: Sequence[str], column: str, measure: Column, prefix: str = "", values: Sequence | None = None
 ) -> DataFrame:
-    """Sum of a measure with one column per listed value, missing cells 0."""
-    wide = df.groupBy(*keys).pivot(column, list(values)).agg(F.sum(measure)).na.fill(0)
-    names = {str(v): f"{prefix}{str(v).lower().replace(' ', '_').replace('-', '_')}" for v in values}
-    return wide.withColumnsRenamed(names)
+    """Sum of a measure with one column per value, missing cells 0. Without ``values`` those of the data are found first."""
+    values = distinct_values(df, column) if values is None else values
+    name = lambda v: "null" if v is None else str(v).lower().replace(" ", "_").replace("-", "_")
+    return df.groupBy(*keys).agg(*[
+        F.coalesce(F.sum(F.when(F.col(column).eqNullSafe(F.lit(v)), measure)), F.lit(0)).alias(f"{prefix}{name(v)}") for v in values])
 
 
-def onehot_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequence, item: str, prefix: str) -> DataFrame:
-    """Distinct items per value, one column per listed value."""
+def onehot_counts(
+    df: DataFrame, keys: Sequence[str], column: str, item: str, prefix: str, values: Sequence | None = None
+) -> DataFrame:
+    """Distinct items per value, one numbered column per value in order. Without ``values`` those of the data are found first."""
+    values = distinct_values(df, column) if values is None else values
     return df.groupBy(*keys).agg(*[
-        F.count_distinct(F.when(F.col(column) == F.lit(v), F.col(item))).alias(f"{prefix}{i}")
+        F.count_distinct(F.when(F.col(column).eqNullSafe(F.lit(v)), F.col(item))).alias(f"{prefix}{i}")
         for i, v in enumerate(values, 1)
     ])
 

@@ -70,12 +70,12 @@ def bias_report(df: DataFrame, segment: Column, actual: str, prediction: str) ->
 def accuracy_matrix(
     df: DataFrame, keys: Sequence[str], bucket: str, buckets: Sequence, actual: str, prediction: str
 ) -> DataFrame:
-    """Accuracy with one column per bucket."""
-    return df.groupBy(*keys).agg(*[
-        (1 - ratio(F.sum(F.when(F.col(bucket) == b, _error(actual, prediction))),
-                   F.sum(F.when(F.col(bucket) == b, F.col(actual))))).alias(f"fa_{b}")
-        for b in buckets
-    ])
+    """Accuracy (``fa``) and bias (``fb``) with one column of each per bucket."""
+    here = lambda b, c: F.sum(F.when(F.col(bucket) == b, c))
+    miss, sold = F.col(prediction) - F.col(actual), F.col(actual)
+    return df.groupBy(*keys).agg(
+        *[(1 - ratio(here(b, _error(actual, prediction)), here(b, sold))).alias(f"fa_{b}") for b in buckets],
+        *[ratio(here(b, miss), here(b, sold)).alias(f"fb_{b}") for b in buckets])
 
 
 def accuracy_levels(df: DataFrame, levels: Sequence[str], actual: str, prediction: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.functions import weeks, windows as win
 from aisle.functions.exprs import beside, ratio, tier
+from aisle.operators.aggregates import distinct_values
 from aisle.operators.joins import apply_migration, grid
 from aisle.operators.ranking import ordered_columns
 
@@ -212,13 +213,13 @@ def compliance_rate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.withColumn("compliance_rate", F.round(1 - ratio(gap, "proposed"), 2))
 
 
-def manual_rate(df: DataFrame, keys: Sequence[str], kind: str, manual: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """Order quantity per type as columns and the share of the manual types."""
-    wide = df.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col(kind) == k, F.col("qty")).otherwise(0.0)).alias(f"qty_{i}") for i, k in enumerate(kinds, 1)])
-    total = sum((F.col(f"qty_{i}") for i in range(2, len(kinds) + 1)), F.col("qty_1"))
-    by_hand = sum((F.col(f"qty_{i}") for i, k in enumerate(kinds, 1) if k in manual), F.lit(0.0))
-    return wide.withColumn("manual_rate", F.round(ratio(by_hand, total), 4))
+def manual_rate(df: DataFrame, keys: Sequence[str], kind: str, manual: Sequence[str]) -> DataFrame:
+    """Order quantity per type of the data as numbered columns, and the share of the manual types in the whole quantity."""
+    wide = df.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col(kind).eqNullSafe(F.lit(k)), F.col("qty")).otherwise(0.0)).alias(f"qty_{i}")
+          for i, k in enumerate(distinct_values(df, kind), 1)],
+        F.sum("qty").alias("_total"), F.sum(F.when(F.col(kind).isin(*manual), F.col("qty")).otherwise(0.0)).alias("_manual"))
+    return wide.withColumn("manual_rate", F.round(ratio("_manual", "_total"), 4)).drop("_total", "_manual")
 
 
 def customer_value(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.functions import weeks
 from aisle.functions.exprs import ratio, safe_div
-from aisle.operators.aggregates import robust_mode
+from aisle.operators.aggregates import distinct_values, robust_mode
 from aisle.operators.windows import promo_runs
 
 SERIES = ["category", "dp", "material"]
@@ -54,11 +54,19 @@ def scheme_types(df: DataFrame, keys: Sequence[str], kind: str, scheme: str) ->
     return stats.select("*", label.alias("scheme_type"), F.concat_ws("_", label, F.col(kind)).alias("promotion_type"))
 
 
-def feature_matrix(df: DataFrame, keys: Sequence[str], kinds: Sequence[str], buys: Sequence[str]) -> DataFrame:
-    """Scheme counts by kind, distinct schemes by buy type and discount statistics, in one aggregation."""
+def feature_matrix(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lines in all and by kind, distinct schemes by buy type and by week type, and discount statistics, in one aggregation.
+
+    The values of ``kind``, ``buy`` and ``week_type`` are those of the data, in
+    order; each has a numbered column.
+    """
+    kinds, buys, types = (distinct_values(df, c) for c in ("kind", "buy", "week_type"))
+    own = lambda c, v: F.count_distinct(F.when(F.col(c).eqNullSafe(F.lit(v)), F.col("scheme")))
     return df.groupBy(*keys).agg(
-        *[F.count_if(F.col("kind") == k).alias(f"kind_{i}") for i, k in enumerate(kinds, 1)],
-        *[F.count_distinct(F.when(F.col("buy") == b, F.col("scheme"))).alias(f"buy_{i}") for i, b in enumerate(buys, 1)],
+        F.count("*").alias("promotions"),
+        *[F.count_if(F.col("kind").eqNullSafe(F.lit(k))).alias(f"kind_{i}") for i, k in enumerate(kinds, 1)],
+        *[own("buy", b).alias(f"buy_{i}") for i, b in enumerate(buys, 1)],
+        *[own("week_type", w).alias(f"week_type_{i}") for i, w in enumerate(types, 1)],
         F.coalesce(F.min("discount"), F.lit(0.0)).alias("discount_min"),
         F.coalesce(F.max("discount"), F.lit(0.0)).alias("discount_max"),
         F.coalesce(F.avg("discount"), F.lit(0.0)).alias("discount_mean"),

@@ -211,12 +211,12 @@ def cumsum_trend(df: DataFrame, keys: Sequence[str], order: str, measure: str, h
     return fitted.select(*df.columns, (F.col("_fit") - F.lag("_fit").over(spec)).alias("yhat"))
 
 
-def future_frame(df: DataFrame, keys: Sequence[str], week: str, end: date) -> DataFrame:
-    """Every key with each week after the last history week up to ``end``."""
+def future_frame(df: DataFrame, keys: Sequence[str], week: str, count: int) -> DataFrame:
+    """Every key with each of the ``count`` weeks after the last week of the history."""
     last = df.agg(F.max(week).alias("_last"))
     return (
         beside(df.select(*keys).distinct(), last)
-        .select(*keys, F.explode(F.sequence(F.date_add("_last", 7), F.lit(end), F.expr("interval 7 days"))).alias(week))
+        .select(*keys, F.explode(F.sequence(F.date_add("_last", 7), F.date_add("_last", 7 * count), F.expr("interval 7 days"))).alias(week))
     )
 
 
@@ -309,8 +309,8 @@ def week_master(days: DataFrame) -> DataFrame:
     return counted.groupBy("week").agg(F.max_by("month_start", "_n").alias("month_start"))
 
 
-def ml_lag_features(df: DataFrame, keys: Sequence[str], order: str, measure: str) -> DataFrame:
-    """First difference with its lags, lagged rolling and expanding means, and date parts."""
+def ml_lag_features(df: DataFrame, keys: Sequence[str], order: str, measure: str, day: str) -> DataFrame:
+    """First difference with its lags, lagged rolling and expanding means; year, month and ISO week of ``day`` in its place."""
     spec = win.series(keys, order)
     base = df.withColumn("diff", win.difference(measure, spec))
     columns = win.lags("diff", spec, [1, 2, 4, 13, 26, 52])
@@ -324,7 +324,8 @@ def ml_lag_features(df: DataFrame, keys: Sequence[str], order: str, measure: str
         F.avg("diff").over(spec.rowsBetween(Window.unboundedPreceding, -lag)).alias(f"diff_lag_{lag}_expanding")
         for lag in (1, 2)
     ]
-    return base.select("*", *columns)
+    parts = [F.year(day).alias("year"), F.month(day).alias("month"), F.weekofyear(day).alias("week")]
+    return base.select(*[c for c in base.columns if c != day], *parts, *columns)
 
 
 def indirect_features(
@@ -608,16 +609,18 @@ def sec_pri_ratio(df: DataFrame, keys: Sequence[str], week: str, order: str) ->
         mean("ratio_month", 3).alias("ma_month_quarter"))
 
 
-def seasonal_index(df: DataFrame, period: str, year: str, value: str, years: Sequence[int]) -> DataFrame:
-    """Mean ratio per period and year, and its mean over all, the last, the last two and three years.
+def seasonal_index(df: DataFrame, period: str, year: str, value: str, spans: Sequence[int]) -> DataFrame:
+    """Mean ratio per period over all years (``index_all``) and over the last n years (``index_{n}y``).
 
-    ``value`` is averaged over rows first; missing years count as 0.
+    The ratio is averaged over the rows of a year first; a year of the data
+    without the period counts as 0. The last year is that of the data.
     """
-    wide = df.groupBy(period).pivot(year, list(years)).agg(F.avg(value)).na.fill(0.0)
-    of = lambda ys: sum((F.col(str(y)) for y in ys), F.lit(0.0)) / len(ys)
-    return wide.select(
-        period, *[F.col(str(y)).alias(f"y{y}") for y in years], of(years).alias("index_all"),
-        of(years[-1:]).alias("index_1y"), of(years[-2:]).alias("index_2y"), of(years[-3:]).alias("index_3y"))
+    yearly = df.groupBy(period, year).agg(F.avg(value).alias("_mean"))
+    known = yearly.agg(F.max(year).alias("_last"), F.count_distinct(year).alias("_years"))
+    recent = lambda n: F.sum(F.when(F.col(year) > F.col("_last") - n, F.col("_mean")))
+    return beside(yearly, known).groupBy(period).agg(
+        (F.sum("_mean") / F.max("_years")).alias("index_all"),
+        *[(F.coalesce(recent(n), F.lit(0.0)) / n).alias(f"index_{n}y") for n in spans])
 
 
 def ratio_from_forecast(df: DataFrame, keys: Sequence[str], anchor: str, forecast: str, working_days: str) -> DataFrame:

@@ -88,10 +88,9 @@ SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types, max(p
 FROM part GROUP BY 1
 """)
 def concat_values(t):
-    names = F.sort_array(F.collect_set("p_name"))
     return t.part.groupBy("p_brand").agg(
         F.concat_ws(",", F.sort_array(F.collect_set("p_type"))).alias("types"),
-        F.element_at(names, -1).alias("last_name"), F.size(names).cast("bigint").alias("names"))
+        F.max("p_name").alias("last_name"), F.count_distinct("p_name").alias("names"))
 
 
 @query("agg08_value_or_default", """
@@ -110,7 +109,7 @@ def value_or_default(t):
     for p in _PRIORITIES) + " FROM v_sales x JOIN v_sites s ON x.site = s.site GROUP BY 1")
 def pivot_sum(t):
     lines = t.sales.select("site", "priority", "qty").join(t.sites.select("site", "region"), "site")
-    return ops.pivot_sum(lines, ["region"], "priority", _PRIORITIES, F.col("qty"), "qty_")
+    return ops.pivot_sum(lines, ["region"], "priority", F.col("qty"), "qty_")
 
 
 _DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
@@ -168,7 +167,7 @@ FROM v_lines x JOIN v_products p ON x.product = p.product GROUP BY 1
 def onehot_counts(t):
     lines = t.primary_lines.select("product", "return_flag", "invoice").join(
         t.products.select("product", "category"), "product")
-    return ops.onehot_counts(lines, ["category"], "return_flag", ["A", "N", "R"], "invoice", "flag_")
+    return ops.onehot_counts(lines, ["category"], "return_flag", "invoice", "flag_")
 
 
 @query("agg13_number_stats", """

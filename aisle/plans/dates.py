@@ -10,7 +10,6 @@ from aisle.functions import exprs, weeks
 from aisle.plans.registry import query
 
 KEYS = ["brand", "region"]
-START, END = date(1995, 1, 1), date(2001, 12, 31)
 #: Holidays that fall on the same day every year.
 VN_DAYS = {"0101": "New Year's Day", "0430": "Reunification Day", "0501": "Labor Day", "0902": "National Day"}
 US_DAYS = {"0101": "New Year's Day", "0704": "Independence Day", "1111": "Veterans Day", "1225": "Christmas Day"}
@@ -111,7 +110,7 @@ SELECT c.date, CAST(year(c.date) AS INTEGER) AS year, CAST(quarter(c.date) AS IN
        c.date = last_day(c.date) AS is_month_end, day(c.date) = 1 AND month(c.date) IN (1, 4, 7, 10) AS is_quarter_start,
        c.date = last_day(c.date) AND month(c.date) IN (3, 6, 9, 12) AS is_quarter_end,
        dayofyear(c.date) = 1 AS is_year_start, day(c.date) = 31 AND month(c.date) = 12 AS is_year_end,
-       year(c.date) IN (1996, 2000) AS is_leap_year,
+       dayofyear(make_date(CAST(year(c.date) AS BIGINT), 12, 31)) = 366 AS is_leap_year,
        CASE WHEN month(c.date) BETWEEN 2 AND 4 THEN 'spring' WHEN month(c.date) BETWEEN 5 AND 7 THEN 'summer'
             WHEN month(c.date) BETWEEN 8 AND 10 THEN 'autumn' ELSE 'winter' END AS season,
        strftime(c.date, '%m%d') IN ('0101', '0430', '0501', '0902') AS is_holiday, coalesce(o.orders, 0) AS orders
@@ -119,7 +118,7 @@ FROM v_days c LEFT JOIN (SELECT d, count(*) AS orders FROM {_ORDERS} GROUP BY d)
 """)
 def calendar(t):
     orders = _orders(t).groupBy(F.col("d").alias("date")).agg(F.count("d").alias("orders"))
-    return weeks.calendar(t.spark, START, END).join(orders, "date", "left").na.fill({"orders": 0})
+    return weeks.calendar(t.spark, *t.span).join(orders, "date", "left").na.fill({"orders": 0})
 
 
 def _holiday_sql(names):
@@ -142,6 +141,38 @@ def holidays(t):
         F.year("d").alias("lunar_year"), F.month("d").alias("lunar_month"), F.dayofmonth("d").alias("lunar_day"))
 
 
+_RULES = [("US", "Memorial Day", 5, 1, -1), ("US", "Labor Day", 9, 1, 1), ("US", "Thanksgiving", 11, 4, 4)]
+
+
+def _rule_sql(country, name, month, weekday, nth):
+    first = f"make_date(y, {month}, 1)"
+    day = (f"{first} + CAST(({weekday} - isodow({first}) + 7) % 7 + {7 * (nth - 1)} AS INTEGER)" if nth > 0 else
+           f"last_day({first}) - CAST((isodow(last_day({first})) - {weekday} + 7) % 7 + {7 * (-nth - 1)} AS INTEGER)")
+    return f"SELECT CAST({day} AS DATE) AS date, '{country}' AS country, '{name}' AS name, TRUE AS movable FROM years"
+
+
+def _fixed_sql(country, names):
+    return " UNION ALL ".join(
+        f"SELECT make_date(y, {int(k[:2])}, {int(k[2:])}), '{country}', '{v.replace(chr(39), chr(39) * 2)}', FALSE FROM years"
+        for k, v in names.items())
+
+
+@query("dat09_holiday_orders", f"""
+WITH years AS (SELECT DISTINCT CAST(year(d) AS BIGINT) AS y FROM {_ORDERS}),
+h AS ({" UNION ALL ".join(_rule_sql(*r) for r in _RULES)} UNION ALL {_fixed_sql("VN", VN_DAYS)} UNION ALL {_fixed_sql("US", US_DAYS)})
+SELECT h.country, h.name, h.movable, h.date, count(*) AS orders, round(sum(o_totalprice), 2) AS value
+FROM {_ORDERS} JOIN h ON x.d = h.date GROUP BY ALL
+""")
+def holiday_orders(t):
+    """Orders on fixed and movable holidays of two countries."""
+    orders = _orders(t)
+    movable = [(c, n, weeks.nth_weekday(F.col("year"), m, w, nth)) for c, n, m, w, nth in _RULES]
+    fixed = [(c, n, code) for c, names in (("VN", VN_DAYS), ("US", US_DAYS)) for code, n in names.items()]
+    days = weeks.holiday_dimension(orders.select(F.year("d").alias("year")), fixed, movable)
+    return orders.join(days, F.col("d") == F.col("date")).groupBy("country", "name", "movable", "date").agg(
+        F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+
+
 @query("dat10_half_week", f"""
 SELECT CAST(date_trunc('week', d) AS DATE) AS week,
        CASE WHEN isodow(d) <= 3 THEN 'first_half' ELSE 'last_half' END AS half_week,

@@ -74,12 +74,14 @@ _QUARTERS = [1, 2, 3, 4]
 
 @query("evl05_accuracy_matrix", "SELECT brand, " + ", ".join(
     f"round(1 - sum(abs(fc_year - actual)) FILTER (WHERE q = {q}) / nullif(sum(actual) FILTER (WHERE q = {q}), 0), 9) AS fa_{q}"
+    for q in _QUARTERS) + ", " + ", ".join(
+    f"round(sum(fc_year - actual) FILTER (WHERE q = {q}) / nullif(sum(actual) FILTER (WHERE q = {q}), 0), 9) AS fb_{q}"
     for q in _QUARTERS) + """ FROM (SELECT *, CAST(((yearweek % 100) - 1) // 14 + 1 AS INTEGER) AS q FROM v_forecasts) x
 GROUP BY 1""")
 def accuracy_matrix(t):
     bucketed = t.forecasts.withColumn("q", (F.floor((F.col("yearweek") % 100 - 1) / 14) + 1).cast("int"))
     out = ops.accuracy_matrix(bucketed, ["brand"], "q", _QUARTERS, "actual", "fc_year")
-    return _rounded(out, *[f"fa_{q}" for q in _QUARTERS])
+    return _rounded(out, *[f"{name}_{q}" for name in ("fa", "fb") for q in _QUARTERS])
 
 
 @query("evl06_accuracy_levels", " UNION ALL ".join(

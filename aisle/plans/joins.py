@@ -10,7 +10,6 @@ from aisle.functions import weeks
 from aisle.operators import joins
 from aisle.plans.registry import query
 
-START, END = date(1995, 1, 1), date(2001, 12, 31)
 
 
 @query("jn01_inner_dimension", """
@@ -58,21 +57,20 @@ def enrich_features(t):
 
 
 @query("jn04_merge_features", """
-SELECT brand, yearweek, a.sale_qty, b.return_lines, c.promo_lines
-FROM (SELECT brand, yearweek, sum(qty) AS sale_qty FROM v_weekly WHERE region = 'ASIA' GROUP BY 1, 2) a
-FULL JOIN (SELECT brand, yearweek, count(*) AS return_lines FROM v_weekly
-           WHERE region = 'EUROPE' AND return_qty > 0 GROUP BY 1, 2) b USING (brand, yearweek)
-FULL JOIN (SELECT brand, yearweek, count(*) AS promo_lines FROM v_weekly
-           WHERE region = 'AFRICA' AND promo_qty > 0 GROUP BY 1, 2) c USING (brand, yearweek)
+SELECT brand, yearweek, a.sale_qty, b.return_weeks, c.schemes
+FROM (SELECT brand, yearweek, sum(qty) AS sale_qty FROM v_weekly_secondary GROUP BY 1, 2) a
+FULL JOIN (SELECT brand, yearweek, count(*) AS return_weeks FROM v_weekly WHERE return_qty > 0 GROUP BY 1, 2) b
+USING (brand, yearweek)
+FULL JOIN (SELECT p.brand, CAST(isoyear(start_date) * 100 + weekofyear(start_date) AS INTEGER) AS yearweek, count(*) AS schemes
+           FROM v_promotions x JOIN v_products p ON x.product = p.product GROUP BY 1, 2) c USING (brand, yearweek)
 """)
 def merge_features(t):
     keys = ["brand", "yearweek"]
-    sale = t.weekly.where("region = 'ASIA'").groupBy(*keys).agg(F.sum("qty").alias("sale_qty"))
-    returns = t.weekly.where("region = 'EUROPE' and return_qty > 0").groupBy(*keys).agg(
-        F.count("*").alias("return_lines"))
-    promo = t.weekly.where("region = 'AFRICA' and promo_qty > 0").groupBy(*keys).agg(
-        F.count("*").alias("promo_lines"))
-    return joins.merge_features([sale, returns, promo], keys)
+    sale = t.weekly_secondary.groupBy(*keys).agg(F.sum("qty").alias("sale_qty"))
+    returns = t.weekly.where("return_qty > 0").groupBy(*keys).agg(F.count("*").alias("return_weeks"))
+    schemes = t.promotions.join(t.products.select("product", "brand"), "product").groupBy(
+        "brand", weeks.iso_yearweek("start_date").alias("yearweek")).agg(F.count("*").alias("schemes"))
+    return joins.merge_features([sale, returns, schemes], keys)
 
 
 @query("jn05_complete_dates", """
@@ -82,7 +80,7 @@ ON x.brand = b.brand AND x.date = d.date
 """)
 def complete_dates(t):
     keys = t.products.select("brand").distinct()
-    days = F.sequence(F.lit(START), F.lit(END), F.expr("interval 1 day"))
+    days = F.sequence(*map(F.lit, t.span), F.expr("interval 1 day"))
     complete = joins.grid(keys, days, "date")
     return t.daily.select("brand", "date", "qty").join(complete, ["brand", "date"], "right").na.fill({"qty": 0.0})
 
@@ -123,8 +121,7 @@ LEFT JOIN v_weekly x ON x.brand = k.brand AND x.region = k.region AND x.week = w
 """)
 def key_period_grid(t):
     keys = t.weekly.select("brand", "region").distinct()
-    mondays = F.sequence(F.lit(date(1994, 12, 26)), F.lit(date(2001, 12, 31)), F.expr("interval 7 days"))
-    full = joins.grid(keys, mondays, "week")
+    full = joins.grid(keys, t.mondays, "week")
     return full.join(t.weekly.select("brand", "region", "week", "qty"), ["brand", "region", "week"], "left").select(
         "brand", "region", weeks.iso_yearweek("week").alias("yearweek"), F.coalesce("qty", F.lit(0.0)).alias("qty")
     )
@@ -187,7 +184,7 @@ ON d.date BETWEEN p.start_date AND p.end_date
 GROUP BY ALL
 """)
 def working_days_between(t):
-    calendar = weeks.calendar(t.spark, START, END).select(
+    calendar = weeks.calendar(t.spark, *t.span).select(
         "date", ((F.col("dayofweek") != 1) & ~F.col("is_holiday")).alias("working"))
     intervals = t.promotions.select("scheme", "start_date", "end_date")
     return joins.sum_between(intervals, calendar, "start_date", "end_date", "date", "working", "working_days")

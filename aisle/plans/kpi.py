@@ -65,6 +65,25 @@ def mean_performance(t):
     return _r(_mean(t), 6, "gsv_per_assortment")
 
 
+@query("kpi02_cluster_performance", f"""
+WITH m AS ({_MASTER}),
+v AS (SELECT site, sum(gsv) AS gsv FROM v_lines GROUP BY 1),
+cl AS (SELECT site, CASE WHEN upto / total <= 0.8 THEN 'A' WHEN upto / total <= 0.95 THEN 'B' ELSE 'C' END AS cluster
+       FROM (SELECT site, sum(gsv) OVER () AS total, sum(gsv) OVER (ORDER BY gsv DESC, site ROWS UNBOUNDED PRECEDING) AS upto FROM v) z),
+g AS (SELECT region, channel, category, cluster, round(sum(gsv), 4) AS gsv, count(DISTINCT outlet) AS eco,
+             count(DISTINCT dp_name) AS assortment, count(DISTINCT m.site) AS sites FROM m JOIN cl ON m.site = cl.site
+      WHERE date BETWEEN DATE '2000-03-01' AND DATE '2000-03-31' GROUP BY ALL)
+SELECT region, channel, category, cluster, gsv, round(gsv / assortment, 6) AS gsv_per_assortment, eco / sites AS eco_per_site,
+       assortment / sites AS assortment_per_site FROM g
+""")
+def cluster_performance(t):
+    """Peers are sites of one cluster as well; the cluster is the Pareto class of the site's whole sales."""
+    totals = t.primary_lines.groupBy("site").agg(F.sum("gsv").alias("gsv"))
+    clusters = ordering.abc_classes(totals, "site", "gsv").select("site", F.col("abc_class").alias("cluster"))
+    month = ops.month_to_date(_master(t), "date", RUN).join(clusters, "site")
+    return _r(_rounded_sum(ops.mean_performance(month, [*PEER, "cluster"]), "gsv"), 6, "gsv_per_assortment")
+
+
 _SITE = """
 site AS (SELECT site, region, channel, category, round(sum(gsv), 4) AS indi_gsv, count(DISTINCT outlet) AS indi_eco,
                 count(DISTINCT dp_name) AS indi_assortment FROM m
@@ -294,14 +313,14 @@ SELECT site, yearweek, sum(CASE WHEN status = 'F' THEN proposed ELSE 0 END) AS q
 FROM {_ORDERS} GROUP BY 1, 2
 """)
 def manual_rate(t):
-    return ops.manual_rate(_orders(t), ["site", "yearweek"], "status", ["P"], ["F", "O", "P"])
+    return ops.manual_rate(_orders(t), ["site", "yearweek"], "status", ["P"])
 
 
 @query("kpi14_compliance_features", f"""
 WITH r AS (SELECT site, week, sum(proposed) AS proposed, {_RATE} AS rate FROM {_ORDERS} GROUP BY 1, 2),
 d AS (SELECT k.site, CAST(w AS DATE) AS week, r.rate, coalesce(r.proposed, 0) AS proposed
       FROM (SELECT site, min(week) AS a FROM r GROUP BY 1) k,
-           unnest(generate_series(CAST(a AS TIMESTAMP), TIMESTAMP '2001-07-30', INTERVAL 7 DAY)) u(w)
+           unnest(generate_series(CAST(a AS TIMESTAMP), CAST((SELECT max(week) FROM r) AS TIMESTAMP), INTERVAL 7 DAY)) u(w)
       LEFT JOIN r ON r.site = k.site AND r.week = CAST(w AS DATE)),
 q AS (SELECT site, round(count(*) FILTER (WHERE rate IS NULL) / count(*), 2) AS gap FROM d GROUP BY 1),
 a AS (SELECT site, CASE WHEN upto / total <= 0.8 THEN 'A' WHEN upto / total <= 0.95 THEN 'B' ELSE 'C' END AS class
@@ -318,7 +337,7 @@ FROM (SELECT *, lag(rate, 2) OVER (PARTITION BY site ORDER BY week) AS rate_lag_
 """)
 def compliance_features(t):
     rates = ops.compliance_rate(_orders(t), ["site", "week"]).select("site", "week", "proposed", F.col("compliance_rate").alias("rate"))
-    dense = ts.densify(rates, ["site"], "week", ["proposed"], "interval 7 days", F.lit(date(2001, 7, 30)))
+    dense = ts.densify(rates, ["site"], "week", ["proposed"], "interval 7 days", rates.agg(F.max("week")).scalar())
     profile = quality.coverage_profile(dense, ["site"], "week", "rate")
     totals = rates.groupBy("site").agg(F.sum("proposed").alias("volume"))
     classes = ordering.abc_classes(totals, "site", "volume").select("site", F.col("abc_class").alias("class"))

@@ -51,21 +51,27 @@ def scheme_types(t):
 
 
 @query("prm03_feature_matrix", """
-SELECT yearweek, brand, count(*) FILTER (WHERE kind = '1-URGENT') AS kind_1, count(*) FILTER (WHERE kind = '2-HIGH') AS kind_2,
+SELECT yearweek, brand, count(*) AS promotions,
+       count(DISTINCT CASE WHEN week_type = 'HOLIDAY' THEN scheme END) AS week_type_1,
+       count(DISTINCT CASE WHEN week_type = 'NORMAL' THEN scheme END) AS week_type_2,
+       count(*) FILTER (WHERE kind = '1-URGENT') AS kind_1, count(*) FILTER (WHERE kind = '2-HIGH') AS kind_2,
        count(DISTINCT CASE WHEN buy = 'F' THEN scheme END) AS buy_1, count(DISTINCT CASE WHEN buy = 'O' THEN scheme END) AS buy_2,
        count(DISTINCT CASE WHEN buy = 'P' THEN scheme END) AS buy_3, min(discount) AS discount_min,
        max(discount) AS discount_max, round(avg(discount), 9) AS discount_mean,
        max(CASE WHEN strftime(start_date, '%m%d') IN ('0101', '0430', '0501', '0902') THEN 1 ELSE 0 END) AS holiday
 FROM (SELECT CAST(isoyear(start_date) * 100 + weekofyear(start_date) AS INTEGER) AS yearweek, p.brand, mechanic AS kind,
-             status AS buy, scheme, discount, start_date FROM v_promotions x JOIN v_products p ON x.product = p.product) z
+             status AS buy, scheme, discount, start_date, CASE WHEN c.working_days < 6 THEN 'HOLIDAY' ELSE 'NORMAL' END AS week_type
+      FROM v_promotions x JOIN v_products p ON x.product = p.product
+      JOIN v_full_weeks c ON c.week = CAST(date_trunc('week', start_date) AS DATE)) z
 GROUP BY 1, 2
 """)
 def feature_matrix(t):
     posts = t.promotions.join(t.products.select("product", "brand"), "product").select(
         weeks.iso_yearweek("start_date").alias("yearweek"), "brand", F.col("mechanic").alias("kind"),
         F.col("status").alias("buy"), "scheme", "discount",
-        F.date_format("start_date", "MMdd").isin(*weeks.HOLIDAYS).alias("holiday"))
-    out = ops.feature_matrix(posts, ["yearweek", "brand"], ["1-URGENT", "2-HIGH"], ["F", "O", "P"])
+        F.date_format("start_date", "MMdd").isin(*weeks.HOLIDAYS).alias("holiday"),
+        F.when(weeks.working_days(weeks.week_start("start_date")) < 6, "HOLIDAY").otherwise("NORMAL").alias("week_type"))
+    out = ops.feature_matrix(posts, ["yearweek", "brand"])
     return _r(out, 9, "discount_mean")
 
 

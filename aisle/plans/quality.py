@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Window, functions as F
 
 
+from aisle.functions import exprs
 from aisle.operators import joins, quality as ops
 from aisle.plans.registry import query
 
@@ -126,19 +125,18 @@ def usable_series(t):
 @query("dq06_reconcile", """
 SELECT coalesce(a.product, e.product) AS product, CASE WHEN e.product IS NULL THEN 'NOT_EXPECTED'
        WHEN a.product IS NULL THEN 'NO LE RECORD' ELSE 'NO ERROR' END AS status
-FROM (SELECT DISTINCT product FROM v_lines WHERE date >= DATE '2001-06-01') a
-FULL JOIN (SELECT product FROM v_products WHERE price >= 950) e ON a.product = e.product
+FROM (SELECT DISTINCT product FROM v_sales) a FULL JOIN (SELECT product FROM v_products) e ON a.product = e.product
 """)
 def reconcile(t):
-    actual = t.primary_lines.where(F.col("date") >= F.lit(date(2001, 6, 1)))
-    return ops.reconcile(actual, t.products.where("price >= 950"), ["product"])
+    return ops.reconcile(t.sales, t.products, ["product"])
 
 
 _COVERAGE = """
 WITH g AS (SELECT k.brand, k.region, w.week_no,
                   CAST(round(CAST(CAST(x.return_qty / nullif(x.qty, 0) AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS rate
            FROM (SELECT DISTINCT brand, region FROM v_weekly) k
-           JOIN (SELECT week_no FROM v_weeks WHERE week_no BETWEEN 1303 AND 1643) w ON TRUE
+           JOIN (SELECT week_no FROM v_weeks WHERE week_no BETWEEN (SELECT min(week_no) FROM v_weekly)
+                 AND (SELECT max(week_no) FROM v_weekly)) w ON TRUE
            LEFT JOIN v_weekly x ON x.brand = k.brand AND x.region = k.region AND x.week_no = w.week_no),
 p AS (SELECT brand, region, count(*) FILTER (WHERE rate IS NULL) AS null_count,
              count(*) FILTER (WHERE rate = 0) AS zero_count, count(*) FILTER (WHERE rate = 1) AS one_count,
@@ -148,8 +146,9 @@ p AS (SELECT brand, region, count(*) FILTER (WHERE rate IS NULL) AS null_count,
 
 
 def _rates(t):
-    span = F.sequence(F.lit(1303), F.lit(1643))
-    full = joins.grid(t.weekly.select(*KEYS).distinct(), span, "week_no")
+    bounds = t.weekly.agg(F.min("week_no").alias("_first"), F.max("week_no").alias("_last"))
+    full = exprs.beside(t.weekly.select(*KEYS).distinct(), bounds).select(
+        *KEYS, F.explode(F.sequence("_first", "_last")).alias("week_no"))
     rate = F.round(F.try_divide("return_qty", "qty"), 2)
     return full.join(t.weekly.select(*KEYS, "week_no", rate.alias("rate")), [*KEYS, "week_no"], "left")
 
@@ -285,22 +284,18 @@ def peak_flag(t):
     return _with_median(t).select(*KEYS, "week_no", "qty", ops.flag_peak("qty", "med").alias("is_outlier"))
 
 
-_FACTS = """
-WITH a AS (SELECT product FROM v_lines WHERE date >= DATE '2001-09-01'),
-b AS (SELECT product FROM v_lines WHERE date < DATE '1995-03-01')
-"""
-
-
-@query("dq15_membership_gap", _FACTS + """
-SELECT 'first' AS fact, count(*) AS rows, count(*) FILTER (WHERE product NOT IN (SELECT product FROM b)) AS outside_rows,
-       count(*) FILTER (WHERE product NOT IN (SELECT product FROM b)) / count(*) AS outside_share FROM a
-UNION ALL SELECT 'second', count(*), count(*) FILTER (WHERE product NOT IN (SELECT product FROM a)),
-       count(*) FILTER (WHERE product NOT IN (SELECT product FROM a)) / count(*) FROM b
+@query("dq15_membership_gap", """
+WITH a AS (SELECT site, product FROM v_lines WHERE return_flag = 'R'), b AS (SELECT site, product FROM v_sales WHERE return_flag <> 'R'),
+x AS (SELECT a.site, b.site IS NULL AS outside FROM a LEFT JOIN (SELECT DISTINCT site, product FROM b) b USING (site, product)),
+y AS (SELECT b.site, a.site IS NULL AS outside FROM b LEFT JOIN (SELECT DISTINCT site, product FROM a) a USING (site, product))
+SELECT 'first' AS fact, count(*) AS rows, count(*) FILTER (WHERE outside) AS outside_rows,
+       count(*) FILTER (WHERE outside) / count(*) AS outside_share FROM x
+UNION ALL SELECT 'second', count(*), count(*) FILTER (WHERE outside), count(*) FILTER (WHERE outside) / count(*) FROM y
 """)
 def membership_gap(t):
-    late = t.primary_lines.where(F.col("date") >= F.lit(date(2001, 9, 1)))
-    early = t.primary_lines.where(F.col("date") < F.lit(date(1995, 3, 1)))
-    return ops.membership_gap(late, early, ["product"])
+    """Returns against sell-out: products of a site that only one of the two facts knows."""
+    returned = t.primary_lines.where("return_flag = 'R'")
+    return ops.membership_gap(returned, t.sales.where("return_flag <> 'R'"), ["site", "product"])
 
 
 @query("dq15_incomplete_months", """

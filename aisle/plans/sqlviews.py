@@ -122,15 +122,21 @@ SELECT scheme, x.product, p.brand, CAST(strftime(start_date, '%Y%m%d') AS INTEGE
        discount * 100 AS gift_qty, price AS price_pc, price * 6 AS price_su, price * 24 AS price_cs,
        price / 2 AS gift_price_pc, price * 3 AS gift_price_su, price * 12 AS gift_price_cs
 FROM v_promotions x JOIN v_products p ON x.product = p.product
+""",
+    "v_span": """
+SELECT CAST(date_trunc('year', min(low)) AS DATE) AS low, make_date(CAST(year(max(high)) AS BIGINT), 12, 31) AS high
+FROM (SELECT CAST(min(l_shipdate) AS DATE) AS low, CAST(max(l_shipdate) AS DATE) AS high FROM lineitem
+      UNION ALL SELECT CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) + 20 FROM orders) x
 """,
     "v_full_weeks": """
 SELECT CAST(date_trunc('week', d) AS DATE) AS week, CAST(count(*) FILTER (WHERE dayofweek(d) <> 0
        AND strftime(d, '%m%d') NOT IN ('0101', '0430', '0501', '0902')) AS INTEGER) AS working_days
-FROM unnest(generate_series(TIMESTAMP '1994-12-26', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) g(d) GROUP BY 1
+FROM v_span, unnest(generate_series(CAST(date_trunc('week', low) AS TIMESTAMP), CAST(CAST(date_trunc('week', high) AS DATE) + 6 AS TIMESTAMP), INTERVAL 1 DAY)) g(d)
+GROUP BY 1
 """,
     "v_days": """
 SELECT CAST(d AS DATE) AS date
-FROM unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) g(d)
+FROM v_span, unnest(generate_series(CAST(low AS TIMESTAMP), CAST(high AS TIMESTAMP), INTERVAL 1 DAY)) g(d)
 """,
     "v_weeks": """
 SELECT CAST(date_trunc('week', date) AS DATE) AS week,

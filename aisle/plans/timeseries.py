@@ -69,7 +69,7 @@ def _mart(t, period):
         F.explode(F.sequence("start_date", "end_date", F.expr("interval 1 day"))).alias("date"))
     promo = days.groupBy("brand", period("date").alias("period")).agg(
         F.max("discount").alias("best_discount"), F.count_distinct("scheme").alias("schemes"))
-    calendar = weeks.day_frame(t.spark, date(1995, 1, 1), date(2001, 12, 31)).where(F.dayofweek("date") != 1)
+    calendar = weeks.day_frame(t.spark, *t.span).where(F.dayofweek("date") != 1)
     working = calendar.groupBy(period("date").alias("period")).agg(F.count("date").alias("days"))
     return demand.join(promo, ["brand", "period"], "left").join(working, "period", "left").na.fill(
         {"best_discount": 0.0, "schemes": 0})
@@ -357,10 +357,10 @@ def best_method(t):
 @query("ts16_future_frame", """
 SELECT k.brand, k.region, CAST(w AS DATE) AS week
 FROM (SELECT DISTINCT brand, region FROM v_weekly) k,
-     unnest(generate_series(CAST((SELECT max(week) FROM v_weekly) + 7 AS TIMESTAMP), TIMESTAMP '2002-12-30', INTERVAL 7 DAY)) u(w)
+     unnest(generate_series(CAST((SELECT max(week) FROM v_weekly) + 7 AS TIMESTAMP), CAST((SELECT max(week) FROM v_weekly) + 52 * 7 AS TIMESTAMP), INTERVAL 7 DAY)) u(w)
 """)
 def future_frame(t):
-    return ts.future_frame(t.weekly, KEYS, "week", date(2002, 12, 30))
+    return ts.future_frame(t.weekly, KEYS, "week", 52)
 
 
 _MONTHS = 3
@@ -460,14 +460,15 @@ def _full(fn, start, stop, rows):
     return f"CASE WHEN count(*) OVER {_frame(start, stop)} >= {rows} THEN {fn} OVER {_frame(start, stop)} END"
 
 
-@query("ts20_ml_lag_features", "SELECT brand, region, week_no, qty, diff, " + ", ".join(
+@query("ts20_ml_lag_features", """SELECT brand, region, week_no, qty, diff, CAST(year(week) AS INTEGER) AS year,
+       CAST(month(week) AS INTEGER) AS month, CAST(weekofyear(week) AS INTEGER) AS week, """ + ", ".join(
     [f"lag(diff, {n}) OVER ({_S}) AS diff_lag_{n}" for n in (1, 2, 4, 13, 26, 52)]
     + [f"round({_full('avg(diff)', k + n - 1, k, n)}, 8) AS diff_lag_{k}_mean_{n}" for k in (1, 2, 4, 13, 26) for n in (4, 13, 26)]
     + [f"round({_full('avg(diff)', 55, 52, 4)}, 8) AS diff_lag_52_mean_4"]
     + [f"round(avg(diff) OVER ({_S} ROWS BETWEEN UNBOUNDED PRECEDING AND {k} PRECEDING), 8) AS diff_lag_{k}_expanding" for k in (1, 2)]
-) + f" FROM (SELECT brand, region, week_no, qty, qty - lag(qty) OVER ({_S}) AS diff FROM v_weekly) d")
+) + f" FROM (SELECT brand, region, week, week_no, qty, qty - lag(qty) OVER ({_S}) AS diff FROM v_weekly) d")
 def ml_lag_features(t):
-    out = ts.ml_lag_features(t.weekly.select(*KEYS, "week_no", "qty"), KEYS, "week_no", "qty")
+    out = ts.ml_lag_features(t.weekly.select(*KEYS, "week_no", "qty", F.col("week").alias("day")), KEYS, "week_no", "qty", "day")
     return _round(out, 8, "qty", "diff")
 
 
@@ -671,22 +672,29 @@ def secondary_primary_ratio(t):
                       *[F.round(c, 8).alias(c) for c in means])
 
 
-_YEARS = [1996, 1997, 1998, 1999, 2000]
+_GRAINS = {"week": "weekofyear(week)", "month": "month(week)", "quarter": "quarter(week)"}
 
 
 @query("ts33_seasonal_index", f"""
 WITH {_RATIO_SQL},
-w AS (SELECT CAST(month(week) AS INTEGER) AS month, {", ".join(
-    f"coalesce(avg(ratio_month) FILTER (WHERE year(week) = {y}), 0) AS y{y}" for y in _YEARS)} FROM g GROUP BY 1)
-SELECT month, {", ".join(f"round(y{y}, 8) AS y{y}" for y in _YEARS)},
-       round((y1996 + y1997 + y1998 + y1999 + y2000) / 5, 8) AS index_all, round(y2000, 8) AS index_1y,
-       round((y1999 + y2000) / 2, 8) AS index_2y, round((y1998 + y1999 + y2000) / 3, 8) AS index_3y
-FROM w
+v AS ({" UNION ALL ".join(
+    f"SELECT '{g}' AS grain, CAST({c} AS INTEGER) AS period, {'isoyear' if g == 'week' else 'year'}(week) AS year, avg(ratio_{g}) AS mean FROM g GROUP BY 2, 3"
+    for g, c in _GRAINS.items())}),
+y AS (SELECT grain, max(year) AS last, count(DISTINCT year) AS years FROM v GROUP BY 1)
+SELECT grain, period, round(sum(mean) / max(years), 8) AS index_all, {", ".join(
+    f"round(coalesce(sum(mean) FILTER (WHERE year > last - {n}), 0) / {n}, 8) AS index_{n}y" for n in (1, 2, 3))}
+FROM v JOIN y USING (grain) GROUP BY 1, 2
 """)
 def seasonal_index(t):
-    ratios = ts.sec_pri_ratio(_two_facts(t), KEYS, "week", "week_no").select(
-        F.month("week").alias("month"), F.year("week").alias("year"), "ratio_month")
-    return _round(ts.seasonal_index(ratios, "month", "year", "ratio_month", _YEARS), 8)
+    ratios = ts.sec_pri_ratio(_two_facts(t), KEYS, "week", "week_no")
+    out = None
+    for grain, period in (("week", F.weekofyear("week")), ("month", F.month("week")), ("quarter", F.quarter("week"))):
+        year = F.extract(F.lit("YEAROFWEEK"), F.col("week")) if grain == "week" else F.year("week")
+        part = ts.seasonal_index(
+            ratios.select(period.alias("period"), year.alias("year"), f"ratio_{grain}"), "period", "year", f"ratio_{grain}", (1, 2, 3))
+        part = part.withColumn("grain", F.lit(grain))
+        out = part if out is None else out.unionByName(part)
+    return _round(out, 8)
 
 
 @query("ts34_ratio_from_forecast", """
@@ -713,7 +721,7 @@ h AS (SELECT week, yearweek, """ + ", ".join(
 SELECT w.brand, w.region, w.qty, h.* EXCLUDE (week) FROM v_weekly w JOIN h ON w.week = h.week
 """)
 def holiday_context(t):
-    calendar = weeks.week_calendar(t.spark, date(1995, 1, 1), date(2001, 12, 31)).withColumn(
+    calendar = weeks.week_calendar(t.spark, *t.span).withColumn(
         "name", F.when(F.col("working_days") < 6, "HOLIDAY").otherwise("NORMAL"))
     context = ts.holiday_context(calendar, "week", "name", 4, ["HOLIDAY"]).drop("yearweek")
     return t.weekly.select(*KEYS, "week", "yearweek", "qty").join(context, "week").drop("week")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Window, functions as F
 
 from aisle.functions import weeks, windows as win
@@ -11,7 +9,6 @@ from aisle.operators import joins, ordering, windows as ops
 from aisle.plans.registry import query
 
 KEYS = ["brand", "region"]
-START, END = date(1995, 1, 1), date(2001, 12, 31)
 _SERIES = "PARTITION BY brand, region ORDER BY week_no"
 
 
@@ -196,7 +193,7 @@ FROM v_weekly w JOIN n ON w.week = n.week
 def calendar_neighbors(t):
     spec = Window.orderBy("week")
     holidays = (F.lit(6) - F.col("working_days")).alias("holiday_days")
-    calendar = weeks.week_calendar(t.spark, START, END).select("week", holidays).select(
+    calendar = weeks.week_calendar(t.spark, *t.span).select("week", holidays).select(
         "*", F.coalesce(F.lag("holiday_days").over(spec), F.lit(0)).alias("holiday_last_week"),
         F.coalesce(F.lead("holiday_days").over(spec), F.lit(0)).alias("holiday_next_week"))
     return t.weekly.select(*KEYS, "week", "yearweek", "qty").join(calendar, "week").drop("week")
@@ -212,7 +209,7 @@ FROM v_weekly w JOIN (
 def week_order(t):
     month = Window.partitionBy(F.trunc("week", "month"))
     quarter = Window.partitionBy(F.trunc("week", "quarter"))
-    calendar = weeks.week_calendar(t.spark, START, END).select(
+    calendar = weeks.week_calendar(t.spark, *t.span).select(
         "week", F.row_number().over(month.orderBy("week")).alias("order_in_month"),
         F.row_number().over(quarter.orderBy("week")).alias("order_in_quarter"),
         F.count("week").over(month).alias("weeks_in_month"))
@@ -261,8 +258,7 @@ WITH g AS (SELECT k.brand, k.region, w.week_no, x.qty
 
 
 def _sparse(t):
-    mondays = F.sequence(F.lit(date(1994, 12, 26)), F.lit(date(2001, 12, 31)), F.expr("interval 7 days"))
-    full = joins.grid(t.weekly.select(*KEYS).distinct(), mondays, "week")
+    full = joins.grid(t.weekly.select(*KEYS).distinct(), t.mondays, "week")
     return full.select(*KEYS, weeks.week_index("week").alias("week_no")).join(
         t.weekly.select(*KEYS, "week_no", "qty"), [*KEYS, "week_no"], "left")
 

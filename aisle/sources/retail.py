@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aisle.functions import weeks
 from aisle.session import spread
@@ -33,6 +34,25 @@ class Tables:
         self.__dict__[name] = frame
         return frame
 
+    @cached_property
+    def span(self) -> tuple[date, date]:
+        """First day of the first year and last day of the last year with an order, a shipment or a promotion.
+
+        One small aggregate over two columns; without any order or shipment it is the current year.
+        """
+        shipped = self.lineitem.agg(F.min("l_shipdate").cast("date").alias("low"), F.max("l_shipdate").cast("date").alias("high"))
+        # A promotion ends at most 20 days after its order.
+        ordered = self.orders.agg(
+            F.min("o_orderdate").cast("date").alias("low"), F.date_add(F.max("o_orderdate").cast("date"), 20).alias("high"))
+        low, high = shipped.unionByName(ordered).agg(F.min("low"), F.max("high")).first()
+        return date((low or date.today()).year, 1, 1), date((high or date.today()).year, 12, 31)
+
+    @property
+    def mondays(self) -> Column:
+        """Mondays of all weeks with a day in ``span``, as an array."""
+        first, last = self.span
+        return F.sequence(F.trunc(F.lit(first), "week"), F.lit(last), F.expr("interval 7 days"))
+
     @cached_property
     def texts(self) -> DataFrame:
         """Documents for work on their text, spread over the cores."""

@@ -251,16 +251,73 @@ def test_diversity_counts_distinct_items_without_sets(spark):
     assert "collect_" not in made._jdf.queryExecution().toString()
 
 
-def test_conversion_moves_with_the_data(spark, folder):
-    """Months and the end of known sales come from the data: other years give as many rows, and months later ones."""
-    from aisle.plans.timeseries import secondary_to_primary
-
-    tables = Tables(spark, folder)
-    expected = [(r.brand, r.region, r.week) for r in secondary_to_primary(tables).collect()]
-    moved = Tables(spark, folder)
-    days = 7 * 1461  # 28 years are the same calendar
-    assert date(2001, 5, 7).toordinal() + days == date(2029, 5, 7).toordinal()
-    moved.__dict__["lineitem"] = tables.lineitem.withColumn("l_shipdate", F.date_add("l_shipdate", days))
-    moved.__dict__["orders"] = tables.orders.withColumn("o_orderdate", F.date_add("o_orderdate", days))
-    out = [(r.brand, r.region, date.fromordinal(r.week.toordinal() - days)) for r in secondary_to_primary(moved).collect()]
-    assert expected and sorted(out) == sorted(expected)
+#: 28 years are the same calendar: weekdays, leap years and ISO weeks repeat.
+_DAYS = 7 * 1461
+_MOVED = {"week_no": 1461, "first_week": 1461, "origin": 1461, "cutoff": 1461, "yearweek": 2800, "year": 28}
+_DATED = ["jn05_complete_dates", "jn09_key_period_grid", "jn13_working_days_between", "dat08_calendar", "ts03_weekly_mart",
+          "ts03_monthly_mart", "ts04_daily_average", "ts16_future_frame", "ts17_secondary_to_primary", "ts20_ml_lag_features",
+          "ts24_rolling_origin", "ts24_sliding_window", "ts33_seasonal_index", "ts35_holiday_context", "win12_calendar_neighbors",
+          "win13_week_order", "win17_forward_fill_limit", "win18_fill_both_ways", "dq07_coverage_profile", "dq07_split_by_quality",
+          "kpi14_compliance_features", "prm03_feature_matrix", "jn04_merge_features", "mlj16_time_series_cv"]
+
+
+@pytest.mark.parametrize("name", _DATED)
+def test_calendars_follow_the_data(spark, folder, name):
+    """All dates moved by 28 years give the same rows 28 years later: no week or month is lost to a fixed calendar."""
+    from aisle.plans.registry import _QUERIES
+
+    tables, moved = Tables(spark, folder), Tables(spark, folder)
+    for table, column in (("lineitem", "l_shipdate"), ("orders", "o_orderdate")):
+        frame = getattr(tables, table)
+        later = F.col(column) + F.make_dt_interval(F.lit(_DAYS))
+        moved.__dict__[table] = frame.withColumn(column, later.cast(frame.schema[column].dataType))
+
+    def rows(query, back):
+        out = []
+        for r in query.collect():
+            values = []
+            for c, v in r.asDict().items():
+                if isinstance(v, date):
+                    v = date.fromordinal(v.toordinal() - back * _DAYS)
+                elif c in _MOVED and v is not None:
+                    v -= back * _MOVED[c]
+                values.append((c, round(v, 6) if isinstance(v, float) else v))
+            out.append(str(values))
+        return sorted(out)
+
+    expected = rows(_QUERIES[name](tables), 0)
+    assert expected and rows(_QUERIES[name](moved), 1) == expected
+
+
+def test_unseen_values_become_columns(spark):
+    from aisle.operators import aggregates, kpi
+
+    frame = spark.createDataFrame([("a", "x", 1.0, 1), ("a", "new", 2.0, 2), ("b", None, 4.0, 3)], "k string, v string, qty double, i int")
+    out = {r.k: r.asDict() for r in aggregates.pivot_sum(frame, ["k"], "v", F.col("qty"), "q_").collect()}
+    assert out["a"] == {"k": "a", "q_new": 2.0, "q_x": 1.0, "q_null": 0.0} and out["b"]["q_null"] == 4.0
+    counted = {r.k: tuple(r)[1:] for r in aggregates.onehot_counts(frame, ["k"], "v", "i", "n_").collect()}
+    assert counted == {"a": (1, 1, 0), "b": (0, 0, 1)}
+    rates = {r.k: r.manual_rate for r in kpi.manual_rate(frame, ["k"], "v", ["x"]).collect()}
+    assert rates == {"a": 0.3333, "b": 0.0}
+    with pytest.raises(ValueError, match="300 values of id"):
+        aggregates.distinct_values(spark.range(300), "id")
+
+
+def test_movable_holidays(spark):
+    import datetime
+
+    years = spark.createDataFrame([(y,) for y in (1999, 2000, 2001, 2024, 2038)], "year int")
+    year = F.col("year")
+    tet = spark.createDataFrame([("VN", "Tet", date(2001, 1, 23), date(2001, 1, 26))],
+                                "country string, name string, start_date date, end_date date")
+    rules = [("US", "Thanksgiving", weeks.nth_weekday(year, 11, 4, 4)), ("US", "Memorial Day", weeks.nth_weekday(year, 5, 1, -1)),
+             ("DE", "Easter", weeks.easter_sunday(year))]
+    out = weeks.holiday_dimension(years, [("US", "Leap Day", "0229"), ("VN", "National Day", "0902")], rules, tet).collect()
+    by = lambda name: {r.date for r in out if r.name == name}
+    assert by("Thanksgiving") == {date(1999, 11, 25), date(2000, 11, 23), date(2001, 11, 22), date(2024, 11, 28), date(2038, 11, 25)}
+    assert len({d.isocalendar().week for d in by("Thanksgiving")}) > 1
+    assert by("Memorial Day") == {date(1999, 5, 31), date(2000, 5, 29), date(2001, 5, 28), date(2024, 5, 27), date(2038, 5, 31)}
+    assert by("Easter") == {date(1999, 4, 4), date(2000, 4, 23), date(2001, 4, 15), date(2024, 3, 31), date(2038, 4, 25)}
+    assert by("Leap Day") == {date(2000, 2, 29), date(2024, 2, 29)} and len(by("National Day")) == 5
+    assert by("Tet") == {date(2001, 1, 23) + datetime.timedelta(i) for i in range(4)}
+    assert {r.movable for r in out if r.name in ("Tet", "Easter")} == {True}
