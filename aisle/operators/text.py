@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.functions import titles
-from aisle.session import checkpointed
+from aisle.session import checkpointed, stored
 
 
 def _piece(length: Column, number: Column, pieces: Column) -> tuple[Column, Column]:
@@ -94,18 +94,24 @@ def run_sizes(entries: DataFrame, entry: str) -> range:
     return range(1, max(2, most) + 1)
 
 
+def _scored_runs(grams: DataFrame, entries: DataFrame, entry: str, accept: int) -> DataFrame:
+    """Distinct runs with the entries whose similarity is above ``accept``: ngram, entry, ratio."""
+    return near_matches(grams.select("ngram").distinct(), entries, "ngram", entry, accept=accept).select(
+        "ngram", entry, titles.near_ratio(F.col("ngram"), F.col(entry), F.col("edits")).alias("ratio")
+    ).where(F.col("ratio") > accept).distinct()
+
+
 def fuzzy_brands(
     df: DataFrame, key: str, text: str, brands: DataFrame, brand: str, accept: int = 85
 ) -> DataFrame:
     """Brands whose best similarity to a word run of the title is the title's highest and above ``accept``.
 
     Runs have as many words as the longest brand at most. Each distinct run is
-    matched once; its matches then go back to the titles that have it.
+    matched once. The matches are stored, so Spark knows their size when they
+    go back to the titles; few runs match, and then the titles stay in place.
     """
     grams = title_ngrams(df, key, text, run_sizes(brands, brand))
-    matches = near_matches(grams.select("ngram").distinct(), brands, "ngram", brand, accept=accept).select(
-        "ngram", brand, titles.near_ratio(F.col("ngram"), F.col(brand), F.col("edits")).alias("ratio")
-    ).where(F.col("ratio") > accept).distinct()
+    matches = stored(_scored_runs(grams, brands, brand, accept), "matches")
     scored = grams.join(matches, "ngram").groupBy(key, brand).agg(F.max("ratio").alias("ratio"))
     # A title has at most as many rows here as the dictionary has brands.
     best = F.max("ratio").over(Window.partitionBy(key))
@@ -121,7 +127,9 @@ def main_brand(
     One family is final at once. Of several, a family whose phrase stands in the
     title scores 100; any other scores the mean over its words of the best
     similarity to a title word, where a word more than two edits away from all
-    of them counts 0. The highest scores above ``accept`` win.
+    of them counts 0. The highest scores above ``accept`` win. A family can only
+    pass if each of its words scores ``100 - (100 - accept) * words`` at least, so
+    lower matches are not looked for. Each distinct run is matched once.
     """
     named = checkpointed(found.join(families.select(brand, family), brand).select(key, family).distinct())
     counted = named.groupBy(key).agg(F.count(family).alias("_families"))
@@ -131,8 +139,10 @@ def main_brand(
         key, family, F.size(F.split(family, " ")).alias("_words"), F.explode(F.split(family, " ")).alias("_word"))
     open_titles = df.select(key, text).join(counted.where("_families > 1"), key, "left_semi")
     grams = title_ngrams(open_titles, key, text, run_sizes(families, family))
-    per_title = near_matches(grams, parts, "ngram", "_word").groupBy(key, "_word").agg(
-        F.max(titles.near_ratio(F.col("ngram"), F.col("_word"), F.col("edits"))).alias("ratio"))
+    most = parts.agg(F.max("_words")).first()[0] or 1
+    least = max(0, int(100 - (100 - accept) * most) - 1)
+    matches = stored(_scored_runs(grams, parts.select("_word").distinct(), "_word", least), "words")
+    per_title = grams.join(matches, "ngram").groupBy(key, "_word").agg(F.max("ratio").alias("ratio"))
     by_words = (
         parts.join(per_title, [key, "_word"], "left").groupBy(key, family)
         .agg((F.sum(F.coalesce("ratio", F.lit(0))) / F.max("_words")).alias("score"))

@@ -53,6 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, lineage cut, and of a size that Spark knows."""
+    df.write.parquet(where := scratch_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a frame whose scan has fewer tasks than the session has cores.
 
