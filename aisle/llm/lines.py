@@ -10,7 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
+
+from aisle.session import checkpointed
 
 #: Stripped at both ends of a line (fixed value).
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -127,13 +129,11 @@ def filter_bits(lines: int, most: int) -> int:
 _SUSPECT = StructType([StructField("doc_id", LongType()), StructField("key", StringType())])
 
 
-def dropped_keys(docs: DataFrame, least: int, documents: int, most_bits: int = 1 << 28) -> DataFrame:
-    """Keys that a document loses: doc_id, keys, keepers (arrays). ``docs`` has doc_id and text.
+def lost_lines(docs: DataFrame, least: int, documents: int, most_bits: int = 1 << 28) -> DataFrame:
+    """Keys that a document loses, and who keeps them: doc_id, key, keeper. ``docs`` has doc_id and text.
 
     Only keys that the filter suspects to repeat are shuffled. They are counted
-    exactly, by their text; the largest doc_id that holds a key keeps it and is
-    among the document's ``keepers``. The
-    filter is at most 2**28 bits (32 MB). Beyond some 10**8 lines it fills up:
+    exactly, by their text; the largest doc_id that holds a key keeps it. The filter is at most 2**28 bits (32 MB). Beyond some 10**8 lines it fills up:
     then more keys are suspected and shuffled, and the result is the same.
     """
     breaks = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
@@ -153,11 +153,27 @@ def dropped_keys(docs: DataFrame, least: int, documents: int, most_bits: int = 1
     held = docs.mapInArrow(suspects, _SUSPECT).groupBy("key", "doc_id").agg(F.count("*").alias("n"))
     counted = held.groupBy("key").agg(F.count("*").alias("documents"), F.max("doc_id").alias("keeper"))
     repeated = counted.where(F.col("documents") >= documents)
-    lost = held.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return held.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key", "keeper")
+
+
+def dropped_keys(lost: DataFrame) -> DataFrame:
+    """Keys that a document loses: doc_id, keys, keepers (arrays)."""
     return lost.groupBy("doc_id").agg(
         F.collect_list("key").alias("keys"), F.collect_set("keeper").alias("keepers"))
 
 
+def weakly_kept(lost: DataFrame, salts: int = 32) -> DataFrame:
+    """Keys that a document loses to documents which lose lines themselves: doc_id, weak (array of keys).
+
+    One document can keep lines for very many; it is joined under several salts.
+    """
+    losers = lost.select(F.col("doc_id").alias("keeper")).distinct()
+    keepers = lost.select("keeper").distinct().join(losers, "keeper", "left_semi").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = lost.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)).cast("int"))
+    return salted.join(keepers, ["keeper", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_list("key").alias("weak"))
+
+
 def _words_digest(text):
     """Digest of the words of a text between blanks, with A-Z lower-cased."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -174,7 +190,7 @@ def larger_copies(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 40, documents: int = 5,
-                keep: list[str] | None = None, stubs: bool = True) -> DataFrame:
+                keep: list[str] | None = None, stubs: bool = True, scrap: float = 0.1) -> DataFrame:
     """Drop repeated lines: the columns in ``keep``, doc_id, text (what stays), n_lines, n_dropped.
 
     A line is dropped if its key (blanks stripped at both ends, A-Z lower-cased)
@@ -184,17 +200,23 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     lines; rows with a null doc_id are one document, the smallest. A null text
     is one empty line and stays null.
 
-    Without ``stubs``, two kinds of rows that lost lines go as a whole: what has
-    no word left, and a copy (same words) of the largest document with its text,
-    if that one keeps a line which the copy lost. Copies that lost the same lines
-    as that document stay, as equal texts.
+    Without ``stubs``, three kinds of rows that lost lines go as a whole: what has
+    no word left; a copy (same words) of the largest document with its text,
+    if that one keeps a line which the copy lost (copies that lost the same lines
+    as that document stay, as equal texts); and what less than ``scrap`` of its
+    words would be lost with, counting the lines it still has and those kept by documents
+    that lose lines themselves. Such a row is a near copy, of which only the few
+    lines that differ would stay. Rows without a doc_id are no scraps.
     """
     keep = [c for c in keep or [] if c not in (key, text)]
     own = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *own)
-    lost = dropped_keys(docs.select("doc_id", "text"), least, documents)
-    if not stubs:
-        lost = lost.join(larger_copies(docs), "doc_id", "left")
+    rows = lost_lines(docs.select("doc_id", "text"), least, documents)
+    if stubs:
+        lost = dropped_keys(rows).withColumn("weak", F.lit(None).cast("array<string>"))
+    else:
+        rows = checkpointed(rows)
+        lost = dropped_keys(rows).join(weakly_kept(rows), "doc_id", "left").join(larger_copies(docs), "doc_id", "left")
     lost = lost.withColumnRenamed("doc_id", "_of")
     joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
     if not stubs:
@@ -204,16 +226,17 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     fields = [joined.schema[f"_keep{i}"] for i in range(len(keep))]
     schema = StructType([
         StructField("doc_id", LongType()), StructField("text", StringType()), StructField("n_lines", LongType()),
-        StructField("n_dropped", LongType()), *fields])
+        StructField("n_dropped", LongType()), StructField("share", DoubleType()), *fields])
     arrow = to_arrow_schema(schema)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, drops = [], [], []
-            for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            texts, counts, drops, shares = [], [], [], []
+            for text, keys, weak in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if not keys or text is None:
                     counts.append((text or "").count("\n") + 1)
                     drops.append(0)
+                    shares.append(1.0)
                     texts.append(text)
                     continue
                 gone = {k.encode() for k in keys}
@@ -222,12 +245,18 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
                 counts.append(len(rows))
                 drops.append(len(rows) - len(stay))
                 texts.append(b"\n".join(stay).decode())
+                if stubs:
+                    shares.append(1.0)
+                    continue
+                safe = gone - {k.encode() for k in weak or []}
+                words = [(len(x.split()), line_key(x, least) in safe) for x in rows]
+                shares.append(sum(n for n, kept in words if not kept) / max(1, sum(n for n, _ in words)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()),
-                 pa.array(drops, pa.int64()), *batch.columns[3:]], schema=arrow)
+                 pa.array(drops, pa.int64()), pa.array(shares, pa.float64()), *batch.columns[4:]], schema=arrow)
 
-    out = joined.select("doc_id", "text", "keys", *[f.name for f in fields]).mapInArrow(rewrite, schema)
+    out = joined.select("doc_id", "text", "keys", "weak", *[f.name for f in fields]).mapInArrow(rewrite, schema)
     if not stubs:
-        out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]"))
+        out = out.where(F.col("doc_id").isNull() | (F.col("share") >= scrap)).where((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t\\n\\x0b\\f\\r]"))
     return out.select("doc_id", "text", "n_lines", "n_dropped",
                       *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])

@@ -173,3 +173,16 @@ def align(queries: DataFrame, prints: DataFrame, least: int = 8, error: float =
         "query", "id", "offset", "matches", F.size("bits").alias("overlap"),
         (F.aggregate("bits", F.lit(0), lambda s, x: s + x) / (32.0 * F.size("bits"))).alias("bit_error"))
     return scored.where(F.col("bit_error") <= error)
+
+
+def summary(queries: DataFrame, aligned: DataFrame) -> DataFrame:
+    """One row per distinct query id: query, n_links (recordings it matches, 0 without one) and the nearest of them.
+
+    The nearest (id, offset, matches, overlap, bit_error; null without a match)
+    has the fewest bit errors, then the most matches, then the smallest id.
+    """
+    order = F.struct("bit_error", (-F.col("matches")).alias("votes"), "id")
+    best = aligned.groupBy("query").agg(
+        F.count("*").alias("n_links"), F.min_by(F.struct("id", "offset", "matches", "overlap", "bit_error"), order).alias("best"))
+    asked = queries.where("id IS NOT NULL").select(F.col("id").cast("bigint").alias("query")).distinct()
+    return asked.join(best, "query", "left").select("query", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.*")

@@ -227,22 +227,19 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     Only the text enters the score. Null and empty texts are scored like any
     other. Without a model every score is 0.5.
     """
-    keep = [c for c in keep if c != key]
-    own = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *own)
-    schema = StructType([rows.schema["doc_id"], StructField("score", DoubleType()),
-                         *[rows.schema[f"_keep{i}"] for i in range(len(keep))]])
-    arrow = to_arrow_schema(schema)
+    scores_of = _scorer(model) if model else None
+    rows = docs.withColumn("_score", scores_of(F.col(text)) if model else F.lit(0.5))
+    return rows.select(F.col(key).alias("doc_id"), F.col("_score").alias("score"),
+                       (F.col("_score") >= threshold).cast("int").alias("predicted"), *[c for c in keep if c != key])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            out = [model.scores(features(texts[low:high])) if model else np.full(high - low, 0.5)
-                   for low, high in slices([len(t) for t in texts], 500_000)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64()), *batch.columns[2:]],
-                schema=arrow)
-
-    scored = rows.mapInArrow(run, schema)
-    return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-                         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
+
+def _scorer(model: Model):
+    """Column function from texts to scores. Only the text goes to Python, and only the score comes back."""
+
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        held = texts_of(texts)
+        out = [model.scores(features(held[low:high])) for low, high in slices([len(t) for t in held], 500_000)]
+        return pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())
+
+    return scores

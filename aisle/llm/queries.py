@@ -133,9 +133,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_chroma_fingerprints")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    """Recordings made of all vectors; those whose id is divisible by 50 are the queries."""
+    """Recordings made of all vectors; those whose id is divisible by 50 are the queries, and each has a row."""
     prints = media.fingerprints(media.recordings(table(spark, folder, "embeddings")))
-    return media.align(table(spark, folder, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS id"), prints)
+    queries = table(spark, folder, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS id")
+    return media.summary(queries, media.align(queries, prints))
 
 
 @query("op12_filter_audit", f"""

@@ -53,6 +53,22 @@ def test_odd_rows_and_kept_columns(odd, nothing):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_scraps_of_near_copies_go(spark):
+    """Eight near copies of forty lines leave one; a text whose lines are kept by a row that loses some stays."""
+    body = [f"Line number {i} of a text that eight documents share but for one line each" for i in range(40)]
+    rows = [(d, "\n".join([*body[:d], f"The line that only document {d} has, and which stays", *body[d + 1 :]])) for d in range(1, 9)]
+    rows.append((None, rows[0][1]))
+    own = [f"Own words of a clean document in line {i}" for i in range(20)]
+    rows += [(50, "\n".join([*own, body[0]])), (51, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.n_dropped for r in lines.dedup_lines(frame).collect()}
+    assert set(whole) == {None, *range(1, 9), 50, 51} and whole[50] == 0 and whole[8] == 1 and whole[3] == 39
+    # Document 8 loses a line to 50, so what the others lose to 8 is not safe.
+    assert {r.doc_id for r in lines.dedup_lines(frame, stubs=False).collect()} == set(whole)
+    left = lines.dedup_lines(frame.where("doc_id <> 50 OR doc_id IS NULL"), stubs=False)
+    assert {r.doc_id for r in left.collect()} == {None, 8, 51}
+
+
 def test_bloom_has_what_it_was_given():
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     bloom = lines.Bloom(1 << 14)

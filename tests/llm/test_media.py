@@ -51,6 +51,10 @@ def test_shifted_and_noisy_copies_align(spark, folder):
     assert np.allclose([r[5] for r in out], [r[5] for r in expected])
     found = {r[1]: r[2] for r in out if r[0] == first}
     assert found[9001] == 0 and found[9002] == 7 and 9003 in found
+    asked = queries.unionByName(spark.createDataFrame([(77_777,), (int(first),), (None,)], "id long"))
+    rows = {r.query: r for r in media.summary(asked, media.align(queries, prints)).collect()}
+    assert set(rows) == {first, 9002, 77_777} and (rows[77_777].n_links, rows[77_777].id) == (0, None)
+    assert rows[first].n_links == len(found) and rows[first].bit_error == min(r[5] for r in out if r[0] == first)
 
 
 def test_odd_recordings(spark):

@@ -72,6 +72,18 @@ def test_whole_run(spark, folder):
     assert {r.doc_id for r in out} <= {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_near_copies_leave_one_document(spark, base, some, tmp_path, monkeypatch):
+    """Eight documents of 40 lines that differ in one line each: no scraps of the others stay."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    columns = some.select(*corpus_pipeline._COLUMNS)
+    body = [f"Row {i} tells of harbour {i * 7} and of the boats that came there in spring" for i in range(40)]
+    texts = ["\n".join([*body[:d], f"Only paper {d} adds this remark about its own printer", *body[d + 1 :]]) for d in range(8)]
+    extra = spark.createDataFrame([(900_000 + d, t, "en", "x", len(t)) for d, t in enumerate(texts)], columns.schema)
+    columns.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert {i for i in out if i >= 900_000} == {900_007}
+
+
 def test_copies_and_wordless_texts_leave_one_document(spark, base, some, tmp_path, monkeypatch):
     # The classifier treats equal texts alike; without it, none of the planted ones is rejected.
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
