@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aisle.llm import jaccard, lines, packing, quality
-from aisle.session import scratch_path
+from aisle.session import scratch_path, stored
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,9 +26,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text.
 
-    Five copies or more repeat their own lines, and only the largest id keeps
-    them. The other copies go here, as the next stage could not tell what is left
-    of them; so do documents of which no word is left.
+    Five copies or more, near ones included, repeat their own lines, and only the
+    largest id keeps them. The other copies go here, as the next stage could not
+    tell what is left of them (less than a tenth of the words); so do documents of
+    which no word is left.
     """
     kept = lines.dedup_lines(docs, keep=["lang", "source", "n_chars"], stubs=False)
     return kept.withColumn(
@@ -48,7 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         F.max("n_shingles").alias("most"), F.max(F.col("component_id") != F.col("doc_id")).alias("other"))
     first = wordless.where("most = 0").agg(F.min("doc_id")).first()[0]
     gone = F.col("other") | (F.col("most") == 0) & (F.col("doc_id") > F.lit(first)) if first is not None else F.col("other")
-    others = wordless.where(gone).select("doc_id")
+    # Stored, so that Spark knows its size: few ids go to the texts, many are joined with them.
+    others = stored(wordless.where(gone).select("doc_id"), "others")
     return docs.join(others, "doc_id", "left_anti").select(*_COLUMNS)
 
 
