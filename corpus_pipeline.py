@@ -13,11 +13,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from aisle.llm import jaccard, lines, packing, quality
 from aisle.session import scratch_path, stored
 
+#: Rows that travel to Python at once; whole texts go there, and an executor runs several workers.
+BATCH_ROWS = 1_000
+
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, from here on: a stage runs when its result is written."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (learned from the labels of these documents) does not reject."""
+    small_batches(spark)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, keep=_COLUMNS[1:])
     return scored.where("predicted = 1").select(*_COLUMNS)
@@ -31,6 +42,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tell what is left of them (less than a tenth of the words); so do documents of
     which no word is left.
     """
+    small_batches(spark)
     kept = lines.dedup_lines(docs, keep=["lang", "source", "n_chars"], stubs=False)
     return kept.withColumn(
         "n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
@@ -44,6 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     are one class. Rows without an id are in no class and stay. Rows that repeat
     an id are in the class of that id together, and all stay if it is the smallest.
     """
+    small_batches(spark)
     found = jaccard.similar_documents(docs, words=5, percent=80)
     wordless = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max("n_shingles").alias("most"), F.max(F.col("component_id") != F.col("doc_id")).alias("other"))
@@ -56,6 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
