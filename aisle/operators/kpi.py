@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -58,10 +58,22 @@ def month_to_date(df: DataFrame, day: str, run_date: date) -> DataFrame:
     return df.where(_between(day, run_date.replace(day=1), run_date))
 
 
-def last_year_sales(df: DataFrame, day: str, run_date: date, keys: Sequence[str]) -> DataFrame:
-    """Sales of the same month-to-date one year earlier."""
+def both_months(df: DataFrame, day: str, run_date: date) -> DataFrame:
+    """Rows of the month to date (``_now`` true) and of the same days a year earlier (false)."""
     run = F.add_months(F.lit(run_date), -12)
-    return df.where(F.col(day).between(F.trunc(run, "month"), run)).groupBy(*keys).agg(F.sum("gsv").alias("gsv_ly"))
+    now = _between(day, run_date.replace(day=1), run_date)
+    return df.where(now | F.col(day).between(F.trunc(run, "month"), run)).withColumn("_now", now)
+
+
+def growth_of(df: DataFrame, performance: Callable[[DataFrame, Sequence[str]], DataFrame], keys: Sequence[str], measure: str,
+              name: str, digits: int) -> DataFrame:
+    """Performance of this month with sales of a year before (``gsv_ly``) and growth, of keys that sold in both.
+
+    ``df`` comes from ``both_months``; sales are rounded to ``digits``.
+    """
+    before = df.where("NOT _now").groupBy(*keys).agg(F.round(F.sum("gsv"), digits).alias("gsv_ly"))
+    current = performance(df.where("_now"), keys)
+    return growth(current.withColumn(measure, F.round(measure, digits)), before, keys, measure, name)
 
 
 def growth(current: DataFrame, before: DataFrame, keys: Sequence[str], measure: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aisle.functions import weeks
 from aisle.operators import kpi as ops, ordering, quality, timeseries as ts, windows as wops
 from aisle.plans.registry import query
+from aisle.session import stored
 
 RUN = date(2000, 3, 31)
 PEER = ["region", "channel", "category"]
@@ -105,9 +106,14 @@ def site_performance(t):
     return _r(_site(t), 6, "indi_gsv_per_assortment")
 
 
-def _mean_growth(t):
-    before = _rounded_sum(ops.last_year_sales(_master(t), "date", RUN, PEER), "gsv_ly")
-    return ops.growth(_mean(t), before, PEER, "gsv", "mean_growth")
+def _two_months(t):
+    """The master of the two months that are compared, joined once and stored, since levels and years read it again."""
+    columns = ["site", *PEER, "outlet", "dp_name", "gsv", "_now"]
+    return stored(ops.both_months(_master(t), "date", RUN).select(*columns), "two-months")
+
+
+def _mean_growth(months):
+    return ops.growth_of(months, ops.mean_performance, PEER, "gsv", "mean_growth", 4)
 
 
 @query("kpi04_growth_vs_last_year", f"""
@@ -117,7 +123,7 @@ SELECT region, channel, category, gsv, round(gsv / assortment, 6) AS gsv_per_ass
 FROM mean JOIN mean_ly USING (region, channel, category)
 """)
 def growth_vs_last_year(t):
-    return _r(_r(_mean_growth(t), 6, "gsv_per_assortment"), 9, "mean_growth")
+    return _r(_r(_mean_growth(_two_months(t)), 6, "gsv_per_assortment"), 9, "mean_growth")
 
 
 def _scaled_sql(c):
@@ -144,10 +150,10 @@ SELECT site, region, channel, category, CASE WHEN indi_growth > mean_growth THEN
 FROM k
 """)
 def site_vs_peers(t):
-    keys = ["site", *PEER]
-    before = _rounded_sum(ops.last_year_sales(_master(t), "date", RUN, keys), "gsv_ly")
-    site = ops.growth(_site(t), before, keys, "indi_gsv", "indi_growth").drop("gsv_ly")
-    peers = _mean_growth(t).drop("gsv_ly")
+    keys, months = ["site", *PEER], _two_months(t)
+    own = lambda df, _: ops.site_performance(df, PEER)
+    site = ops.growth_of(months, own, keys, "indi_gsv", "indi_growth", 4).drop("gsv_ly")
+    peers = _mean_growth(months).drop("gsv_ly")
     out = ops.compare_with_peers(site, peers, PEER)
     names = [f"gap_{n}" for n in ops.COMPONENTS]
     return out.select(
