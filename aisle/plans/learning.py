@@ -35,6 +35,12 @@ def _labelled(t):
         F.col("quality").cast("double").alias("label"), F.col("toxic").cast("double").alias("toxic"))
 
 
+def _held_out(t):
+    """Rows to learn from, and a fifth that is only scored."""
+    parts = ops.random_split(_labelled(t), "doc_id")
+    return parts.where("part = 'train'"), parts.where("part = 'test'")
+
+
 _FEATURES = ["chars", "words", "stops", "digits", "capitals"]
 
 
@@ -109,18 +115,17 @@ def elastic_net(t):
 
 @query("mlj06_logistic_regression")
 def logistic_regression(t):
-    weighted = ops.balanced_weights(_labelled(t), "label")
-    frame = ops.assemble(weighted, _FEATURES, "label", "weight")
+    train, test = _held_out(t)
+    frame = ops.assemble(ops.balanced_weights(train, "label"), _FEATURES, "label", "weight")
     model = ops.fitted(LogisticRegression(maxIter=50, weightCol="weight"), frame)
-    return _confusion(model.transform(frame))
+    return _confusion(model.transform(ops.assemble(test, _FEATURES, "label")))
 
 
 def _naive_bayes(t, kind):
-    frame = _labelled(t)
     present = [(F.col(c) > 100).cast("double").alias(c) for c in _FEATURES] if kind == "bernoulli" else [F.col(c) for c in _FEATURES]
-    vectors = ops.assemble(frame.select("label", *present), _FEATURES, "label")
-    model = ops.fitted(NaiveBayes(modelType=kind), vectors)
-    return _confusion(model.transform(vectors)).withColumn("model", F.lit(kind))
+    train, test = (ops.assemble(part.select("label", *present), _FEATURES, "label") for part in _held_out(t))
+    model = ops.fitted(NaiveBayes(modelType=kind), train)
+    return _confusion(model.transform(test)).withColumn("model", F.lit(kind))
 
 
 @query("mlj07_naive_bayes")
@@ -187,8 +192,8 @@ def propensity(t):
 
 @query("mlj11_linear_svm")
 def linear_svm(t):
-    frame = ops.assemble(_labelled(t), _FEATURES, "label")
-    return _confusion(ops.fitted(LinearSVC(maxIter=20, regParam=0.1), frame).transform(frame))
+    train, test = (ops.assemble(part, _FEATURES, "label") for part in _held_out(t))
+    return _confusion(ops.fitted(LinearSVC(maxIter=20, regParam=0.1), train).transform(test))
 
 
 _BUCKET = "CAST(concat('0x', substr(md5(CAST({c} AS VARCHAR)), 1, 6)) AS BIGINT) % 100"
@@ -320,6 +325,17 @@ def _cv(t, train):
     return out.withColumns({"r2": F.round("r2", 6), "mse": F.round("mse", 4), "mae": F.round("mae", 6)})
 
 
+@query("mlj15_random_search")
+def random_search(t):
+    """Logistic regression, a tree and a forest on the same folds."""
+    frame = ops.assemble(_labelled(t), _FEATURES, "doc_id", "label")
+    line, tree, forest = LogisticRegression(maxIter=20), DecisionTreeClassifier(seed=1), RandomForestClassifier(seed=1)
+    return ops.random_search([
+        ("logistic regression", line, {line.regParam: (1e-4, 1.0, "log"), line.elasticNetParam: (0.0, 1.0)}),
+        ("tree", tree, {tree.maxDepth: (2, 6), tree.minInstancesPerNode: [1, 5, 20]}),
+        ("forest", forest, {forest.numTrees: (5, 20), forest.maxDepth: (2, 6)})], 2, BinaryClassificationEvaluator(), frame, "doc_id")
+
+
 @query("mlj16_time_series_cv", _cv_sql("UNBOUNDED"))
 def time_series_cv(t):
     """Every origin with a year before it, trained on all weeks before."""

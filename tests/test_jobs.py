@@ -115,3 +115,46 @@ def test_balanced_weights(spark):
     frame = spark.createDataFrame([(0,), (0,), (0,), (1,)], "label int")
     out = {r.label: r.weight for r in learning.balanced_weights(frame, "label").collect()}
     assert out == {0: 4 / 6, 1: 2.0}
+
+
+def test_random_settings_and_comparison(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    line, tree = LogisticRegression(maxIter=5), DecisionTreeClassifier(seed=1)
+    space = {line.regParam: (1e-3, 1.0, "log"), line.elasticNetParam: (0.0, 0.5)}
+    drawn = learning.random_settings(space, 40)
+    assert drawn == learning.random_settings(space, 40) != learning.random_settings(space, 40, seed=8)
+    assert all(1e-3 <= s[line.regParam] <= 1 and 0 <= s[line.elasticNetParam] <= 0.5 for s in drawn)
+    assert sum(s[line.regParam] < 0.03 for s in drawn) > 8  # even in the logarithm
+    assert {s[tree.maxDepth] for s in learning.random_settings({tree.maxDepth: (1, 3)}, 40)} == {1, 2, 3}
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 2))
+    rows = [(i, float(x), float(y), float(x + 0.3 * y + e > 0)) for i, ((x, y), e) in enumerate(zip(points, 0.3 * rng.normal(size=300)))]
+    frame = learning.assemble(spark.createDataFrame(rows, "id long, x double, y double, label double"), ["x", "y"], "id", "label")
+    out = learning.random_search([("line", line, space), ("tree", tree, {tree.maxDepth: [2, 3]})], 2,
+                                 BinaryClassificationEvaluator(), frame, "id").collect()
+    assert [r["rank"] for r in out] == [1, 2, 3, 4] and {r.estimator for r in out} == {"line", "tree"}
+    scores = [r.score for r in out]
+    assert scores == sorted(scores, reverse=True) and scores[-1] > 0.75 and all(r.deviation >= 0 for r in out)
+
+
+def test_truncated_svd_equals_numpy(spark):
+    rows = np.random.default_rng(4).normal(size=(200, 7)) * np.arange(1, 8)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] + [(900, None)], "id long, v array<double>").repartition(4)
+    values, right = learning.truncated_svd(frame, "v", 3)
+    _, expected, turned = np.linalg.svd(rows)
+    assert np.allclose(values, expected[:3]) and np.allclose(np.abs(right.T), np.abs(turned[:3]), atol=1e-6)
+
+
+def test_models_beat_the_larger_class_on_rows_they_have_not_seen(spark):
+    from aisle.plans import learning as plans
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    for query in (plans.logistic_regression, plans.linear_svm):
+        cells = {(r.label, r.prediction): r.rows for r in query(tables).collect()}
+        whole = sum(cells.values())
+        assert 0.1 * tables.labels.count() < whole < 0.3 * tables.labels.count()
+        larger = max(sum(n for (label, _), n in cells.items() if label == k) for k in (0, 1))
+        assert sum(n for (label, p), n in cells.items() if label == p) >= larger
