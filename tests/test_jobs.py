@@ -158,3 +158,21 @@ def test_models_beat_the_larger_class_on_rows_they_have_not_seen(spark):
         assert 0.1 * tables.labels.count() < whole < 0.3 * tables.labels.count()
         larger = max(sum(n for (label, _), n in cells.items() if label == k) for k in (0, 1))
         assert sum(n for (label, p), n in cells.items() if label == p) >= larger
+
+
+def test_propensity_is_scored_on_outlets_held_out(spark):
+    from aisle.plans import learning as plans
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    out = plans.propensity(tables)
+    rows = out.collect()
+    outlets = learning.random_split(tables.outlets, "outlet")
+    held = {r.outlet for r in outlets.where("part = 'test'").collect()}
+    assert rows and {r.outlet for r in rows} <= held and len({(r.outlet, r.category) for r in rows}) == len(rows)
+    assert len({r.category for r in rows}) == tables.products.select("category").distinct().count()
+    for i in range(1, 5):
+        proba = [(r[f"pred_proba_w{i}"], r[f"buy_next_{i}w"], r[f"pred_w{i}"]) for r in rows]
+        assert all(0 <= p <= 1 and (p > 0.5) == (y == 1) for p, _, y in proba if abs(p - 0.5) > 1e-3)
+        right = sum(label == y for _, label, y in proba)
+        assert right >= 0.98 * max(sum(label == k for _, label, _ in proba) for k in (0, 1))
