@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aisle.functions.exprs import beside, ratio
 from aisle.operators.ordering import exact_percentiles, running_totals
@@ -55,6 +55,21 @@ def best_method(table: DataFrame, keys: Sequence[str], methods: Sequence[str]) -
         *keys, F.coalesce("best.method", F.lit("BLANK")).alias("method"), F.coalesce("best.fa", F.lit(0.0)).alias("fa"))
 
 
+def with_best_method(df: DataFrame, keys: Sequence[str], actual: str, methods: Sequence[str]) -> DataFrame:
+    """``df`` with the ``method`` and ``fa`` that ``best_method`` gives its key, from windows over the key."""
+    whole = Window.partitionBy(*keys)
+    total = F.sum(actual).over(whole)
+    scored = df.select("*", *[
+        F.round(1 - ratio(F.sum(F.abs(F.coalesce(m, F.lit(0.0)) - F.col(actual))).over(whole), total), 9).alias(f"_fa_{m}")
+        for m in methods])
+    best = F.array_max(F.array(*[
+        F.when(F.col(f"_fa_{m}") > 0, F.struct(F.col(f"_fa_{m}").alias("fa"), F.lit(-i).alias("place"), F.lit(m).alias("method")))
+        for i, m in enumerate(methods)]))
+    return scored.withColumn("_best", best).select(
+        *df.columns, F.coalesce("_best.method", F.lit("BLANK")).alias("method"),
+        F.coalesce("_best.fa", F.lit(0.0)).alias("fa"))
+
+
 def bias_report(df: DataFrame, segment: Column, actual: str, prediction: str) -> DataFrame:
     """Rows, volume, share, means and the negative and positive bias per segment."""
     gap = F.col(prediction) - F.col(actual)

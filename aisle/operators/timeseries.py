@@ -131,13 +131,18 @@ def month_position(df: DataFrame, keys: Sequence[str], anchor: str, week: str, u
 
 
 def phasing_ratio(df: DataFrame, keys: Sequence[str], week: str, anchor: str, measure: str, history: Column) -> DataFrame:
-    """Usual share of a week in its month by (weeks in month, place in month); months of 4 or 5 weeks."""
-    placed = month_position(df, keys, anchor, week).withColumn("_hist", history)
-    total = F.sum(measure).over(Window.partitionBy(*keys, "month_start"))
-    past = placed.where("_hist").withColumn("_share", ratio(measure, total))
-    generic = past.where("count_weeks >= 4").groupBy(*keys, "count_weeks", "week_order").agg(
-        F.avg("_share").alias("ratio_generic"))
-    return placed.drop("_hist").join(generic, [*keys, "count_weeks", "week_order"])
+    """Usual share of a week in its month by (weeks in month, place in month); months of 4 or 5 weeks.
+
+    Windows on the keys and something more need no shuffle on a frame dealt by the keys.
+    """
+    placed = month_position(df.withColumn("_hist", history), keys, anchor, week)
+    known = F.when(F.col("_hist"), F.col(measure))
+    total = F.sum(known).over(Window.partitionBy(*keys, "month_start"))
+    alike = Window.partitionBy(*keys, "count_weeks", "week_order")
+    used = F.col("_hist") & (F.col("count_weeks") >= 4)
+    return placed.withColumn("_share", F.when(used, ratio(known, total))).select(
+        "*", F.avg("_share").over(alike).alias("ratio_generic"), F.count_if(used).over(alike).alias("_used")
+    ).where("_used > 0").drop("_hist", "_share", "_used")
 
 
 def apply_phasing(df: DataFrame, keys: Sequence[str], month: str, forecast: str, share: str) -> Column:
@@ -149,19 +154,22 @@ def apply_phasing(df: DataFrame, keys: Sequence[str], month: str, forecast: str,
 def trendline(df: DataFrame, keys: Sequence[str], order: str, measure: str, history: Column) -> DataFrame:
     """Straight line through all history blended 1 : 0.5 with the one through its last 26 rows.
 
-    x is the rank of the period over history and future.
+    x is the rank of the period over history and future. The lines are fitted over
+    the key's window, so the series are read once and move once.
     """
-    spec = win.series(keys, order)
-    indexed = df.withColumn("_hist", history).withColumn("x", F.row_number().over(spec))
-    newest = F.row_number().over(Window.partitionBy(*keys, "_hist").orderBy(F.desc(order)))
-    marked = indexed.withColumn("_recent", F.col("_hist") & (newest <= 26))
-    y = lambda flag: F.when(F.col(flag), F.col(measure))
+    spec, whole = win.series(keys, order), Window.partitionBy(*keys)
+    past = F.when(F.col("_hist"), 1)
+    marked = df.withColumn("_hist", history).select(
+        "*", F.row_number().over(spec).alias("x"),
+        (F.count(past).over(whole) - F.count(past).over(spec.rowsBetween(Window.unboundedPreceding, -1))).alias("_left"))
     x = F.col("x").cast("double")
-    fits = marked.groupBy(*keys).agg(
-        F.regr_slope(y("_hist"), x).alias("_s1"), F.regr_intercept(y("_hist"), x).alias("_i1"),
-        F.regr_slope(y("_recent"), x).alias("_s2"), F.regr_intercept(y("_recent"), x).alias("_i2"))
+    every = F.when(F.col("_hist"), F.col(measure))
+    recent = F.when(F.col("_hist") & (F.col("_left") <= 26), F.col(measure))
+    fitted = marked.select(
+        *df.columns, "x", F.regr_slope(every, x).over(whole).alias("_s1"), F.regr_intercept(every, x).over(whole).alias("_i1"),
+        F.regr_slope(recent, x).over(whole).alias("_s2"), F.regr_intercept(recent, x).over(whole).alias("_i2"))
     blend = lambda a, b: (F.col(a) + 0.5 * F.col(b)) / 1.5
-    return marked.join(fits, list(keys)).select(
+    return fitted.select(
         *df.columns, "x", blend("_s1", "_s2").alias("slope"), blend("_i1", "_i2").alias("intercept"),
         (blend("_i1", "_i2") + blend("_s1", "_s2") * F.col("x")).alias("trendline"))
 
@@ -202,12 +210,12 @@ def lifecycle_slopes(df: DataFrame, keys: Sequence[str], order: str, measure: st
 
 def cumsum_trend(df: DataFrame, keys: Sequence[str], order: str, measure: str, history: Column) -> DataFrame:
     """Forecast as the differences of a line fitted through the running total of history."""
-    spec = win.series(keys, order)
-    run = df.withColumn("_hist", history).select(
-        "*", F.row_number().over(spec).cast("double").alias("x"), win.running_sum(measure, spec).alias("_run"))
-    y = F.when(F.col("_hist"), F.col("_run"))
-    fits = run.groupBy(*keys).agg(F.regr_slope(y, "x").alias("_s"), F.regr_intercept(y, "x").alias("_i"))
-    fitted = run.join(fits, list(keys)).withColumn("_fit", F.col("_i") + F.col("_s") * F.col("x"))
+    spec, whole = win.series(keys, order), Window.partitionBy(*keys)
+    run = df.select(
+        "*", F.row_number().over(spec).cast("double").alias("_x"), win.running_sum(measure, spec).alias("_run"))
+    y = F.when(history, F.col("_run"))
+    slope, start = F.regr_slope(y, "_x").over(whole), F.regr_intercept(y, "_x").over(whole)
+    fitted = run.withColumn("_fit", start + slope * F.col("_x"))
     return fitted.select(*df.columns, (F.col("_fit") - F.lag("_fit").over(spec)).alias("yhat"))
 
 

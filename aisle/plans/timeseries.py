@@ -302,16 +302,16 @@ phased AS (SELECT t.*, p.month_start, g.ratio_generic,
 """
 
 
-def _phased(t):
-    shares = ts.phasing_ratio(t.plan, KEYS, "week", "anchor", "daily", F.col("week") <= F.lit(CUT)).select(
-        *KEYS, "week", "month_start", "ratio_generic")
-    frame = _trend(t).join(shares, [*KEYS, "week"])
-    return frame.withColumn("fc", ts.apply_phasing(frame, KEYS, "month_start", "trendline", "ratio_generic"))
+def _phased(frame):
+    past = F.col("week") <= F.lit(CUT)
+    trend = ts.trendline(frame, KEYS, "week_no", "daily", past)
+    shares = ts.phasing_ratio(trend, KEYS, "week", "anchor", "daily", past)
+    return shares.withColumn("fc", ts.apply_phasing(shares, KEYS, "month_start", "trendline", "ratio_generic"))
 
 
 @query("ts14_apply_phasing", f"WITH {_PHASED_SQL} SELECT brand, region, week_no, round(fc, 6) AS forecast FROM phased")
 def apply_phasing(t):
-    return _phased(t).select(*KEYS, "week_no", F.round("fc", 6).alias("forecast"))
+    return _phased(t.plan).select(*KEYS, "week_no", F.round("fc", 6).alias("forecast"))
 
 
 _METHODS = ["cum", "phased", "trend"]
@@ -338,18 +338,16 @@ SELECT n.brand, n.region, n.week_no, coalesce(b.method, 'BLANK') AS method, coal
 FROM n LEFT JOIN b ON n.brand = b.brand AND n.region = b.region WHERE NOT n.hist
 """.replace("arg_max(method, (fa, -o))", "arg_max(method, row(fa, -o))"))
 def best_method(t):
-    cum = ts.cumsum_trend(t.plan, KEYS, "week_no", "daily", F.col("week") <= F.lit(CUT)).select(
-        *KEYS, "week", F.greatest(F.coalesce("yhat", F.lit(0.0)), F.lit(0.0)).alias("cum"))
-    frame = _phased(t).join(cum, [*KEYS, "week"]).where(F.col("week") > F.lit(CUT)).select(
-        *KEYS, "week_no", "daily", "cum", F.col("fc").alias("phased"),
-        F.greatest("trendline", F.lit(0.0)).alias("trend"))
+    cum = ts.cumsum_trend(t.plan, KEYS, "week_no", "daily", F.col("week") <= F.lit(CUT))
+    frame = _phased(cum).where(F.col("week") > F.lit(CUT)).select(
+        *KEYS, "week_no", "daily", F.greatest(F.coalesce("yhat", F.lit(0.0)), F.lit(0.0)).alias("cum"),
+        F.col("fc").alias("phased"), F.greatest("trendline", F.lit(0.0)).alias("trend"))
     frame = frame.withColumn("median_method", exprs.row_median(*_METHODS))
-    methods = [*_METHODS, "median_method"]
-    best = evaluation.best_method(evaluation.method_table(frame, KEYS, "daily", methods), KEYS, methods)
+    frame = evaluation.with_best_method(frame, KEYS, "daily", [*_METHODS, "median_method"])
     proposed = F.col("median_method")
     for m in _METHODS:
         proposed = F.when(F.col("method") == m, F.col(m)).otherwise(proposed)
-    return frame.join(best, KEYS, "left").select(
+    return frame.select(
         *KEYS, "week_no", "method", "fa", F.round("median_method", 6).alias("median_method"),
         F.round(proposed, 6).alias("proposed"))
 

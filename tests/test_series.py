@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from aisle.functions import weeks, windows as win
-from aisle.operators import promotion, quality, timeseries as ts, windows as ops
+from aisle.operators import evaluation, promotion, quality, timeseries as ts, windows as ops
 from aisle.sources.retail import Tables
 
 
@@ -321,3 +322,25 @@ def test_movable_holidays(spark):
     assert by("Leap Day") == {date(2000, 2, 29), date(2024, 2, 29)} and len(by("National Day")) == 5
     assert by("Tet") == {date(2001, 1, 23) + datetime.timedelta(i) for i in range(4)}
     assert {r.movable for r in out if r.name in ("Tet", "Easter")} == {True}
+
+
+def test_best_method_beside_the_rows_equals_the_table(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(n), float(a), float(a + rng.normal()), None if n % 5 == 0 else float(a * 1.1), float(a + rng.normal()))
+            for k in "abcd" for n, a in enumerate(rng.integers(0 if k == "d" else 1, 1 if k == "d" else 9, 12))]
+    frame = spark.createDataFrame([*rows, ("e", 0, 4.0, 4.0, 4.0, 4.0), ("f", 0, 1.0, 9.0, 9.0, None)],
+                                  "k string, n int, y double, m1 double, m2 double, m3 double")
+    methods = ["m1", "m2", "m3"]
+    table = evaluation.best_method(evaluation.method_table(frame, ["k"], "y", methods), ["k"], methods)
+    expected = {r.k: (r.method, r.fa) for r in table.collect()}
+    out = evaluation.with_best_method(frame, ["k"], "y", methods).collect()
+    assert len(out) == len(rows) + 2 and all((r.method, r.fa) == expected[r.k] for r in out)
+    assert expected["e"] == ("m1", 1.0) and expected["d"][0] == "BLANK" and expected["f"][0] == "BLANK"
+
+
+def test_forecast_chain_moves_the_series_once(spark, folder):
+    t = Tables(spark, folder)
+    source = str(t.plan._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+    for name in ("ts14_apply_phasing", "ts15_best_method"):
+        plan = str(entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan())
+        assert plan.count("Exchange hashpartitioning") <= source + 1 and "lineitem" in plan
