@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from aisle.session import checkpointed
+from aisle.session import stored
 
 RATE = 4_000  # samples a second
 _FRAME, _HOP = 1_024, 256
 _SPAN = 8  # frames that a filter looks at
 _CLASSES = 12
+_WEAK = 3  # least certain bits kept of a print
+_GAP = 8  # frames between the two prints of a landmark
 
 #: Filters over (frames, pitch classes): kind, first class, classes; kinds compare halves of their area.
 _FILTERS = [(kind, low, high) for kind, low, high in (
@@ -47,17 +49,19 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     return np.where(length > 1.0, energy / np.maximum(length, 1.0), 0.0)
 
 
-def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers and packed 32-bit values of a recording.
+def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frame numbers, packed 32-bit values of a recording, and the places of their least certain bits.
 
     An integral image of the chroma frames gives each filter's areas with four
     reads. Every filter is quantised to two bits (a Gray code), sixteen filters
-    fill an integer. Values over silence are left out.
+    fill an integer. The filters nearest to one of their thresholds are the least
+    certain; the bit that changes there is named with five bits, the first lowest.
+    Values over silence are left out.
     """
     image = chroma(samples)
     n = len(image) - _SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     total = np.zeros((len(image) + 1, _CLASSES + 1))
     total[1:, 1:] = image.cumsum(0).cumsum(1)
     at = np.arange(n)
@@ -66,7 +70,8 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return total[at + t1, c1] - total[at + t0, c1] - total[at + t1, c0] + total[at + t0, c0]
 
     half, values = _SPAN // 2, np.zeros(n, np.int64)
-    for kind, low, size in _FILTERS:
+    slack, place = np.empty((n, len(_FILTERS))), np.empty((n, len(_FILTERS)), np.int64)
+    for i, (kind, low, size) in enumerate(_FILTERS):
         high, mid = low + size, low + size // 2
         if kind == "level":
             x = np.log((1 + area(0, _SPAN, low, high)) / (1 + area(0, _SPAN, 0, _CLASSES) * size / _CLASSES))
@@ -79,8 +84,13 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                        / (1 + area(0, half, mid, high) + area(half, _SPAN, low, mid)))
         level = (x > -0.25).astype(np.int64) + (x > 0) + (x > 0.25)
         values = (values << 2) | np.array([0, 1, 3, 2])[level]
+        away = np.abs(x[:, None] - np.array([-0.25, 0, 0.25]))
+        slack[:, i] = away.min(1)
+        place[:, i] = 2 * (len(_FILTERS) - 1 - i) + np.array([0, 1, 0])[away.argmin(1)]
+    nearest = np.take_along_axis(place, slack.argsort(1, kind="stable")[:, :_WEAK], 1)
+    weak = (nearest << (5 * np.arange(_WEAK))).sum(1)
     loud = area(0, _SPAN, 0, _CLASSES) > 0.5
-    return at[loud], values[loud]
+    return at[loud], values[loud], weak[loud]
 
 
 def recordings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -118,12 +128,12 @@ def recordings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 
 def fingerprints(df: DataFrame, key: str = "vec_id", pcm: str = "pcm") -> DataFrame:
-    """Fingerprint of each recording: id, frames, prints (arrays of equal length).
+    """Fingerprint of each recording: id, frames, prints, weak (arrays of equal length).
 
     A null, empty or too short recording, and one of silence, has empty arrays.
     """
     schema = StructType([StructField("id", LongType()), StructField("frames", ArrayType(IntegerType())),
-                         StructField("prints", ArrayType(LongType()))])
+                         StructField("prints", ArrayType(LongType())), StructField("weak", ArrayType(IntegerType()))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,58 +141,132 @@ def fingerprints(df: DataFrame, key: str = "vec_id", pcm: str = "pcm") -> DataFr
             rows = [fingerprint(np.frombuffer(x[: len(x) // 2 * 2], "<i2"))
                     for x in ((p.as_py() or b"") for p in batch.column(1))]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([a for a, _ in rows], pa.list_(pa.int32())),
-                pa.array([b for _, b in rows], pa.list_(pa.int64()))], schema=arrow)
+                batch.column(0), pa.array([a for a, _, _ in rows], pa.list_(pa.int32())),
+                pa.array([b for _, b, _ in rows], pa.list_(pa.int64())),
+                pa.array([c for _, _, c in rows], pa.list_(pa.int32()))], schema=arrow)
 
     return df.select(F.col(key).cast("bigint"), F.col(pcm)).mapInArrow(run, schema)
 
 
-def align(queries: DataFrame, prints: DataFrame, least: int = 8, error: float = 0.25) -> DataFrame:
-    """Recordings that match a query: query, id, offset, matches, overlap, bit_error.
+def sounds(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of recordings that sound the same from their first sound on, and who is in them.
 
-    ``queries`` and ``prints`` have id, frames, prints. Equal prints vote for the
-    difference of their frames; the histogram's highest offset (of ties, the
-    lowest) is the alignment. A pair needs ``least`` votes there. Bit errors are
-    then counted over all frames that both have at that offset; pairs with a
-    share of ``error`` or less are returned. A query is not matched with itself.
-    Repeated ids are one recording, the one with the longest print. Equal prints
-    in a recording collapse to a few rows before the join, since they are
-    grouped with their frames; the votes are summed map-side.
+    The classes have class (any distinct numbers), lead (smallest id), frames
+    (counted from the first print), prints and weak; the members have class,
+    lead, id and start (the first print's frame; the smallest, if a class holds
+    an id more than once). Each recording of a repeated id is a member of its
+    own class. Recordings without an id or without prints are in none. Both
+    frames are written to the shared folder.
     """
-    prints = checkpointed(prints.where("id IS NOT NULL AND size(prints) > 0").groupBy("id").agg(
-        F.max_by(F.struct("frames", "prints"), F.struct(F.size("prints"), "prints")).alias("best")
-    ).select("id", "best.frames", "best.prints"))
-    asked = prints.join(queries.select("id").distinct(), "id", "left_semi")
-    each = lambda d: d.select("id", F.explode(F.arrays_zip("frames", "prints")).alias("x")).groupBy(
-        "id", F.col("x.prints").alias("print")).agg(F.collect_list("x.frames").alias("frames"))
-    one = each(asked).withColumnsRenamed({"id": "query", "frames": "mine"})
-    offsets = F.flatten(F.transform("mine", lambda m: F.transform(F.col("frames"), lambda f: f - m)))
-    votes = one.join(each(prints), "print").where("query <> id").select("query", "id", F.explode(offsets).alias("offset"))
-    best = votes.groupBy("query", "id", "offset").agg(F.count("*").alias("matches")).where(
-        F.col("matches") >= least).groupBy("query", "id").agg(
+    first = F.col("frames")[0]
+    heard = prints.where("id IS NOT NULL AND size(prints) > 0").select(
+        "id", first.alias("start"), F.transform("frames", lambda f: f - first).alias("frames"), "prints", "weak")
+    text = F.concat_ws(",", F.col("frames").cast("array<string>"), F.col("prints").cast("array<string>"))
+    heard = heard.withColumn("sound", F.sha2(text, 256))
+    one = heard.groupBy("sound").agg(F.min(F.struct("id", "frames", "prints", "weak")).alias("one"))
+    classes = stored(one.select(
+        "sound", F.monotonically_increasing_id().alias("class"), F.col("one.id").alias("lead"), "one.frames",
+        "one.prints", "one.weak"), "sounds")
+    members = heard.groupBy("sound", "id").agg(F.min("start").alias("start")).join(
+        classes.select("sound", "class", "lead"), "sound").select("class", "lead", "id", "start")
+    return classes.drop("sound"), stored(members, "members")
+
+
+def landmarks(classes: DataFrame, variants: bool = False) -> DataFrame:
+    """Pairs of prints ``_GAP`` frames apart as one number: class, key, frame (of the first print).
+
+    With ``variants`` both prints also come with any of their least certain bits
+    turned over, 64 keys a pair.
+    """
+    schema = StructType([StructField("class", LongType()), StructField("key", LongType()), StructField("frame", IntegerType())])
+    arrow = to_arrow_schema(schema)
+    turned = range(1 << _WEAK) if variants else range(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, frames, prints, weak in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, value = np.array(frames, np.int64), np.array(prints, np.int64)
+                bits = 1 << ((np.array(weak, np.int64)[:, None] >> (5 * np.arange(_WEAK))) & 31)
+                later = np.searchsorted(at, at + _GAP)
+                here = np.flatnonzero(at[np.minimum(later, len(at) - 1)] == at + _GAP)
+                there = later[here]
+                forms = [value ^ (bits * [n >> i & 1 for i in range(_WEAK)]).sum(1) for n in turned]
+                for a in forms:
+                    keys = [(a[here] << 32) | b[there] for b in forms]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(here) * len(keys), name)), pa.array(np.concatenate(keys)),
+                        pa.array(np.tile(at[here], len(keys)).astype(np.int32))], schema=arrow)
+
+    return classes.select("class", "frames", "prints", "weak").mapInArrow(run, schema)
+
+
+def align(
+    queries: DataFrame, classes: DataFrame, members: DataFrame, least: int = 8, error: float = 0.25
+) -> DataFrame:
+    """Classes that match the class of a query: query, class, offset, matches, overlap, bit_error.
+
+    ``queries`` has id; ``classes`` and ``members`` are those of ``sounds``.
+    Equal landmarks vote for the difference of their frames, and those of a
+    query vote with their least certain bits turned over too, so that a print
+    with a few wrong bits is still found; the histogram's highest offset (of
+    ties, the lowest) is the alignment. Bit errors are then counted over all
+    frames that both have at that offset, ``least`` at fewest; pairs with a share
+    of ``error`` or less are returned. A class is not matched with itself. Two
+    prints together are rare, so unrelated recordings hardly meet in the join.
+    """
+    ids = queries.select(F.col("id").cast("bigint")).distinct()
+    asked = classes.join(members.join(ids, "id", "left_semi").select("class").distinct(), "class", "left_semi")
+    mine = landmarks(asked, variants=True).withColumnsRenamed({"class": "query", "frame": "mine"})
+    votes = mine.join(landmarks(classes), "key").where("query <> class").groupBy(
+        "query", "class", (F.col("frame") - F.col("mine")).alias("offset")).agg(F.count("*").alias("matches"))
+    best = votes.groupBy("query", "class").agg(
         F.max(F.struct("matches", (-F.col("offset")).alias("low"))).alias("top")
-    ).select("query", "id", (-F.col("top.low")).alias("offset"), F.col("top.matches").alias("matches"))
+    ).select("query", "class", (-F.col("top.low")).alias("offset"), F.col("top.matches").alias("matches"))
     lookup = F.map_from_arrays("frames", "prints")
-    both = best.join(prints.select(F.col("id").alias("query"), F.col("frames").alias("mine"),
-                                   F.col("prints").alias("own")), "query").join(
-        prints.select("id", "frames", lookup.alias("theirs")), "id")
+    both = best.join(classes.select(F.col("class").alias("query"), F.col("frames").alias("mine"),
+                                    F.col("prints").alias("own")), "query").join(
+        classes.select("class", lookup.alias("theirs")), "class")
     bits = F.transform(
         F.filter(F.arrays_zip("mine", "own"), lambda x: F.map_contains_key("theirs", x["mine"] + F.col("offset"))),
         lambda x: F.bit_count(x["own"].bitwiseXOR(F.col("theirs")[x["mine"] + F.col("offset")])))
     scored = both.withColumn("bits", bits).select(
-        "query", "id", "offset", "matches", F.size("bits").alias("overlap"),
+        "query", "class", "offset", "matches", F.size("bits").alias("overlap"),
         (F.aggregate("bits", F.lit(0), lambda s, x: s + x) / (32.0 * F.size("bits"))).alias("bit_error"))
-    return scored.where(F.col("bit_error") <= error)
+    return scored.where((F.col("bit_error") <= error) & (F.col("overlap") >= least))
 
 
-def summary(queries: DataFrame, aligned: DataFrame) -> DataFrame:
+def summary(queries: DataFrame, classes: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
     """One row per distinct query id: query, n_links (recordings it matches, 0 without one) and the nearest of them.
 
-    The nearest (id, offset, matches, overlap, bit_error; null without a match)
-    has the fewest bit errors, then the most matches, then the smallest id.
+    A query matches the other members of its class and all members of the linked
+    ones, but no recording of its own id. The nearest (id, offset, matches,
+    overlap, bit_error; null without a match) has the fewest bit errors, then the
+    most matches, then the smallest id; in its own class all prints match. The
+    offset is in frames of the two recordings. Copies stay counts: a class adds
+    its size and its two smallest ids.
     """
-    order = F.struct("bit_error", (-F.col("matches")).alias("votes"), "id")
-    best = aligned.groupBy("query").agg(
-        F.count("*").alias("n_links"), F.min_by(F.struct("id", "offset", "matches", "overlap", "bit_error"), order).alias("best"))
     asked = queries.where("id IS NOT NULL").select(F.col("id").cast("bigint").alias("query")).distinct()
+    own = members.join(asked, F.col("id") == F.col("query"), "left_semi").select(
+        F.col("id").alias("query"), F.col("class").alias("mine"), F.col("start").alias("begin"))
+    place = F.struct("id", "start")
+    sizes = members.groupBy("class").agg(
+        F.count("*").alias("n"), F.min(place).alias("one"), F.min(F.when(F.col("id") > F.col("lead"), place)).alias("two"))
+    same = classes.select(
+        F.col("class").alias("mine"), "class", F.lit(0).alias("offset"), F.size("prints").cast("bigint").alias("matches"),
+        F.size("prints").alias("overlap"), F.lit(0.0).alias("bit_error"))
+    near = own.join(same, "mine").unionByName(own.join(links.withColumnRenamed("query", "mine"), "mine"))
+    order = F.struct("bit_error", (-F.col("matches")).alias("votes"), "offset")
+    near = near.groupBy("query", "class").agg(
+        F.min_by(F.struct("begin", "offset", "matches", "overlap", "bit_error"), order).alias("best")
+    ).select("query", "class", "best.*")
+    also = own.select("query", F.col("mine").alias("class"), F.lit(1).alias("self"))
+    met = near.join(sizes, "class").join(also, ["query", "class"], "left").withColumn(
+        "n", F.col("n") - F.coalesce("self", F.lit(0))).where("n > 0").withColumn(
+        "at", F.when(F.col("one.id") == F.col("query"), F.col("two")).otherwise(F.col("one")))
+    found = met.select(
+        "query", "n", F.col("at.id").alias("id"), (F.col("offset") + F.col("at.start") - F.col("begin")).alias("offset"),
+        "matches", "overlap", "bit_error")
+    order = F.struct("bit_error", (-F.col("matches")).alias("votes"), "id")
+    best = found.groupBy("query").agg(
+        F.sum("n").alias("n_links"), F.min_by(F.struct("id", "offset", "matches", "overlap", "bit_error"), order).alias("best"))
     return asked.join(best, "query", "left").select("query", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.*")

@@ -136,7 +136,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Recordings made of all vectors; those whose id is divisible by 50 are the queries, and each has a row."""
     prints = media.fingerprints(media.recordings(table(spark, folder, "embeddings")))
     queries = table(spark, folder, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS id")
-    return media.summary(queries, media.align(queries, prints))
+    classes, members = media.sounds(prints)
+    return media.summary(queries, classes, members, media.align(queries, classes, members))
 
 
 @query("op12_filter_audit", f"""

@@ -1,67 +1,104 @@
-from collections import Counter
-
 import numpy as np
 
 from aisle.llm import media
 
 
-def brute(recordings, queries, least, error):
-    prints = {i: dict(zip(*map(np.ndarray.tolist, media.fingerprint(x)), strict=True)) for i, x in recordings.items()}
-    out = []
-    for q in queries:
-        for i, theirs in prints.items():
-            if i == q or not theirs or not prints.get(q):
-                continue
-            votes = Counter(g - f for f, v in prints[q].items() for g, w in theirs.items() if v == w)
-            if not votes:
-                continue
-            matches, low = max((n, -o) for o, n in votes.items())
-            if matches < least:
-                continue
-            bits = [(v ^ theirs[f - low]).bit_count() for f, v in prints[q].items() if f - low in theirs]
-            if sum(bits) <= error * 32 * len(bits):
-                out.append((q, i, -low, matches, len(bits), sum(bits) / 32 / len(bits)))
-    return sorted(out)
+def every_offset(mine, theirs, least=8):
+    """Smallest share of wrong bits over all offsets, and that offset."""
+    (at, a, _), (to, b, _) = mine, theirs
+    best = (1.0, 0)
+    for offset in range(-int(at.max()), int(to.max()) + 1):
+        _, x, y = np.intersect1d(at + offset, to, return_indices=True)
+        if len(x) >= least:
+            best = min(best, (sum(int(v).bit_count() for v in a[x] ^ b[y]) / 32 / len(x), offset))
+    return best
+
+
+def near(spark, frame, queries):
+    """Matched pairs of ids with offset and bit errors, own class included."""
+    classes, members = media.sounds(media.fingerprints(frame))
+    links = media.align(queries, classes, members)
+    who = {}
+    for r in members.collect():
+        who.setdefault(r["class"], []).append((r.id, r.start))
+    asked = {r.id for r in queries.collect()}
+    pairs = {(q, i): (0, 0.0, t - s) for w in who.values() for q, s in w for i, t in w if q != i and q in asked}
+    for r in links.collect():
+        for q, s in who[r.query]:
+            for i, t in who[r["class"]]:
+                if q in asked:
+                    pairs[q, i] = (r.matches, r.bit_error, r.offset + t - s)
+    summary = media.summary(queries, classes, members, links).collect()
+    return pairs, {r.query: r for r in summary}
 
 
 def test_area_sums_and_silence():
-    frames, values = media.fingerprint(np.zeros(8_000))
+    frames, values, _ = media.fingerprint(np.zeros(8_000))
     assert not len(frames) and not len(values)
     tone = np.sin(2 * np.pi * 440 * np.arange(8_000) / media.RATE) * 9_000
     image = media.chroma(tone)
     assert (image.argmax(axis=1) == 0).all() and np.allclose(np.linalg.norm(image, axis=1), 1)
-    frames, values = media.fingerprint(tone)
+    frames, values, weak = media.fingerprint(tone)
     assert len(set(values.tolist())) <= 4 and values.max() < 1 << 32
+    assert all(len({w & 31, w >> 5 & 31, w >> 10}) == 3 and w < 1 << 15 for w in weak.tolist())
+
 
+def noisy(sounds, start, quiet, noise, draw):
+    sound = sounds[start] + draw.normal(0, noise, len(sounds[start]))
+    return np.concatenate([np.zeros(quiet), sound]).clip(-32_768, 32_767).astype("<i2")
 
-def test_shifted_and_noisy_copies_align(spark, folder):
-    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").limit(40)
+
+def test_matches_equal_a_search_of_all_offsets(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").limit(30)
     sounds = {r.vec_id: np.frombuffer(r.pcm, "<i2") for r in media.recordings(vectors).collect()}
-    draw = np.random.default_rng(1)
-    first = sorted(sounds)[0]
-    for n, quiet in ((9001, 0), (9002, 7 * 256), (9003, 700)):
-        sounds[n] = np.concatenate([np.zeros(quiet), sounds[first] + draw.normal(0, 150, len(sounds[first]))]).astype("<i2")
+    draw, originals = np.random.default_rng(1), sorted(sounds)
+    for n, start in enumerate(originals):
+        for k, noise in enumerate((150, 2_000, 4_000, 5_000)):
+            sounds[10_000 * (k + 1) + n] = noisy(sounds, start, n % 7 * media._HOP, noise, draw)
     frame = spark.createDataFrame([(int(i), x.tobytes()) for i, x in sounds.items()], "vec_id long, pcm binary")
-    prints = media.fingerprints(frame.repartition(3))
-    queries = spark.createDataFrame([(int(first),), (9002,)], "id long")
-    out = sorted((r.query, r.id, r.offset, r.matches, r.overlap, r.bit_error)
-                 for r in media.align(queries, prints).collect())
-    expected = brute(sounds, [first, 9002], 8, 0.25)
-    assert [r[:5] for r in out] == [r[:5] for r in expected]
-    assert np.allclose([r[5] for r in out], [r[5] for r in expected])
-    found = {r[1]: r[2] for r in out if r[0] == first}
-    assert found[9001] == 0 and found[9002] == 7 and 9003 in found
-    asked = queries.unionByName(spark.createDataFrame([(77_777,), (int(first),), (None,)], "id long"))
-    rows = {r.query: r for r in media.summary(asked, media.align(queries, prints)).collect()}
-    assert set(rows) == {first, 9002, 77_777} and (rows[77_777].n_links, rows[77_777].id) == (0, None)
-    assert rows[first].n_links == len(found) and rows[first].bit_error == min(r[5] for r in out if r[0] == first)
+    queries = spark.createDataFrame([(int(i),) for i in originals], "id long")
+    pairs, rows = near(spark, frame.repartition(5), queries)
+    prints = {i: media.fingerprint(x) for i, x in sounds.items()}
+    copies = [(start, 10_000 * (k + 1) + n) for n, start in enumerate(originals) for k in range(4)]
+    right = {p: every_offset(prints[p[0]], prints[p[1]]) for p in copies}
+    wanted = [p for p in copies if right[p][0] <= 0.1]
+    assert len(wanted) > 100 and max(right[p][0] for p in wanted) > 0.07
+    found = [p for p in wanted if p in pairs]
+    assert len(found) >= 0.98 * len(wanted)
+    assert sum(abs(pairs[p][1] - right[p][0]) < 1e-12 and pairs[p][2] == right[p][1] for p in found) >= 0.95 * len(found)
+    other = [p for p in pairs if p not in right]
+    assert all(every_offset(prints[q], prints[i])[0] <= 0.25 for q, i in other)
+    assert set(rows) == set(originals)
+    for q in originals:
+        mine = {p[1]: v for p, v in pairs.items() if p[0] == q}
+        assert rows[q].n_links == len(mine) and rows[q].bit_error == min(v[1] for v in mine.values())
+        assert mine[rows[q].id][1:] == (rows[q].bit_error, rows[q].offset)
+
+
+def test_copies_are_one_class_and_repeated_ids_stay(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").limit(3)
+    a, b, c = (np.frombuffer(r.pcm, "<i2") for r in media.recordings(vectors).collect())
+    loud = lambda x: np.concatenate([np.zeros(4_096, "<i2"), x]).tobytes()
+    rows = [(i, loud(a)) for i in range(1, 41)] + [(50, bytes(512) + loud(a)), (60, loud(b)), (60, loud(a)), (60, loud(a)), (70, loud(c))]
+    queries = spark.createDataFrame([(1,), (2,), (50,), (60,), (70,), (77_777,), (None,), (1,)], "id long")
+    frame = spark.createDataFrame(rows, "vec_id long, pcm binary").repartition(4)
+    pairs, out = near(spark, frame, queries)
+    assert {q: (r.n_links, r.id) for q, r in out.items()} == {
+        1: (41, 2), 2: (41, 1), 50: (41, 1), 60: (41, 1), 70: (0, None), 77_777: (0, None)}
+    assert (out[1].bit_error, out[1].offset, out[50].offset) == (0, 0, -1) and out[1].overlap == out[1].matches
+    classes, members = media.sounds(media.fingerprints(frame))
+    assert classes.count() == 3 and members.count() == 44
 
 
 def test_odd_recordings(spark):
     rows = [(1, None), (2, b""), (3, b"\x01"), (4, bytes(9_000)), (None, bytes(10)), (1, None)]
     frame = spark.createDataFrame(rows, "vec_id long, pcm binary")
     prints = media.fingerprints(frame)
-    assert prints.count() == 6 and media.align(prints, prints).count() == 0
+    classes, members = media.sounds(prints)
+    links = media.align(prints, classes, members)
+    assert (prints.count(), classes.count(), members.count(), links.count()) == (6, 0, 0, 0)
+    assert sorted((r.query, r.n_links, r.id) for r in media.summary(prints, classes, members, links).collect()) == [
+        (i, 0, None) for i in (1, 2, 3, 4)]
     vectors = spark.createDataFrame([(1, None), (2, []), (3, [1.0, None]), (4, [float("nan")]), (5, [0.0] * 64), (None, [1.0, 2.0])],
                                     "vec_id long, embedding array<double>")
     assert {r.vec_id: r.pcm is None for r in media.recordings(vectors).collect()} == {
