@@ -155,14 +155,14 @@ def sounds(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     (counted from the first print), prints and weak; the members have class,
     lead, id and start (the first print's frame; the smallest, if a class holds
     an id more than once). Each recording of a repeated id is a member of its
-    own class. Recordings without an id or without prints are in none. Both
-    frames are written to the shared folder.
+    own class. Recordings without an id or without prints are in none. The
+    prints and both frames are written to the shared folder.
     """
     first = F.col("frames")[0]
     heard = prints.where("id IS NOT NULL AND size(prints) > 0").select(
         "id", first.alias("start"), F.transform("frames", lambda f: f - first).alias("frames"), "prints", "weak")
     text = F.concat_ws(",", F.col("frames").cast("array<string>"), F.col("prints").cast("array<string>"))
-    heard = heard.withColumn("sound", F.sha2(text, 256))
+    heard = stored(heard.withColumn("sound", F.sha2(text, 256)), "prints")
     one = heard.groupBy("sound").agg(F.min(F.struct("id", "frames", "prints", "weak")).alias("one"))
     classes = stored(one.select(
         "sound", F.monotonically_increasing_id().alias("class"), F.col("one.id").alias("lead"), "one.frames",
