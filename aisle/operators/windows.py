@@ -115,8 +115,8 @@ def high_low(df: DataFrame, keys: Sequence[str], measure: str, share: float, nam
 
 
 def cap_per_label(df: DataFrame, keys: Sequence[str], limit: int, row_id: Sequence[str], seed: int = 0) -> DataFrame:
-    """At most ``limit`` rows per key and label, in a repeatable pseudo-random order."""
-    order = [F.xxhash64(F.lit(seed), *row_id), *[F.col(c) for c in row_id]]
+    """At most ``limit`` rows per key and label, in a repeatable pseudo-random order (digest of seed and row id)."""
+    order = [F.md5(F.concat_ws("|", F.lit(seed), *row_id)), *[F.col(c) for c in row_id]]
     spec = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(spec)).where(F.col("_rn") <= limit).drop("_rn")
 

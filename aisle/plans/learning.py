@@ -44,20 +44,35 @@ def _held_out(t):
 _FEATURES = ["chars", "words", "stops", "digits", "capitals"]
 
 
+_BUCKET = "CAST(concat('0x', substr(md5(CAST({c} AS VARCHAR)), 1, 6)) AS BIGINT) % 100"
+
+
 def _confusion(scored, label="label"):
     return scored.groupBy(F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(
         F.count("prediction").alias("rows"))
 
 
-@query("mlj01_feature_pipeline")
+@query("mlj01_feature_pipeline", """
+WITH f AS (SELECT o_orderkey, c_mktsegment AS seg, o_orderpriority AS pri, o_totalprice AS price,
+                  CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS known FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT *, coalesce(known, avg(known) OVER ()) AS balance FROM f),
+m AS (SELECT avg(price) AS mp, stddev_samp(price) AS sp, avg(balance) AS mb, stddev_samp(balance) AS sb FROM g),
+s AS (SELECT seg, row_number() OVER (ORDER BY count(*) DESC, seg) AS si, count(*) OVER () AS sn FROM f GROUP BY 1),
+p AS (SELECT pri, row_number() OVER (ORDER BY count(*) DESC, pri) AS pi, count(*) OVER () AS pn FROM f GROUP BY 1),
+e AS (SELECT o_orderkey, (price - mp) / sp AS x, (balance - mb) / sb AS y, si, sn, pi, pn
+      FROM g JOIN s ON g.seg = s.seg JOIN p ON g.pri = p.pri CROSS JOIN m)
+SELECT o_orderkey, CAST(i AS INTEGER) AS position,
+       round(CASE WHEN i = 0 THEN x WHEN i = 1 THEN y WHEN i = si + 1 OR i = sn + pi + 1 THEN 1.0::DOUBLE ELSE 0 END, 6) AS value
+FROM (SELECT *, unnest(range(0, sn + pn + 2)) AS i FROM e) z
+""")
 def feature_pipeline(t):
     frame = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_mktsegment", "o_orderpriority", "o_totalprice",
         F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"))
     pipeline = ops.feature_pipeline(["o_totalprice", "balance"], ["c_mktsegment", "o_orderpriority"])
     model = ops.fitted(pipeline, frame)
-    return model.transform(frame).select(
-        "o_orderkey", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+    rows = model.transform(frame).select("o_orderkey", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query("mlj02_simple_regression", """
@@ -121,6 +136,35 @@ def logistic_regression(t):
     return _confusion(model.transform(ops.assemble(test, _FEATURES, "label")))
 
 
+def _bayes_sql() -> str:
+    """Three closed-form Bayes models of labelled documents: sums per class, then the better class of each row held out."""
+    sums = ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}, sum(CASE WHEN {c} > 100 THEN 1 ELSE 0 END) AS b_{c}"
+                     for c in _FEATURES)
+    width = len(_FEATURES)
+    top = ", ".join(f"sum(q_{c}) OVER () / nn - power(sum(s_{c}) OVER () / nn, 2)" for c in _FEATURES)
+    multinomial = " + ".join(f"{c} * (ln(s_{c} + 1) - ln({' + '.join(f's_{x}' for x in _FEATURES)} + {width}))" for c in _FEATURES)
+    bernoulli = " + ".join(
+        f"ln(CASE WHEN {c} > 100 THEN (b_{c} + 1) / (n + 2) ELSE 1 - (b_{c} + 1) / (n + 2) END)" for c in _FEATURES)
+    variance = {c: f"(q_{c} / n - power(s_{c} / n, 2) + eps)" for c in _FEATURES}
+    gaussian = " - ".join(["", *[f"(ln(2 * pi() * {variance[c]}) + power({c} - s_{c} / n, 2) / {variance[c]}) / 2" for c in _FEATURES]])
+    prior = "ln(n + 1) - ln(nn + kk)"
+    return f"""
+WITH d AS (SELECT documents.doc_id, quality AS label, {_BUCKET.format(c='documents.doc_id')} < 80 AS train, n_chars::DOUBLE AS chars,
+                  len(string_split_regex(text, '[ \t\n\x0B\f\r]+'))::DOUBLE AS words,
+                  len(regexp_extract_all(text, '[.!?]'))::DOUBLE AS stops, len(regexp_extract_all(text, '[0-9]'))::DOUBLE AS digits,
+                  len(regexp_extract_all(text, '[A-Z]'))::DOUBLE AS capitals
+           FROM documents JOIN labels ON documents.doc_id = labels.doc_id),
+c AS (SELECT label AS class, count(*)::DOUBLE AS n, {sums} FROM d WHERE train GROUP BY 1),
+a AS (SELECT *, sum(n) OVER () AS nn, count(*) OVER () AS kk FROM c),
+m AS (SELECT *, 1e-9 * greatest({top}) AS eps FROM a),
+v AS (SELECT doc_id, label, class, {prior} + {multinomial} AS multinomial, {prior} + {bernoulli} AS bernoulli,
+             ln(n) - ln(nn){gaussian} AS gaussian FROM d CROSS JOIN m WHERE NOT train),
+u AS (UNPIVOT v ON multinomial, bernoulli, gaussian INTO NAME model VALUE score)
+SELECT label::INTEGER AS label, prediction::INTEGER AS prediction, count(*) AS rows, model
+FROM (SELECT doc_id, model, any_value(label) AS label, arg_max(class, score) AS prediction FROM u GROUP BY 1, 2) b GROUP BY 1, 2, 4
+"""
+
+
 def _naive_bayes(t, kind):
     present = [(F.col(c) > 100).cast("double").alias(c) for c in _FEATURES] if kind == "bernoulli" else [F.col(c) for c in _FEATURES]
     train, test = (ops.assemble(part.select("label", *present), _FEATURES, "label") for part in _held_out(t))
@@ -128,7 +172,7 @@ def _naive_bayes(t, kind):
     return _confusion(model.transform(test)).withColumn("model", F.lit(kind))
 
 
-@query("mlj07_naive_bayes")
+@query("mlj07_naive_bayes", _bayes_sql())
 def naive_bayes(t):
     return _naive_bayes(t, "bernoulli").unionByName(_naive_bayes(t, "gaussian")).unionByName(_naive_bayes(t, "multinomial"))
 
@@ -169,6 +213,38 @@ def boosting(t):
     return first.unionByName(ops.importances(regression, _LINE, t.spark).withColumn("model", F.lit("regressor")))
 
 
+@query("mlj09_held_out_scores")
+def held_out_scores(t):
+    """Trees and boosting on rows they have not seen: classes told right and wrong."""
+    train, test = (ops.assemble(part, _FEATURES, "label") for part in _held_out(t))
+    train = checkpointed(train)
+    out = None
+    for name, estimator in (("tree", DecisionTreeClassifier(maxDepth=4, seed=1)),
+                            ("forest", RandomForestClassifier(numTrees=20, maxDepth=4, seed=1)),
+                            ("boosting", GBTClassifier(maxIter=10, maxDepth=3, seed=1))):
+        part = _confusion(estimator.fit(train).transform(test)).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("mlj09_held_out_errors")
+def held_out_errors(t):
+    """Forest and boosted regression of a line's value on lines they have not seen."""
+    names = ["l_orderkey", "l_linenumber"]
+    parts = ops.random_split(t.lineitem.withColumn("line", F.concat_ws("|", *names)), "line")
+    prepared = ops.assemble(parts, _LINE, "part", "l_extendedprice")
+    train, test = checkpointed(prepared.where("part = 'train'")), prepared.where("part = 'test'")
+    y, out = F.col("l_extendedprice"), None
+    for name, estimator in (("forest", RandomForestRegressor(labelCol="l_extendedprice", numTrees=10, maxDepth=5, seed=1)),
+                            ("boosting", GBTRegressor(labelCol="l_extendedprice", maxIter=5, maxDepth=4, seed=1))):
+        part = estimator.fit(train).transform(test).agg(
+            F.lit(name).alias("model"), F.count(y).alias("rows"),
+            F.avg(F.abs(y - F.col("prediction"))).alias("mae"),
+            (1 - F.sum((y - F.col("prediction")) ** 2) / (F.var_pop(y) * F.count(y))).alias("r2"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("mlj10_propensity")
 def propensity(t):
     """Will an outlet buy of a category in each of the next four weeks: four boosted heads, learned on four fifths of the outlets.
@@ -199,7 +275,6 @@ def linear_svm(t):
     return _confusion(ops.fitted(LinearSVC(maxIter=20, regParam=0.1), train).transform(test))
 
 
-_BUCKET = "CAST(concat('0x', substr(md5(CAST({c} AS VARCHAR)), 1, 6)) AS BIGINT) % 100"
 _NEAR = f"""
 WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label, {_BUCKET.format(c='vec_id')} < 80 AS train FROM embeddings),
 d AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, r.label, q.label AS truth, list_distance(q.e, r.e) AS dist

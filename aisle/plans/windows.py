@@ -356,7 +356,10 @@ def promo_runs(t):
     return ops.promo_runs(t.weekly.select(*KEYS, "week_no", "promo_qty"), KEYS, "week_no", "promo_qty")
 
 
-@query("win25_cap_per_label")
+@query("win25_cap_per_label", """
+SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY md5('0|' || o_orderkey), o_orderkey) <= 100
+""")
 def cap_per_label(t):
     lines = t.orders.select("o_orderstatus", "o_orderpriority", "o_orderkey")
     return ops.cap_per_label(lines, ["o_orderstatus", "o_orderpriority"], 100, ["o_orderkey"])

@@ -1,6 +1,7 @@
 """Storage, incremental batches and learning jobs."""
 
 import tempfile
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -176,3 +177,114 @@ def test_propensity_is_scored_on_outlets_held_out(spark):
         assert all(0 <= p <= 1 and (p > 0.5) == (y == 1) for p, _, y in proba if abs(p - 0.5) > 1e-3)
         right = sum(label == y for _, label, y in proba)
         assert right >= 0.98 * max(sum(label == k for _, label, _ in proba) for k in (0, 1))
+
+
+def larger_class(cells):
+    """Rows told right, and rows of the larger class."""
+    by_label = {}
+    for r in cells:
+        by_label[r.label] = by_label.get(r.label, 0) + r.rows
+    return sum(r.rows for r in cells if r.label == r.prediction), max(by_label.values())
+
+
+def test_trees_and_boosting_on_rows_they_have_not_seen(spark):
+    from aisle.plans import learning as plans
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    cells = plans.held_out_scores(tables).collect()
+    for model in ("tree", "forest", "boosting"):
+        right, larger = larger_class([r for r in cells if r.model == model])
+        assert right >= larger
+    # The given lines have a value that follows from none of their columns: no model may seem to explain it.
+    errors = plans.held_out_errors(tables).collect()
+    lines = tables.lineitem.count()
+    assert [r.model for r in errors] == ["forest", "boosting"]
+    assert all(0.17 * lines < r.rows < 0.23 * lines and abs(r.r2) < 0.02 and r.mae > 0 for r in errors)
+    planted = tables.lineitem.withColumn("l_extendedprice", F.col("l_quantity") * 100 * (1 - F.col("l_discount")))
+    errors = plans.held_out_errors(SimpleNamespace(lineitem=planted)).collect()
+    assert len(errors) == 2 and all(r.r2 > 0.8 for r in errors)
+
+
+def test_importances_are_shares_and_repeatable(spark):
+    from aisle.plans import learning as plans
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    for query in (plans.trees, plans.boosting):
+        first, again = ({(r.model, r.feature): r.importance for r in query(tables).collect()} for _ in range(2))
+        assert set(first) == set(again) and all(abs(first[k] - again[k]) < 1e-9 for k in first)
+        assert all(v >= 0 for v in first.values())
+        for model in {m for m, _ in first}:
+            assert abs(sum(v for (m, _), v in first.items() if m == model) - 1) < 1e-9
+
+
+def test_elastic_net_equals_coordinate_descent(spark):
+    """Least squares over scaled columns, the penalty relative to the deviation of the label."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * [1.0, 5.0, 0.2] + [0.0, 3.0, 1.0]
+    y = x @ [2.0, -0.3, 0.5] + 4 + rng.normal(size=400)
+    frame = spark.createDataFrame([(*map(float, row), float(v)) for row, v in zip(x, y)], "a double, b double, c double, y double")
+    scale, deviation = x.std(axis=0, ddof=1), y.std(ddof=1)
+    u, v = (x - x.mean(axis=0)) / scale, (y - y.mean()) / deviation
+    for mixing in (0.0, 0.5, 1.0):
+        penalty = 0.3 / deviation
+        w = np.zeros(3)
+        for _ in range(2000):
+            for j in range(3):
+                rest = v - u @ w + u[:, j] * w[j]
+                rho = (u[:, j] * rest).mean()
+                w[j] = np.sign(rho) * max(abs(rho) - penalty * mixing, 0) / ((u[:, j] ** 2).mean() + penalty * (1 - mixing))
+        expected = w * deviation / scale
+        got = {r.term: r.coefficient for r in learning.linear_coefficients(frame, "y", ["a", "b", "c"], 0.3, mixing).collect()}
+        assert np.allclose([got[c] for c in "abc"], expected, atol=1e-3)
+        assert abs(got["intercept"] - (y.mean() - x.mean(axis=0) @ expected)) < 1e-2
+
+
+def test_clusters_hold_every_site_once(spark):
+    from aisle.plans import learning as plans
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    profiles = plans._profiles(tables)
+    first, again = (sorted(map(tuple, plans.site_clusters(tables).collect())) for _ in range(2))
+    assert first == again and len(first) == profiles.count() == len({r[0] for r in first})
+    assert {r[1] for r in first} == {0, 1} and -1 <= first[0][2] <= 1
+    spectral = plans.spectral_clusters(tables).collect()
+    shipped = {r.site for r in tables.primary_lines.select("site").distinct().collect()}
+    assert {r.site for r in spectral} == shipped and len(spectral) == len(shipped) and {r.cluster for r in spectral} <= {0, 1}
+
+
+def test_clusters_part_two_clouds_and_report_their_silhouette(spark):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(9, 1, (40, 2))])
+    frame = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "site long, a double, b double")
+    labels, score = learning.cluster(frame, "site", ["a", "b"], 2)
+    found = {r.site: r.prediction for r in labels.collect()}
+    assert len({found[i] for i in range(30)}) == len({found[i] for i in range(30, 70)}) == 1 and found[0] != found[69]
+    scaled = (points - points.min(axis=0)) / (points.max(axis=0) - points.min(axis=0))
+    square = ((scaled[:, None] - scaled[None]) ** 2).sum(axis=2)
+    own = np.array([found[i] for i in range(70)])
+    widths = []
+    for i in range(70):
+        a = square[i, own == own[i]].sum() / ((own == own[i]).sum() - 1)
+        b = square[i, own != own[i]].mean()
+        widths.append((b - a) / max(a, b))
+    assert abs(score - np.mean(widths)) < 1e-6
+
+
+def test_text_models_beat_the_larger_class_on_rows_they_have_not_seen(spark):
+    from aisle.plans import learning as plans
+    from aisle.sources.retail import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    rows = plans.text_filter(tables).collect()
+    right = sum(r.label == r.prediction for r in rows)
+    assert right >= max(sum(r.label == k for r in rows) for k in (0, 1))
+    truth = {r.doc_id: r.lang for r in tables.documents.select("doc_id", "lang").collect()}
+    titles = [r.asDict() for r in plans.title_classifier(tables).collect()]
+    assert len(titles) > 0.15 * len(truth)
+    best = [max(("de", "en", "es", "fr"), key=lambda c: r[f"{c}_proba"]) for r in titles]
+    langs = [truth[r["doc_id"]] for r in titles]
+    assert sum(a == b for a, b in zip(best, langs)) > max(langs.count(x) for x in set(langs))
+    assert all(abs(sum(r[f"{c}_proba"] for c in ("de", "en", "es", "fr")) - 1) < 1e-3 for r in titles)
