@@ -204,14 +204,17 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Raw bytes of ids: doc_id and decoded (binary), the bytes of the tokens end to end."""
+    """Raw bytes of ids: doc_id and decoded (binary), the bytes of the tokens end to end.
+
+    Null ids give null, ids of no token no bytes; an empty table gives no rows.
+    """
     schema = StructType([encoded.schema["doc_id"], StructField("decoded", BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = encoding(path, pattern).decode_bytes
         for batch in batches:
-            out = [raw(np.frombuffer(x, "<u4").tolist()) for x in batch.column(1).to_pylist()]
+            out = [None if x is None else raw(np.frombuffer(x, "<u4").tolist()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=arrow)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)

@@ -88,7 +88,14 @@ def shard_documents(df: DataFrame, shards: int, key: str = "doc_id", text: str =
 
 def write_shards(df: DataFrame, path: str, shards: int, key: str = "doc_id",
                  weights: Sequence[float] | None = None) -> None:
-    """Write the rows of ``df`` to one folder per shard, all columns kept."""
+    """Write the rows of ``df`` to one folder per shard, all columns kept.
+
+    Folders are named by a column ``shard``; where ``df`` has that name already,
+    by the first of ``shard_``, ``shard__`` and so on that is free. An empty table
+    writes no folder.
+    """
     weights = list(weights or [1.0] * shards)
-    placed = df.withColumn("shard", rendezvous(F.col(key), weights))
-    placed.write.mode("overwrite").partitionBy("shard").parquet(path)
+    name, taken = "shard", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    df.withColumn(name, rendezvous(F.col(key), weights)).write.mode("overwrite").partitionBy(name).parquet(path)

@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from aisle.llm.components import components
-from aisle.session import checkpointed
+from aisle.session import checkpointed, stored
 
 
 @dataclass
@@ -62,8 +62,51 @@ class Forest:
         return np.concatenate(rows), np.concatenate(out)
 
 
+class Subtree:
+    """A tree below a large leaf, fitted on some of its own rows.
+
+    A node where half of these rows would go both ways has no cut (NaN) and
+    stays a leaf: near copies without end are not copied at every level.
+    """
+
+    def __init__(self, cuts: np.ndarray, dimensions: int, spill: float, seed: int):
+        directions = np.random.default_rng(seed).normal(size=(len(cuts), dimensions))
+        self.directions = directions / np.linalg.norm(directions, axis=1, keepdims=True)
+        self.cuts, self.spill = cuts, spill
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, depth: int, spill: float, seed: int) -> Subtree:
+        tree = cls(np.full((1 << depth) - 1, np.nan), sample.shape[1], spill, seed)
+        held = {0: sample}
+        for node in range(len(tree.cuts)):
+            rows = held.pop(node, None)
+            if rows is None or len(rows) < 8:
+                continue
+            along = rows @ tree.directions[node]
+            cut = np.median(along)
+            if (np.abs(along - cut) <= spill).mean() < 0.5:
+                tree.cuts[node] = cut
+                held[2 * node + 1], held[2 * node + 2] = rows[along <= cut], rows[along > cut]
+        return tree
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and node of every place of every vector."""
+        row, node, rows, nodes = np.arange(len(x)), np.zeros(len(x), np.int64), [], []
+        while len(row):
+            cut = np.where(node < len(self.cuts), self.cuts[np.minimum(node, len(self.cuts) - 1)], np.nan)
+            still = np.isnan(cut)
+            rows.append(row[still])
+            nodes.append(node[still])
+            row, node, cut = row[~still], node[~still], cut[~still]
+            along = np.einsum("ij,ij->i", x[row], self.directions[node]) - cut
+            left, right = along <= self.spill, along > -self.spill
+            row, node = (np.concatenate([row[left], row[right]]),
+                         np.concatenate([2 * node[left] + 1, 2 * node[right] + 2]))
+        return np.concatenate(rows), np.concatenate(nodes)
+
+
 _PLACED = StructType([
-    StructField("id", LongType()), StructField("label", LongType()), StructField("weight", LongType()),
+    StructField("id", LongType()), StructField("label", StringType()), StructField("weight", LongType()),
     StructField("v", BinaryType()), StructField("leaves", ArrayType(LongType()))])
 _FOUND = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("n", LongType())])
 
@@ -148,7 +191,7 @@ def _cell(least: float, dimensions: int):
 
 
 def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding",
-                    label: str = "label", trees: int = 4, leaf_rows: int = 1_000, sample: int = 20_000,
+                    label: str = "label", trees: int = 4, leaf_rows: int = 500, sample: int = 20_000,
                     block: int = 2_000) -> DataFrame:
     """Links of cosine ``least`` or more between vectors of the same label, and their components.
 
@@ -159,8 +202,11 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     one vector that counts as often as it occurs; they link with each other.
 
     A forest is fitted on a sample of at most ``sample`` vectors (lowest hashes
-    of their ids) so deep that a leaf has some ``leaf_rows`` vectors of the
-    largest label. All vectors go down all trees. Two unit vectors at cosine 0.98
+    of their ids), deep enough for some ``leaf_rows`` vectors of the largest
+    label in a leaf, as far as the sample carries and one split at least. All
+    vectors go down all trees. Leaves that are still large get trees of their own
+    below them, fitted on some 1,000 of their rows, until they are small or
+    would send most of their rows both ways. Two unit vectors at cosine 0.98
     are 0.2 apart; along a random direction in 64 dimensions that is 0.025 on
     average, and the spill is as wide on each side of a cut. Such a pair is
     missed by one tree in about a hundred, and by all four in 10**8; closer pairs
@@ -171,7 +217,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     """
     spark = df.sparkSession
     whole = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("vec_id"),
-                      F.col(label).cast("bigint").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+                      F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & sound & (norm > 0)
@@ -183,7 +229,9 @@ def near_duplicates(df: DataFrame, least: float = 0.98, key: str = "vec_id", vec
     counts, links = [], []
     for d in (r.d for r in shape):
         own = classes.where(F.size("v") == d)
-        placed = _place(own, d, least, trees, leaf_rows, sample)
+        spill = float(np.sqrt(2 - 2 * least) / np.sqrt(d))
+        placed = checkpointed(_place(own, d, spill, trees, leaf_rows, sample))
+        placed = _deepened(placed, d, spill, leaf_rows)
         found = checkpointed(_links(placed, d, least, block))
         counts.append(found.where("n IS NOT NULL").select(F.col("a").alias("id"), "n"))
         links.append(found.where("n IS NULL").select("a", "b"))
@@ -210,14 +258,13 @@ def _unit(column: pa.Array, dimensions: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _place(classes: DataFrame, dimensions: int, least: float, trees: int, leaf_rows: int, sample: int) -> DataFrame:
+def _place(classes: DataFrame, dimensions: int, spill: float, trees: int, leaf_rows: int, sample: int) -> DataFrame:
     """Leaves of every class vector."""
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, int(np.ceil(np.log2(max(1, largest) / leaf_rows))))
-    spill = float(np.sqrt(2 - 2 * least) / np.sqrt(dimensions))
+    depth = max(1, int(np.ceil(np.log2(max(1, largest) / leaf_rows))))
     some = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toArrow().sort_by("id")
-    depth = min(depth, max(0, int(np.log2(max(1, some.num_rows) / 4))))
-    forest = Forest.fit(_unit(some.column("v").combine_chunks(), dimensions), trees if depth else 1, depth, spill)
+    depth = min(depth, max(1, int(np.log2(max(1, some.num_rows) / 4))))
+    forest = Forest.fit(_unit(some.column("v").combine_chunks(), dimensions), trees, depth, spill)
     schema = to_arrow_schema(_PLACED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +282,67 @@ def _place(classes: DataFrame, dimensions: int, least: float, trees: int, leaf_r
     return classes.select("id", "label", "weight", "v").mapInArrow(run, _PLACED)
 
 
+def _deepened(placed: DataFrame, dimensions: int, spill: float, leaf_rows: int, sample: int = 1_000) -> DataFrame:
+    """``placed`` with leaves of more than four times ``leaf_rows`` split further, level by level.
+
+    A level's leaves carry its number in their top byte. Some ``sample`` rows of
+    a leaf, those with the lowest hashes, fit its tree, wherever they lie; the
+    trees meet the rows of their leaves in a join.
+    """
+    shift, low = 56, (1 << 56) - 1
+    cuts = StructType([StructField("label", StringType()), StructField("leaf", LongType()), StructField("cuts", BinaryType())])
+    schemas = to_arrow_schema(cuts), to_arrow_schema(_PLACED)
+
+    def seed(leaf: int) -> int:
+        return leaf & (1 << 63) - 1
+
+    def fit(table: pa.Table) -> pa.Table:
+        n, leaf = table.column("n")[0].as_py(), table.column("leaf")[0].as_py()
+        depth = min(7, int(np.ceil(np.log2(n / leaf_rows))))
+        x = np.frombuffer(b"".join(table.sort_by("id").column("v").to_pylist()), float).reshape(-1, dimensions)
+        tree = Subtree.fit(x, depth, spill, seed(leaf))
+        return pa.Table.from_pylist([] if np.isnan(tree.cuts[0]) else [
+            {"label": table.column("label")[0].as_py(), "leaf": leaf, "cuts": tree.cuts.tobytes()}], schema=schemas[0])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), float).reshape(-1, dimensions)
+            leaf, trees = batch.column(4).to_numpy(), batch.column(5).to_pylist()
+            number = {}
+            which = np.array([number.setdefault(c, len(number)) for c in trees])
+            places = [None] * len(x)
+            for own in np.unique(which):
+                at = np.flatnonzero(which == own)
+                for parent in np.unique(leaf[at]):
+                    here = at[leaf[at] == parent]
+                    tree = Subtree(np.frombuffer(trees[here[0]], float), dimensions, spill, seed(int(parent)))
+                    first = ((int(parent) >> shift) + 1 << shift) + (int(parent) & low >> 8) * 256
+                    for row, node in zip(*tree.leaves(x[here]), strict=True):
+                        places[here[row]] = [*(places[here[row]] or []), first + int(node)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(places, pa.list_(pa.int64()))], schema=schemas[1])
+
+    names = ["id", "label", "weight", "v"]
+    for level in range(5):  # 12 bits of a first leaf and two of its tree, eight for each level
+        spread = placed.withColumn("leaf", F.explode("leaves"))
+        newest = spread.where(F.shiftright("leaf", shift) == level)
+        large = stored(newest.groupBy("label", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf_rows), "large")
+        if large.isEmpty():
+            break
+        lowest = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * sample / F.col("n")
+        some = newest.join(large, ["label", "leaf"]).where(lowest)
+        trees = stored(some.groupBy("label", "leaf").applyInArrow(fit, cuts), "trees")
+        if trees.isEmpty():
+            break
+        below = spread.join(trees, ["label", "leaf"]).select(*names, "leaf", "cuts").mapInArrow(split, _PLACED)
+        rest = spread.join(trees, ["label", "leaf"], "left_anti").select(*names, F.array("leaf").alias("leaves"))
+        placed = checkpointed(below.unionByName(rest).groupBy(*names).agg(F.flatten(F.collect_list("leaves")).alias("leaves")))
+    return placed
+
+
 def _links(placed: DataFrame, dimensions: int, least: float, block: int) -> DataFrame:
     """Link counts (a, null, n) and joining links (a, b, null), leaf by leaf in blocks."""
-    placed = checkpointed(placed)
     spread = placed.withColumn("leaf", F.explode("leaves"))
     sizes = spread.groupBy("label", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = spread.join(sizes, ["label", "leaf"]).withColumn(

@@ -59,3 +59,5 @@ def test_digests_and_round_trip(odd, library):
     assert sorted((str(r[0]), *r[1:]) for r in bpe.digests(odd, PATH, PATTERN, chunk=2_000, overlap=100).collect()) == expected
     decoded = sorted((str(r.doc_id), bytes(r.decoded)) for r in bpe.decode(encoded, PATH, PATTERN).collect())
     assert decoded == sorted((str(r.doc_id), (r.text or "").encode()) for r in odd.collect())
+    gaps = odd.sparkSession.createDataFrame([(1, None), (2, b"")], "doc_id long, ids binary")
+    assert sorted(map(tuple, bpe.decode(gaps, PATH, PATTERN).collect())) == [(1, None), (2, b"")]

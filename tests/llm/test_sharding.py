@@ -39,6 +39,11 @@ def test_weights_set_the_shares(spark):
 
 def test_written_shards_hold_every_row(odd, tmp_path):
     path = str(tmp_path / "shards")
-    sharding.write_shards(odd.drop("shard"), path, 3)
+    sharding.write_shards(odd, path, 3)
     back = odd.sparkSession.read.parquet(path)
-    assert back.count() == odd.count() and set(back.columns) >= {"doc_id", "text", "shard"}
+    # The rows have a column "shard" of their own; it stays.
+    assert set(back.columns) == {*odd.columns, "shard_"}
+    assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    plain = str(tmp_path / "plain")
+    sharding.write_shards(odd.drop("shard"), plain, 3)
+    assert odd.sparkSession.read.parquet(plain).where("shard BETWEEN 0 AND 2").count() == odd.count()

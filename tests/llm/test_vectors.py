@@ -92,3 +92,38 @@ def test_forest_finds_nearly_all_pairs_at_the_threshold():
     assert all(held[0][i] & held[1][i] for i in range(len(x)))
     one = sum(bool({q for q in held[0][i] if q < 256} & held[1][i]) for i in range(len(x)))
     assert one > 0.97 * len(x)
+
+
+def planted(draw, n, d, closest, furthest):
+    """Unit vectors, each with a partner at a cosine between the two."""
+    x = draw.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = draw.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = draw.uniform(furthest, closest, (n, 1))
+    return x, c * x + np.sqrt(1 - c**2) * side
+
+
+def test_links_near_the_threshold_in_leaves_below_leaves(spark):
+    draw = np.random.default_rng(8)
+    x, y = planted(draw, 2_500, 64, 0.99, 0.972)
+    ball = draw.normal(size=64) + draw.normal(size=(300, 64)) * 0.02
+    rows = np.concatenate([x, y, ball / np.linalg.norm(ball, axis=1, keepdims=True)])
+    close = np.triu(rows @ rows.T >= 0.98, 1)
+    pairs = list(zip(*np.nonzero(close), strict=True))
+    expected = roots(range(len(rows)), pairs)
+    links = close.sum(0) + close.sum(1)
+    frame = spark.createDataFrame(
+        [(i, "one label", v.tolist()) for i, v in enumerate(rows)], "vec_id long, label string, embedding array<double>")
+    placed = vectors._deepened(vectors.checkpointed(spark.createDataFrame(
+        [(i, "one label", 1, v.tobytes(), [0]) for i, v in enumerate(rows)], vectors._PLACED)), 64, 0.025, 40)
+    sizes = [r["count"] for r in placed.selectExpr("explode(leaves) AS leaf").groupBy("leaf").count().collect()]
+    assert len(sizes) > 64 and sorted(sizes)[-2] < 600
+    # Trees fitted on 200 vectors are five levels deep at most; the leaves below them do the rest.
+    out = {r.vec_id: r for r in vectors.near_duplicates(frame, 0.98, leaf_rows=40, sample=200, block=100).collect()}
+    assert len(out) == len(rows)
+    found = sum(out[i].n_links for i in out)
+    assert found <= links.sum() and found >= 0.99 * links.sum()
+    assert all(out[i].n_links <= links[i] for i in out)
+    assert sum(out[i].component_id == expected[i] for i in out) >= 0.99 * len(rows)
