@@ -94,20 +94,22 @@ def pack_type(text: Column | str, formats: Column) -> Column:
     return F.when(~marked, "single").when(formats >= 2, "combo").otherwise("multi")
 
 
+#: Events named in a promotion's grouping, and the groupings that are a discount.
+SPECIAL_EVENTS = ("hot price", "mnudl", "pwp")
+DISCOUNT_PATTERN = "discount - (normal|mnudl|pwd|hot price)"
+
+
 def promotion_classes(grouping: Column | str, gift: Column | str) -> list[Column]:
     """Special event, key event, gift, u-gift and discount class of a promotion text."""
     grouping, gift = col(grouping), col(gift)
-    event = (
-        F.when(grouping.contains("hot price"), "hot price").when(grouping.contains("mnudl"), "mnudl")
-        .when(grouping.contains("pwp"), "pwp").otherwise("unknown")
-    )
+    event = F.coalesce(*[F.when(grouping.contains(name), name) for name in SPECIAL_EVENTS], F.lit("unknown"))
     pick = lambda test, value, rest: F.coalesce(F.when(test, value), F.lit(rest))
     return [
         event.alias("special_event"),
         F.regexp_replace(grouping, " ", "").contains("keyevent").alias("key_event"),
         pick(grouping.rlike("(?<!u-)gift"), gift, "no-gift").alias("gift"),
         pick(grouping.contains("u-gift"), gift, "no-gift").alias("ugift"),
-        pick(grouping.rlike("discount - (normal|mnudl|pwd|hot price)"), grouping, "no-discount").alias("discount"),
+        pick(grouping.rlike(DISCOUNT_PATTERN), grouping, "no-discount").alias("discount"),
     ]
 
 

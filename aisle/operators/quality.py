@@ -11,6 +11,12 @@ from aisle.functions.exprs import beside, ratio
 from aisle.operators.ordering import exact_percentiles
 
 
+#: Verdicts and ages of a series, and states of a reconciled key.
+VERDICTS = ("ABSOLUTELY_NOT", "MAYBE", "ABSOLUTELY")
+AGES = ("NEW", "INACTIVE", "OLD BUT LACKING SALES", "OLD AND ACTIVE")
+KEY_STATES = ("NOT_EXPECTED", "NO LE RECORD", "NO ERROR")
+
+
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Nulls per column, one row per column, from one pass."""
     names = list(columns or df.columns)
@@ -81,14 +87,10 @@ def series_eligibility(df: DataFrame, keys: Sequence[str], week_no: str, measure
         F.max(measure).alias("highest"), F.min(measure).alias("lowest"),
     )
     gap, age = F.lit(run_week) - F.col("last_week"), F.lit(run_week) - F.col("first_week")
-    verdict = (
-        F.when((F.col("week_count") < 26) | (gap > 26), "ABSOLUTELY_NOT")
-        .when(F.col("week_count") < 52, "MAYBE").otherwise("ABSOLUTELY")
-    )
-    life = (
-        F.when(age < 26, "NEW").when(gap > 26, "INACTIVE")
-        .when(F.col("week_count") < 52, "OLD BUT LACKING SALES").otherwise("OLD AND ACTIVE")
-    )
+    never, maybe, fit = VERDICTS
+    verdict = F.when((F.col("week_count") < 26) | (gap > 26), never).when(F.col("week_count") < 52, maybe).otherwise(fit)
+    new, inactive, thin, active = AGES
+    life = F.when(age < 26, new).when(gap > 26, inactive).when(F.col("week_count") < 52, thin).otherwise(active)
     return stats.select("*", gap.alias("cutoff_gap"), verdict.alias("verdict"), life.alias("age_class"))
 
 
@@ -120,10 +122,8 @@ def reconcile(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> Da
     """State of every key that is expected or present."""
     a = actual.select(*keys).distinct().withColumn("_actual", F.lit(True))
     e = expected.select(*keys).distinct().withColumn("_expected", F.lit(True))
-    state = (
-        F.when(F.col("_expected").isNull(), "NOT_EXPECTED").when(F.col("_actual").isNull(), "NO LE RECORD")
-        .otherwise("NO ERROR")
-    )
+    unexpected, missing, fine = KEY_STATES
+    state = F.when(F.col("_expected").isNull(), unexpected).when(F.col("_actual").isNull(), missing).otherwise(fine)
     return a.join(e, list(keys), "full").select(*keys, state.alias("status"))
 
 

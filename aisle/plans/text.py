@@ -229,7 +229,7 @@ SELECT scheme, CASE WHEN contains(grouping, 'hot price') THEN 'hot price' WHEN c
        contains(replace(grouping, ' ', ''), 'keyevent') AS key_event,
        CASE WHEN contains(replace(grouping, 'u-gift', ''), 'gift') THEN gift ELSE 'no-gift' END AS gift,
        CASE WHEN contains(grouping, 'u-gift') THEN gift ELSE 'no-gift' END AS ugift,
-       CASE WHEN regexp_matches(grouping, 'discount - (normal|mnudl|pwd|hot price)') THEN grouping ELSE 'no-discount' END
+       CASE WHEN regexp_matches(grouping, '{titles.DISCOUNT_PATTERN}') THEN grouping ELSE 'no-discount' END
        AS discount
 FROM ({_PROMO_TEXT}) x
 """)
