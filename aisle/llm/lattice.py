@@ -54,6 +54,9 @@ class Pieces:
         self.initial = {p[1:].encode(): s for p, s in logp.items() if p[0] == _MARK}
         self.longest = max(map(len, [*self.inside, *self.initial]))
         self._inside, self._initial = _Table(self.inside), _Table(self.initial)
+        # The numbers that ``step`` gives, by the bytes of a piece.
+        self.numbers = ({name: i for i, name in enumerate(self._inside.names)},
+                        {name: i for i, name in enumerate(self._initial.names, len(self.inside))})
 
     def step(self, hashes: np.ndarray, from_start: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
         """Pieces among spans: their places, numbers and scores, and whether they open the word."""
@@ -113,8 +116,11 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _scalar(pieces: Pieces, word: bytes, marginal: bool) -> tuple[float, int]:
-    """One word alone: the best (or summed) log score, and the fewest tokens of the best."""
+def _scalar(pieces: Pieces, word: bytes, marginal: bool, expected: np.ndarray | None = None) -> tuple[float, int]:
+    """One word alone: the best (or summed) log score, and the fewest tokens of the best.
+
+    ``expected`` takes the expected uses of the pieces, as in ``forward``.
+    """
     score, count = [pieces.mark], [1]
     for end in range(1, len(word) + 1):
         best, tokens = -math.inf, 0
@@ -133,9 +139,27 @@ def _scalar(pieces: Pieces, word: bytes, marginal: bool) -> tuple[float, int]:
                     best, tokens = value, held + 1
         score.append(best)
         count.append(tokens)
+    if expected is not None:
+        _scalar_uses(pieces, word, score, expected)
     return score[-1], count[-1]
 
 
+def _scalar_uses(pieces: Pieces, word: bytes, score: list[float], expected: np.ndarray) -> None:
+    """Add the expected uses of pieces by one word; arcs are looked up again, so only the nodes are held."""
+    inside, initial = pieces.numbers
+    flow = [0.0] * len(word) + [1.0]
+    for end in range(len(word), 0, -1):
+        for start in range(max(0, end - pieces.longest), end):
+            part = word[start:end]
+            if part in inside:
+                used = flow[end] * math.exp(score[start] + pieces.inside[part] - score[end])
+                expected[inside[part]] += used
+                flow[start] += used
+            if start == 0 and part in initial:
+                expected[initial[part]] += flow[end] * math.exp(pieces.initial[part] - score[end])
+    expected[-1] += flow[0]
+
+
 def forward(pieces: Pieces, spans: Spans, starts: np.ndarray, ends: np.ndarray,
             marginal: bool, expected: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log score and number of tokens of each word (tokens only for the best segmentation).
@@ -143,13 +167,13 @@ def forward(pieces: Pieces, spans: Spans, starts: np.ndarray, ends: np.ndarray,
     ``marginal`` adds up the probabilities of all segmentations; otherwise the
     best one counts, and of equally good ones the one with the fewest tokens.
     With ``marginal``, the expected number of uses of each piece over all words
-    is added to ``expected`` (words of more than 48 bytes add nothing): mass
-    flows from the words' nodes back along the arcs, once per shared prefix.
+    is added to ``expected``: mass flows from the words' nodes back along the
+    arcs, once per shared prefix, and in words of more than 48 bytes one by one.
     """
     sizes = ends - starts
     scores, tokens = np.zeros(len(starts)), np.zeros(len(starts), np.int32)
     for i in np.flatnonzero(sizes > _DEEP):
-        scores[i], tokens[i] = _scalar(pieces, spans.bytes[starts[i] : ends[i]].tobytes(), marginal)
+        scores[i], tokens[i] = _scalar(pieces, spans.bytes[starts[i] : ends[i]].tobytes(), marginal, expected)
     order = np.argsort(-sizes, kind="stable")
     order = order[np.searchsorted(-sizes[order], -_DEEP) :]
     starts, sizes = starts[order], sizes[order]

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from aisle.llm import lattice, lm_score
@@ -134,3 +135,31 @@ def test_rows_without_a_key_are_spread_over_blocks(spark):
     few, many = (lm_score.score_documents(one, PATH, block_bytes=size).collect() for size in (8_000_000, 500))
     assert len(few) == len(many) == 300
     assert sorted(r.score for r in many) == pytest.approx(sorted(r.score for r in few), rel=1e-9)
+
+
+def test_long_words_teach_the_pieces(spark):
+    long = ["abcdefgh" * 9, "international" * 5 + "s", "y" * 49]
+    words = [*long, "plain", "words", "x" * 48, "short"]
+    fold = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(fold[i], w) for i, w in enumerate(words)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces, want = lattice.pieces_of(PATH), learned([w.encode() for w in words])
+    uses = np.zeros(len(pieces))
+    for batch in lm_score._piece_uses(PATH, 200)(iter(
+            [pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary())], ["spelt"])])):
+        uses[batch.column(0).to_numpy()] += batch.column(1).to_numpy()
+    got = pieces.learned(uses)
+    assert got.mark == pytest.approx(want.mark, rel=1e-9) and got.inside == pytest.approx(want.inside, rel=1e-9)
+    assert got.initial == pytest.approx(want.initial, rel=1e-9)
+    # Seven words and seven ends, of eight types; a word has count 1 and what its pieces give.
+    for r in lm_score.score_documents(frame, PATH).collect():
+        by_pieces = math.exp(lattice._scalar(want, dict(rows)[r.doc_id].encode(), True)[0])
+        assert 10 ** r.score == pytest.approx((1 + 8 * by_pieces) / 22 * 7 / 22 * 1_000 / 1_001, rel=1e-6)
+
+
+def test_uses_of_a_very_long_word_spell_it():
+    pieces, word = lattice.pieces_of(PATH), "日本語 and more words".replace(" ", "").encode() * 300
+    uses = np.zeros(len(pieces))
+    lattice._scalar(pieces, word, True, uses)
+    names = [*pieces._inside.names, *pieces._initial.names, b""]
+    assert sum(u * len(n) for u, n in zip(uses, names, strict=True)) == pytest.approx(len(word), rel=1e-9)
