@@ -67,3 +67,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = 500_000) -> DataFrame:
+    """Hash-partition a frame of ``rows`` rows into parts of about ``most``, where the cores alone would make larger ones.
+
+    Tasks after a shuffle are cut by the bytes shuffled, which say little about
+    the memory that rows packed well take there; a part of this frame has the
+    same size however large the whole is. A smaller frame stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(-(-rows // most), *keys) if rows > most * cores else df

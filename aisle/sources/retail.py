@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aisle.functions import weeks
-from aisle.session import spread
+from aisle.session import dealt, spread
 from aisle.sources.readers import read_parquet
 
 
@@ -58,6 +58,15 @@ class Tables:
         """Documents for work on their text, spread over the cores."""
         return spread(self.documents, "doc_id")
 
+    @cached_property
+    def line_count(self) -> int:
+        """Number of lines, from the files' footers."""
+        return self.lineitem.count()
+
+    def dealt(self, lines: DataFrame, *keys: str) -> DataFrame:
+        """One row a line, or fewer, in parts of bounded size by ``keys``."""
+        return dealt(lines, self.line_count, *keys)
+
     @cached_property
     def sites(self) -> DataFrame:
         """Distributor sites with their region."""
@@ -220,8 +229,8 @@ class Tables:
     @cached_property
     def product_weekly(self) -> DataFrame:
         """Primary demand by product and ISO week."""
-        return self.primary_lines.groupBy("product", weeks.week_index("date").alias("week_no")).agg(
-            F.sum("qty").alias("qty"))
+        lines = self.primary_lines.select("product", weeks.week_index("date").alias("week_no"), "qty")
+        return self.dealt(lines, "product", "week_no").groupBy("product", "week_no").agg(F.sum("qty").alias("qty"))
 
     @cached_property
     def scores(self) -> DataFrame:
