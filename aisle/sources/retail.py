@@ -134,8 +134,10 @@ class Tables:
             F.col("o_orderstatus").alias("status"),
             F.col("o_orderpriority").alias("priority"),
         )
-        return self.primary_lines.withColumnRenamed("date", "ship_date").join(
-            orders, F.col("invoice") == F.col("o_orderkey")
+        lines = self.primary_lines.withColumnRenamed("date", "ship_date")
+        # Both sides in the same number of parts, so that the join takes them as they are.
+        return self.dealt(lines, "invoice").join(
+            self.dealt(orders, "o_orderkey"), F.col("invoice") == F.col("o_orderkey")
         ).drop("o_orderkey")
 
     def _weekly(self, lines: DataFrame) -> DataFrame:
