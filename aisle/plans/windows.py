@@ -180,7 +180,7 @@ GROUP BY site, week_no
 def diversity(t):
     lines = t.primary_lines.join(t.products.select("product", "brand"), "product").select(
         "site", "brand", weeks.week_index("date").alias("week_no"))
-    return ops.diversity(lines, ["site"], "week_no", "brand", [4, 13])
+    return ops.diversity(t.dealt(lines, "site", "brand"), ["site"], "week_no", "brand", [4, 13])
 
 
 @query("win12_calendar_neighbors", """
