@@ -253,7 +253,8 @@ def propensity(t):
     """
     names = ["gsv_l1w", "gsv_l6m", "bills_l1w", "bills_l6m", "order_value_l6m", "recency", "lifetime", "months_with_bill"]
     keys = ["outlet", "category"]
-    lines = t.sales.join(t.products.select("product", "category"), "product").select(*keys, "date", "invoice", "gsv")
+    lines = t.dealt(
+        t.sales.join(t.products.select("product", "category"), "product").select(*keys, "date", "invoice", "gsv"), *keys)
     features = kpi.rfm_features(lines, keys, "date", RUN)
     labels = kpi.next_week_labels(lines, keys, "date", RUN)
     heads = [f"buy_next_{i}w" for i in range(1, 5)]
