@@ -22,6 +22,7 @@ from aisle.session import checkpointed, scratch_path
 
 RUN = date(2000, 3, 31)
 _LINE = ["l_quantity", "l_discount", "l_tax"]
+_LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 
 def _labelled(t):
@@ -198,7 +199,7 @@ def trees(t):
                             ("forest", RandomForestClassifier(numTrees=20, maxDepth=4, seed=1))):
         part = ops.importances(ops.fitted(estimator, frame), _FEATURES, t.spark).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    lines = ops.assemble(t.lineitem, _LINE, "l_extendedprice")
+    lines = ops.assemble(t.dealt(t.lineitem, *_LINE_KEY), _LINE, "l_extendedprice")
     forest = ops.fitted(RandomForestRegressor(labelCol="l_extendedprice", numTrees=10, maxDepth=5, seed=1), lines)
     return out.unionByName(ops.importances(forest, _LINE, t.spark).withColumn("model", F.lit("forest_regression")))
 
@@ -207,7 +208,7 @@ def trees(t):
 def boosting(t):
     frame = ops.assemble(_labelled(t), _FEATURES, "label")
     model = ops.fitted(GBTClassifier(maxIter=10, maxDepth=3, seed=1), frame)
-    lines = ops.assemble(t.lineitem, _LINE, "l_extendedprice")
+    lines = ops.assemble(t.dealt(t.lineitem, *_LINE_KEY), _LINE, "l_extendedprice")
     regression = ops.fitted(GBTRegressor(labelCol="l_extendedprice", maxIter=5, maxDepth=4, seed=1), lines)
     first = ops.importances(model, _FEATURES, t.spark).withColumn("model", F.lit("classifier"))
     return first.unionByName(ops.importances(regression, _LINE, t.spark).withColumn("model", F.lit("regressor")))
@@ -230,8 +231,7 @@ def held_out_scores(t):
 @query("mlj09_held_out_errors")
 def held_out_errors(t):
     """Forest and boosted regression of a line's value on lines they have not seen."""
-    names = ["l_orderkey", "l_linenumber"]
-    parts = ops.random_split(t.lineitem.withColumn("line", F.concat_ws("|", *names)), "line")
+    parts = ops.random_split(t.dealt(t.lineitem, *_LINE_KEY).withColumn("line", F.concat_ws("|", *_LINE_KEY)), "line")
     prepared = ops.assemble(parts, _LINE, "part", "l_extendedprice")
     train, test = checkpointed(prepared.where("part = 'train'")), prepared.where("part = 'test'")
     y, out = F.col("l_extendedprice"), None

@@ -1,13 +1,15 @@
 """Storage, incremental batches and learning jobs."""
 
 import tempfile
+from datetime import date
 from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from aisle.operators import learning
-from aisle.sources import readers, writers
+from aisle.plans import learning as learning_plans, windows as window_plans
+from aisle.sources import readers, retail, writers
 from aisle.streaming import incremental
 
 
@@ -288,3 +290,29 @@ def test_text_models_beat_the_larger_class_on_rows_they_have_not_seen(spark):
     langs = [truth[r["doc_id"]] for r in titles]
     assert sum(a == b for a, b in zip(best, langs)) > max(langs.count(x) for x in set(langs))
     assert all(abs(sum(r[f"{c}_proba"] for c in ("de", "en", "es", "fr")) - 1) < 1e-3 for r in titles)
+
+
+def test_lines_come_in_parts_of_bounded_size(spark, folder, monkeypatch):
+    rows = {}
+    for count in (None, 4_000_000):  # as if the files held that many lines
+        t = retail.Tables(spark, folder)
+        if count:
+            t.__dict__["line_count"] = count
+        seen = []
+        for module, name in ((window_plans.ops, "diversity"), (learning_plans.ops, "fitted"), (learning_plans.kpi, "rfm_features")):
+            real = getattr(module, name)
+            frame = 1 if name == "fitted" else 0
+            monkeypatch.setattr(module, name, lambda *a, real=real, frame=frame, **k: (
+                seen.append(a[frame].rdd.getNumPartitions()), real(*a, **k))[1])
+        first = window_plans.diversity(t)
+        boosted = learning_plans.boosting(t)
+        learning_plans.kpi.rfm_features(t.dealt(t.sales, "outlet"), ["outlet"], "date", date(2000, 3, 31))
+        monkeypatch.undo()
+        if count:
+            assert (seen[0], *seen[2:]) == (8, 8, 8)
+            assert t.product_weekly.rdd.getNumPartitions() == 8 and t.sales.rdd.getNumPartitions() == 8
+        else:
+            assert seen[2] == t.lineitem.rdd.getNumPartitions()
+        rows[count] = [sorted(map(str, f.collect())) for f in (
+            first, t.product_weekly, t.sales, boosted.select("feature", F.round("importance", 6)))]
+    assert rows[None] == rows[4_000_000]
