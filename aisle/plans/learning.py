@@ -320,7 +320,8 @@ def knn_sweep(t):
 
 
 def _profiles(t):
-    return kpi.site_profile(kpi.outlet_tiers(_master(t), "date", RUN, _STEPS, "E"), _TYPES).withColumn(
+    tiers = checkpointed(kpi.outlet_tiers(_master(t), "date", RUN, _STEPS, "E"))
+    return kpi.site_profile(tiers, _TYPES).withColumn(
         "total_eco", F.col("total_eco").cast("double"))
 
 

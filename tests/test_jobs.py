@@ -316,3 +316,19 @@ def test_lines_come_in_parts_of_bounded_size(spark, folder, monkeypatch):
         rows[count] = [sorted(map(str, f.collect())) for f in (
             first, t.product_weekly, t.sales, boosted.select("feature", F.round("importance", 6)))]
     assert rows[None] == rows[4_000_000]
+
+
+def test_clusters_compute_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    points = [(i, float(i % 7) + 100 * (i % 2), float(i % 5)) for i in range(40)]
+    rows = spark.createDataFrame(points, "site long, x double, y double").mapInArrow(counted, "site long, x double, y double")
+    labels, score = learning_plans.ops.cluster(rows, "site", ["x", "y"], 2)
+    found = {r.site: r.prediction for r in labels.collect()}
+    assert read.value == 40 and score > 0.7
+    assert len({found[i] for i in range(0, 40, 2)}) == 1 and found[0] != found[1] and len(found) == 40
