@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from aisle.session import stored
+from aisle.session import batches_of, stored
 
 RATE = 4_000  # samples a second
 _FRAME, _HOP = 1_024, 256
@@ -18,6 +18,7 @@ _SPAN = 8  # frames that a filter looks at
 _CLASSES = 12
 _WEAK = 3  # least certain bits kept of a print
 _GAP = 8  # frames between the two prints of a landmark
+_AT_ONCE = 16  # recordings in memory together, some 1 MB of samples
 
 #: Filters over (frames, pitch classes): kind, first class, classes; kinds compare halves of their area.
 _FILTERS = [(kind, low, high) for kind, low, high in (
@@ -118,10 +119,10 @@ def recordings(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                keys = batch.column(0)[low : low + 128]
+            for low in range(0, batch.num_rows, _AT_ONCE):
+                keys = batch.column(0)[low : low + _AT_ONCE]
                 pcm = [sound(k, v) for k, v in zip(
-                    keys.to_pylist(), batch.column(1)[low : low + 128].to_pylist(), strict=True)]
+                    keys.to_pylist(), batch.column(1)[low : low + _AT_ONCE].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(pcm, pa.binary())], schema=arrow)
 
     return vectors.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>")).mapInArrow(run, schema)
@@ -156,13 +157,16 @@ def sounds(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead, id and start (the first print's frame; the smallest, if a class holds
     an id more than once). Each recording of a repeated id is a member of its
     own class. Recordings without an id or without prints are in none. The
-    prints and both frames are written to the shared folder.
+    prints and both frames are written to the shared folder. While the prints
+    are made, few recordings at once go to Python: a session's batch of 10,000
+    would hold hundreds of MB of samples, in the JVM and in each worker.
     """
     first = F.col("frames")[0]
     heard = prints.where("id IS NOT NULL AND size(prints) > 0").select(
         "id", first.alias("start"), F.transform("frames", lambda f: f - first).alias("frames"), "prints", "weak")
     text = F.concat_ws(",", F.col("frames").cast("array<string>"), F.col("prints").cast("array<string>"))
-    heard = stored(heard.withColumn("sound", F.sha2(text, 256)), "prints")
+    with batches_of(prints.sparkSession, _AT_ONCE):
+        heard = stored(heard.withColumn("sound", F.sha2(text, 256)), "prints")
     one = heard.groupBy("sound").agg(F.min(F.struct("id", "frames", "prints", "weak")).alias("one"))
     classes = stored(one.select(
         "sound", F.monotonically_increasing_id().alias("class"), F.col("one.id").alias("lead"), "one.frames",
@@ -183,8 +187,8 @@ def landmarks(classes: DataFrame, variants: bool = False) -> DataFrame:
     turned = range(1 << _WEAK) if variants else range(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, frames, prints, weak in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in (b.slice(low, _AT_ONCE) for b in batches for low in range(0, b.num_rows, _AT_ONCE)):
+            for name, frames, prints, weak in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 at, value = np.array(frames, np.int64), np.array(prints, np.int64)
                 bits = 1 << ((np.array(weak, np.int64)[:, None] >> (5 * np.arange(_WEAK))) & 31)
                 later = np.searchsorted(at, at + _GAP)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, jobs that run send at most ``rows`` rows at once to Python; the session's own number comes back after."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(setting))
+    spark.conf.set(setting, str(min(own, rows) if own > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, str(own))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a frame whose scan has fewer tasks than the session has cores.
 

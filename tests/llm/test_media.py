@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from aisle.llm import media
 
@@ -90,6 +91,23 @@ def test_copies_are_one_class_and_repeated_ids_stay(spark, folder):
     assert classes.count() == 3 and members.count() == 44
 
 
+def test_few_recordings_go_to_python_at_once(spark):
+    """Each print made here is the number of rows that came to Python together."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(setting)
+
+    def run(batches):
+        for b in batches:
+            lists = [pa.array([[v]] * b.num_rows, t) for v, t in (
+                (0, pa.list_(pa.int32())), (b.num_rows, pa.list_(pa.int64())), (0, pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["id", "frames", "prints", "weak"])
+
+    prints = spark.range(0, 100, 1, 1).mapInArrow(run, "id long, frames array<int>, prints array<long>, weak array<int>")
+    classes, members = media.sounds(prints)
+    assert max(r.prints[0] for r in classes.collect()) <= 16 and members.count() == 100
+    assert spark.conf.get(setting) == own
+
+
 def test_odd_recordings(spark):
     rows = [(1, None), (2, b""), (3, b"\x01"), (4, bytes(9_000)), (None, bytes(10)), (1, None)]
     frame = spark.createDataFrame(rows, "vec_id long, pcm binary")
