@@ -46,14 +46,7 @@ def keep_combo(text: Column | str) -> Column:
 
 def tokens_of(text: Column | str) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n neighbouring tokens joined by a space."""
-    last = F.size(tokens) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+    return F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), "")
 
 
 def first_keyword(text: Column | str, keywords: Mapping[str, str] | Sequence[str]) -> Column:

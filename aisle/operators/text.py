@@ -78,14 +78,71 @@ def near_matches(
         *left.columns, b, F.levenshtein(F.col(a), F.col(b), edits).alias("edits")).where("edits >= 0")
 
 
-def title_ngrams(df: DataFrame, key: str, text: str, sizes: Sequence[int]) -> DataFrame:
-    """Distinct word runs of each title."""
-    tokens = titles.tokens_of(text)
-    runs = F.concat(*[titles.ngrams(F.col("_tokens"), n) for n in sizes])
-    return (
-        df.select(key, tokens.alias("_tokens"))
-        .select(key, F.explode(F.array_distinct(runs)).alias("ngram"))
+#: Places of the table of words; words that share one only let more runs through.
+_SLOTS = 1 << 20
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(_SLOTS)).cast("int")
+
+
+def _word_costs(words: DataFrame, entries: DataFrame, entry: str, accept: int | None) -> DataFrame:
+    """One row, costs: an array of ``_SLOTS`` numbers, each 1 + 4 * 2 + 16 * 3 for words of one hash.
+
+    Number 1 is the fewest edits between such a word and any begin of an entry,
+    number 2 to any end (0 to 2; 3: more), number 3 is 1 if a word is near a
+    whole entry. To begins and ends of one or two letters a word of one or two
+    letters counts one edit, if it is not found to need none, a word of three or four two.
+    """
+    size = F.length(entry)
+    cuts = entries.where(size > 0).select(entry, F.explode(F.sequence(F.lit(1), size)).alias("_n"))
+    first, last, whole = F.lit(3).alias("first"), F.lit(3).alias("last"), F.lit(0).alias("whole")
+    begins = near_matches(words, cuts.select(F.substr(entry, F.lit(1), F.col("_n")).alias("_cut")), "word", "_cut")
+    ends = near_matches(words, cuts.select(F.substr(entry, F.col("_n")).alias("_cut")), "word", "_cut")
+    near = near_matches(words, entries.select(F.col(entry).alias("_cut")), "word", "_cut", accept=accept)
+    short = F.when(F.length("word") <= 2, 1).otherwise(2)
+    found = (
+        begins.select("word", F.col("edits").alias("first"), last, whole)
+        .unionByName(ends.select("word", first, F.col("edits").alias("last"), whole))
+        .unionByName(near.select("word", first, last, F.lit(1).alias("whole")))
+        .unionByName(words.where(F.length("word") <= 4).select("word", short.alias("first"), short.alias("last"), whole))
     )
+    slots = found.groupBy(_slot(F.col("word")).alias("id")).agg(
+        (F.min("first") + 4 * F.min("last") + 16 * F.max("whole")).cast("tinyint").alias("cost"))
+    every = words.sparkSession.range(_SLOTS).join(slots, "id", "left")
+    placed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("cost", F.lit(15).cast("tinyint")).alias("cost"))))
+    return every.agg(placed.alias("_all")).select(F.col("_all.cost").alias("costs"))
+
+
+def title_ngrams(
+    df: DataFrame, key: str, text: str, sizes: Sequence[int], entries: DataFrame, entry: str, accept: int | None = None
+) -> DataFrame:
+    """Distinct word runs of each title, without those that cannot be near an entry; stored.
+
+    If a run is at most two edits from an entry, its first word is some edits
+    from a begin of the entry and its last word from an end, two at most in sum.
+    Each distinct word is compared with all begins and ends once; its fewest
+    edits are kept by the word's hash in a table of fixed size, which every task
+    reads. So few runs are listed, and no run is lost that ``near_matches`` finds with ``accept``.
+    """
+    bounds = entries.where(F.length(entry) > 0).agg(F.min(F.length(entry)), F.max(F.length(entry))).first()
+    low, high = (bounds[0] or 0) - 2, (bounds[1] or 0) + 2
+    tokens = df.select(key, titles.tokens_of(text).alias("_tokens"))
+    words = stored(tokens.select(F.explode("_tokens").alias("word")).where(F.length("word") <= high).distinct(), "tokens")
+    costs = stored(_word_costs(words, entries, entry, accept), "costs").scalar()
+    names = [f"_w{k}" for k in range(max(sizes))]
+    shifts = [F.slice("_tokens", k + 1, F.greatest(F.size("_tokens"), F.lit(1))).alias(n) for k, n in enumerate(names)]
+    placed = tokens.select(key, F.inline(F.arrays_zip(*shifts)).alias(*names))
+    cost = [F.get(costs, _slot(F.col(n))) for n in names]
+    keeps = {}
+    for n in sizes:
+        run, end = F.concat_ws(" ", *names[:n]), cost[n - 1]
+        edits = cost[0].bitwiseAND(F.lit(3)) + F.shiftright(end, 2).bitwiseAND(F.lit(3))
+        fits = cost[0] >= 16 if n == 1 else (edits <= 2) & F.length(run).between(low, high)
+        keeps[n] = F.when(F.col(names[n - 1]).isNotNull() & fits, run)
+    runs = placed.where(F.coalesce(*keeps.values()).isNotNull()).select(
+        key, F.explode(F.array(*keeps.values())).alias("ngram")).where("ngram IS NOT NULL")
+    return stored(runs.distinct(), "runs")
 
 
 def run_sizes(entries: DataFrame, entry: str) -> range:
@@ -110,7 +167,7 @@ def fuzzy_brands(
     matched once. The matches are stored, so Spark knows their size when they
     go back to the titles; few runs match, and then the titles stay in place.
     """
-    grams = title_ngrams(df, key, text, run_sizes(brands, brand))
+    grams = title_ngrams(df, key, text, run_sizes(brands, brand), brands, brand, accept)
     matches = stored(_scored_runs(grams, brands, brand, accept), "matches")
     scored = grams.join(matches, "ngram").groupBy(key, brand).agg(F.max("ratio").alias("ratio"))
     # A title has at most as many rows here as the dictionary has brands.
@@ -137,10 +194,13 @@ def main_brand(
     several = named.join(counted.where("_families > 1"), key).select(key, family)
     parts = several.select(
         key, family, F.size(F.split(family, " ")).alias("_words"), F.explode(F.split(family, " ")).alias("_word"))
-    open_titles = df.select(key, text).join(counted.where("_families > 1"), key, "left_semi")
-    grams = title_ngrams(open_titles, key, text, run_sizes(families, family))
+    # Stored, so that few keys go to the titles and the titles stay in place.
+    open_titles = df.select(key, text).join(stored(counted.where("_families > 1").select(key), "open"), key, "left_semi")
     most = parts.agg(F.max("_words")).first()[0] or 1
     least = max(0, int(100 - (100 - accept) * most) - 1)
+    # Runs are compared with the words of the families, and found again as whole families.
+    wanted = parts.select("_word").union(several.select(family)).distinct()
+    grams = title_ngrams(open_titles, key, text, run_sizes(families, family), wanted, "_word", least)
     matches = stored(_scored_runs(grams, parts.select("_word").distinct(), "_word", least), "words")
     per_title = grams.join(matches, "ngram").groupBy(key, "_word").agg(F.max("ratio").alias("ratio"))
     by_words = (

@@ -61,6 +61,31 @@ def test_near_matches_above_similarity_are_complete(spark, words):
     assert found == expected
 
 
+def test_listed_runs_are_few_and_lose_no_match(spark, words):
+    """Against all runs of all titles: the same matches, from a small part of the runs."""
+    draw = random.Random(9)
+    noise = ["".join(draw.choice("opqrstuv") for _ in range(draw.randrange(3, 9))) for _ in range(300)]
+    entries = [*words[:12], *(" ".join(draw.sample(words, n)) for n in (2, 2, 2, 3, 3)), "ab", "c", "a b"]
+    rows = [(i, " ".join(draw.choices(noise, k=40) + draw.choices(words, k=4))) for i in range(30)]
+    rows += [(100 + i, e[: i % len(e)] + "x" + e[i % len(e) + 1 :]) for i, e in enumerate(entries)]
+    rows += [(200, "a c b ba"), (201, ", ."), (202, None), (None, entries[-4]), (203, entries[-4]), (203, entries[-5])]
+    frame = spark.createDataFrame(rows, "id bigint, t string")
+    brands = spark.createDataFrame([(e,) for e in entries] + [("",), (None,)], "brand string")
+    runs = set()
+    for i, t in rows:
+        w = [x for x in (t or "").replace(",", " ").replace(".", " ").split(" ") if x]
+        runs |= {(i, " ".join(w[k : k + n])) for n in (1, 2, 3) for k in range(len(w) - n + 1)}
+    every = spark.createDataFrame(list(runs), "id bigint, ngram string")
+    near = lambda f, accept: {
+        tuple(r)[:3] for r in text.near_matches(f, brands, "ngram", "brand", accept=accept).select("id", "ngram", "brand").collect()}
+    for accept in (None, 60, 85):
+        grams = text.title_ngrams(frame, "id", "t", [1, 2, 3], brands, "brand", accept)
+        listed = [tuple(r) for r in grams.collect()]
+        assert len(listed) == len(set(listed)) and set(listed) <= runs
+        assert near(grams, accept) == near(every, accept)
+        assert len(listed) < 0.2 * len(runs)
+
+
 def test_similarity_of_any_pair(spark, words):
     pairs = [(x, y) for x in words[:20] for y in words[20:40]]
     frame = spark.createDataFrame(pairs, "a string, b string")
